@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import decontaminate
+from cohortvox.llm import decontaminate, neardup
 
 QUERIES = {
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
+    "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
