@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import decontaminate, neardup
+from cohortvox.llm import decontaminate, lattice, neardup
 
 QUERIES = {
+    "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
 }
