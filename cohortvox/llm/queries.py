@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import decontaminate, lattice, neardup
+from cohortvox.llm import decontaminate, lattice, mixing, neardup, sharding
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
+    "op5_byte_balanced_shards": sharding.op5_byte_balanced_shards,
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {}
