@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import decontaminate, lattice, mixing, neardup, sharding
+from cohortvox.llm import decontaminate, lattice, mixing, neardup, sharding, toxicity
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
     "op5_byte_balanced_shards": sharding.op5_byte_balanced_shards,
+    "op8_factorization_toxicity": toxicity.op8_factorization_toxicity,
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
