@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import decontaminate, lattice, mixing, neardup, quality, sharding, tokencount, toxicity
+from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, quality, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
@@ -10,9 +10,12 @@ QUERIES = {
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
     "op5_byte_balanced_shards": sharding.op5_byte_balanced_shards,
     "op6_whole_token_counts": tokencount.op6_whole_token_counts,
+    "op7_chat_template": chat.op7_chat_template,
     "op8_factorization_toxicity": toxicity.op8_factorization_toxicity,
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_template": chat.OP7_SQL,
+}
