@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, quality, sharding, tokencount, toxicity
+from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, quality, sharding, tokencount, toxicity, warczip
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
     "op2_byte_cnn_quality": quality.op2_byte_cnn_quality,
+    "op3_zip_warc_pages": warczip.op3_zip_warc_pages,
     "op4_positional_decontamination": decontaminate.op4_positional_decontamination,
     "op5_byte_balanced_shards": sharding.op5_byte_balanced_shards,
     "op6_whole_token_counts": tokencount.op6_whole_token_counts,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_zip_warc_pages": warczip.OP3_SQL,
     "op7_chat_template": chat.OP7_SQL,
 }
