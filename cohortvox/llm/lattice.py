@@ -25,6 +25,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.textcore import groups, mix
@@ -40,8 +41,9 @@ SCALE = 4.0
 PROBES = 8
 #: Nearest lattice neighbours looked at for each point.
 NEIGHBOURS = 8
-#: Vectors of one block of a cell.
+#: Vectors of one block of a cell; cells up to SMALL are compared many at once.
 BLOCK = 1024
+SMALL = 24
 
 
 def nearest_d8(x: np.ndarray) -> np.ndarray:
@@ -178,14 +180,55 @@ def block_links(unit: np.ndarray, part: np.ndarray, weight: np.ndarray, cells: l
     return links, out
 
 
+def small_cells(unit: np.ndarray, weight: np.ndarray, task: np.ndarray, cell: np.ndarray, cells: list[np.ndarray], least: float):
+    """As block_links, for many small cells at once: rows are compared with those d places on."""
+    left, right = [], []
+    for d in range(1, len(unit)):
+        a = np.flatnonzero(task[d:] == task[:-d])
+        if not len(a):
+            break
+        near = a[np.einsum("ij,ij->i", unit[a], unit[a + d]) >= least]
+        left += near.tolist()
+        right += (near + d).tolist()
+    links, span = np.zeros(len(unit), np.int64), []
+    for a, b in zip(left, right, strict=True):
+        if np.intersect1d(cells[a], cells[b], assume_unique=True)[0] == cell[a]:
+            links[a] += weight[b]
+            links[b] += weight[a]
+            span.append((a, b))
+    return links, span
+
+
+def _batched(batches, rows: int):
+    """Tables of whole tasks: single large ones, or several small ones together."""
+    held, n = [], 0
+    for t in groups(batches, "task"):
+        if t.num_rows > SMALL or pa.compute.max(t.column("part")).as_py():
+            yield t
+            continue
+        held.append(t)
+        n += t.num_rows
+        if n >= rows:
+            yield pa.concat_tables(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _compare(dim: int, least: float):
     def run(batches):
-        for t in groups(batches, "task"):
+        for t in _batched(batches, 2048):
             part, rep = t.column("part").to_numpy(), t.column("rep").to_numpy()
-            weight = t.column("weight").to_numpy()
+            weight, task = t.column("weight").to_numpy(), t.column("task").to_numpy()
             unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-            cells = [np.asarray(c, np.int64) for c in t.column("cells").to_pylist()]
-            links, span = block_links(unit, part, weight, cells, np.int64(t.column("cell")[0].as_py()), least)
+            flat, ends = t.column("cells").combine_chunks(), t.column("cells").combine_chunks().offsets.to_numpy()
+            flat = flat.values.to_numpy()
+            cells = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            cell = t.column("cell").to_numpy()
+            if task[0] != task[-1] or len(task) <= SMALL and not part.any():
+                links, span = small_cells(unit, weight, task, cell, cells, least)
+            else:
+                links, span = block_links(unit, part, weight, cells, cell[0], least)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.r_[rep[some], rep[[a for a, _ in span]]].astype(np.int64)),
