@@ -1,0 +1 @@
+"""Column functions shared by the plans."""

@@ -20,9 +20,9 @@ def ventricles(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
     return m.join(v, ["case_id", "x", "y", "z"], "left").withColumn("ventricle", F.coalesce("ventricle", F.lit(False)))
 
 
-def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
-    """Volumes, symmetry, Evans estimate, hydrocephalus and obstruction."""
-    t = ws.table(G.l1_distance(ventricles(df, ws, least), region("wt"), "near"), "near")
+def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
+    """Volumes, symmetry, Evans estimate, hydrocephalus and obstruction; ``found`` is the output of ``ventricles``."""
+    t = ws.table(G.l1_distance(ventricles(df, ws, least) if found is None else found, region("wt"), "near"), "near")
     v, left = F.col("ventricle"), F.col("x") < F.floor(F.col("nx") / 2)
     a = t.groupBy("case_id").agg(
         F.count_if(v & left).alias("nl"), F.count_if(v & ~left).alias("nr"), F.count_if(F.col("brain") & ~region("wt")).alias("nb"), F.count_if(v & (F.col("near") <= 5)).alias("close"),
@@ -44,9 +44,9 @@ def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000) -> DataF
     )
 
 
-def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
-    """Periventricular signal and grey-white differentiation by depth in the brain."""
-    t = G.edt(G.l1_distance(ventricles(df, ws, least), F.col("ventricle"), "near"), ~F.col("brain"), "depth")
+def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
+    """Periventricular signal and grey-white differentiation by depth in the brain; ``found`` as above."""
+    t = G.edt(G.l1_distance(ventricles(df, ws, least) if found is None else found, F.col("ventricle"), "near"), ~F.col("brain"), "depth")
     brain, normal = F.col("brain"), F.col("brain") & (F.col("seg") == 0)
     t = case_percentiles(t, {"__deep": (F.col("depth"), brain, 60), "__rim": (F.col("depth"), brain, 40)})
     around, deep, cortex = (F.col("near").between(1, 10)) & normal, normal & (F.col("depth") > F.col("__deep")), normal & (F.col("depth") < F.col("__rim"))

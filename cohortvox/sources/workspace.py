@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -38,10 +38,12 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
 
     def path(self, name: str) -> str:
         self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
+        self._paths.append(f"{self.root}/{self._n:03d}-{name}")
+        return self._paths[-1]
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Writes ``df`` and returns the written table."""
@@ -56,6 +58,19 @@ class Workspace:
         for t in tables:
             self.delete(getattr(t, "workspace_path", None))
 
+    def keep(self, df: DataFrame, name: str = "kept", broadcast_rows: int = 0) -> DataFrame:
+        """Writes ``df`` as the run's only table: all others are deleted.
+
+        With ``broadcast_rows``, a table of at most that many rows is marked for
+        broadcast; a larger one is left to a shuffle.
+        """
+        out = self.table(df, name)
+        for p in self._paths:
+            if p != out.workspace_path:
+                self.delete(p)
+        self._paths = [out.workspace_path]
+        return F.broadcast(out) if broadcast_rows and out.count() <= broadcast_rows else out
+
     def delete(self, path: str | None) -> None:
         if path:
             jvm = self.spark.sparkContext._jvm
