@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, quality, sharding, tokencount, toxicity, warczip
+from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, oracles, quality, sharding, tokencount, toxicity, warczip
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lattice_near_dedup": oracles.OP1,
     "op3_zip_warc_pages": warczip.OP3_SQL,
+    "op4_positional_decontamination": oracles.OP4,
     "op7_chat_template": chat.OP7_SQL,
+    "op9_bottomk_near_dedup": oracles.OP9,
 }
