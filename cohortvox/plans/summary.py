@@ -18,21 +18,32 @@ def ring(df: DataFrame) -> DataFrame:
 
 
 def laterality_check(location: DataFrame, shift: DataFrame) -> DataFrame:
-    """Whether the two ways of finding the side agree."""
+    """Whether the two ways of finding the side agree; a bilateral tumour agrees with either."""
     j = location.select("case_id", "hemisphere").join(shift.select("case_id", "tumor_hemisphere"), "case_id")
-    a, b = F.col("hemisphere"), F.col("tumor_hemisphere")
-    agree = F.when(a.isNull() | b.isNull() | (a == "None"), True).when(F.contains(a, F.lit("bilateral")), True).otherwise(F.contains(a, b))
-    return j.select("case_id", F.col("hemisphere").alias("location_method"), F.col("tumor_hemisphere").alias("centroid_method"), agree.alias("consistent"))
+    a, b = F.col("hemisphere"), F.coalesce("tumor_hemisphere", F.lit("Unknown"))
+    both = F.contains(a, F.lit("bilateral"))
+    agree = both | (F.lower(F.split_part(a, F.lit("-"), F.lit(1))) == F.lower(b))
+    note = F.when(both, "Bilateral tumor - crosses midline").when(agree, "Hemisphere determination consistent across methods").otherwise(
+        F.format_string("Hemisphere mismatch: location analysis suggests %s, centroid analysis suggests %s. Tumor may be near midline.", a, b))
+    return j.select("case_id", a.alias("location_method"), b.alias("centroid_method"), agree.alias("consistent"), note.alias("note"))
+
+
+#: What a noisy sequence affects, as named and as worded.
+AFFECTED = {
+    "T2": ("necrosis_fraction,cystic_solid_classification,edema_extent", "necrosis/cystic fraction and edema measurements"),
+    "T1ce": ("enhancement_analysis,margin_sharpness", "enhancement and margin measurements"),
+}
 
 
 def reliability_warnings(per_sequence: DataFrame, overall: DataFrame) -> DataFrame:
-    """Low signal-to-noise of T2 or T1ce and poor overall quality, with what they affect."""
-    affected = {"T2": ["necrosis fraction", "cystic/solid classification"], "T1ce": ["enhancement pattern", "margin analysis"]}
-    low = per_sequence.where(F.col("sequence").isin(*affected) & (F.col("snr") < 6))
-    pick = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(y) for y in x]) for kv in affected.items() for x in kv])
-    rows = low.select("case_id", "sequence", F.round("snr", 1).alias("snr"), F.concat_ws(", ", pick[F.col("sequence")]).alias("affected"))
-    bad = overall.where(F.col("overall").isin("Fair", "Poor")).select("case_id", F.lit("all").alias("sequence"), F.lit(None).cast("double").alias("snr"), F.lit("all measurements").alias("affected"))
-    return rows.unionByName(bad)
+    """``(case_id, sequence, affected, warning)`` for noisy sequences and for fair or poor images."""
+    pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for s, v in AFFECTED.items() for x in (s, v[k])]), F.col("sequence"))
+    low = per_sequence.where(F.col("sequence").isin(*AFFECTED) & (F.col("snr") < 6))
+    text = F.format_string("Low %s SNR (%.1f) may reduce reliability of %s", F.col("sequence"), F.col("snr"), pick(1))
+    rows = low.select("case_id", "sequence", pick(0).alias("affected"), text.alias("warning"))
+    all_ = F.format_string("Overall image quality is %s; interpret quantitative measurements with caution", F.col("overall"))
+    bad = overall.where(F.col("overall").isin("Fair", "Poor"))
+    return rows.unionByName(bad.select("case_id", F.lit("all").alias("sequence"), F.lit("").alias("affected"), all_.alias("warning")))
 
 
 def summarize(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.operators import retrieval as R
-from cohortvox.plans import report as P, summary as S
-from cohortvox.plans.cohort_queries import rounded
+from cohortvox.operators import evaluate as E, intensity as I, mass_effect as ME, quality as Q, retrieval as R
+from cohortvox.plans import exports as X, report as P, summary as S
+from cohortvox.plans.cohort_queries import COMP, GRID, MEAN, rounded
 from cohortvox.sources import manifest as M
 from cohortvox.sources.voxels import grid
 from cohortvox.sources.workspace import Workspace
@@ -289,3 +289,69 @@ def r26(spark, sf):
 def a16(spark, sf):
     reports = _bundle(spark, sf, "a16")[0]
     return reports.select("case_id", F.explode(P.sections(F.col("report"))).alias("section", "text"), F.array_join(P.impression_items(F.col("report")), " | ").alias("impression"))
+
+
+@query("a13_volume_text")  # no twin: the engines print halves differently
+def a13(spark, sf):
+    return X.volume_text(I.volumes_cm3(grid(spark, sf)))
+
+
+@query("a20_parsed_mean_dice", "WITH RECURSIVE " + ",\n".join((GRID, COMP, MEAN)) + " SELECT case_id, round(100 * mean_dice, 2) AS mean_dice_percent FROM m")
+def a20(spark, sf):
+    g = grid(spark, sf)
+    text = X.score_text(E.label_scores(g, "seg_pred", "seg"), E.compound_scores(g, "seg_pred", "seg"), E.mean_dice(g, "seg_pred", "seg"))
+    return text.select("case_id", X.parse_mean_dice(F.col("text")).alias("mean_dice_percent"))
+
+
+@query("a19_run_record")
+def a19(spark, sf):
+    g = grid(spark, sf)
+    return X.run_record(g.select("case_id").distinct(), E.mean_dice(g, "seg_pred", "seg"), "/cohort")
+
+
+@query("a21_cases_without_summary", "SELECT DISTINCT o_custkey AS case_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def a21(spark, sf):
+    o = table(spark, sf, "orders").withColumn("case_id", F.col("o_custkey"))
+    return X.without_summary(o, o.where("o_orderstatus = 'F'"))
+
+
+@query("a23_job_reports", "SELECT c_custkey AS job_id, c_nationkey AS case_id, n_name AS report FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def a23(spark, sf):
+    jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("case_id"))
+    return X.report_of_job(jobs, table(spark, sf, "nation").select(F.col("n_nationkey").alias("case_id"), F.col("n_name").alias("report")))
+
+
+@query("a14_articles", "SELECT CAST(page_id AS VARCHAR) AS id, 'Page ' || page_id AS title, 'Title: Page ' || page_id || chr(10) || chr(10) || 'Keywords: web' || chr(10) || chr(10) || trim(url, ' ' || chr(10) || chr(13) || chr(9)) AS document_text FROM pages")
+def a14b(spark, sf):
+    head = F.concat(F.lit("TITLE: Page "), F.col("page_id").cast("string"), F.lit("\nKEYWORDS: web\n---\n"), F.col("url"))
+    files = table(spark, sf, "pages").select(F.concat(F.lit("/kb/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), head.alias("value"))
+    return X.articles(files).select("id", "title", "document_text")
+
+
+@query("r22_fallback_values", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CASE WHEN o_totalprice / 10000 < 5 THEN 'Minimal' WHEN o_totalprice / 10000 < 15 THEN 'Moderate' WHEN o_totalprice / 10000 < 30 THEN 'Significant' ELSE 'Extensive' END WHEN 1 THEN CASE WHEN o_custkey % 4 > 1 THEN 'multifocal' ELSE 'focal' END ELSE 'a' END AS value FROM orders")
+def r22(spark, sf):
+    field = F.element_at(F.array(F.lit("edema_degree"), F.lit("distribution"), F.lit("shape")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    v = X.fallback_value(field, F.array(F.lit("a"), F.lit("b")), F.col("o_totalprice") / 10000, F.lit(None).cast("string"), F.col("o_custkey") % 4)
+    return table(spark, sf, "orders").select("o_orderkey", v.alias("value"))
+
+
+@query("r16_concept_ownership")
+def r16(spark, sf):
+    slots = ("enhancement_sentence", "necrosis_sentence", "edema_sentence", "ventricles_sentence")
+    pick = F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod("turn", F.lit(4)) + 1).cast("int"))
+    word = F.when(F.col("turn") % 2 == 1, " necrosis").otherwise(" edema")
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), pick.alias("slot"), F.concat(F.substring("text", 1, 20), word).alias("content"))
+    v = P.validate(c.dropDuplicates(["case_id", "slot"]), P.slot_specs(spark))
+    return v.select("case_id", "slot", F.size(F.filter("violations", lambda x: F.startswith(x, F.lit("Concept")))).alias("repeats"))
+
+
+@query("e37_laterality_check")
+def e37(spark, sf):
+    g = grid(spark, sf)
+    return S.laterality_check(ME.location(g), ME.midline_shift(g))
+
+
+@query("e38_reliability_warnings")
+def e38(spark, sf):
+    q = Q.image_quality(grid(spark, sf))
+    return S.reliability_warnings(q, Q.overall_quality(q))
