@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, text_chunks, word_spans
+from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
 from cohortvox.sources.workspace import Workspace
 
 #: Words after which an index segment is closed (a longer document fills one).
@@ -29,6 +29,8 @@ SEGMENT_WORDS = 500_000
 QUERY_TERMS = 2_000_000
 #: Most slices of queries that one pass over the index holds.
 QUERY_SLICES = 16
+#: Contaminated ids (8 bytes each) up to which the stage broadcasts them to the texts.
+BROADCAST_ROWS = 500_000
 #: Words of a window, and the share of hit words that marks a document (1 / 20).
 WINDOW = 13
 SHARE = 20
@@ -116,6 +118,7 @@ def _index(id_col: str, text_col: str, segment_words: int):
 def build_index(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text",
                 segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Writes the positional index of ``docs`` and returns its segments."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     return ws.table(src.mapInArrow(_index(id_col, text_col, segment_words), SEGMENT), "index")
 
@@ -362,5 +365,6 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Removes contaminated documents; all others stay, null ids and texts included."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ws = Workspace(spark, "decontaminate")
-    bad = ws.table(contamination(docs, items, ws).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")), "bad")
+    bad = contamination(docs, items, ws).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad"))
+    bad = ws.keep(bad, "bad", BROADCAST_ROWS)
     return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")

@@ -57,18 +57,31 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return by.select("source", "source_size", target.alias("target"))
 
 
-def mix(sized: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """Adds ``source_size``, ``target`` and ``taken`` to rows of (doc_id, source, size)."""
+LAST_ID = (1 << 63) - 1
+
+
+def _key(seed: int, doc_id: Column, size: Column) -> Column:
+    """A document's place in its source's order: a hash, then what settles ties."""
+    return F.struct(F.xxhash64(F.lit(seed), doc_id, size).alias("hash"), F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), size.alias("size"))
+
+
+def _placed(sized: DataFrame, ws: Workspace, weights: tuple[int, ...], share: float, epochs: int, seed: int) -> DataFrame:
+    """Adds the source's size and target, its whole epochs, the words left for the last one, and those before."""
     targets = ws.table(source_targets(sized, weights, share, epochs), "targets")
-    keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    ordered = prefix_sums(keyed, ["source", "key", "doc_id", "size"], ["size"], ws, group=["source"])
+    keyed = sized.withColumn("key", _key(seed, F.col("doc_id"), F.col("size")))
+    ordered = prefix_sums(keyed, ["source", "key"], ["size"], ws, group=["source"])
     t = targets.select(F.col("source").alias("__source"), "source_size", "target")
     joined = ordered.join(t, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     words = F.floor("target")  # whole words
     full = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0)
-    left = words - full * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("size_before")))
-    return joined.select(*sized.columns, "source_size", "target", (full * F.col("size") + part).cast("long").alias("taken"))
+    return joined.withColumn("epochs", full).withColumn("left", words - F.col("epochs") * F.col("source_size"))
+
+
+def mix(sized: DataFrame, ws: Workspace, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``taken`` to rows of (doc_id, source, size)."""
+    p = _placed(sized, ws, weights, share, epochs, seed)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("size_before")))
+    return p.select(*sized.columns, "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def document_words(docs: DataFrame) -> DataFrame:
@@ -82,18 +95,23 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it.
+    """Each document as often as the mix takes it; texts stay in place.
 
-    Documents stay whole: the one at the cut of the last epoch is kept as a
-    whole.  A document without words is kept once.  Rows that share a doc_id and
-    source share one decision, the larger.
+    The cut is one key per source (the last document that the partial epoch
+    reaches), so a document's copies follow from its own key and a row per
+    source.  Documents stay whole, the one at the cut included; one without
+    words is kept once.
     """
     ws = Workspace(spark, "mix")
     sized = ws.table(document_words(docs), "sizes")
-    taken = mix(sized, ws)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int")
-    decided = taken.groupBy(F.col("doc_id").alias("__doc"), F.col("source").alias("__source")).agg(F.max(copies).alias("__copies")).where("__copies > 0")
-    decided = ws.table(decided, "decided")
-    on = docs["doc_id"].cast("long").eqNullSafe(decided["__doc"]) & docs["source"].cast("string").eqNullSafe(decided["__source"])
-    out = docs.join(decided, on)
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    placed = _placed(sized, ws, WEIGHTS, SHARE, EPOCHS, SEED)
+    reached = F.when(F.col("size_before") < F.col("left"), F.col("key"))
+    cuts = placed.groupBy(F.col("source").alias("__source")).agg(F.first("epochs").alias("__epochs"), F.max(reached).alias("__cut"))
+    cuts = ws.keep(cuts, "cuts")  # Spark broadcasts it if it is small
+    size = word_count(F.col("text"))
+    key = _key(SEED, docs["doc_id"].cast("long"), size)
+    last = F.coalesce(key <= F.col("__cut"), F.lit(False)).cast("int")
+    copies = F.when(size == 0, 1).otherwise(F.col("__epochs").cast("int") + last)
+    out = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__source"]))
+    each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
+    return out.select(*[docs[c] for c in docs.columns], each.alias("__copy")).drop("__copy")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.llm.textcore import LOWER, NONSPACE, PrefixHash, groups, mix, text_chunks, word_spans
+from cohortvox.llm.textcore import LOWER, NONSPACE, PrefixHash, bound_batches, groups, mix, text_chunks, word_spans
 from cohortvox.operators.graph import components
 from cohortvox.sources.workspace import Workspace
 
@@ -201,7 +201,7 @@ def _tasks(cluster: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, percent: int = PERCENT,
                     block: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per document."""
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     all_ = ws.table(sketches(docs, shingle), "sketches")
     classes = ws.table(
         all_.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
@@ -245,9 +245,11 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share a doc_id one stays; rows with a null doc_id all stay.
     """
     ws = Workspace(spark, "dedup")
-    found = ws.table(near_duplicates(docs, ws), "found")
+    found = ws.keep(near_duplicates(docs, ws), "found")
+    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = ws.keep(gone, "gone", BROADCAST_ROWS)
     left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeated:
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

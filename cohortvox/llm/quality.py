@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.labelled import held_out, training_sample
-from cohortvox.llm.textcore import text_chunks
+from cohortvox.llm.textcore import bound_batches, text_chunks
 
 #: Labelled documents fitted on at most, and the bytes of the longest of them.
 TRAIN_ROWS = 2_400
@@ -206,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
 
 def score_documents(docs: DataFrame, net: ByteNet) -> DataFrame:
     """``(doc_id, score)``, one row per document."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):

@@ -14,7 +14,7 @@ rows; other columns are ignored by the query and kept by the stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.prefixsum import prefix_sums
 from cohortvox.sources.workspace import Workspace
@@ -53,27 +53,20 @@ def op5_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``shard`` and ``slot``.
+    """The documents with their ``shard``; texts stay in place.
 
-    Rows with the same doc_id and text are interchangeable: they are numbered
-    among themselves and take the places of that group one each.  Columns named
-    shard or slot are replaced.
+    The cuts are the keys at which the shards begin, seven at most, so each row
+    finds its shard by comparing its own key.  Rows that tie in the whole order
+    share a shard.  A column named shard is replaced.
     """
     ws = Workspace(spark, "shard")
     sized = ws.table(document_sizes(docs), "sizes")
-    places = balanced_shards(sized, ws).select(
-        F.xxhash64("doc_id", "text_crc32", "size").alias("__h"), F.col("doc_id").alias("__d"), F.col("text_crc32").alias("__c"),
-        F.col("size").alias("__s"), F.col("shard").cast("int").alias("__shard"), F.col("slot").cast("long").alias("__slot"),
-    )
+    key = lambda d, c, z: F.struct(F.coalesce(d, F.lit((1 << 63) - 1)).alias("d"), c.alias("c"), z.alias("z"))
+    placed = balanced_shards(sized, ws)
+    first = placed.groupBy("shard").agg(F.min(key(F.col("doc_id"), F.col("text_crc32"), F.col("size"))).alias("k"))
+    cuts = ws.keep(first.agg(F.array_sort(F.collect_list(F.struct("k", "shard"))).alias("__cuts")), "cuts")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({
-        "__doc": F.col("doc_id").cast("long"), "__crc": F.crc32(text.cast("binary")), "__size": (F.octet_length(text) + 1).cast("long"),
-    }).withColumn("__hash", F.xxhash64("__doc", "__crc", "__size"))
-    nth = lambda *cols: F.row_number().over(Window.partitionBy(*cols).orderBy(cols[0]))
-    left = keyed.repartition("__hash").withColumn("__copy", nth("__hash", "__doc", "__crc", "__size"))
-    right = places.repartition("__h").withColumn("__nth", nth("__h", "__d", "__c", "__s"))
-    # copies are matched outside the join key, so the numbering's partitioning serves the join
-    on = (left["__hash"] == right["__h"]) & (F.col("__copy") - F.col("__nth") == 0)
-    on &= F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__crc") - F.col("__c") == 0) & (F.col("__size") - F.col("__s") == 0)
-    keep = [c for c in docs.columns if c not in ("shard", "slot")]
-    return left.join(right, on).select(*keep, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    own = key(F.col("doc_id").cast("long"), F.crc32(text.cast("binary")), (F.octet_length(text) + 1).cast("long"))
+    shard = F.element_at(F.filter("__cuts", lambda c: c["k"] <= F.col("__own")), -1)["shard"].cast("int")
+    keep = [c for c in docs.columns if c != "shard"]
+    return docs.withColumn("__own", own).join(F.broadcast(cuts), F.lit(True)).select(*keep, shard.alias("shard"))

@@ -14,6 +14,18 @@ import pyarrow as pa
 #: Bytes of text handled at once; temporaries are about 60 times that.
 CHUNK_BYTES = 1 << 20
 
+#: Rows of an Arrow batch; both sides of the pipe hold a few batches of whole texts.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark, rows: int = BATCH_ROWS) -> None:
+    """Lowers the session's Arrow batch size for operators that pass whole texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortvox.llm.textcore import bound_batches
+
 LIMIT = 4_096
 #: Pre-tokens whose counts a worker remembers (about 150 bytes each).
 MEMORY = 200_000
@@ -144,6 +146,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = LI
             n = np.array([c.count(text[k].as_py()) for k in range(len(text))], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.labelled import TRAIN_ROWS, held_out, training_sample
-from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, text_chunks, word_spans
+from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
 
 #: Bytes of a word's beginning that are a feature beside the word.
 BEGINNINGS = (4, 6)
@@ -120,6 +120,7 @@ class FactorizationMachine:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int = TERMS) -> FactorizationMachine:
     """Fits on at most ``rows`` labelled documents; the driver gets the selected terms only."""
+    bound_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", rows).select("y", "text")
     hashed = sample.mapInArrow(_features, "y int, terms array<bigint>").persist()
     n, n1 = hashed.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()

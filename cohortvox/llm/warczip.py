@@ -34,6 +34,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortvox.llm.textcore import bound_batches
 from cohortvox.sources.workspace import Workspace
 
 #: Payloads from this size on are stored once.
@@ -260,6 +261,7 @@ def write_packages(plan: DataFrame, folder: str, package_bytes: int = PACKAGE_BY
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
+    bound_batches(plan.sparkSession)
     return plan.mapInArrow(run, MANIFEST)
 
 

@@ -64,9 +64,10 @@ def test_stages_follow_their_rules(spark, tmp_path):
                 got = sum(len((r.text or "").split()) for r in after if r.source == s)
                 assert want - 1 <= got <= want + max(len((r[1] or "").split()) for r in before if r[3] == s)
         else:
-            assert rows == sorted(str(r) for r in before) and now.columns == [*cols, "shard", "slot"]
-            for k in range(8):
-                assert sorted(r.slot for r in after if r.shard == k) == list(range(sum(r.shard == k for r in after)))
+            assert rows == sorted(str(r) for r in before) and now.columns == [*cols, "shard"]
+            size = [sum(len((r.text or "").encode()) + 1 for r in after if r.shard == k) for k in range(8)]
+            # copies of a document share a shard, so a cut is off by less than the two copies of one document
+            assert max(size) - min(size) <= 4 * max(len((r.text or "").encode()) + 1 for r in after)
     final = P.run(spark, sf)
     assert final.count() == seen["shard"]
 
