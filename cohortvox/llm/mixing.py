@@ -108,10 +108,11 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reached = F.when(F.col("size_before") < F.col("left"), F.col("key"))
     cuts = placed.groupBy(F.col("source").alias("__source")).agg(F.first("epochs").alias("__epochs"), F.max(reached).alias("__cut"))
     cuts = ws.keep(cuts, "cuts")  # Spark broadcasts it if it is small
-    size = word_count(F.col("text"))
-    key = _key(SEED, docs["doc_id"].cast("long"), size)
+    sized_docs = docs.withColumn("__size", word_count(F.col("text")))  # counted once a row, below the join
+    size = F.col("__size")
+    key = _key(SEED, sized_docs["doc_id"].cast("long"), size)
     last = F.coalesce(key <= F.col("__cut"), F.lit(False)).cast("int")
     copies = F.when(size == 0, 1).otherwise(F.col("__epochs").cast("int") + last)
-    out = docs.join(cuts, docs["source"].cast("string").eqNullSafe(cuts["__source"]))
+    out = sized_docs.join(cuts, sized_docs["source"].cast("string").eqNullSafe(cuts["__source"]))
     each = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>")))
-    return out.select(*[docs[c] for c in docs.columns], each.alias("__copy")).drop("__copy")
+    return out.select(*[sized_docs[c] for c in docs.columns], each.alias("__copy")).drop("__copy")

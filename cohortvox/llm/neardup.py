@@ -43,9 +43,10 @@ OVERLAP = 35
 WHOLE = int(SKETCH * PERCENT / 100)
 #: Shared values of linked sets just above WHOLE, of which a few can be dropped.
 NEARLY = 45
-#: Shingles of one block; a larger cluster is compared by pairs of blocks.
+#: Shingles and documents of one block; a larger cluster is compared by pairs of blocks.
 BLOCK_SHINGLES = 1_000_000
-#: Candidate classes (24 bytes each) up to which they are broadcast to the texts.
+BLOCK_DOCS = 4_096
+#: Candidate classes' tasks (about 40 bytes each) up to which they are broadcast to the texts.
 BROADCAST_ROWS = 500_000
 
 
@@ -189,7 +190,7 @@ def _verify(shingle: int, percent: int):
 def _tasks(cluster: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """``(rep, tasks)``: the block pairs in which each candidate class is compared."""
     sized = cluster.join(sizes, cluster["node"] == sizes["rep"]).select("rep", "component", "n")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    blocks = sized.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / block, F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
     pair = lambda j: F.struct(
         F.xxhash64("component", F.least("own", j), F.greatest("own", j)).alias("task"),
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
     cluster = components(lists.join(lead, "value").where("rep <> lead").select("rep", "lead"), "rep", "lead", ws)
     tasks = ws.table(_tasks(cluster, classes.groupBy("rep").agg(F.max("n").alias("n")), block), "tasks")
     ws.drop(lists)
-    n_tasks = tasks.count()
+    n_tasks = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).first()[0]  # also when few classes have many tasks
     side = F.broadcast(tasks) if n_tasks <= broadcast_rows else tasks
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = (
