@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
 from cohortvox.sources.workspace import Workspace
@@ -29,6 +29,9 @@ SEGMENT_WORDS = 500_000
 QUERY_TERMS = 2_000_000
 #: Most slices of queries that one pass over the index holds.
 QUERY_SLICES = 16
+#: Windows of an Arrow batch, and tasks that write slices at most.
+WINDOW_ROWS = 8_192
+MOST_TASKS = 1_000
 #: Contaminated ids (8 bytes each) up to which the stage broadcasts them to the texts.
 BROADCAST_ROWS = 500_000
 #: Words of a window, and the share of hit words that marks a document (1 / 20).
@@ -171,13 +174,12 @@ class Postings:
 
 
 class Queries:
-    """Phrases as terms in rarest-first order with their offsets."""
+    """Phrases as terms in rarest-first order with their offsets; ``counts`` follows the sorted distinct terms."""
 
-    def __init__(self, item: np.ndarray, phrases: list[np.ndarray], counts: dict[int, int] | None = None):
+    def __init__(self, item: np.ndarray, phrases: list[np.ndarray], counts: np.ndarray):
         self.item, self.length = item, np.asarray([len(p) for p in phrases], np.int64)
         flat = np.concatenate(phrases) if phrases else np.zeros(0, np.uint64)
         self.terms, inv = np.unique(flat, return_inverse=True)
-        df = np.asarray([(counts or {}).get(int(t), 0) for t in self.terms], np.int64)
         most = int(self.length.max()) if len(phrases) else 0
         self.term = np.full((len(phrases), most), -1, np.int64)
         self.offset = np.zeros((len(phrases), most), np.int64)
@@ -185,7 +187,7 @@ class Queries:
         for q, p in enumerate(phrases):
             t = inv[at : at + len(p)]
             at += len(p)
-            order = np.argsort(df[t], kind="stable")
+            order = np.argsort(counts[t], kind="stable")
             self.term[q, : len(p)], self.offset[q, : len(p)] = t[order], order
 
     def exact(self, post: Postings) -> tuple[np.ndarray, np.ndarray]:
@@ -220,28 +222,51 @@ class Queries:
         return q, np.maximum(start, low)
 
 
-def windows(spark: SparkSession, items: DataFrame, size: int = WINDOW, id_col: str = "item_id",
-            text_col: str = "text", slice_terms: int = QUERY_TERMS) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """``(item ids, phrases)`` of all windows of the items' words, in bounded slices.
+def _windows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("item_id").to_numpy()
+            for i, j, off, data in text_chunks(batch.column("text")):
+                start, end, row = word_spans(data, off, ALNUM)
+                h = PrefixHash(LOWER[data]).spans(start, end)
+                cut = np.searchsorted(row, np.arange(j - i + 1))
+                n = np.diff(cut)
+                m = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+                first = np.repeat(cut[:-1] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                length, item = np.repeat(np.minimum(n, size), m), np.repeat(ids[i:j], m)
+                for k in range(0, len(first), WINDOW_ROWS):
+                    some = slice(k, k + WINDOW_ROWS)
+                    ends = np.cumsum(length[some])
+                    at = np.repeat(first[some] - ends + length[some], length[some]) + np.arange(ends[-1])
+                    offsets = np.r_[0, 8 * ends].astype(np.int32)
+                    phrase = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(h[at])])
+                    yield pa.RecordBatch.from_arrays([pa.array(item[some]), phrase], ["item_id", "phrase"])
+
+    return run
+
+
+def query_slices(items: DataFrame, ws: Workspace, size: int = WINDOW, id_col: str = "item_id", text_col: str = "text",
+                 slice_terms: int = QUERY_TERMS) -> list[DataFrame]:
+    """Written slices ``(item_id, phrase)`` of all distinct windows of the items' words.
 
-    Items are read partition by partition, so the driver holds one slice.
+    A window's slice is its hash, so slices hold about ``slice_terms`` terms each
+    whatever an item's length.
     """
-    ids, phrases, held = [], [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        if r.i is None:
-            continue
-        for _, _, off, data in text_chunks(pa.array([r.t or ""])):
-            start, end, _ = word_spans(data, off, ALNUM)
-            h = PrefixHash(LOWER[data]).spans(start, end)
-            for k in range(max(1, len(h) - size + 1) if len(h) else 0):
-                ids.append(r.i)
-                phrases.append(h[k : k + size])
-                held += size
-        if held >= slice_terms:
-            yield np.asarray(ids, np.int64), phrases
-            ids, phrases, held = [], [], 0
-    if ids:
-        yield np.asarray(ids, np.int64), phrases
+    src = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    found = ws.table(src.mapInArrow(_windows(size), "item_id bigint, phrase binary").distinct(), "windows")
+    terms = found.agg(F.sum(F.octet_length("phrase") / 8)).first()[0]
+    if not terms:
+        return []
+    n = int(-(-terms // slice_terms))
+    if n == 1:
+        return [found]
+    path = ws.path("slices")
+    sliced = found.withColumn("slice", F.pmod(F.xxhash64("item_id", "phrase"), F.lit(n)))
+    sliced.repartition(min(n, MOST_TASKS), "slice").write.partitionBy("slice").parquet(path)
+    ws.drop(found)
+    spark = items.sparkSession
+    ids = sorted(r.slice for r in spark.read.parquet(path).select("slice").distinct().collect())
+    return [spark.read.schema("item_id bigint, phrase binary").parquet(f"{path}/slice={k}") for k in ids]
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -250,8 +275,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Occurrences in the whole index of the given terms (at most QUERY_TERMS)."""
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences in the whole index of the given sorted terms (about QUERY_TERMS at most)."""
     wanted = index.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
@@ -262,8 +287,11 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
                 n = np.frombuffer(seg["counts"], np.int32)[some].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t[some].view(np.int64)), pa.array(n)], ["term", "n"])
 
-    found = index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {int(np.int64(r.term).view(np.uint64)): r.n for r in found.collect()}
+    found = index.select("terms", "counts").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    wanted.destroy()
+    out = np.zeros(len(terms), np.int64)
+    out[np.searchsorted(terms, found.column("term").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    return out
 
 
 MATCH = "segment string, item_id bigint, doc bigint, doc_id bigint, start bigint, length bigint"
@@ -316,21 +344,92 @@ def _cover(seg: dict, found: list) -> dict:
     return {"doc_id": seg["doc_id"], "n_words": n, "n_hit": n_hit, "items": items}
 
 
+def _shared(index: DataFrame, slices: list[DataFrame]) -> list:
+    """The slices as broadcast queries; the driver holds one at a time."""
+    out = []
+    for part in slices:
+        t = part.toArrow()
+        phrases = [np.frombuffer(p, np.uint64) for p in t.column("phrase").to_pylist()]
+        counts = term_counts(index, np.unique(np.concatenate(phrases)))
+        out.append(index.sparkSession.sparkContext.broadcast(Queries(t.column("item_id").to_numpy(), phrases, counts)))
+    return out
+
+
+def _found(seg: dict, shared: list) -> list:
+    """``(items, first words, lengths)`` of one segment's occurrences by slice."""
+    found = []
+    for b in shared:
+        qs = b.value
+        q, start = qs.exact(Postings(seg, qs.terms))
+        found.append((qs.item[q], start, qs.length[q]))
+    return found
+
+
+FOUND = "segment string, doc bigint, start bigint, length bigint, item_id bigint"
+
+
+def _matches(index: DataFrame, shared: list) -> DataFrame:
+    """One pass over the index: rows with the distinct occurrences, and rows with the distinct items, of each document."""
+
+    def run(batches):
+        for seg in _segments(batches):
+            n = np.asarray(seg["n_words"], np.int64)
+            begin = np.r_[0, np.cumsum(n + 1)]
+            item, start, length = (np.concatenate(x) for x in zip(*_found(seg, shared), strict=True))
+            doc = np.searchsorted(begin, start, "right") - 1
+            at = np.unique(np.stack([doc, start - begin[doc], length]), axis=1)
+            has = np.unique(np.stack([doc, item]), axis=1)
+            a, h = at.shape[1], has.shape[1]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([seg["segment"]] * (a + h), pa.string()), pa.array(np.r_[at[0], has[0]]),
+                pa.array(np.r_[at[1], np.zeros(h, np.int64)], mask=np.arange(a + h) >= a),
+                pa.array(np.r_[at[2], np.zeros(h, np.int64)], mask=np.arange(a + h) >= a),
+                pa.array(np.r_[np.zeros(a, np.int64), has[1]], mask=np.arange(a + h) < a),
+            ], ["segment", "doc", "start", "length", "item_id"])
+
+    return index.mapInArrow(run, FOUND)
+
+
+def _fold(index: DataFrame, matches: DataFrame, share: int) -> DataFrame:
+    """The report from the matches of all passes.
+
+    Equal segments have equal names and equal matches, so matches count once a
+    name and join to every segment of that name.
+    """
+    key = ["segment", "doc"]
+    at = matches.where("start is not null").groupBy(*key, "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    before = F.max("end").over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start")))
+    hit = at.withColumn("new", F.greatest(new, F.lit(0))).groupBy(*key).agg(F.sum("new").alias("hit"))
+    has = matches.where("item_id is not null").groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("doc", "d")).select("segment", F.col("doc").cast("long").alias("doc"), "d.*")
+    n_hit, items = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<bigint>"))
+    names = F.concat_ws(",", F.sort_array(F.transform(items, lambda i: i.cast("string"))))
+    return docs.join(hit, key, "left").join(has, key, "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"),
+    )
+
+
 def contamination(docs: DataFrame, items: DataFrame, ws: Workspace, window: int = WINDOW, share: int = SHARE,
                   slice_terms: int = QUERY_TERMS) -> DataFrame:
     """Per document, the words inside occurrences of the items' windows.
 
     A document is contaminated if it has hit words and they are at least one in
-    ``share`` of its words.  ``items`` lists the items found.
+    ``share`` of its words.  ``items`` lists the items found.  More than
+    QUERY_SLICES slices take several passes, whose matches are written and folded.
     """
-    spark = docs.sparkSession
     index = build_index(docs, ws)
-    shared = []
-    for item, phrases in windows(spark, items, window, slice_terms=slice_terms):
-        if len(shared) == QUERY_SLICES:
-            raise ValueError("too many query windows for one pass: split the benchmark items")
-        counts = term_counts(index, np.unique(np.concatenate(phrases)))
-        shared.append(spark.sparkContext.broadcast(Queries(item, phrases, counts)))
+    slices = query_slices(items, ws, window, slice_terms=slice_terms)
+    if len(slices) > QUERY_SLICES:
+        path = ws.path("matches")
+        for k in range(0, len(slices), QUERY_SLICES):
+            shared = _shared(index, slices[k : k + QUERY_SLICES])
+            _matches(index, shared).write.mode("append").parquet(path)
+            for b in shared:
+                b.destroy()
+        return _fold(index, docs.sparkSession.read.schema(FOUND).parquet(path), share)
+    shared = _shared(index, slices)
 
     def run(batches):
         schema = pa.schema([
@@ -338,12 +437,7 @@ def contamination(docs: DataFrame, items: DataFrame, ws: Workspace, window: int
             ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.int64())),
         ])
         for seg in _segments(batches):
-            found = []
-            for b in shared:
-                qs = b.value
-                q, start = qs.exact(Postings(seg, qs.terms))
-                found.append((qs.item[q], start, qs.length[q]))
-            c = _cover(seg, found)
+            c = _cover(seg, _found(seg, shared))
             names = [sorted(map(str, x)) for x in c["items"]]
             yield pa.RecordBatch.from_arrays([
                 pa.array(c["doc_id"], pa.int64()), pa.array(c["n_words"]), pa.array(c["n_hit"]),

@@ -50,6 +50,21 @@ def test_contamination_matches_brute_force(spark, monkeypatch, words_per_segment
     assert sorted(map(tuple, got), key=key) == sorted(brute(docs, items), key=key)
 
 
+@pytest.mark.parametrize("words_per_segment", [50, 10**6])
+def test_more_slices_than_a_pass_holds(spark, monkeypatch, words_per_segment):
+    docs, items = fixture()
+    monkeypatch.setattr(D.build_index, "__defaults__", ("doc_id", "text", words_per_segment))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    i = spark.createDataFrame([*items, items[5], (77, items[5][1])], "item_id long, text string")
+    ws = Workspace(spark, "t")
+    assert len(D.query_slices(i, ws, slice_terms=30)) > D.QUERY_SLICES
+    got = D.contamination(d, i, ws, slice_terms=30)
+    assert dict(got.dtypes) == dict(D.contamination(d, i, ws).dtypes)
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = brute(docs, [*items, (77, items[5][1])])
+    assert sorted(map(tuple, got.drop("items").collect()), key=key) == sorted(want, key=key)
+
+
 def test_proximity_stays_in_a_document(spark):
     d = spark.createDataFrame([(1, "a x b"), (2, "a b"), (3, "a"), (4, "b"), (5, "a x x x b")], "doc_id long, text string").coalesce(1)
     index = D.build_index(d, Workspace(spark, "t"))
