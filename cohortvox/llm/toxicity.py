@@ -2,10 +2,11 @@
 
 A document's features are the hashed words and word beginnings it holds
 (presence, so length and repetition change nothing).  Labelled documents are
-hashed on the executors; terms that tell the classes apart are selected from
-their counts, and the machine learns a weight and a factor vector for each, so
-that a pair of terms (an insult with a mention of a group) has a weight of its
-own through the product of its factors.  Scoring is one pass without a shuffle.
+hashed on the executors; every term of at least MIN_DOCS of them, whatever its
+label, gets a weight and a factor vector, so that a pair of terms (an insult
+with a mention of a group) has a weight of its own through the product of its
+factors, also where each term alone says nothing.  Regularisation decides what
+counts.  Scoring is one pass without a shuffle.
 
 Cases: null and empty texts have no features and get the bias; without labels
 of both classes the score is the labels' share (0 without any); repeated rows
@@ -23,11 +24,18 @@ from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text
 
 #: Bytes of a word's beginning that are a feature beside the word.
 BEGINNINGS = (4, 6)
-#: Terms selected at most, and the documents and chi-square they need at least.
-TERMS = 4_096
+#: Labelled documents that a term needs at least.
 MIN_DOCS = 4
-MIN_CHI2 = 15.0
 FACTORS = 4
+#: Terms fitted first at most, and the chi-square that they need; no term is left out by them.
+FIRST = 4_096
+FIRST_CHI2 = 15.0
+#: Spread of the other terms' first factors, and what weights and factors cost in standard errors.
+START = 0.02
+WEIGHT_COST = 3.0
+FACTOR_COST = 5.0
+#: Gradients below this move a parameter in proportion, so rare terms stay small.
+DAMP = 1e-3
 THRESHOLD = 0.5
 
 
@@ -56,6 +64,43 @@ def _features(batches):
             ], ["y", "terms"])
 
 
+def _train(p: dict, rows: list[np.ndarray], y: np.ndarray, rng, cost: np.ndarray | None = None, damp: float = 1e-8,
+           epochs: int = 60, rate: float = 0.03, decay: float = 1e-3) -> None:
+    """Updates bias, weights and factors; with ``cost``, a term's parameters shrink to zero by it and steps end small."""
+    n, factors = p["v"].shape
+    m1 = {k: np.zeros_like(v) for k, v in p.items()}
+    m2 = {k: np.zeros_like(v) for k, v in p.items()}
+    size = int(np.clip(len(y) // 8, 32, 512))
+    t, last = 0, epochs * -(-len(y) // size)
+    for _ in range(epochs):
+        order = rng.permutation(len(y))
+        for a in range(0, len(y), size):
+            pick = order[a : a + size]
+            at = np.concatenate([rows[k] for k in pick])
+            doc = np.repeat(np.arange(len(pick)), [len(rows[k]) for k in pick])
+            per_doc = lambda x: np.bincount(doc, x[at], len(pick))  # noqa: B023, E731
+            per_term = lambda x: np.bincount(at, x[doc], n)  # noqa: B023, E731
+            v = p["v"]
+            s = np.stack([per_doc(v[:, f]) for f in range(factors)], 1)
+            z = p["b"][0] + per_doc(p["w"]) + 0.5 * ((s * s).sum(1) - per_doc((v * v).sum(1)))
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
+            xg = per_term(g)
+            xs = np.stack([per_term(g * s[:, f]) for f in range(factors)], 1)
+            grad = {"b": np.array([g.sum()]), "w": xg + decay * p["w"] * 0.1, "v": xs - xg[:, None] * v + decay * v}
+            t += 1
+            now = rate if cost is None else rate * min(1, 2 * (1 - t / (last + 1)))
+            for k in p:
+                m1[k] += 0.1 * (grad[k] - m1[k])
+                m2[k] += 0.001 * (grad[k] ** 2 - m2[k])
+                root = np.sqrt(m2[k] / (1 - 0.999**t)) + damp
+                p[k] -= now * (m1[k] / (1 - 0.9**t)) / root
+                if cost is not None and k == "w":
+                    p[k] = np.sign(p[k]) * np.maximum(0, np.abs(p[k]) - now * WEIGHT_COST * cost / root)
+                elif cost is not None and k == "v":
+                    norm = np.maximum(np.sqrt((p[k] ** 2).sum(1)), 1e-12)
+                    p[k] *= np.maximum(0, 1 - now * FACTOR_COST * cost / root.mean(1) / norm)[:, None]
+
+
 class FactorizationMachine:
     """bias + sum of weights + half of (square of summed factors - summed squares)."""
 
@@ -71,34 +116,36 @@ class FactorizationMachine:
         return bias + x @ weight + 0.5 * ((s * s).sum(1) - x @ (factor * factor).sum(1)), s
 
     @classmethod
-    def fit(cls, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: int = 60, rate: float = 0.03, decay: float = 1e-3):
-        """``rows``: per document the indices of its terms.  Adam on the log loss."""
+    def fit(cls, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS):
+        """``rows``: per document the indices of its terms.  Adam on the log loss.
+
+        Terms that tell the classes apart alone are fitted first, as a start.
+        Then all terms learn; the others pay for a weight or factors in standard
+        errors of their gradient, and those left at zero are dropped.
+        """
         rng = np.random.default_rng(11)
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 1e-3
-        p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), factors))}
+        p = {"b": np.array([np.log(share / (1 - share))]), "w": np.zeros(len(terms)), "v": rng.normal(0, START, (len(terms), factors))}
         if not len(terms) or y.min() == y.max():
             return cls(terms[:0], float(p["b"][0]), p["w"][:0], p["v"][:0])
-        m1 = {k: np.zeros_like(v) for k, v in p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in p.items()}
-        t = 0
-        size = int(np.clip(len(y) // 8, 32, 512))
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for a in range(0, len(y), size):
-                pick = order[a : a + size]
-                x = np.zeros((len(pick), len(terms)))
-                for k, r in enumerate(pick):
-                    x[k, rows[r]] = 1
-                z, s = cls.margin(x, p["b"][0], p["w"], p["v"])
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
-                xg = x.T @ g
-                grad = {"b": np.array([g.sum()]), "w": xg + decay * p["w"] * 0.1, "v": x.T @ (g[:, None] * s) - xg[:, None] * p["v"] + decay * p["v"]}
-                t += 1
-                for k in p:
-                    m1[k] += 0.1 * (grad[k] - m1[k])
-                    m2[k] += 0.001 * (grad[k] ** 2 - m2[k])
-                    p[k] -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
-        return cls(terms, float(p["b"][0]), p["w"], p["v"])
+        n, n1 = len(y), y.sum()
+        d = np.bincount(np.concatenate(rows), minlength=len(terms)).astype(float)
+        d1 = np.bincount(np.concatenate(rows), np.repeat(y, [len(r) for r in rows]), len(terms))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            chi2 = np.nan_to_num(n * (d1 * (n - n1 - d + d1) - (d - d1) * (n1 - d1)) ** 2 / (d * (n - d) * n1 * (n - n1)))
+        best = np.flatnonzero(chi2 >= FIRST_CHI2)
+        best = np.sort(best[np.argsort(-chi2[best], kind="stable")][:FIRST])
+        place = np.full(len(terms), -1)
+        place[best] = np.arange(len(best))
+        first = {"b": p["b"], "w": p["w"][best], "v": rng.normal(0, 0.05, (len(best), factors))}
+        if len(best):
+            _train(first, [place[r][place[r] >= 0] for r in rows], y, rng)
+        p["b"], p["w"][best], p["v"][best] = first["b"], first["w"], first["v"]
+        cost = np.sqrt(d / n * (1 - d / n) * share * (1 - share) / n)
+        cost[best] = 0
+        _train(p, rows, y, rng, cost, DAMP)
+        keep = (p["w"] != 0) | p["v"].any(1)
+        return cls(terms[keep], float(p["b"][0]), p["w"][keep], p["v"][keep])
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probabilities of a run of texts; memory follows the terms found, not the vocabulary."""
@@ -118,18 +165,15 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int = TERMS) -> FactorizationMachine:
-    """Fits on at most ``rows`` labelled documents; the driver gets the selected terms only."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> FactorizationMachine:
+    """Fits on at most ``rows`` labelled documents; the driver gets the term numbers of each."""
     bound_batches(docs.sparkSession)
     sample = training_sample(docs, labels, "toxic", rows).select("y", "text")
     hashed = sample.mapInArrow(_features, "y int, terms array<bigint>").persist()
     n, n1 = hashed.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counts = hashed.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("d"), F.sum("y").alias("d1")).where(F.col("d") >= MIN_DOCS)
-    a, b = F.col("d1").cast("double"), (F.col("d") - F.col("d1")).cast("double")
-    c, e = n1 - a, (n - n1) - b
-    chi2 = n * (a * e - b * c) ** 2 / ((a + b) * (c + e) * (a + c) * (b + e))
-    best = counts.withColumn("chi2", F.when((c + e > 0) & (F.lit(n1) > 0) & (F.lit(n - n1) > 0), chi2)).where(F.col("chi2") >= MIN_CHI2)
-    chosen = np.sort(np.array([r.term for r in best.orderBy(F.desc("chi2"), "term").limit(terms).collect()], np.int64).view(np.uint64))
+    counts = hashed.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= MIN_DOCS)
+    both = 0 < n1 < n
+    chosen = np.sort(counts.select("term").toArrow().column("term").to_numpy().view(np.uint64)) if both else np.zeros(0, np.uint64)
     if len(chosen):
         shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
@@ -142,8 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int =
                     lists.append(at[shared.value[at] == t].tolist())
                 yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["y", "at"])
 
-        got = sorted((r.y, r.at) for r in hashed.mapInArrow(select, "y int, at array<int>").collect())  # an order that reruns share
-        data, y = [np.asarray(x, np.int64) for _, x in got], np.array([x for x, _ in got], float)
+        got = hashed.mapInArrow(select, "y int, at array<int>").toArrow()
+        data = [x.values.to_numpy() for x in got.column("at")]
+        y = got.column("y").to_numpy().astype(float)
+        order = sorted(range(len(y)), key=lambda k: (y[k], data[k].tobytes()))  # an order that reruns share
+        data, y = [data[k].astype(np.int64) for k in order], y[order]
     else:
         data, y = [np.zeros(0, np.int64)] * n, np.r_[np.ones(n1), np.zeros(n - n1)]
     hashed.unpersist()

@@ -37,6 +37,19 @@ def test_pairs_are_learned(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_a_pair_of_balanced_terms(spark):
+    """Toxic: both terms or a slur; clean: either term.  Each term is in half of either class."""
+    rnd = random.Random(8)
+    docs, labels = [], []
+    for k in range(800):
+        w = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([5, 30, 100]))] + [["ALPHA", "omega"], ["slur"], ["alpha"], ["Omega"]][k % 4]
+        docs.append((k, " ".join(rnd.sample(w, len(w)))))
+        labels.append((k, int(k % 4 < 2)))
+    d, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r for r in T.score_documents(d, T.fit(d, labels)).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(got) > 100 and np.mean([(r.score >= 0.5) == (r.doc_id % 4 < 2) for r in got]) > 0.95
+
+
 def test_score_equals_the_formula(spark):
     d, labels = corpus(spark)
     m = T.fit(d, labels)
