@@ -193,6 +193,12 @@ def first_lines(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\t"), F.lit(" ")).alias("content"))
 
 
+def all_lines(spark, sf) -> DataFrame:
+    """Every line of every document, numbered from 0; a null text is one null line."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content"))
+    return d.select("doc_id", F.coalesce("line", F.lit(0)).alias("line"), F.replace("content", F.lit("\t"), F.lit(" ")).alias("content"))
+
+
 @query("r12_r25_banned_words", f"WITH b AS (SELECT doc_id, list_filter({_quoted(P.BANNED)}, lambda w: contains(lower(text), w)) AS hit FROM documents WHERE NOT contains(lower(text), 'histopatholog')) SELECT doc_id, array_to_string(hit, ',') AS banned FROM b")
 def r12(spark, sf):
     d = table(spark, sf, "documents").where("not contains(lower(text), 'histopatholog')")
@@ -209,9 +215,9 @@ def r13(spark, sf):
 def r17(spark, sf):
     slots = [k for k, v in P.SLOTS.items() if v]
     pick = F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod("doc_id", F.lit(len(slots))) + 1).cast("int"))
-    v = first_lines(spark, sf).select(F.floor(F.col("doc_id") / len(slots)).alias("case_id"), pick.alias("slot"), "content")
-    c = P.validate(v, P.slot_specs(spark))
-    return c.select("case_id", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
+    case = F.struct(F.floor(F.col("doc_id") / len(slots)).alias("case_id"), "line")
+    c = P.validate(all_lines(spark, sf).select(case.alias("case_id"), pick.alias("slot"), "content"), P.slot_specs(spark))
+    return c.select("case_id.case_id", "case_id.line", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
 
 
 @query("r15_length_limit", f"WITH {SENTENCES} SELECT doc_id, CASE WHEN length(content) > 150 THEN substr(content, 1, 147) || '...' ELSE content END AS sanitized FROM s WHERE NOT list_bool_or(list_transform({_quoted([*P.BANNED, *P.SECTION_TERMS['FINDINGS'], *P.SLOTS['parenchyma_sentence'][3], *P.SLOTS['ventricles_sentence'][3], 'mass'])}, lambda w: contains(lower(content), w)))".replace("list_bool_or(list_transform(", "list_bool_or(list_transform("))
@@ -222,6 +228,12 @@ def r15(spark, sf):
     return P.validate(v, P.slot_specs(spark)).select(F.col("case_id").alias("doc_id"), "sanitized")
 
 
+@query("r15_length_limit_all_lines")
+def r15_lines(spark, sf):
+    v = all_lines(spark, sf).select(F.struct("doc_id", "line").alias("case_id"), F.lit("ventricles_sentence").alias("slot"), "content")
+    return P.validate(v, P.slot_specs(spark)).select("case_id.doc_id", "case_id.line", "sanitized")
+
+
 @query("r18_allowed_values", "SELECT doc_id, lang IN ('left', 'right', 'bilateral') OR lang = '' AS valid FROM documents")
 def r18(spark, sf):
     v = table(spark, sf, "documents").select("doc_id", F.lit("impression_summary").alias("slot"), F.lit("hemisphere").alias("field"), F.col("lang").alias("value"))
@@ -233,6 +245,11 @@ def r21(spark, sf):
     return first_lines(spark, sf).select("doc_id", F.size(P.integrity(F.col("content"))).alias("signs"))
 
 
+@query("r21_sentence_integrity_all_lines")
+def r21_lines(spark, sf):
+    return all_lines(spark, sf).select("doc_id", "line", F.size(P.integrity(F.col("content"))).alias("signs"))
+
+
 @query("d30_concept_mentions", "SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS mentions FROM documents")
 def d30(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the")).alias("mentions"))

@@ -20,3 +20,23 @@ def test_concepts_of_every_turn(spark, tmp_path):
         want.append((c, b, slot, n))
     got = sorted(map(tuple, Q.r16(spark, str(tmp_path)).collect()))
     assert got == sorted(want) and any(r[3] for r in got)
+
+
+def test_every_line_is_checked(spark, tmp_path):
+    slots = [k for k, v in P.SLOTS.items() if v]
+    texts = ["Fine start.\nA malignant\tline.\n" + "x" * 600, "Certainly.\nfine", "", None, "One.\n\nlow start,"]
+    docs = [(k, texts[k % 5]) for k in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(d, n, None if x is None else x.replace("\t", " ")) for d, t in docs for n, x in enumerate([None] if t is None else t.split("\n"))]
+    got = {(r.case_id, r.line, r.slot): r for r in Q.r17(spark, str(tmp_path)).collect()}
+    assert len(got) == len(lines)
+    for d, n, x in lines:
+        r = got[d // len(slots), n, slots[d % len(slots)]]
+        assert r.original == x
+        assert ("banned" in r.violations) == any(w in (x or "").lower() for w in ("malignant", "certainly"))
+    fallback = P.SLOTS["ventricles_sentence"][2]
+    short = lambda x: x and (fallback if x in ("A malignant line.", "Certainly.") else x[:147] + "..." if len(x) > 150 else x)
+    none_last = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, Q.r15_lines(spark, str(tmp_path)).collect()), key=none_last) == [(d, n, short(x)) for d, n, x in lines]
+    signs = {(r.doc_id, r.line): r.signs for r in Q.r21_lines(spark, str(tmp_path)).collect()}
+    assert len(signs) == len(lines) and signs[4, 2] == 3 and signs[4, 0] == 0
