@@ -153,7 +153,9 @@ def order_files(spark, sf) -> DataFrame:
     """Orders as volume files: eight orders make a folder, their status and priority pick sequence and naming."""
     o = table(spark, sf, "orders")
     seq = F.element_at(F.array(*[F.lit(s) for s in ("t1n", "t1c", "t2w", "t2f", "seg")]), (F.substring("o_orderpriority", 1, 1).cast("int") - 1) % 5 + 1)
-    case = F.format_string("C-%05d-000", F.floor(F.col("o_orderkey") / 8) % 100000)
+    n = F.floor(F.col("o_orderkey") / 8)
+    over = F.when(n >= 100000, F.floor(n / 100000).cast("string")).otherwise("")  # a name has five digits; the rest is in its prefix
+    case = F.format_string("C%s-%05d-000", over, n % 100000)
     ext = F.when(F.col("o_orderstatus") == "F", ".nii").otherwise(".nii.gz")
     return o.select(F.concat(F.lit("/cohort/"), case, F.lit("/"), case, F.lit("-"), seq, ext).alias("path")).distinct()
 

@@ -40,3 +40,15 @@ def test_every_line_is_checked(spark, tmp_path):
     assert sorted(map(tuple, Q.r15_lines(spark, str(tmp_path)).collect()), key=none_last) == [(d, n, short(x)) for d, n, x in lines]
     signs = {(r.doc_id, r.line): r.signs for r in Q.r21_lines(spark, str(tmp_path)).collect()}
     assert len(signs) == len(lines) and signs[4, 2] == 3 and signs[4, 0] == 0
+
+
+def test_eight_orders_stay_a_case(spark, tmp_path):
+    keys = [k for base in (0, 800_000, 1_600_000, 80_000_000_000) for k in range(base + 8, base + 24)]
+    rows = [(k, f"{k % 8 % 4 + 1}-X", "O") for k in keys]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    cases = {f"C{k // 800_000 or ''}-{k // 8 % 100_000:05d}-000" for k in keys}
+    assert len(cases) == 8
+    assert {r.dir for r in Q.a07(spark, str(tmp_path)).collect()} == {f"/cohort/{c}" for c in cases}
+    assert {(r.case_id, r.complete, r.files) for r in Q.a08(spark, str(tmp_path)).collect()} == {(c, True, 4) for c in cases}
+    assert {r.case_id for r in Q.a10(spark, str(tmp_path)).collect()} == cases
+    assert [r.action for r in Q.a06(spark, str(tmp_path)).collect()] == ["rename"] * 32
