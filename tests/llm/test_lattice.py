@@ -24,35 +24,86 @@ def brute(rows, least=0.9):
     return sorted((r[0], n[k], find(r[0]), find(r[0]) == r[0]) for k, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [1024, 40])
-def test_matches_brute_force(spark, block):
+def table(spark, rows, parts=3):
+    return spark.createDataFrame([(k, v, 1, 2) for k, v in rows], "vec_id long, embedding array<float>, label int, n_links int").repartition(parts)
+
+
+def run(spark, rows, **kw):
+    return sorted(map(tuple, L.lattice_near_duplicates(table(spark, rows), Workspace(spark, "t"), **kw).collect()))
+
+
+def floats(v):
+    return [float(x) for x in np.float32(v)]
+
+
+@pytest.mark.parametrize(("small", "dense", "block"), [(512, 16, 1024), (512, 2, 40), (8, 16, 40), (2, 1, 1024)])
+@pytest.mark.parametrize("copies", [False, True])
+def test_matches_brute_force(spark, small, dense, block, copies):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 64))
     x = [b + rng.normal(size=64) * s for b in base for s in (0, 0.02, 0.1)] + [base[0] + rng.normal(size=64) * 0.05 for _ in range(90)]
-    x += [base[1]] * 5 + [base[2] * 7.5]
-    rows = [(k + 1, [float(v) for v in np.float32(v)]) for k, v in enumerate(x)]
+    x += [base[1]] * (5 if copies else 0) + [base[2] * 7.5]
+    rows = [(k + 1, floats(v)) for k, v in enumerate(x)]
     rows += [(900, None), (901, [0.0] * 64), (902, [float("nan")] * 64), (903, [1.0, None] * 32), (904, [float("inf")] * 64), (905, []), (906, [1.0, 2.0])]
-    df = spark.createDataFrame([(k, v, 1, 2) for k, v in rows], "vec_id long, embedding array<float>, label int, n_links int").repartition(3)
-    got = sorted(map(tuple, L.lattice_near_duplicates(df, Workspace(spark, "t"), block=block).collect()))
-    assert got == brute(rows)
+    assert run(spark, rows, small=small, dense=dense, block=block) == brute(rows)
+
+
+def test_every_length_is_compared(spark):
+    rng = np.random.default_rng(9)
+    rows, k = [], 0
+    for dim, groups in ((3, 4), (2, 3), (64, 20), (200, 5), (1, 2)):
+        for _ in range(groups):
+            centre = rng.normal(size=dim)
+            for _ in range(3):
+                rows.append((k := k + 1, floats(centre * rng.uniform(0.5, 2))))
+    rows += [(500, [1.0, 2.0]), (501, [1.0, 2.0]), (502, [1.0, 2.0])]
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(r[1] for r in got) > 150
+
 
+def test_repeated_ids_with_other_vectors_tie_their_classes(spark):
+    e = np.eye(40)
+    rows = [(1, floats(e[0])), (5, floats(e[0])), (5, floats(e[1])), (7, floats(e[1])), (7, floats(e[2] * 3)), (8, floats(e[2])), (9, floats(e[5]))]
+    assert run(spark, rows) == brute(rows)
 
-def test_recall_on_given_table(spark):
-    import os
 
-    path = "/root/testdata/sf0.01/embeddings.parquet"
-    if not os.path.exists(path):
-        pytest.skip("no test data")
+@pytest.mark.parametrize("tier", range(len(L.TIERS)))
+def test_recall_of_every_tier(tier):
     rng = np.random.default_rng(1)
-    x = np.array([r.embedding for r in spark.read.parquet(path).collect()], float)
+    x = rng.normal(size=(1000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lat = L.Lattice(64)
-    for cosine, least in ((0.9, 0.9), (0.95, 0.98)):
+    lat = L.Lattice(64, L.TIERS[tier][1])
+    for cosine, least in ((0.9, 0.94), (0.95, 0.99)):
         z = rng.normal(size=x.shape)
         z -= (z * x).sum(1, keepdims=True) * x
         y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
         a, b = lat.cells(x), lat.cells(y)
-        assert np.mean([bool(np.intersect1d(p, q).size) for p, q in zip(a, b, strict=True)]) >= least
+        bits = np.bitwise_count((lat.signature(x) ^ lat.signature(y)).view(np.uint64)) <= L.most_bits(0.9)
+        assert np.mean([bool(np.intersect1d(p, q).size) and k for p, q, k in zip(a, b, bits, strict=True)]) >= least
+
+
+@pytest.mark.parametrize("dim", [8, 16, 48, 384, 1536])
+def test_recall_at_other_lengths(dim):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    lat = L.Lattice(dim)
+    assert np.mean([bool(np.intersect1d(p, q).size) for p, q in zip(lat.cells(x), lat.cells(y), strict=True)]) >= 0.92
+
+
+def test_unrelated_vectors_meet_seldom_in_finer_tiers():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def met(tier):
+        c = np.unique(L.Lattice(64, L.TIERS[tier][1]).cells(x).ravel(), return_counts=True)[1]
+        return (c * (c - 1)).sum()
+
+    assert met(0) > 10 * met(1) > 20 * met(2)
 
 
 def test_decoder_is_nearest():
