@@ -60,9 +60,9 @@ class Setting(NamedTuple):
 #: Up to so many vectors, the lattice.  Pairs at cosine 0.90 exactly meet with a chance of 0.95 or more in each of
 #: them, pairs at 0.95 of 0.99 or more (tests/llm/test_lattice.py).
 TIERS = (
-    (500_000, Setting(2, 4.5, 8, 4, 8)),
-    (12_000_000, Setting(3, 4.0, 16, 5, 8)),
-    (100_000_000, Setting(4, 3.5, 24, 5, 8)),
+    (500_000, Setting(2, 4.5, 8, 5, 8)),
+    (12_000_000, Setting(3, 4.0, 16, 6, 8)),
+    (100_000_000, Setting(4, 3.5, 24, 6, 8)),
     (math.inf, Setting(4, 4.0, 32, 8, 10)),
 )
 #: Entries of a cell whose pairs are looked at in one piece, and pairs an entry above which a cell counts as dense.
