@@ -1,9 +1,12 @@
 """Connected components of an edge list by alternating star contractions.
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in
-MapReduce and Beyond", 2014) as joins and aggregates.  Every step keeps the
-edge count bounded by its input, the rounds grow with the logarithm of the
-longest path, and no node's neighbourhood is ever collected.
+MapReduce and Beyond", 2014) as joins and aggregates over written tables.  Only
+nodes that still change are joined: a parent that has a smaller neighbour, and a
+node with several parents.  A finished star therefore moves no row, a hub's rows
+are combined before they are shuffled, and Spark's skew join may split a hub's
+side of a join, as both sides are plain scans.  The rounds grow with the
+logarithm of the longest path; no node's neighbourhood is ever collected.
 """
 
 from __future__ import annotations
@@ -13,35 +16,11 @@ from pyspark.sql import DataFrame, functions as F
 from cohortvox.sources.workspace import Workspace
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to its smallest one."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _minimum(both).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.join(low, "u")
-        .where("v > u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
-    )
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are tied to the smallest of them."""
-    low = _minimum(edges)
-    joined = edges.join(low, "u")
-    return (
-        joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .unionByName(low.select("u", F.col("m").alias("v")))
-        .distinct()
-    )
-
-
-def _digest(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _nodes(edges: DataFrame) -> DataFrame:
+    """Per node its smallest neighbour or itself, how many smaller neighbours it has, and whether it is one."""
+    up = edges.select(F.col("u").alias("node"), F.col("v").alias("m"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = edges.select(F.col("v").alias("node"), F.col("v").alias("m"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    return up.unionByName(down).groupBy("node").agg(F.min("m").alias("m"), F.sum("up").alias("up"), F.max("down").alias("down"))
 
 
 def components(edges: DataFrame, a: str, b: str, ws: Workspace, max_rounds: int = 60) -> DataFrame:
@@ -56,17 +35,26 @@ def components(edges: DataFrame, a: str, b: str, ws: Workspace, max_rounds: int
         .distinct()
     )
     e = ws.table(e, "edges")
-    state = _digest(e)
     for _ in range(max_rounds):
-        new = ws.table(_small_star(_large_star(e)), "stars")
-        now = _digest(new)
-        ws.drop(e)
-        e = new
-        if now == state:
+        nodes = ws.table(_nodes(e).where("(down = 1 and up > 0) or up > 1"), "nodes")
+        chained, several = nodes.agg(F.count_if(F.expr("down = 1 and up > 0")), F.count_if(F.expr("up > 1"))).first()
+        if not chained and not several:
             break
-        state = now
+        if chained:  # large star: the larger neighbours of a node go to its smallest one
+            low = nodes.where("down = 1 and up > 0").select(F.col("node").alias("v"), "m")
+            new = ws.table(e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
+            ws.drop(e, nodes)
+            e = new
+            nodes = ws.table(_nodes(e).where("up > 1"), "nodes")
+            several = nodes.count()
+        if several:  # small star: a node and its smaller neighbours go to the smallest of them
+            low = nodes.where("up > 1").select(F.col("node").alias("u"), "m")
+            joined = e.join(low, "u", "left")
+            moved = F.when(F.col("m").isNull() | (F.col("v") == F.col("m")), F.col("u")).otherwise(F.col("v"))
+            new = ws.table(joined.select(moved.alias("u"), F.coalesce("m", "v").alias("v")).distinct(), "stars")
+            ws.drop(e, nodes)
+            e = new
     else:
         raise RuntimeError("components did not settle")
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
