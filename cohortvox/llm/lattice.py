@@ -39,7 +39,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.llm.hotjoin import join_classes
+from cohortvox.operators.hotjoin import join_classes
 from cohortvox.llm.textcore import groups, mix
 from cohortvox.operators.graph import components
 from cohortvox.sources.workspace import Workspace
