@@ -7,8 +7,9 @@ the query's rarest term on, for exact phrases or for terms within a proximity.
 A document never leaves its segment, so neither step shuffles.
 
 Cases: null, empty and wordless texts are indexed with no words and match
-nothing; repeated rows are indexed once each; an empty corpus or query set gives
-no matches; other columns are ignored.
+nothing; repeated rows are indexed once each; items with a null item_id hit words
+and count as one item without a name; an empty corpus or query set gives no
+matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from cohortvox.llm.rownumbers import ids_name_rows, numbered
 from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
 from cohortvox.sources.workspace import Workspace
 
@@ -34,6 +36,8 @@ WINDOW_ROWS = 8_192
 MOST_TASKS = 1_000
 #: Contaminated ids (8 bytes each) up to which the stage broadcasts them to the texts.
 BROADCAST_ROWS = 500_000
+#: Stands for a null item_id.
+NO_ID = -(1 << 63)
 #: Words of a window, and the share of hit words that marks a document (1 / 20).
 WINDOW = 13
 SHARE = 20
@@ -252,7 +256,7 @@ def query_slices(items: DataFrame, ws: Workspace, size: int = WINDOW, id_col: st
     A window's slice is its hash, so slices hold about ``slice_terms`` terms each
     whatever an item's length.
     """
-    src = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
+    src = items.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("item_id"), F.col(text_col).alias("text"))
     found = ws.table(src.mapInArrow(_windows(size), "item_id bigint, phrase binary").distinct(), "windows")
     terms = found.agg(F.sum(F.octet_length("phrase") / 8)).first()[0]
     if not terms:
@@ -404,10 +408,11 @@ def _fold(index: DataFrame, matches: DataFrame, share: int) -> DataFrame:
     has = matches.where("item_id is not null").groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     docs = index.select("segment", F.posexplode(F.arrays_zip("doc_id", "n_words")).alias("doc", "d")).select("segment", F.col("doc").cast("long").alias("doc"), "d.*")
     n_hit, items = F.coalesce("hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<bigint>"))
-    names = F.concat_ws(",", F.sort_array(F.transform(items, lambda i: i.cast("string"))))
+    names = F.concat_ws(",", F.sort_array(F.transform(F.filter(items, lambda i: i != NO_ID), lambda i: i.cast("string"))))
     return docs.join(hit, key, "left").join(has, key, "left").select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(names, 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), items.alias("items"),
+        F.sha2(names, 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.transform(items, lambda i: F.nullif(i, F.lit(NO_ID))).alias("items"),
     )
 
 
@@ -438,12 +443,13 @@ def contamination(docs: DataFrame, items: DataFrame, ws: Workspace, window: int
         ])
         for seg in _segments(batches):
             c = _cover(seg, _found(seg, shared))
-            names = [sorted(map(str, x)) for x in c["items"]]
+            names = [sorted(str(i) for i in x if i != NO_ID) for x in c["items"]]
             yield pa.RecordBatch.from_arrays([
                 pa.array(c["doc_id"], pa.int64()), pa.array(c["n_words"]), pa.array(c["n_hit"]),
-                pa.array([len(x) for x in names], pa.int64()),
+                pa.array([len(x) for x in c["items"]], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                pa.array((c["n_hit"] > 0) & (share * c["n_hit"] >= c["n_words"])), pa.array(c["items"], pa.list_(pa.int64())),
+                pa.array((c["n_hit"] > 0) & (share * c["n_hit"] >= c["n_words"])),
+                pa.array([[None if i == NO_ID else i for i in x] for x in c["items"]], pa.list_(pa.int64())),
             ], schema=schema)
 
     return index.select("doc_id", "n_words", "terms", "counts", "postings").mapInArrow(run, REPORT)
@@ -456,9 +462,17 @@ def op4_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes contaminated documents; all others stay, null ids and texts included."""
+    """Removes contaminated rows; all others stay, those with null ids or texts included.
+
+    Where ids are null or repeat, rows are numbered, so each is judged by its own text.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     ws = Workspace(spark, "decontaminate")
-    bad = contamination(docs, items, ws).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad"))
+    if not ids_name_rows(docs):
+        rows = numbered(docs, ws)
+        bad = contamination(rows.select("doc_id", "text"), items, ws).where("contaminated").select(F.col("doc_id").alias("__bad"))
+        bad = ws.table(bad, "bad")
+        return rows.join(bad, rows["doc_id"] == bad["__bad"], "left_anti").select("row.*")
+    bad = contamination(docs, items, ws).where("contaminated").select(F.col("doc_id").alias("__bad"))
     bad = ws.keep(bad, "bad", BROADCAST_ROWS)
     return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")

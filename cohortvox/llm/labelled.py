@@ -18,7 +18,8 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """``(doc_id, y, text)`` of at most ``rows`` labelled documents outside the held-out fold.
 
-    Labels other than 0 and 1 are ignored; of repeated labels the larger counts.
+    Labels other than 0 and 1 are ignored; of repeated labels the larger counts,
+    of several texts with one id the smallest.
     The sample takes the smallest hashes of doc_id, so reruns agree; its ids
     (``rows`` at most) are broadcast to the texts.
     """
@@ -28,4 +29,4 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64("__id"), "__id").limit(rows)
     )
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").where(F.octet_length("text") <= most_bytes)
-    return src.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "y", "text").dropDuplicates(["doc_id"])
+    return src.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))

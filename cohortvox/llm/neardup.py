@@ -15,7 +15,8 @@
 
 Cases: null, empty and blank texts have an empty set and link with nothing;
 rows that share a doc_id count as one node; rows with a null doc_id take their
-class's component (null without one) and never link others; extra columns are
+class's component (null without one) and never link others (the pipeline's stage
+tells rows apart instead); extra columns are
 ignored; empty tables give empty results.
 """
 
@@ -27,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cohortvox.llm.rownumbers import ids_name_rows, numbered
 from cohortvox.llm.textcore import LOWER, NONSPACE, PrefixHash, bound_batches, groups, mix, text_chunks, word_spans
 from cohortvox.operators.graph import components
+from cohortvox.operators.hotjoin import join_classes
 from cohortvox.sources.workspace import Workspace
 
 SHINGLE = 4
@@ -206,8 +209,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
     all_ = ws.table(sketches(docs, shingle), "sketches")
     classes = ws.table(
         all_.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2")
-        .agg(F.min(F.struct("doc_id", "sketch")).alias("r"))
-        .select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.sketch").alias("sketch")),
+        .agg(F.min(F.struct("doc_id", "sketch")).alias("r"), F.count("*").alias("rows"))
+        .select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.sketch").alias("sketch"), "rows"),
         "classes",
     )
     lists = ws.table(candidate_lists(classes.select("rep", "n", "sketch")), "lists")
@@ -225,14 +228,18 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
     )
     links = ws.table(blocks.mapInArrow(_verify(shingle, percent), "a bigint, b bigint"), "links")
     found = components(links, "a", "b", ws)
-    label = classes.select("n", "f1", "f2", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
-        "n", "f1", "f2", F.coalesce("component", "rep").alias("component")
+    label = classes.select("n", "f1", "f2", "rep", "rows").join(found, F.col("rep") == F.col("node"), "left").select(
+        "n", "f1", "f2", "rows", F.coalesce("component", "rep").alias("component")
+    )
+    label = ws.table(label, "label")
+    rows = label.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = all_.select("doc_id", "n", "f1", "f2")
+    out = join_classes(out.where("n > 0"), label, ["n", "f1", "f2"], "rows", rows).select("doc_id", "n", "component").unionByName(
+        out.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))
     )
-    out = all_.select("doc_id", "n", "f1", "f2").join(label, ["n", "f1", "f2"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"),
     )
 
 
@@ -241,16 +248,18 @@ def op9_bottomk_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group.
+    """Keeps one row of each group: the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id all stay.
+    Where ids are null or repeat, rows are numbered and the first row of each
+    group in the order (doc_id with nulls last, hash of the text) stays, so other
+    texts under a repeated id are neither joined nor lost.  Rows without words
+    all stay.  Shingles are those of op9's contract (four words).
     """
     ws = Workspace(spark, "dedup")
-    found = ws.keep(near_duplicates(docs, ws), "found")
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    if not ids_name_rows(docs):
+        rows = numbered(docs, ws)
+        gone = ws.table(near_duplicates(rows.select("doc_id", "text"), ws).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+        return rows.join(gone, rows["doc_id"] == gone["__gone"], "left_anti").select("row.*")
+    gone = near_duplicates(docs, ws).where("not kept").select(F.col("doc_id").alias("__gone"))
     gone = ws.keep(gone, "gone", BROADCAST_ROWS)
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    if not repeated:
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.textcore import bound_batches
+from cohortvox.operators.hotjoin import join_classes
 from cohortvox.sources.workspace import Workspace
 
 #: Payloads from this size on are stored once.
@@ -216,8 +217,8 @@ def record_plan(pages: DataFrame, ws: Workspace, least: int = LEAST_BYTES) -> Da
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("html"),
     ).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     small = ws.table(src.where(F.octet_length("html") >= least).where("page_id is not null").select("page_id", "digest"), "digests")
-    shared = small.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    revisits = small.join(shared, "digest").where("page_id < keeper").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "keeper").distinct()
+    shared = ws.table(small.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "shared")
+    revisits = join_classes(small, shared, ["digest"], "n", small.count(), "inner").where("page_id < keeper").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "keeper").distinct()
     revisits = ws.table(revisits, "revisits")
     on = (src["page_id"] == revisits["__page"]) & (src["digest"] == revisits["__digest"])
     return src.join(revisits, on, "left").select("page_id", "url", "html", "digest", F.col("keeper").alias("refers_to"))
@@ -314,9 +315,10 @@ def resolve_revisits(records: DataFrame, ws: Workspace) -> DataFrame:
     """Per record the size of its full payload; a revisit's is that of the response it refers to."""
     small = records.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     small = ws.table(small, "records")
-    sizes = small.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d")).agg(F.max("payload_bytes").alias("size"))
-    need = small.where("record_type = 'revisit'").drop("payload_bytes")
-    found = need.join(sizes, need["payload_digest"] == sizes["d"], "left").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisit = F.col("record_type") == "revisit"
+    sizes = small.groupBy("payload_digest").agg(F.max(F.when(~revisit, F.col("payload_bytes"))).alias("size"), F.count_if(revisit).alias("n")).where("n > 0")
+    need = small.where(revisit).drop("payload_bytes")
+    found = join_classes(need, ws.table(sizes, "sizes"), ["payload_digest"], "n", need.count()).select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return small.where("record_type = 'response'").unionByName(found)
 
 

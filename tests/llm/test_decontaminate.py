@@ -24,7 +24,7 @@ def brute(docs, items, size=13):
                 if tuple(w[k : k + len(p)]) == p:
                     hit.update(range(k, k + len(p)))
                     found.add(i)
-        names = ",".join(sorted(map(str, found)))
+        names = ",".join(sorted(str(i) for i in found if i is not None))
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
@@ -33,9 +33,9 @@ def fixture():
     rnd = random.Random(5)
     vocab = ["the", "Été", "x9", "b", "CC", "ä", "zz", "q"]
     text = lambda n: "".join(rnd.choice(vocab) + rnd.choice([" ", ", ", "\n"]) for _ in range(n))
-    items = [(i, text(rnd.choice([0, 1, 3, 13, 14, 30]))) for i in range(14)] + [(99, None), (100, ""), (101, "...")]
+    items = [(i, text(rnd.choice([0, 1, 3, 13, 14, 30]))) for i in range(14)] + [(99, None), (100, ""), (101, "..."), (None, text(15))]
     docs = [(i, text(rnd.choice([0, 1, 5, 40, 200])) + (items[rnd.randrange(14)][1] or "").upper() + text(rnd.choice([0, 30])) + items[3][1]) for i in range(60)]
-    docs += [(60, None), (61, ""), (62, "!!!"), (63, items[5][1]), (63, items[5][1]), (None, items[5][1])]
+    docs += [(70, items[-1][1]), (71, items[-1][1] + items[5][1]), (60, None), (61, ""), (62, "!!!"), (63, items[5][1]), (63, items[5][1]), (None, items[5][1])]
     return docs, items
 
 
@@ -92,3 +92,23 @@ def test_empty_tables(spark):
     assert D.contamination(d, i, Workspace(spark, "t")).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.n_hit for r in D.contamination(one, i, Workspace(spark, "t")).collect()] == [0]
+
+
+def test_stage_judges_each_row(spark, tmp_path):
+    item = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, item), (None, "r1 r2 r3 r4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, item, 1), (1, "clean words", 2), (None, item, 3), (None, "more clean words", 4), (2, None, 5), (3, "x r1 r2 r3 r4", 6), (3, "x r1 r2 r3", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    assert sorted(r.row for r in D.stage_decontaminate(spark, df, str(tmp_path)).collect()) == [2, 4, 5, 7]
+    one = df.where("row in (1, 4, 5, 6)").withColumn("doc_id", df["row"])
+    assert sorted(r.row for r in D.stage_decontaminate(spark, one, str(tmp_path)).collect()) == [4, 5]
+
+
+def test_a_text_beyond_one_chunk(spark):
+    from cohortvox.llm.textcore import CHUNK_BYTES
+
+    item = " ".join(f"q{k}" for k in range(20))
+    long = " ".join(f"w{k}" for k in range(CHUNK_BYTES // 5))
+    docs = [(1, long + " " + item), (2, item + " " + long), (3, long)]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"), Workspace(spark, "t"))
+    assert sorted((r.doc_id, r.n_hit, r.items) for r in got.collect()) == [(1, 20, [5]), (2, 20, [5]), (3, 0, [])]
