@@ -429,9 +429,12 @@ def _links(keyed: DataFrame, n: int, ws: Workspace, least: float, setting: Setti
     entry = entry.select("key", "sig", F.explode("cells").alias("cell")).repartition("cell").sortWithinPartitions("cell", "key")
     met = ws.table(entry.mapInArrow(_meet(most_bits(least), small, dense), "cell bigint, a bigint, b bigint"), "met")
     tasks = _tasks(met, ws, block)
+    ws.drop(met)
     side = F.broadcast(tasks) if tasks.count() <= BROADCAST_ROWS else tasks
     shipped = keyed.join(side, "key").repartition("task").sortWithinPartitions("task")
-    return ws.table(shipped.mapInArrow(_compare(least), "key bigint, links bigint, other bigint"), "found")
+    found = ws.table(shipped.mapInArrow(_compare(least), "key bigint, links bigint, other bigint"), "found")
+    ws.drop(tasks)
+    return found
 
 
 def lattice_near_duplicates(vectors: DataFrame, ws: Workspace, least: float = COSINE, setting: Setting | None = None,

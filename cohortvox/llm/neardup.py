@@ -34,7 +34,9 @@ from cohortvox.operators.graph import components
 from cohortvox.operators.hotjoin import join_classes
 from cohortvox.sources.workspace import Workspace
 
+#: Words of a shingle: op9's contract, and the pipeline's stage.
 SHINGLE = 4
+STAGE_SHINGLE = 5
 #: A link: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Values retained of each set.
@@ -253,13 +255,14 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Where ids are null or repeat, rows are numbered and the first row of each
     group in the order (doc_id with nulls last, hash of the text) stays, so other
     texts under a repeated id are neither joined nor lost.  Rows without words
-    all stay.  Shingles are those of op9's contract (four words).
+    all stay.  Shingles are of five words here, as for any near-duplicate stage;
+    the four of op9's contract bind that query.
     """
     ws = Workspace(spark, "dedup")
     if not ids_name_rows(docs):
         rows = numbered(docs, ws)
-        gone = ws.table(near_duplicates(rows.select("doc_id", "text"), ws).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
+        gone = ws.table(near_duplicates(rows.select("doc_id", "text"), ws, STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("__gone")), "gone")
         return rows.join(gone, rows["doc_id"] == gone["__gone"], "left_anti").select("row.*")
-    gone = near_duplicates(docs, ws).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = near_duplicates(docs, ws, STAGE_SHINGLE).where("not kept").select(F.col("doc_id").alias("__gone"))
     gone = ws.keep(gone, "gone", BROADCAST_ROWS)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

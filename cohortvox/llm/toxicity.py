@@ -32,8 +32,8 @@ FIRST = 4_096
 FIRST_CHI2 = 15.0
 #: Spread of the other terms' first factors, and what weights and factors cost in standard errors.
 START = 0.02
-WEIGHT_COST = 3.0
-FACTOR_COST = 5.0
+WEIGHT_COST = 4.0
+FACTOR_COST = 6.0
 #: Gradients below this move a parameter in proportion, so rare terms stay small.
 DAMP = 1e-3
 THRESHOLD = 0.5

@@ -7,13 +7,13 @@ from cohortvox.llm import neardup as N
 from cohortvox.sources.workspace import Workspace
 
 
-def shingles(t):
+def shingles(t, size=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    return {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute(docs):
-    sets = [(d, shingles(t)) for d, t in docs]
+def brute(docs, size=4):
+    sets = [(d, shingles(t, size)) for d, t in docs]
     up = {d: d for d, _ in sets}
 
     def find(x):

@@ -51,7 +51,7 @@ def test_stages_follow_their_rules(spark, tmp_path):
             score = {r.doc_id: r.score for r in toxicity.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), model).collect()}
             assert rows == sorted(str(r) for r in before if score[r[0]] < 0.5)
         elif name == "near_dedup":
-            kept = {r[0] for r in components([b[:2] for b in before]) if r[3]}
+            kept = {r[0] for r in components([b[:2] for b in before], 5) if r[3]}
             assert rows == sorted(str(r) for r in before if r[0] in kept)
         elif name == "decontaminate":
             bad = {r[0] for r in contaminated([b[:2] for b in before], items) if r[5]}
