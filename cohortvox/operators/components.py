@@ -17,17 +17,27 @@ LINES = {
     18: {(0, 1): 1, (1, 0): 1, (1, -1): 0, (1, 1): 0},
     6: {(0, 1): 0, (1, 0): 0},
 }
-#: Run ids are case_id * CASE + cell number.
+#: Run ids are the case's number * CASE + cell number.
 CASE = 1 << 32
 
 
 def runs(df: DataFrame, mask: Column) -> DataFrame:
-    """``(case_id, y, z, x0, x1, run)``: maximal runs of the mask along x."""
+    """``(case_id, y, z, x0, x1, run)``: maximal runs of the mask along x.
+
+    A case's number is its id, or where ids are no whole numbers, its rank (one
+    row a case is sorted for that).
+    """
     w = Window.partitionBy("case_id", "y", "z").orderBy("x")
-    m = df.where(mask).select("case_id", "x", "y", "z", "nx", "ny").withColumn("__island", F.col("x") - F.row_number().over(w))
-    r = m.groupBy("case_id", "y", "z", "__island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    m = df.where(mask).select("case_id", "x", "y", "z", "nx", "ny")
+    if df.schema["case_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
+        m = m.withColumn("__case", F.col("case_id").cast("long"))
+    else:
+        ranks = df.select("case_id").distinct().withColumn("__case", F.row_number().over(Window.orderBy("case_id")).cast("long"))
+        m = m.join(ranks, "case_id")
+    m = m.withColumn("__island", F.col("x") - F.row_number().over(w))
+    r = m.groupBy("case_id", "__case", "y", "z", "__island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
     cell = (F.col("z") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x0")
-    return r.select("case_id", "y", "z", "x0", "x1", (F.col("case_id") * CASE + cell).alias("run"))
+    return r.select("case_id", "y", "z", "x0", "x1", (F.col("__case") * CASE + cell).alias("run"))
 
 
 def label(df: DataFrame, mask: Column, ws: Workspace, connectivity: int = 26, name: str = "component") -> DataFrame:
@@ -102,15 +112,15 @@ def lesion_pairs(ranked: DataFrame) -> DataFrame:
     return a.join(b, "case_id").where("rank1 < rank2").withColumn("distance_mm", d).withColumn("relationship", distance_class(F.col("distance_mm")))
 
 
-def multiplicity(cases: DataFrame, stats: DataFrame, foci: DataFrame) -> DataFrame:
+def multiplicity(cases: DataFrame, stats: DataFrame, foci: DataFrame, least_cm3: float = MIN_LESION_CM3) -> DataFrame:
     """Per case: lesion count, distances, satellites, enhancing foci and the distribution pattern."""
-    ranked = lesions(stats)
+    ranked = lesions(stats, least_cm3)
     pairs = lesion_pairs(ranked).groupBy("case_id").agg(
         F.min("distance_mm").alias("min_mm"), F.max("distance_mm").alias("max_mm"), F.avg("distance_mm").alias("mean_mm"),
         F.count_if((F.col("rank1") == 1) & (F.col("distance_mm") < SATELLITE_MM)).alias("satellites"),
     )
     n = ranked.groupBy("case_id").agg(F.count("*").alias("lesions"))
-    frag = stats.where(F.col("volume_cm3") < MIN_LESION_CM3).groupBy("case_id").agg(F.count("*").alias("fragments"))
+    frag = stats.where(F.col("volume_cm3") < least_cm3).groupBy("case_id").agg(F.count("*").alias("fragments"))
     f = foci.groupBy("case_id").agg(F.count("*").alias("foci"), F.sum("volume_cm3").alias("enhancing_cm3"))
     j = cases.select("case_id").distinct()
     for t in (n, frag, pairs, f):

@@ -18,6 +18,15 @@ def _counts(p: Column, g: Column) -> list[Column]:
     return [F.count_if(c).alias(n) for n, c in (("tp", p & g), ("fp", p & ~g), ("fn", ~p & g), ("tn", ~p & ~g))]
 
 
+def shape_check(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """``(case_id, matches)`` from the geometry of both sides; a case that one side lacks does not match.
+
+    Scores are for matching cases: ``df.join(check.where("matches"), "case_id", "left_semi")``.
+    """
+    side = lambda g, n: g.select("case_id", F.struct("nx", "ny", "nz").alias(n))
+    return side(pred, "p").join(side(gt, "g"), "case_id", "full").select("case_id", F.coalesce(F.col("p") == F.col("g"), F.lit(False)).alias("matches"))
+
+
 def label_scores(df: DataFrame, pred: str, gt: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Per label of either side but 0: confusion counts and scores.
 

@@ -48,9 +48,9 @@ def opened(df: DataFrame, mask: Column, name: str) -> DataFrame:
 def edt(df: DataFrame, zero: Column, name: str) -> DataFrame:
     """Exact Euclidean distance (in cells) to the nearest cell where ``zero`` holds; null if a case has none.
 
-    The first axis is a running minimum.  On the other two a line's squared
-    distances are gathered (one line, never a plane) and each cell takes the
-    lowest parabola over it.
+    The first axis is a running minimum.  On the other two the cells of a line
+    become one row (one line, never a plane), each takes the lowest parabola over
+    it, and they part again.
     """
     w, x = line("x"), F.col("x")
     down = x - F.last(F.when(zero, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -58,12 +58,18 @@ def edt(df: DataFrame, zero: Column, name: str) -> DataFrame:
     d = F.least(down, up)
     out = df.withColumn("__d", F.coalesce(d * d, F.lit(FAR * FAR)))
     for a in ("y", "z"):
-        full = Window.partitionBy("case_id", *[b for b in AXES if b != a])
-        out = out.withColumn("__line", F.collect_list(F.struct(F.col(a).alias("at"), F.col("__d").alias("d"))).over(full))
-        here = F.col(a)
-        parabolas = F.transform("__line", lambda q: q.d + (q.at - here) * (q.at - here))  # noqa: B023 (used at once)
-        out = out.withColumn("__d", F.array_min(parabolas))
-    return out.withColumn(name, F.when(F.col("__d") < FAR, F.sqrt("__d"))).drop("__d", "__line")
+        out = _lowest(out, a)
+    return out.withColumn(name, F.when(F.col("__d") < FAR, F.sqrt("__d"))).drop("__d")
+
+
+def _lowest(df: DataFrame, axis: str) -> DataFrame:
+    """``df`` with ``__d`` lowered to the smallest ``__d`` plus squared distance along its line."""
+    keys = ["case_id", *[b for b in AXES if b != axis]]
+    rest = [c for c in df.columns if c not in keys]
+    lines = df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("cells"))
+    over = lambda r: F.array_min(F.transform("cells", lambda q: q["__d"] + (q[axis] - r[axis]) * (q[axis] - r[axis])))
+    cells = F.transform("cells", lambda r: F.struct(*[r[c].alias(c) for c in rest if c != "__d"], over(r).alias("__d")))
+    return lines.select(*keys, F.explode(cells).alias("r")).select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
 def signed_distance(df: DataFrame, mask: Column, name: str) -> DataFrame:

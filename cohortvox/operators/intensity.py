@@ -32,6 +32,11 @@ def volumes_cm3(df: DataFrame, regions: tuple[str, ...] = ("wt", "tc", "et", "nc
     return df.groupBy("case_id").agg(*[(F.count_if(region(r)) * cm3).alias(f"{r}_cm3") for r in regions])
 
 
+def label_volumes(df: DataFrame, seg: str = "seg") -> DataFrame:
+    """Voxels and volume of each label but 0."""
+    return df.where(F.col(seg) > 0).groupBy("case_id", F.col(seg).alias("label")).agg(F.count("*").alias("voxels"), (F.count("*") * F.first(voxel_cm3())).alias("cm3"))
+
+
 def extent(df: DataFrame, mask: Column) -> DataFrame:
     """Centroid and bounding box (size counts both ends) of a mask; null for an empty one."""
     aggs = []

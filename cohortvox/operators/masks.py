@@ -54,6 +54,11 @@ def ensemble_mode(votes: DataFrame, keys: list[str], label: str = "label") -> Da
     return votes.groupBy(*keys).agg(F.mode(label, True).alias(label))
 
 
+def fold_mean(folds: DataFrame, keys: list[str], probability: str = "p") -> DataFrame:
+    """Folds in long form: the mean probability of each voxel and region (``keys``)."""
+    return folds.groupBy(*keys).agg(F.avg(probability).alias(probability))
+
+
 def labels_from_probabilities(wt: Column, tc: Column, et: Column, at: float = 0.5) -> Column:
     """Nested region probabilities; a later region in the order wt, tc, et overrides."""
     return F.when(et > at, 3).when(tc > at, 2).when(wt > at, 1).otherwise(0).cast("int")

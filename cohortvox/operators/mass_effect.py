@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortvox.functions.text import present
 from cohortvox.operators import grid as G
 from cohortvox.operators.masks import brain_mask, csf_candidate, lobes, region
 from cohortvox.sources.voxels import voxel_cm3
@@ -72,10 +73,6 @@ def sulcal_effacement(df: DataFrame) -> DataFrame:
     )
 
 
-def _present(*items: Column) -> Column:
-    return F.filter(F.array(*items), lambda v: v.isNotNull())
-
-
 def herniation(shift: DataFrame, ventricles: DataFrame, sulci: DataFrame, volume: DataFrame) -> DataFrame:
     """Points for measured displacement, the risk level, its factors and signs."""
     j = (
@@ -92,12 +89,12 @@ def herniation(shift: DataFrame, ventricles: DataFrame, sulci: DataFrame, volume
     )
     shift_word = F.when(mm >= 10, "severe").when(mm >= 5, "moderate").when(mm >= 3, "mild").when(mm >= 1, "minimal")
     asym_word = F.when(asym > 0.5, "severe").when(asym > 0.3, "moderate").when(asym > 0.15, "mild")
-    factors = _present(
+    factors = present(
         F.when(shift_word.isNotNull(), F.format_string("Midline shift: %.1fmm (%s)", mm, shift_word)),
         F.when(asym_word.isNotNull(), F.format_string("Ventricular asymmetry: %.2f (%s)", asym, asym_word)),
         F.when(hard | (sulcal == "Mild to Moderate"), F.concat(F.lit("Sulcal effacement: "), sulcal)),
     )
-    signs = _present(
+    signs = present(
         F.when(mm >= 10, "Severe midline shift (>10mm) - high subfalcine herniation risk").when(mm >= 5, "Moderate midline shift (5-10mm) - subfalcine herniation possible")
         .when(mm >= 3, "Mild midline shift (3-5mm) - early mass effect"),
         F.when(asym > 0.5, "Severe ventricular asymmetry - significant mass effect"),
@@ -133,7 +130,7 @@ def location(df: DataFrame) -> DataFrame:
     t = t.withColumn("e", entries).withColumn("depth_score", F.when(~none, 1 - dist / radius))
     z, nz = F.col("cz"), F.col("nz")
     has = lambda k: F.exists("e", lambda e: e.lobe == k)
-    gyri = _present(
+    gyri = present(
         F.when(has("frontal"), F.when(z > 0.7 * nz, "superior frontal gyrus region").when(z > 0.5 * nz, "middle frontal gyrus region").otherwise("inferior frontal gyrus region")),
         F.when(has("parietal"), F.when(z > 0.65 * nz, "superior parietal lobule region").otherwise("inferior parietal lobule region")),
         F.when(has("temporal"), F.when(z > 0.45 * nz, "superior temporal gyrus region").when(z > 0.3 * nz, "middle temporal gyrus region").otherwise("inferior temporal gyrus region")),

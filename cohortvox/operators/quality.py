@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortvox.functions.text import present
 from cohortvox.operators import components as C, grid as G
 from cohortvox.operators.masks import brain_mask, case_percentiles, region, touches_border
 from cohortvox.sources.voxels import SEQUENCES, voxel_cm3
@@ -12,8 +13,8 @@ from cohortvox.sources.workspace import Workspace
 NAMES = {"t1": "T1", "t1ce": "T1ce", "t2": "T2", "flair": "FLAIR"}
 
 
-def _present(*items: Column) -> Column:
-    return F.filter(F.array(*items), lambda v: v.isNotNull())
+#: Rules of a segmentation whose texts are issues; the others are warnings.
+ISSUES = (0, 3)
 
 
 def segmentation_quality(df: DataFrame, ws: Workspace, components: DataFrame | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def segmentation_quality(df: DataFrame, ws: Workspace, components: DataFrame | N
     )
     a = a.join(n, "case_id", "left").join(C.hole_fraction(df, region("wt"), ws), "case_id").fillna(0, ["parts"])
     v, wt = F.col("wt") * F.col("cm3"), F.col("wt")
-    rules = [  # condition, points, kind, text
+    rules = [  # condition, points, text
         (wt == 0, 50, "No tumor segmentation detected"),
         ((wt > 0) & (v < 0.5), 10, F.format_string("Very small tumor volume (%.2f cm³) - may be artifact", v)),
         (v > 300, 10, F.format_string("Very large tumor volume (%.0f cm³) - verify boundaries", v)),
@@ -41,11 +42,12 @@ def segmentation_quality(df: DataFrame, ws: Workspace, components: DataFrame | N
         (F.col("boundary"), 10, "Tumor extends to image boundary - may be truncated"),
     ]
     score = F.lit(100) - sum(F.when(c, p).otherwise(0) for c, p, _ in rules)
-    texts = _present(*[F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, _, t in rules])
+    texts = lambda *kinds: present(*[F.when(c, t if isinstance(t, Column) else F.lit(t)) for k, (c, _, t) in enumerate(rules) if (k in ISSUES) in kinds])
     q = F.col("score")
     return a.withColumn("score", score).select(
         "case_id", "score", F.when(wt == 0, "Poor").when(q >= 90, "Excellent").when(q >= 75, "Good").when(q >= 60, "Fair").when(q >= 40, "Poor").otherwise("Unacceptable").alias("grade"),
-        F.col("parts").cast("long").alias("parts"), "hole_fraction", F.col("boundary").alias("at_boundary"), F.concat_ws("; ", texts).alias("findings"),
+        F.col("parts").cast("long").alias("parts"), "hole_fraction", F.col("boundary").alias("at_boundary"),
+        F.concat_ws("; ", texts(True, False)).alias("findings"), F.concat_ws("; ", texts(True)).alias("issues"), F.concat_ws("; ", texts(False)).alias("warnings"),
     )
 
 
@@ -83,6 +85,13 @@ def overall_quality(per_sequence: DataFrame) -> DataFrame:
     )
 
 
+def edge_signal(margin: int = 5, value: str = "t1") -> list[Column]:
+    """Aggregates: whether there is signal within ``margin`` cells of each end of x and y."""
+    low = [(f"{a}_min", F.col(a) < margin) for a in "xy"]
+    high = [(f"{a}_max", F.col(a) >= F.col(f"n{a}") - margin) for a in "xy"]
+    return [F.coalesce(F.max(c & (F.col(value) > 0)), F.lit(False)).alias(n) for pair in zip(low, high, strict=True) for n, c in pair]
+
+
 def artifacts(df: DataFrame) -> DataFrame:
     """Bias field, ghosting, susceptibility, wrap-around and ringing."""
     b = G.sobel(G.l1_depth(brain_mask(df), region("wt"), "depth"), "t1", "grad")
@@ -98,16 +107,15 @@ def artifacts(df: DataFrame) -> DataFrame:
         F.count_if(inner).alias("ni"), F.count_if(outer).alias("no"), (F.avg(F.when(outer, t1)) / F.avg(F.when(inner, t1))).alias("bias"),
         *[F.count_if(back[s]).alias(f"nb_{s}") for s in SEQUENCES], *[(F.stddev_pop(F.when(back[s], F.col(s))) / F.avg(F.when(back[s], F.col(s)))).alias(f"cv_{s}") for s in SEQUENCES],
         F.count_if(zero).alias("nz_"), (F.avg(F.when(zero, F.col("z"))) < 0.5 * F.avg(F.when(brain, F.col("z")))).alias("low"),
-        F.max((F.col("x") < 5) & (t1 > 0)).alias("e1"), F.max((F.col("x") >= F.col("nx") - 5) & (t1 > 0)).alias("e2"),
-        F.max((F.col("y") < 5) & (t1 > 0)).alias("e3"), F.max((F.col("y") >= F.col("ny") - 5) & (t1 > 0)).alias("e4"),
+        *edge_signal(),
         F.count_if(rim).alias("nr"), (F.stddev_pop(F.when(rim, F.col("grad"))) / F.avg(F.when(rim, F.col("grad")))).alias("ring"),
     )
     ghost = [F.when((F.col(f"nb_{s}") > 1000) & (F.col(f"cv_{s}") > 0.5), F.lit(NAMES[s])) for s in SEQUENCES]
-    edges = sum(F.col(f"e{k}").cast("int") for k in (1, 2, 3, 4))
+    edges = sum(F.col(f"{a}_{e}").cast("int") for a in "xy" for e in ("min", "max"))
     known = (F.col("ni") > 100) & (F.col("no") > 100)
-    found = _present(
+    found = present(
         F.when(known & ((F.col("bias") < 0.7) | (F.col("bias") > 1.4)), F.lit("Intensity inhomogeneity")),
-        F.when(F.size(_present(*ghost)) > 0, F.lit("Possible motion artifact")),
+        F.when(F.size(present(*ghost)) > 0, F.lit("Possible motion artifact")),
         F.when((F.col("nz_") > 100) & F.col("low"), F.lit("Susceptibility artifact")),
         F.when(edges >= 3, F.lit("Possible wrap-around")),
         F.when((F.col("nr") > 100) & (F.col("ring") > 1.5), F.lit("Possible Gibbs ringing")),
@@ -115,7 +123,7 @@ def artifacts(df: DataFrame) -> DataFrame:
     n = F.size("found")
     return a.withColumn("found", found).select(
         "case_id", F.concat_ws(", ", "found").alias("artifacts"), F.when(n == 0, "None").when(n <= 2, "Mild").otherwise("Moderate to Severe").alias("severity"),
-        F.when(known, F.col("bias")).alias("bias_ratio"), F.concat_ws(",", _present(*ghost)).alias("ghosting"), edges.alias("edges"), F.when(F.col("nr") > 100, F.col("ring")).alias("edge_cv"),
+        F.when(known, F.col("bias")).alias("bias_ratio"), F.concat_ws(",", present(*ghost)).alias("ghosting"), edges.alias("edges"), F.when(F.col("nr") > 100, F.col("ring")).alias("edge_cv"),
         F.when(n > 1, "Review recommended").otherwise("Minimal impact expected").alias("impact"),
     )
 
@@ -135,7 +143,7 @@ def confidence(cases: DataFrame) -> DataFrame:
 def caveats(segmentation: DataFrame, overall: DataFrame, enhancing: DataFrame) -> DataFrame:
     """Caveats that follow from the measurements; ``enhancing`` has the case's et count."""
     j = enhancing.join(segmentation, "case_id").join(overall, "case_id")
-    texts = _present(
+    texts = present(
         F.when(F.col("et") == 0, F.lit("Non-enhancing pattern: Can be seen with lower-grade glioma, treatment effect, or other pathology; clinical and histopathological correlation required")),
         F.when(F.col("at_boundary"), F.lit("Tumor at image boundary: Volume may be underestimated")),
         F.when(F.col("t2_snr") < 6, F.format_string("Low T2 SNR (%.1f): Necrosis fraction and cystic/solid classification less reliable", F.col("t2_snr"))),

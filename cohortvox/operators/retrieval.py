@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Words that gate a question in the assistant and in the service.
+#: Words that gate a question in the assistant and in the service, answers, and the built-in definitions (term, text).
 ASSISTANT_GATE = ("treatment", "therapy", "surgery", "medication", "drug", "prognosis", "survival", "outcome", "chemotherapy", "radiation")
 SERVICE_GATE = (
     "treatment", "prognosis", "diagnose", "diagnosis", "should i", "will the patient", "survival", "chemotherapy", "radiation", "surgery",
@@ -12,8 +12,16 @@ SERVICE_GATE = (
 )
 REFUSAL = "This question requires clinical judgment. Please consult a qualified radiologist."
 NO_DATA = "The requested information is not available in the provided data."
+DEFINITIONS = (
+    ("Midline shift", "Midline shift refers to the displacement of brain structures from their normal central position to one side. It is measured in millimeters on axial MRI or CT images and indicates asymmetric mass effect within the cranial cavity."),
+    ("Peritumoral edema", "Peritumoral edema is the accumulation of excess fluid in the brain tissue surrounding a tumor. On T2-weighted and FLAIR MRI sequences it appears as a region of high signal intensity around the tumor margin."),
+    ("Enhancing tumor", "An enhancing tumor is a region that shows increased signal intensity on post-contrast T1-weighted MRI images after gadolinium administration. Enhancement indicates areas where the blood-brain barrier is disrupted, allowing contrast agent to accumulate."),
+)
 #: Query vectors and their bytes up to which a dense search broadcasts them.
 BROADCAST_QUERIES = 100_000
+BROADCAST_BYTES = 64 << 20
+#: Terms of all queries up to which their vectors are broadcast (about 40 bytes each).
+BROADCAST_TERMS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -21,10 +29,14 @@ def tokens(text: Column) -> Column:
 
 
 def term_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, token, tf, w)``: term counts and weights of unit length per document."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
-    norm = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return tf.join(norm, "id").select("id", "token", "tf", (F.col("tf") / F.col("norm")).alias("w"))
+    """``(id, token, tf, w)``: term counts and weights of unit length per document.
+
+    Texts are dealt by id once; counts, norms and what follows by id stay there.
+    """
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    tf = src.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
+    return tf.select("id", "token", "tf", (F.col("tf") / norm).alias("w"))
 
 
 def query_vectors(index: DataFrame, queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,11 +50,16 @@ def query_vectors(index: DataFrame, queries: DataFrame, id_col: str, text_col: s
 def term_top_k(index: DataFrame, docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str, k: int = 2) -> DataFrame:
     """``(query, id, score, rank)`` by cosine, ties by id.
 
-    Documents that share no token have score 0 and stay eligible: they fill
+    Every document is scored where its terms lie and each task keeps k documents a
+    query; only those are shuffled.  Documents that share no token have score 0 and
+    stay eligible: they fill
     ranks from the k smallest ids and the matched documents' neighbours in id order.
     """
     qv = query_vectors(index, queries, query_id, text_col)
-    hits = qv.join(index, "token").groupBy("query", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+    terms = queries.agg(F.sum(F.size(F.array_distinct(tokens(F.col(text_col)))))).first()[0] or 0
+    if terms <= BROADCAST_TERMS:
+        qv = F.broadcast(qv)  # the index stays dealt by document, so scores need no shuffle
+    hits = index.join(qv, "token").groupBy("query", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     have = best.groupBy("query").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
@@ -61,10 +78,12 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 2, where: Colum
     """``(query, id, distance, rank)`` of the k nearest vectors (squared distance, ties by id).
 
     ``vectors`` has (id, v), ``queries`` (query, q).  The stated queries meet all
-    vectors block by block: at most ``most`` of them are broadcast at a time, and
+    vectors block by block: at most ``most`` of them, and BROADCAST_BYTES, are
+    broadcast at a time, and
     each task keeps k rows per query before the shuffle.
     """
-    n = queries.count()
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("q")), F.lit(0))).first()
+    most = max(1, min(most, n * BROADCAST_BYTES // max(size, 1)))
     v = vectors if where is None else vectors.where(where)
     w = Window.partitionBy("query").orderBy("distance", "id")
     parts = []
@@ -80,8 +99,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 2, where: Colum
 
 
 def top_k_or_terms(dense: DataFrame | None, terms: DataFrame) -> DataFrame:
-    """The dense store's hits where there is one, else the term store's."""
-    return dense if dense is not None else terms
+    """The dense store's hits where that store exists and holds any, else the term store's."""
+    return terms if dense is None or dense.isEmpty() else dense
 
 
 def gate(text: Column, words: tuple[str, ...]) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.operators import components as C, evaluate as E, grid as G, intensity as I, masks as M, mass_effect as X, morphology as S, quality as Q, structures as N
+from cohortvox.operators import components as C, evaluate as E, grid as G, intensity as I, masks as M, mass_effect as X, morphology as S, quality as Q, slices as L, structures as N
 from cohortvox.operators.masks import region
-from cohortvox.sources.voxels import SEQUENCES, VIEW, grid, voxel_view
+from cohortvox.plans import summary as S2
+from cohortvox.sources.voxels import SEQUENCES, VIEW, grid, volumes, voxel_view
 from cohortvox.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,8 +141,9 @@ PROBS = "p AS (SELECT case_id, x, y, z, (CAST(t1 AS BIGINT) % 10) / 9.0 AS a, (C
 @query("b09_fold_probability_average", f"SELECT case_id, seg, {r('avg((a + b) / 2)', 'wt')}, {r('avg((b + c) / 2)', 'tc')} FROM p GROUP BY 1, 2", GRID, PROBS)
 def b09(spark, sf):
     p = _probabilities(grid(spark, sf))
-    folds = p.select("case_id", "x", "y", "z", "seg", F.explode(F.array(F.struct(F.lit("wt").alias("region"), F.col("a").alias("p")), F.struct(F.lit("wt").alias("region"), F.col("b").alias("p")), F.struct(F.lit("tc").alias("region"), F.col("b").alias("p")), F.struct(F.lit("tc").alias("region"), F.col("c").alias("p")))).alias("f"))
-    means = folds.groupBy("case_id", "x", "y", "z", "seg", "f.region").agg(F.avg("f.p").alias("p"))
+    fold = lambda r, v: F.struct(F.lit(r).alias("region"), F.col(v).alias("p"))
+    folds = p.select("case_id", "x", "y", "z", "seg", F.explode(F.array(fold("wt", "a"), fold("wt", "b"), fold("tc", "b"), fold("tc", "c"))).alias("f")).select("*", "f.region", "f.p").drop("f")
+    means = M.fold_mean(folds, ["case_id", "x", "y", "z", "seg", "region"])
     return rounded(means.groupBy("case_id", "seg").agg(F.avg(F.when(F.col("region") == "wt", F.col("p"))).alias("wt"), F.avg(F.when(F.col("region") == "tc", F.col("p"))).alias("tc")))
 
 
@@ -193,8 +195,7 @@ def b16(spark, sf):
 
 @query("b17_edge_signal", "SELECT case_id, max(t1) FILTER (WHERE x < 5) > 0 AS x_min, max(t1) FILTER (WHERE x >= 11) > 0 AS x_max, max(t1) FILTER (WHERE y < 5) > 0 AS y_min, max(t1) FILTER (WHERE y >= 11) > 0 AS y_max FROM g GROUP BY 1")
 def b17(spark, sf):
-    hit = lambda c: F.max(F.when(c, F.col("t1"))) > 0
-    return grid(spark, sf).groupBy("case_id").agg(hit(F.col("x") < 5).alias("x_min"), hit(F.col("x") >= F.col("nx") - 5).alias("x_max"), hit(F.col("y") < 5).alias("y_min"), hit(F.col("y") >= F.col("ny") - 5).alias("y_max"))
+    return grid(spark, sf).groupBy("case_id").agg(*Q.edge_signal())
 
 
 @query("b18_stray_enhancement", "SELECT case_id, count(*) FILTER (WHERE seg IN (3, 4) AND NOT seg IN (1, 3, 4)) AS stray, count(*) FILTER (WHERE seg IN (3, 4)) AS et FROM g GROUP BY 1")
@@ -204,29 +205,26 @@ def b18(spark, sf):
 
 @query("b19_best_slice", "SELECT case_id, z, n FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, z) AS k FROM (SELECT case_id, z, count(*) AS n FROM g WHERE seg > 0 GROUP BY 1, 2)) WHERE k = 1")
 def b19(spark, sf):
-    n = grid(spark, sf).where(region("wt")).groupBy("case_id", "z").agg(F.count("*").alias("n"))
-    return n.groupBy("case_id").agg(F.max_by(F.struct("z", "n"), F.struct("n", -F.col("z"))).alias("b")).select("case_id", "b.z", "b.n")
+    return L.best_slice(grid(spark, sf))
 
 
 @query("b20_even_slices", "SELECT DISTINCT t.case_id, t.z FROM (SELECT case_id, z, row_number() OVER (PARTITION BY case_id ORDER BY z) - 1 AS k, count(*) OVER (PARTITION BY case_id) AS n FROM (SELECT DISTINCT case_id, z FROM g WHERE seg > 0)) t, range(5) i(i) WHERE t.k = CASE WHEN t.n = 1 THEN 0 ELSE floor(i.i * (t.n - 1) / 4.0) END")
 def b20(spark, sf):
-    from pyspark.sql import Window
+    return L.even_slices(grid(spark, sf), 5)
 
-    w = Window.partitionBy("case_id")
-    s = grid(spark, sf).where(region("wt")).select("case_id", "z").distinct().withColumn("k", F.row_number().over(w.orderBy("z")) - 1).withColumn("n", F.count("*").over(w))
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(i * (F.col("n") - 1) / 4)))
-    return s.where(F.array_contains(picks, F.col("k").cast("long"))).select("case_id", "z")
 
+@query("b20_middle_slices", "SELECT DISTINCT case_id, CAST(floor(3 + i.i * 6 / 8.0) AS BIGINT) AS z FROM g, range(9) i(i)")
+def b20m(spark, sf):
+    return L.middle_slices(grid(spark, sf).select("case_id", "nz").distinct())
 
-@query("b21_slice_overlay", f"SELECT case_id, z, seg, {r('avg(0.6 * (t1 - lo) / (hi - lo + 1e-8) + 0.4 * CASE seg WHEN 1 THEN 1.0 ELSE 0.0 END)', 'red')}, {r('avg(0.6 * (t1 - lo) / (hi - lo + 1e-8) + 0.4 * CASE seg WHEN 2 THEN 1.0 ELSE 0.0 END)', 'green')} FROM (SELECT *, min(t1) OVER (PARTITION BY case_id, z) AS lo, max(t1) OVER (PARTITION BY case_id, z) AS hi FROM g) WHERE seg > 0 GROUP BY 1, 2, 3")
-def b21(spark, sf):
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("case_id", "z")
-    grey = (F.col("t1") - F.min("t1").over(w)) / (F.max("t1").over(w) - F.min("t1").over(w) + 1e-8)
-    d = grid(spark, sf).withColumn("grey", grey).where(region("wt"))
-    blend = lambda k: F.avg(0.6 * F.col("grey") + 0.4 * (F.col("seg") == k).cast("double"))
-    return rounded(d.groupBy("case_id", "z", "seg").agg(blend(1).alias("red"), blend(2).alias("green")))
+_BLEND = lambda k: f"avg(CASE WHEN seg IN (1, 2, 4) THEN 0.6 * (t1 - lo) / (hi - lo + 1e-8) + 0.4 * CASE WHEN seg = {k} THEN 1.0 ELSE 0.0 END ELSE (t1 - lo) / (hi - lo + 1e-8) END)"
+
+
+@query("b21_slice_overlay", f"SELECT case_id, z, seg, {r(_BLEND(1), 'red')}, {r(_BLEND(2), 'green')}, {r(_BLEND(4), 'blue')} FROM (SELECT *, min(t1) OVER (PARTITION BY case_id, z) AS lo, max(t1) OVER (PARTITION BY case_id, z) AS hi FROM g) WHERE seg > 0 GROUP BY 1, 2, 3")
+def b21(spark, sf):
+    d = L.overlay(grid(spark, sf), "t1").where(region("wt"))
+    return rounded(d.groupBy("case_id", "z", "seg").agg(*[F.avg(F.col("rgb")[k]).alias(n) for k, n in enumerate(("red", "green", "blue"))]))
 
 
 @query("b22_difference_class", "SELECT case_id, CASE WHEN seg = seg_pred AND seg > 0 THEN 'match' WHEN seg_pred > 0 AND seg > 0 THEN 'wrong_class' WHEN seg_pred > 0 THEN 'false_positive' WHEN seg > 0 THEN 'false_negative' ELSE 'background' END AS class, count(*) AS voxels FROM g GROUP BY 1, 2")
@@ -234,10 +232,9 @@ def b22(spark, sf):
     return grid(spark, sf).groupBy("case_id", E.difference_class(F.col("seg_pred"), F.col("seg")).alias("class")).agg(F.count("*").alias("voxels"))
 
 
-@query("b23_label_colours", "SELECT case_id, CASE seg WHEN 1 THEN 'red' WHEN 2 THEN 'green' WHEN 3 THEN 'blue' ELSE 'none' END AS colour, count(*) AS voxels FROM g GROUP BY 1, 2")
+@query("b23_label_colours", "SELECT case_id, CASE seg WHEN 1 THEN '255,0,0' WHEN 2 THEN '0,255,0' WHEN 3 THEN '0,0,255' WHEN 4 THEN '255,255,0' ELSE '0,0,0' END AS colour, count(*) AS voxels FROM g GROUP BY 1, 2")
 def b23(spark, sf):
-    colour = F.coalesce(F.create_map(*[F.lit(x) for x in (1, "red", 2, "green", 3, "blue")])[F.col("seg")], F.lit("none"))
-    return grid(spark, sf).groupBy("case_id", colour.alias("colour")).agg(F.count("*").alias("voxels"))
+    return grid(spark, sf).groupBy("case_id", F.concat_ws(",", L.colour(F.col("seg")).cast("array<string>")).alias("colour")).agg(F.count("*").alias("voxels"))
 
 
 @query("d03_volumes", "SELECT case_id, " + ", ".join(r(f"count(*) FILTER (WHERE {c}) * {CM3}", f"{k}_cm3") for k, c in (("wt", "seg > 0"), ("tc", "seg IN (1, 3, 4)"), ("et", "seg IN (3, 4)"), ("ncr", "seg = 1"), ("ed", "seg = 2"))) + " FROM g GROUP BY 1")
@@ -245,6 +242,20 @@ def d03(spark, sf):
     return rounded(I.volumes_cm3(grid(spark, sf)))
 
 
+@query("d08_label_volumes", f"SELECT case_id, seg AS label, count(*) AS voxels, {r(f'count(*) * {CM3}', 'cm3')} FROM g WHERE seg > 0 GROUP BY 1, 2")
+def d08(spark, sf):
+    return rounded(I.label_volumes(grid(spark, sf)))
+
+
+@query("c02_shape_check", "SELECT DISTINCT case_id, case_id % 3 <> 0 AS matches FROM v")
+def c02(spark, sf):
+    """Every third case of the predicted side has another depth, and one side lacks every sixth."""
+    v = voxel_view(spark, sf)
+    gt, k = volumes(v), F.col("case_id")
+    pred = gt.withColumn("nz", F.when(k % 3 == 0, F.col("nz") + 1).otherwise(F.col("nz"))).where(k % 6 != 0)
+    return E.shape_check(pred, gt)
+
+
 @query("d04_d05_extent", "SELECT case_id, " + ", ".join(f"{r(f'avg({a})', f'c{a}')}, min({a}) AS {a}_min, max({a}) AS {a}_max, max({a}) - min({a}) + 1 AS {a}_size" for a in "xyz") + " FROM g WHERE seg > 0 GROUP BY 1")
 def d04(spark, sf):
     return rounded(I.extent(grid(spark, sf), region("wt")))
@@ -443,15 +454,25 @@ def e13(spark, sf):
     return rounded(C.lesion_pairs(ranked).select("case_id", "rank1", "rank2", "distance_mm", "relationship"))
 
 
-@query("e12_e17_multiplicity", """SELECT k.case_id, coalesce(n, 0) AS lesions, coalesce(fr, 0) AS fragments, coalesce(fo, 0) AS foci, CASE WHEN coalesce(n, 0) = 0 THEN 'No tumor' WHEN n = 1 THEN 'Solitary' ELSE 'other' END AS pattern,
- CASE WHEN coalesce(fo, 0) = 0 THEN 'Non-enhancing' WHEN fo = 1 THEN 'Single enhancing focus' WHEN fo <= 3 THEN 'Few enhancing foci' ELSE 'Multiple/scattered enhancing foci' END AS foci_pattern
-FROM (SELECT DISTINCT case_id FROM g) k LEFT JOIN (SELECT case_id, count(*) FILTER (WHERE volume_cm3 >= 0.1) AS n, count(*) FILTER (WHERE volume_cm3 < 0.1) AS fr FROM st GROUP BY 1) USING (case_id)
- LEFT JOIN (SELECT case_id, count(DISTINCT component) AS fo FROM ec GROUP BY 1) USING (case_id)""", GRID, _parts("cc", "seg > 0", 3), STATS.format(least=0.1), _parts("ec", "seg = 3", 3))
-def e17(spark, sf):
-    g, ws = grid(spark, sf), Workspace(spark, "e17")
-    m = C.multiplicity(g, C.component_stats(C.label(g, region("wt"), ws)), C.component_stats(C.label(g, F.col("seg") == 3, ws)))
-    pattern = F.when(F.col("pattern").isin("No tumor", "Solitary"), F.col("pattern")).otherwise("other")
-    return m.select("case_id", "lesions", "fragments", "foci", pattern.alias("pattern"), "foci_pattern")
+PAIR_STATS = f"pr AS (SELECT a.case_id, min({DIST}) AS mn, max({DIST}) AS mx, avg({DIST}) AS me, count(*) FILTER (WHERE a.rank = 1 AND {DIST} < 20) AS sat FROM le a JOIN le b ON a.case_id = b.case_id AND a.rank < b.rank GROUP BY 1)"
+
+
+def _multiplicity(name, least):
+    @query(name, f"""SELECT case_id, n AS lesions, fr AS fragments, {r('mn', 'min_mm')}, {r('mx', 'max_mm')}, {r('me', 'mean_mm')}, sat AS satellites, fo AS foci, {r('ev', 'enhancing_cm3')},
+ CASE WHEN n = 0 THEN 'No tumor' WHEN n = 1 THEN 'Solitary' WHEN sat > 0 THEN 'Primary with satellites' WHEN n <= 3 AND mx > 0 AND mx < 40 THEN 'Regional multifocal' WHEN n <= 3 THEN 'Distant multifocal' ELSE 'Diffuse/scattered' END AS pattern,
+ CASE WHEN fo = 0 THEN 'Non-enhancing' WHEN fo = 1 THEN 'Single enhancing focus' WHEN fo <= 3 THEN 'Few enhancing foci' ELSE 'Multiple/scattered enhancing foci' END AS foci_pattern,
+ CASE WHEN n = 0 THEN NULL WHEN fo = 0 THEN 'Non-enhancing pattern may suggest low-grade pathology' WHEN fo > n THEN 'Multiple enhancing foci within lesions suggest heterogeneous enhancement' ELSE 'Enhancement pattern consistent with lesion count' END AS enhancement_note
+FROM (SELECT case_id, coalesce(n, 0) AS n, coalesce(fr, 0) AS fr, mn, mx, me, coalesce(sat, 0) AS sat, coalesce(fo, 0) AS fo, coalesce(ev, 0) AS ev FROM (SELECT DISTINCT case_id FROM g) k
+ LEFT JOIN (SELECT case_id, count(*) FILTER (WHERE volume_cm3 >= {least}) AS n, count(*) FILTER (WHERE volume_cm3 < {least}) AS fr FROM st GROUP BY 1) USING (case_id)
+ LEFT JOIN pr USING (case_id) LEFT JOIN (SELECT case_id, count(DISTINCT component) AS fo, count(*) * 0.0015 AS ev FROM ec GROUP BY 1) USING (case_id))""", GRID, _parts("cc", "seg > 0", 3), STATS.format(least=least), PAIR_STATS, _parts("ec", "seg = 3", 3))
+    def run(spark, sf):
+        g, ws = grid(spark, sf), Workspace(spark, name)
+        return rounded(C.multiplicity(g, C.component_stats(C.label(g, region("wt"), ws)), C.component_stats(C.label(g, F.col("seg") == 3, ws)), least))
+
+
+_multiplicity("e12_e17_multiplicity", 0.1)
+#: Small lesions, so that the patterns of several lesions occur in the derived grids.
+_multiplicity("e12_e17_small_lesions", 0.0045)
 
 
 SHIFT = """sh AS (SELECT case_id, mid, tx, coalesce(((l - (mid - w)) + (rr - (mid + w))) / 2, 0) AS est FROM
@@ -494,7 +515,14 @@ def e10(spark, sf):
     return mass_effect(spark, sf).select("case_id", "score", "risk")
 
 
-QUERIES["e10_herniation_report"] = mass_effect
+@query("e10_herniation_report", """SELECT case_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Moderate' WHEN score >= 1.5 THEN 'Mild' ELSE 'Low' END AS risk,
+ concat_ws('; ', CASE WHEN mm >= 1 THEN 'Midline shift: ' || printf('%.1f', mm) || 'mm (' || CASE WHEN mm >= 10 THEN 'severe' WHEN mm >= 5 THEN 'moderate' WHEN mm >= 3 THEN 'mild' ELSE 'minimal' END || ')' END,
+  CASE WHEN a > 0.15 THEN 'Ventricular asymmetry: ' || printf('%.2f', a) || ' (' || CASE WHEN a > 0.5 THEN 'severe' WHEN a > 0.3 THEN 'moderate' ELSE 'mild' END || ')' END,
+  CASE WHEN s = 1 THEN 'Sulcal effacement: ' || word WHEN s = 0.5 THEN 'Sulcal effacement: Mild to Moderate' END) AS factors,
+ CASE WHEN mm >= 3 OR a > 0.5 THEN concat_ws('; ', CASE WHEN mm >= 10 THEN 'Severe midline shift (>10mm) - high subfalcine herniation risk' WHEN mm >= 5 THEN 'Moderate midline shift (5-10mm) - subfalcine herniation possible' WHEN mm >= 3 THEN 'Mild midline shift (3-5mm) - early mass effect' END, CASE WHEN a > 0.5 THEN 'Severe ventricular asymmetry - significant mass effect' END)
+  ELSE 'No significant herniation risk - no measurable mass effect' END AS signs FROM (SELECT sc.*, CASE WHEN nf = 0 THEN 'Severe' ELSE 'Moderate to Severe' END AS word FROM sc JOIN su USING (case_id))""", GRID, BRAIN, SHIFT, CAND, _euclid("eu", "csf", "cd"), VENT, _near("nn", "seg > 0"), SULCI, POINTS)
+def e10r(spark, sf):
+    return mass_effect(spark, sf)
 
 
 @query("e11_location", """SELECT case_id, CASE WHEN l > 0.9 * n THEN 'left' WHEN n - l > 0.9 * n THEN 'right' WHEN l > 0.6 * n THEN 'left-predominant' WHEN n - l > 0.6 * n THEN 'right-predominant' ELSE 'bilateral' END AS hemisphere,
@@ -504,7 +532,24 @@ def e11(spark, sf):
     return rounded(X.location(grid(spark, sf)).select("case_id", "hemisphere", "lobes", "depth_score"))
 
 
-QUERIES["e11_location_report"] = lambda spark, sf: X.location(grid(spark, sf))
+_SHARES = "CASE WHEN {k} > {least} * n THEN 100.0 * {k} / n END"
+_LOBE_LIST = ", ".join("{'share': " + _SHARES.format(k=k, least=0.1 if k == "deep_structures" else 0.05) + f", 'pos': -{i}, 'lobe': '{k}'}}" for i, k in enumerate(LOBE_SQL))
+
+
+@query("e11_location_report", f"""SELECT case_id, CASE WHEN l > 0.9 * n THEN 'left' WHEN n - l > 0.9 * n THEN 'right' WHEN l > 0.6 * n THEN 'left-predominant' WHEN n - l > 0.6 * n THEN 'right-predominant' ELSE 'bilateral' END AS hemisphere,
+ CASE WHEN l > 0.9 * n THEN 'Unilateral (left hemisphere)' WHEN n - l > 0.9 * n THEN 'Unilateral (right hemisphere)' WHEN l > 0.6 * n THEN 'Bilateral, left-predominant' WHEN n - l > 0.6 * n THEN 'Bilateral, right-predominant' ELSE 'Bilateral (crosses midline)' END AS laterality,
+ CASE WHEN len(e) = 0 THEN 'location indeterminate' ELSE array_to_string(list_transform(e, lambda x: replace(x.lobe, '_', ' ')), ',') END AS lobes,
+ coalesce(b.lobe, 'indeterminate') AS primary_lobe, {r('coalesce(b.share, 0)', 'primary_percent')},
+ CASE WHEN d > 0.7 THEN 'Deep (periventricular/central)' WHEN d > 0.4 THEN 'Subcortical' ELSE 'Cortical/Superficial' END AS depth, {r('d', 'depth_score')},
+ CASE WHEN len(list_filter(e, lambda x: x.lobe <> 'deep_structures')) = 0 THEN 'gyral localization not determined' ELSE concat_ws(',',
+  CASE WHEN frontal > 0.05 * n THEN CASE WHEN cz > 0.7 * 12 THEN 'superior frontal gyrus region' WHEN cz > 0.5 * 12 THEN 'middle frontal gyrus region' ELSE 'inferior frontal gyrus region' END END,
+  CASE WHEN parietal > 0.05 * n THEN CASE WHEN cz > 0.65 * 12 THEN 'superior parietal lobule region' ELSE 'inferior parietal lobule region' END END,
+  CASE WHEN temporal > 0.05 * n THEN CASE WHEN cz > 0.45 * 12 THEN 'superior temporal gyrus region' WHEN cz > 0.3 * 12 THEN 'middle temporal gyrus region' ELSE 'inferior temporal gyrus region' END END,
+  CASE WHEN occipital > 0.05 * n THEN 'occipital cortex region' END) END AS gyri
+ FROM (SELECT *, list_sort(e, 'DESC')[1] AS b FROM (SELECT *, 1 - sqrt((cx - 8) * (cx - 8) + (cy - 8) * (cy - 8) + (cz - 6) * (cz - 6) * 2.25) / 6.0 AS d, list_filter([{_LOBE_LIST}], lambda x: x.share IS NOT NULL) AS e FROM
+  (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE x < 8) AS l, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, """ + ", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in LOBE_SQL.items()) + " FROM g WHERE seg > 0 GROUP BY 1)))")
+def e11r(spark, sf):
+    return rounded(X.location(grid(spark, sf)))
 
 
 @query("e18_e20_shape", f"SELECT case_id, {r('n * 0.0015', 'volume_cm3')}, {r('s * (1 + 1.5 + 1.5) / 3', 'surface_mm2')}, {r('least(1.0, 4 * pi() * pow(3 * n * 1.5 / (4 * pi()), 2.0 / 3) / (s * 4.0 / 3))', 'sphericity')}, {r('least(1.0, 36 * pi() * pow(n * 1.5, 2) / pow(s * 4.0 / 3, 3))', 'compactness')} FROM (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE d <= 1) AS s FROM dp GROUP BY 1)", GRID, _depth("dp", "seg > 0"))
@@ -512,7 +557,18 @@ def e18(spark, sf):
     return rounded(S.shape(grid(spark, sf)).select("case_id", "volume_cm3", "surface_mm2", "sphericity", "compactness"))
 
 
-QUERIES["e21_e22_shape_classes"] = lambda spark, sf: rounded(S.shape(grid(spark, sf)))
+EIGEN = """ei AS (SELECT *, q + 2 * p * cos(phi) AS e1, q + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM (SELECT *, acos(greatest(-1.0, least(1.0, det / (2 * pow(p, 3))))) / 3 AS phi FROM (SELECT *,
+ sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p, (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz) AS det
+ FROM (SELECT *, (xx + yy + zz) / 3 AS q FROM (SELECT case_id, var_samp(x) AS xx, var_samp(y) AS yy, var_samp(z * 1.5) AS zz, covar_samp(x, y) AS xy, covar_samp(x, z * 1.5) AS xz, covar_samp(y, z * 1.5) AS yz FROM g WHERE seg > 0 GROUP BY 1)))))"""
+_AXES = "SELECT *, 3 * q - e1 - e3 AS e2, CASE WHEN e3 > 0 THEN sqrt(e1 / e3) ELSE 1 END AS k FROM ei"
+
+
+@query("e21_e22_shape_classes", f"""SELECT case_id, volume_cm3, surface_mm2, {r('sp', 'sphericity')}, compactness, {r('k', 'elongation')}, {r('2 * sqrt(greatest(e1, 0))', 'axis1_mm')}, {r('2 * sqrt(greatest(e2, 0))', 'axis2_mm')}, {r('2 * sqrt(greatest(e3, 0))', 'axis3_mm')},
+ CASE WHEN sp > 0.8 THEN 'Spherical/round' WHEN sp > 0.6 THEN 'Ovoid' WHEN sp > 0.4 THEN 'Irregular' ELSE 'Highly irregular/complex' END AS shape_class, CASE WHEN k > 2.5 THEN 'Elongated' WHEN k > 1.5 THEN 'Mildly elongated' ELSE 'Roughly isotropic' END AS elongation_class
+ FROM (SELECT case_id, {r('n * 0.0015', 'volume_cm3')}, {r('s * (1 + 1.5 + 1.5) / 3', 'surface_mm2')}, least(1.0, 4 * pi() * pow(3 * n * 1.5 / (4 * pi()), 2.0 / 3) / (s * 4.0 / 3)) AS sp, {r('least(1.0, 36 * pi() * pow(n * 1.5, 2) / pow(s * 4.0 / 3, 3))', 'compactness')} FROM (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE d <= 1) AS s FROM dp GROUP BY 1)) JOIN ({_AXES}) USING (case_id)""", GRID, _depth("dp", "seg > 0"), EIGEN)
+def e21(spark, sf):
+    return rounded(S.shape(grid(spark, sf)))
+
 
 
 @query("d20_covariance", "SELECT case_id, " + ", ".join(r(f"{f}", n) for f, n in (("var_samp(x)", "xx"), ("var_samp(y)", "yy"), ("var_samp(z * 1.5)", "zz"), ("covar_samp(x, y)", "xy"), ("covar_samp(x, z * 1.5)", "xz"), ("covar_samp(y, z * 1.5)", "yz"))) + " FROM g WHERE seg > 0 GROUP BY 1")
@@ -556,7 +612,24 @@ def e26(spark, sf):
     return rounded(S.necrosis(grid(spark, sf)))
 
 
-QUERIES["e27_segmentation_quality"] = lambda spark, sf: rounded(Q.segmentation_quality(grid(spark, sf), Workspace(spark, "e27")))
+HOLES = "ho AS (SELECT case_id, count(*) AS h FROM bg WHERE component NOT IN (SELECT component FROM bg WHERE x IN (0, 15) OR y IN (0, 15) OR z IN (0, 11)) GROUP BY 1)"
+#: Rules of a segmentation: condition, points, text (the first and fourth are issues).
+_RULES = (
+    ("wt = 0", 50, "'No tumor segmentation detected'"), ("wt > 0 AND v < 0.5", 10, "'Very small tumor volume (' || printf('%.2f', v) || ' cm³) - may be artifact'"),
+    ("v > 300", 10, "'Very large tumor volume (' || printf('%.0f', v) || ' cm³) - verify boundaries'"), ("tc > 1.01 * wt", 20, "'Tumor core volume exceeds whole tumor - label inconsistency'"),
+    ("parts > 5", 5, "'Multiple disconnected components (' || parts || ') - possible over-segmentation'"), ("stray > 0.05 * et", 5, "'Some enhancing tumor voxels outside tumor core boundary'"),
+    ("wt > 0 AND hf > 0.1", 5, "'Segmentation has internal holes (' || printf('%.0f', hf * 100) || '% of volume)'"), ("at_boundary", 10, "'Tumor extends to image boundary - may be truncated'"),
+)
+_TEXTS = lambda keep: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for k, (c, _, t) in enumerate(_RULES) if k in keep) + ")"
+GRADES = f"""sq AS (SELECT *, 100 - ({' + '.join(f'CASE WHEN {c} THEN {p} ELSE 0 END' for c, p, _ in _RULES)}) AS score, {_TEXTS(range(8))} AS findings, {_TEXTS((0, 3))} AS issues, {_TEXTS((1, 2, 4, 5, 6, 7))} AS warnings FROM (SELECT *, wt * 0.0015 AS v, CASE WHEN wt > 0 THEN coalesce(h, 0) / wt ELSE 0 END AS hf FROM (
+ SELECT case_id, count(*) FILTER (WHERE seg > 0) AS wt, count(*) FILTER (WHERE seg IN (1, 3, 4)) AS tc, count(*) FILTER (WHERE seg IN (3, 4)) AS et, 0 AS stray, bool_or(seg > 0 AND (x < 3 OR x >= 13 OR y < 3 OR y >= 13 OR z < 3 OR z >= 9)) AS at_boundary FROM g GROUP BY 1)
+ LEFT JOIN ho USING (case_id) LEFT JOIN (SELECT case_id, count(DISTINCT component) AS parts FROM cc GROUP BY 1) USING (case_id)))"""
+
+
+@query("e27_segmentation_quality", f"SELECT case_id, score, CASE WHEN wt = 0 THEN 'Poor' WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair' WHEN score >= 40 THEN 'Poor' ELSE 'Unacceptable' END AS grade, coalesce(parts, 0) AS parts, {r('hf', 'hole_fraction')}, at_boundary, findings, issues, warnings FROM sq", GRID, _parts("cc", "seg > 0", 3), _parts("bg", "seg = 0", 1), HOLES, GRADES)
+def e27(spark, sf):
+    return rounded(Q.segmentation_quality(grid(spark, sf), Workspace(spark, "e27")))
+
 
 IMAGE = """lo AS (SELECT case_id, brain, s.sequence, s.v FROM b, LATERAL (VALUES ('T1', b.t1), ('T1ce', b.t1ce), ('T2', b.t2), ('FLAIR', b.flair)) s(sequence, v)),
 qq AS (SELECT case_id, sequence, quantile_cont(v, 0.01) FILTER (WHERE brain) AS q1, quantile_cont(v, 0.25) FILTER (WHERE brain) AS q25, quantile_cont(v, 0.75) FILTER (WHERE brain) AS q75, quantile_cont(v, 0.99) FILTER (WHERE brain) AS q99, quantile_cont(v, 0.1) FILTER (WHERE v > 0) AS p10 FROM lo GROUP BY 1, 2),
@@ -583,7 +656,36 @@ def caveats(spark, sf):
     return Q.caveats(Q.segmentation_quality(g, Workspace(spark, "e31")), Q.overall_quality(Q.image_quality(g)), et).select("case_id", F.explode("caveats").alias("caveat"))
 
 
-QUERIES["e31_caveats"] = caveats
+_QUALITY = "CASE WHEN mean / noise > 20 AND zf <= 0.01 AND xf <= 0.01 THEN 'Excellent' WHEN mean / noise > 10 AND NOT (zf > 0.01 AND xf > 0.01) THEN 'Good' WHEN mean / noise > 5 THEN 'Fair' ELSE 'Poor' END"
+OVERALL = f"ov AS (SELECT case_id, max(snr) FILTER (WHERE sequence = 'T2') AS t2_snr, CASE WHEN bool_and(q = 'Excellent') THEN 'Excellent' WHEN bool_and(q IN ('Excellent', 'Good')) THEN 'Good' WHEN bool_or(q = 'Poor') THEN 'Poor' ELSE 'Fair' END AS overall FROM (SELECT case_id, sequence, mean / noise AS snr, {_QUALITY} AS q FROM im) GROUP BY 1)"
+
+
+@query("e31_caveats", """SELECT case_id, unnest(list_filter([CASE WHEN et = 0 THEN 'Non-enhancing pattern: Can be seen with lower-grade glioma, treatment effect, or other pathology; clinical and histopathological correlation required' END,
+ CASE WHEN at_boundary THEN 'Tumor at image boundary: Volume may be underestimated' END, CASE WHEN t2_snr < 6 THEN 'Low T2 SNR (' || printf('%.1f', t2_snr) || '): Necrosis fraction and cystic/solid classification less reliable' END,
+ CASE WHEN overall IN ('Fair', 'Poor') THEN 'Suboptimal image quality may affect measurement accuracy' END, 'Model optimized for adult gliomas; performance may vary for other tumor types', 'Peritumoral edema vs infiltrating tumor cannot be distinguished on conventional MRI'], lambda x: x IS NOT NULL)) AS caveat
+ FROM (SELECT case_id, count(*) FILTER (WHERE seg IN (3, 4)) AS et, bool_or(seg > 0 AND (x < 3 OR x >= 13 OR y < 3 OR y >= 13 OR z < 3 OR z >= 9)) AS at_boundary FROM g GROUP BY 1) JOIN ov USING (case_id)""", GRID, BRAIN, IMAGE, OVERALL)
+def e31(spark, sf):
+    return caveats(spark, sf)
+
+
+@query("e38_reliability_warnings", """SELECT case_id, sequence, CASE sequence WHEN 'T2' THEN 'necrosis_fraction,cystic_solid_classification,edema_extent' ELSE 'enhancement_analysis,margin_sharpness' END AS affected,
+ 'Low ' || sequence || ' SNR (' || printf('%.1f', mean / noise) || ') may reduce reliability of ' || CASE sequence WHEN 'T2' THEN 'necrosis/cystic fraction and edema measurements' ELSE 'enhancement and margin measurements' END AS warning FROM im WHERE sequence IN ('T2', 'T1ce') AND mean / noise < 6
+ UNION ALL SELECT case_id, 'all', '', 'Overall image quality is ' || overall || '; interpret quantitative measurements with caution' FROM ov WHERE overall IN ('Fair', 'Poor')""", GRID, BRAIN, IMAGE, OVERALL)
+def e38(spark, sf):
+    q = Q.image_quality(grid(spark, sf))
+    return S2.reliability_warnings(q, Q.overall_quality(q))
+
+
+_HEMI = "CASE WHEN l > 0.9 * n THEN 'left' WHEN n - l > 0.9 * n THEN 'right' WHEN l > 0.6 * n THEN 'left-predominant' WHEN n - l > 0.6 * n THEN 'right-predominant' ELSE 'bilateral' END"
+
+
+@query("e37_laterality_check", f"""SELECT case_id, a AS location_method, b AS centroid_method, a = 'bilateral' OR split_part(a, '-', 1) = b AS consistent, CASE WHEN a = 'bilateral' THEN 'Bilateral tumor - crosses midline' WHEN split_part(a, '-', 1) = b THEN 'Hemisphere determination consistent across methods'
+ ELSE 'Hemisphere mismatch: location analysis suggests ' || a || ', centroid analysis suggests ' || b || '. Tumor may be near midline.' END AS note FROM (SELECT case_id, {_HEMI} AS a, CASE WHEN tx < mid THEN 'left' ELSE 'right' END AS b FROM (SELECT case_id, count(*) AS n, count(*) FILTER (WHERE x < 8) AS l FROM g WHERE seg > 0 GROUP BY 1) JOIN sh USING (case_id))""", GRID, BRAIN, SHIFT)
+def e37(spark, sf):
+    g = grid(spark, sf)
+    return S2.laterality_check(X.location(g), X.midline_shift(g))
+
+
 #: The derived grids are small, so components of more than 5 voxels pass as ventricles here.
 QUERIES["e32_e33_ventricular_system"] = lambda spark, sf: rounded(N.ventricular_system(grid(spark, sf), Workspace(spark, "e33"), least=5))
 QUERIES["e34_parenchyma"] = lambda spark, sf: rounded(N.parenchyma(grid(spark, sf), Workspace(spark, "e34"), least=5))

@@ -260,6 +260,12 @@ def final_pass(reports: DataFrame) -> DataFrame:
     return r.select("case_id", "report", notes.alias("notes"))
 
 
+def concept_mentions(texts: DataFrame, column: str) -> DataFrame:
+    """``texts`` with each concept (as worded) and how often a text names it."""
+    names = F.array(*[F.lit(k.replace("_", " ")) for k in OWNERS])
+    return texts.withColumn("concept", F.explode(names)).withColumn("mentions", F.coalesce(F.regexp_count(F.lower(column), F.col("concept")), F.lit(0)))
+
+
 def _sectioned(terms: Column, name: str) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(name).alias("section"), t.alias("term")))
 

@@ -1,12 +1,14 @@
-"""One summary row per case from the feature operators, its texts and exports."""
+"""All findings of a case in one row, and its nested summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortvox.functions.text import present
 from cohortvox.operators import components as C, grid as G, intensity as I, mass_effect as X, morphology as S, quality as Q, structures as N
 from cohortvox.operators.masks import region
+from cohortvox.plans.wording import CYSTIC, described
+from cohortvox.sources.manifest import UNAVAILABLE
 from cohortvox.sources.workspace import Workspace
 
 NOT_GIVEN = "<not provided>"
@@ -46,8 +48,73 @@ def reliability_warnings(per_sequence: DataFrame, overall: DataFrame) -> DataFra
     return rows.unionByName(bad.select("case_id", F.lit("all").alias("sequence"), F.lit("").alias("affected"), all_.alias("warning")))
 
 
-def summarize(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000) -> DataFrame:
-    """The nested summary of every case; operators share one stored grid."""
+#: How a distribution pattern is worded, what it implies, and what it may be.
+PATTERNS = {
+    "Solitary": ("Single contiguous lesion", "Unifocal disease, typical for primary brain tumor", ("Primary glioma", "Solitary metastasis", "Lymphoma", "Abscess")),
+    "Primary with satellites": (
+        "Main lesion with satellite nodules", "Suggests local tumor spread or infiltrative growth pattern",
+        ("High-grade glioma with infiltration", "Multicentric glioma", "Inflammatory process"),
+    ),
+    "Regional multifocal": (
+        "Few lesions in regional distribution", "Regional disease, may be contiguous or multicentric",
+        ("Multicentric glioma", "Regional metastases", "Demyelinating disease"),
+    ),
+    "Distant multifocal": (
+        "Separate lesions in different brain regions", "Multifocal disease, consider metastatic process",
+        ("Metastatic disease", "Multicentric glioma", "CNS lymphoma", "Multifocal infection"),
+    ),
+    "Diffuse/scattered": (
+        "Multiple lesions throughout brain", "Diffuse disease pattern, high probability of metastatic or systemic process",
+        ("Metastatic carcinoma", "CNS lymphoma", "Miliary tuberculosis", "Septic emboli"),
+    ),
+    "No tumor": ("No lesion detected", "N/A", ()),
+}
+#: Sequences by column, and the notes of a summary.
+SEQUENCE_NAMES = {"t1": "T1", "t1ce": "T1ce", "t2": "T2", "flair": "FLAIR"}
+PATIENT_NOTE = "DO NOT fabricate patient demographics or clinical history. Only include information explicitly provided in clinical records."
+TECHNIQUE_NOTE = "LLM must only reference sequences listed in sequences_performed; do not infer or guess additional sequences"
+CONTRAST_NOTE = "Gadolinium-based contrast agent (inferred from T1ce sequence presence)"
+
+
+def strings(*items: str) -> Column:
+    return F.array(*map(F.lit, items)).cast("array<string>")
+
+
+def differentials(pattern: Column) -> Column:
+    """What a distribution pattern may be; empty for an unknown one."""
+    out = strings()
+    for name, (_, _, may) in PATTERNS.items():
+        out = F.when(pattern == name, strings(*may)).otherwise(out)
+    return out
+
+
+def technique(grid: DataFrame, available: DataFrame | None = None) -> DataFrame:
+    """``(case_id, performed, not_available, contrast, slice_thickness_mm, in_plane_resolution_mm, voxel_size_mm, matrix_size, num_slices)``.
+
+    ``available`` is ``manifest.availability``; without it a sequence counts as
+    performed where a case has any signal of it.
+    """
+    a = grid.groupBy("case_id").agg(*[F.max(F.col(k) > 0).alias(k) for k in SEQUENCE_NAMES], *[F.first(k).alias(k) for k in ("nx", "ny", "nz", "dx", "dy", "dz")])
+    if available is None:
+        have, lack = present(*[F.when(F.col(k), F.lit(n)) for k, n in SEQUENCE_NAMES.items()]), present(*[F.when(~F.col(k), F.lit(n)) for k, n in SEQUENCE_NAMES.items()])
+        a = a.select("*", have.alias("performed"), F.concat(lack, strings(*UNAVAILABLE)).alias("not_available"), F.col("t1ce").alias("contrast"))
+    else:
+        listed = lambda c: F.filter(F.split(c, ","), lambda v: v != "")
+        a = a.join(available.select("case_id", listed("performed").alias("performed"), listed("not_available").alias("not_available"), "contrast"), "case_id", "left")
+    return a.select(
+        "case_id", "performed", "not_available", "contrast", F.col("dz").alias("slice_thickness_mm"), F.array("dx", "dy").alias("in_plane_resolution_mm"),
+        F.array("dx", "dy", "dz").alias("voxel_size_mm"), F.array("nx", "ny", "nz").alias("matrix_size"), F.col("nz").alias("num_slices"),
+    )
+
+
+def _ordered(df: DataFrame, order: Column, fields: list[str], name: str) -> DataFrame:
+    """``(case_id, name)``: the rows of a case as one list of structs (a few rows a case)."""
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("k"), F.struct(*fields).alias("v"))))
+    return df.groupBy("case_id").agg(F.transform(rows, lambda r: r["v"]).alias(name))
+
+
+def findings(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000, available: DataFrame | None = None) -> DataFrame:
+    """All findings of every case in one row, columns named by their step; operators share one stored grid."""
     g = ws.table(grid, "grid")
     keep = lambda df, name: ws.table(df, name)
     volume = keep(I.volumes_cm3(g), "volume")
@@ -57,7 +124,7 @@ def summarize(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000) -> D
     stats = keep(C.component_stats(C.label(g, region("wt"), ws)), "components")
     foci = C.component_stats(C.label(g, F.col("seg") == 3, ws))
     multi = keep(C.multiplicity(g, stats, foci), "multiplicity")
-    top = C.lesions(stats).where("rank = 1").select("case_id", "max_diameter_mm")
+    ranked = keep(C.lesions(stats), "lesions")
     images = keep(Q.image_quality(g), "images")
     overall = keep(Q.overall_quality(images), "overall")
     segmentation = keep(Q.segmentation_quality(g, ws, stats), "segmentation")
@@ -66,39 +133,77 @@ def summarize(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000) -> D
     renamed = lambda df, p: df.select("case_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "case_id"])
     out = volume
     for df, p in (
-        (top, "lesion"), (shift, "shift"), (X.herniation(shift, vent, sulci, volume), "risk"), (place, "place"), (multi, "multi"),
-        (I.enhancement(signals, ring(g)), "enh"), (S.shape(g), "shape"), (S.border(g), "border"), (S.margin(g), "margin"), (S.necrosis(g), "nec"), (S.cystic(g), "cyst"),
-        (segmentation, "seg"), (overall, "img"), (Q.artifacts(g), "art"), (system, "vent"), (tissue, "tissue"), (laterality_check(place, shift), "side"),
+        (ranked.where("rank = 1").select("case_id", "max_diameter_mm", (F.col("et") > 0).alias("enhancing")), "lesion"), (shift, "shift"), (vent, "comp"), (sulci, "sulci"),
+        (X.herniation(shift, vent, sulci, volume), "risk"), (place, "place"), (multi, "multi"), (I.enhancement(signals, ring(g)), "enh"), (I.t2_flair_mismatch(signals), "mis"),
+        (S.shape(g), "shape"), (S.border(g), "border"), (S.margin(g), "margin"), (S.necrosis(g), "nec"), (S.cystic(g), "cyst"),
+        (segmentation, "seg"), (overall, "img"), (Q.artifacts(g), "art"), (system, "vent"), (tissue, "tissue"), (N.vessels(g), "ves"), (laterality_check(place, shift), "side"),
+        (technique(g, available), "tech"),
     ):
         out = out.join(renamed(df, p), "case_id", "left")
-    by = signals.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("region", "signal_summary")))).alias("signals"))
-    caveats = Q.caveats(segmentation, overall, g.groupBy("case_id").agg(F.count_if(region("et")).alias("et")))
-    out = out.join(by, "case_id", "left").join(caveats, "case_id", "left")
-    lobes = F.split("place_lobes", ",")
-    differentials = F.when(F.col("multi_pattern") == "Solitary", F.array(*map(F.lit, ("Primary glioma", "Solitary metastasis", "Lymphoma", "Abscess")))).when(
-        F.col("multi_pattern") == "Primary with satellites", F.array(*map(F.lit, ("High-grade glioma with infiltration", "Multicentric glioma", "Inflammatory process")))).when(
-        F.col("multi_pattern") == "Regional multifocal", F.array(*map(F.lit, ("Multicentric glioma", "Regional metastases", "Demyelinating disease")))).when(
-        F.col("multi_pattern") == "Distant multifocal", F.array(*map(F.lit, ("Metastatic disease", "Multicentric glioma", "CNS lymphoma", "Multifocal infection")))).when(
-        F.col("multi_pattern") == "Diffuse/scattered", F.array(*map(F.lit, ("Metastatic carcinoma", "CNS lymphoma", "Miliary tuberculosis", "Septic emboli")))).otherwise(F.array().cast("array<string>"))
-    given = F.lit(NOT_GIVEN)
+    order = F.create_map(*[F.lit(x) for kv in I.SIGNAL_REGIONS.items() for x in kv])[F.col("region")]
+    lists = [
+        _ordered(signals, order, ["region", "signal_summary", "t1_ratio", "t2_ratio", "flair_ratio", "t1ce_ratio"], "signals"),
+        _ordered(ranked, F.col("rank"), ["rank", "volume_cm3", "max_diameter_mm", "et"], "lesions"),
+        _ordered(C.lesion_pairs(ranked).where((F.col("rank1") == 1) & (F.col("distance_mm") < C.SATELLITE_MM)), F.col("rank2"), ["distance_mm", "volume_cm3"], "satellites"),
+        _ordered(images, F.array_position(strings(*SEQUENCE_NAMES.values()), F.col("sequence")), ["sequence", "quality", "snr"], "sequences"),
+        _ordered(reliability_warnings(images, overall), F.col("warning"), ["sequence", "affected", "warning"], "warnings"),
+        Q.caveats(segmentation, overall, g.groupBy("case_id").agg(F.count_if(region("et")).alias("et"))),
+    ]
+    for df in lists:
+        out = out.join(df, "case_id", "left")
+    return ws.table(out, "findings")
+
+
+def compile_summary(found: DataFrame, date: str | None = None) -> DataFrame:
+    """The nested summary of every case from its ``findings``."""
     c = F.col
-    return ws.table(out.select(
-        "case_id",
-        F.struct(given.alias("clinical_history"), given.alias("relevant_prior_imaging")).alias("patient_info"),
-        F.struct(F.array(*map(F.lit, ("T1", "T1ce", "T2", "FLAIR"))).alias("sequences_performed"), F.lit(True).alias("contrast_administered")).alias("technique"),
+    given = F.lit(NOT_GIVEN)
+    entries = F.transform("signals", lambda r: F.struct(r["region"].alias("region"), F.struct(
+        r["signal_summary"].alias("signal_summary"), r["t1_ratio"].alias("T1_ratio"), r["t2_ratio"].alias("T2_ratio"), r["flair_ratio"].alias("FLAIR_ratio"), r["t1ce_ratio"].alias("T1ce_ratio"))))
+    graded = F.transform("sequences", lambda r: F.struct(r["sequence"].alias("sequence"), r["quality"].alias("quality")))
+    level = lambda want: strings(*sorted(k for k, v in Q.CONFIDENCE.items() if v == want))
+    listed = lambda n: F.filter(F.split(n, ","), lambda v: v != "")
+    return found.select(
+        "case_id", F.lit(date).cast("string").alias("analysis_date"),
+        F.struct(*[given.alias(k) for k in ("age", "sex", "clinical_history", "presenting_symptoms", "relevant_prior_imaging")], F.lit(PATIENT_NOTE).alias("note")).alias("patient_info"),
+        F.struct(
+            c("tech_performed").alias("sequences_performed"), c("tech_not_available").alias("sequences_not_available"), c("tech_contrast").alias("contrast_administered"),
+            F.when(c("tech_contrast"), CONTRAST_NOTE).otherwise("No post-contrast imaging available").alias("contrast_note"),
+            F.struct(*[c(f"tech_{k}").alias(k) for k in ("slice_thickness_mm", "in_plane_resolution_mm", "voxel_size_mm", "matrix_size", "num_slices")]).alias("acquisition_parameters"),
+            F.lit(TECHNIQUE_NOTE).alias("note"),
+        ).alias("technique"),
         F.struct(c("wt_cm3").alias("volume_cm3"), c("et_cm3").alias("enhancing_volume_cm3"), c("ncr_cm3").alias("necrotic_volume_cm3"), c("ed_cm3").alias("edema_volume_cm3"), F.coalesce("lesion_max_diameter_mm", F.lit(0.0)).alias("max_diameter_mm")).alias("tumor_characteristics"),
-        F.struct(c("place_hemisphere").alias("hemisphere"), c("place_laterality").alias("laterality"), c("place_primary_lobe").alias("primary_lobe"), lobes.alias("involved_lobes"), c("place_depth").alias("depth"), F.split("place_gyri", ",").alias("gyri"), c("side_consistent").alias("laterality_consistent")).alias("location"),
-        c("signals").alias("signal_characteristics"),
-        F.struct(c("enh_present").alias("present"), c("enh_pattern").alias("pattern"), c("enh_strength").alias("strength"), c("enh_heterogeneity").alias("heterogeneity")).alias("enhancement"),
+        F.struct(
+            c("place_hemisphere").alias("hemisphere"), c("place_laterality").alias("laterality"), c("place_primary_lobe").alias("primary_lobe"), listed("place_lobes").alias("involved_lobes"),
+            c("place_depth").alias("depth"), listed("place_gyri").alias("gyri"),
+            F.struct(*[c(f"side_{k}").alias(k) for k in ("location_method", "centroid_method", "consistent", "note")]).alias("laterality_validation"),
+        ).alias("location"),
+        F.map_from_entries(entries).alias("signal_characteristics"),
+        F.struct(c("enh_present").alias("present"), c("enh_pattern").alias("pattern"), F.coalesce("enh_strength", F.lit("None")).alias("strength"), F.coalesce("enh_heterogeneity", F.lit("N/A")).alias("heterogeneity")).alias("enhancement"),
         F.struct(c("shift_shift_mm").alias("midline_shift_mm"), c("shift_significant").alias("shift_significant"), c("shift_direction").alias("shift_direction"), c("risk_risk").alias("herniation_risk"), c("risk_score").alias("mass_effect_score")).alias("mass_effect"),
-        F.struct(F.lower(F.coalesce("shape_shape_class", F.lit("mass"))).alias("shape"), c("shape_sphericity").alias("sphericity"), c("shape_elongation").alias("elongation"), c("border_classification").alias("contour_shape"), c("margin_classification").alias("margin_transition"), c("margin_sharpness").alias("margin_sharpness")).alias("morphology"),
-        F.struct(c("nec_present").alias("present"), c("nec_pattern").alias("pattern"), c("nec_percent").alias("percentage"), c("nec_location").alias("location")).alias("necrosis"),
-        F.struct(c("cyst_classification").alias("classification"), c("cyst_cystic_percent").alias("cystic_percentage"), c("cyst_solid_percent").alias("solid_percentage")).alias("cystic_solid"),
+        F.struct(
+            F.lower(F.coalesce("shape_shape_class", F.lit("mass"))).alias("shape"), c("shape_sphericity").alias("sphericity"), c("shape_elongation").alias("elongation"),
+            c("border_classification").alias("contour_shape"), F.lit("outer_surface_smoothness").alias("contour_concept"), c("margin_classification").alias("margin_transition"),
+            F.lit("intensity_transition_sharpness").alias("margin_concept"), c("margin_sharpness").alias("margin_sharpness"),
+            F.concat("border_classification", F.lit(" contour with "), F.lower("margin_classification"), F.lit(" margins")).alias("combined_description"),
+        ).alias("morphology"),
+        F.struct(c("nec_present").alias("present"), c("nec_pattern").alias("pattern"), c("nec_percent").alias("percentage"), F.coalesce("nec_location", F.lit("N/A")).alias("location")).alias("necrosis"),
+        F.struct(c("cyst_classification").alias("classification"), c("cyst_cystic_percent").alias("cystic_percentage"), c("cyst_solid_percent").alias("solid_percentage"), described(CYSTIC, c("cyst_classification")).alias("description")).alias("cystic_solid"),
         F.struct(c("multi_lesions").cast("int").alias("lesion_count"), (c("multi_lesions") == 1).alias("is_single_lesion"), c("multi_pattern").alias("distribution_pattern"), (c("multi_satellites") > 0).alias("has_satellites")).alias("multiplicity"),
         F.struct(F.struct(c("vent_size").alias("size"), c("vent_total_cm3").alias("volume_cm3"), (c("vent_hydrocephalus") != "No hydrocephalus").alias("hydrocephalus"), c("vent_symmetry").alias("symmetry")).alias("ventricular_system"), F.struct(c("tissue_differentiation").alias("gray_white_differentiation"), c("tissue_white_matter_disease").alias("white_matter_disease"), c("tissue_overall").alias("overall")).alias("parenchyma")).alias("normal_structures"),
-        F.struct(c("seg_score").alias("segmentation_score"), c("seg_grade").alias("segmentation_grade"), c("img_overall").alias("image_quality"), c("art_artifacts").alias("artifacts")).alias("quality_metrics"),
-        differentials.alias("differential_considerations"), "caveats",
-    ), "summary")
+        F.struct(
+            c("seg_score").alias("segmentation_score"), c("seg_grade").alias("segmentation_grade"), c("img_overall").alias("image_quality"), F.map_from_entries(graded).alias("sequence_quality"),
+            F.struct(F.filter(F.split("art_artifacts", ", "), lambda v: v != "").alias("detected"), c("art_severity").alias("severity"), c("art_impact").alias("impact")).alias("artifacts"),
+            level("High").alias("confidence_high"), level("Moderate").alias("confidence_moderate"),
+        ).alias("quality_metrics"),
+        F.coalesce("warnings", F.array().cast(found.schema["warnings"].dataType)).alias("measurement_reliability_warnings"),
+        differentials(c("multi_pattern")).alias("differential_considerations"), "caveats",
+    )
+
+
+def summarize(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000, available: DataFrame | None = None, date: str | None = None) -> DataFrame:
+    """The nested summary of every case of a grid."""
+    return ws.table(compile_summary(findings(grid, ws, ventricle_voxels, available), date), "summary")
 
 
 def flat_metrics(summary: DataFrame) -> DataFrame:
@@ -112,23 +217,6 @@ def flat_metrics(summary: DataFrame) -> DataFrame:
     )
 
 
-def text_summary(summary: DataFrame) -> DataFrame:
-    """Plain lines of the main findings; a line without data is left out."""
-    line = lambda pattern, *cols: F.when(F.col(cols[0]).isNotNull(), F.format_string(pattern, *[F.col(c) for c in cols]))
-    lines = present(
-        line("Tumor volume: %.2f cm³ (enhancing %.2f, necrotic %.2f, edema %.2f)", "tumor_characteristics.volume_cm3", "tumor_characteristics.enhancing_volume_cm3", "tumor_characteristics.necrotic_volume_cm3", "tumor_characteristics.edema_volume_cm3"),
-        line("Location: %s, primary lobe %s, %s", "location.laterality", "location.primary_lobe", "location.depth"),
-        line("Enhancement: %s, %s", "enhancement.pattern", "enhancement.heterogeneity"),
-        line("Midline shift: %.1f mm, herniation risk %s", "mass_effect.midline_shift_mm", "mass_effect.herniation_risk"),
-        line("Lesions: %d, %s", "multiplicity.lesion_count", "multiplicity.distribution_pattern"),
-        line("Shape: %s, contour %s, margin %s", "morphology.shape", "morphology.contour_shape", "morphology.margin_transition"),
-        line("Necrosis: %s (%.0f%%)", "necrosis.pattern", "necrosis.percentage"),
-        line("Ventricles: %s, %s", "normal_structures.ventricular_system.size", "normal_structures.ventricular_system.symmetry"),
-        line("Segmentation quality: %d (%s), image quality %s", "quality_metrics.segmentation_score", "quality_metrics.segmentation_grade", "quality_metrics.image_quality"),
-    )
-    return summary.select("case_id", F.array_join(lines, "\n").alias("text"))
-
-
 def write_json(summary: DataFrame, folder: str) -> None:
     summary.write.mode("overwrite").json(folder)
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.operators import evaluate as E, intensity as I, mass_effect as ME, quality as Q, retrieval as R
-from cohortvox.plans import exports as X, report as P, summary as S
+from cohortvox.operators import evaluate as E, intensity as I, retrieval as R
+from cohortvox.plans import exports as X, report as P, step_texts as ST, summary as S
 from cohortvox.plans.cohort_queries import COMP, GRID, MEAN, rounded
+from cohortvox.plans.report_queries import masked, validated
 from cohortvox.sources import manifest as M
 from cohortvox.sources.voxels import grid
 from cohortvox.sources.workspace import Workspace
@@ -81,9 +82,10 @@ def v05(spark, sf):
     return rounded(_dense(spark, sf), 5)
 
 
-@query("v06_dense_or_terms")
+@query("v06_dense_or_terms", _dense_sql("true").replace("SELECT query, id, round(distance, 5) AS distance, CAST(k AS INT) AS rank", "SELECT query, id, CAST(k AS INT) AS rank", 1))
 def v06(spark, sf):
-    return R.top_k_or_terms(None, v04(spark, sf))
+    dense = _dense(spark, sf).select("query", "id", "rank")
+    return R.top_k_or_terms(dense, v04(spark, sf).select("query", "id", "rank"))
 
 
 @query("v07_filtered_dense_top3", _dense_sql("e.label = 3"))
@@ -160,7 +162,7 @@ def order_files(spark, sf) -> DataFrame:
     return o.select(F.concat(F.lit("/cohort/"), case, F.lit("/"), case, F.lit("-"), seq, ext).alias("path")).distinct()
 
 
-FILES = """f AS (SELECT DISTINCT c, s, x FROM (SELECT printf('C-%05d-000', CAST(floor(o_orderkey / 8.0) AS BIGINT) % 100000) AS c, ['t1n', 't1c', 't2w', 't2f', 'seg'][(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) % 5 + 1] AS s, CASE WHEN o_orderstatus = 'F' THEN '.nii' ELSE '.nii.gz' END AS x FROM orders))"""
+FILES = """f AS (SELECT DISTINCT c, s, x FROM (SELECT printf('C%s-%05d-000', CASE WHEN o_orderkey >= 800000 THEN CAST(o_orderkey // 800000 AS VARCHAR) ELSE '' END, (o_orderkey // 8) % 100000) AS c, ['t1n', 't1c', 't2w', 't2f', 'seg'][(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1) % 5 + 1] AS s, CASE WHEN o_orderstatus = 'F' THEN '.nii' ELSE '.nii.gz' END AS x FROM orders))"""
 
 
 @query("a03_a08_case_completeness", f"WITH {FILES} SELECT c AS case_id, count(DISTINCT s) FILTER (WHERE s <> 'seg') = 4 AS complete, count(*) AS files, bool_or(s = 'seg') AS has_ground_truth FROM f GROUP BY 1")
@@ -169,9 +171,9 @@ def a08(spark, sf):
     return M.sequence_paths(m).select("case_id", "complete").join(M.inventory(m), "case_id")
 
 
-@query("a05_a06_rename_plan", f"WITH {FILES}, t AS (SELECT *, count(*) OVER (PARTITION BY c, s) AS n FROM f) SELECT '/cohort/' || c || '/' || c || '-' || s || x AS path, CASE WHEN n > 1 THEN 'error' ELSE 'rename' END AS action FROM t")
+@query("a05_a06_rename_plan", f"WITH {FILES}, t AS (SELECT *, count(*) OVER (PARTITION BY c, s) AS n FROM f) SELECT '/cohort/' || c || '/' || c || '-' || s || x AS path, '/cohort/' || c || '/' || c || '_' || CASE s WHEN 't1n' THEN 't1' WHEN 't1c' THEN 't1ce' WHEN 't2w' THEN 't2' WHEN 't2f' THEN 'flair' ELSE s END || '.nii.gz' AS target, CASE WHEN n > 1 THEN 'error' ELSE 'rename' END AS action FROM t")
 def a06(spark, sf):
-    return M.rename_plan(M.manifest(order_files(spark, sf))).select("path", "action")
+    return M.rename_plan(M.manifest(order_files(spark, sf))).select("path", "target", "action")
 
 
 @query("a07_folders", f"WITH {FILES} SELECT DISTINCT '/cohort/' || c AS dir FROM f")
@@ -179,32 +181,27 @@ def a07(spark, sf):
     return M.folders(M.manifest(order_files(spark, sf)))
 
 
-@query("a10_availability", f"WITH {FILES} SELECT c AS case_id, concat_ws(',', CASE WHEN bool_or(s = 't1n') THEN 'T1' END, CASE WHEN bool_or(s = 't1c') THEN 'T1ce' END, CASE WHEN bool_or(s = 't2w') THEN 'T2' END, CASE WHEN bool_or(s = 't2f') THEN 'FLAIR' END) AS performed, bool_or(s = 't1c') AS contrast FROM f GROUP BY 1")
+@query("a10_availability", f"WITH {FILES} SELECT c AS case_id, concat_ws(',', CASE WHEN bool_or(s = 't1n') THEN 'T1' END, CASE WHEN bool_or(s = 't1c') THEN 'T1ce' END, CASE WHEN bool_or(s = 't2w') THEN 'T2' END, CASE WHEN bool_or(s = 't2f') THEN 'FLAIR' END) AS performed, concat_ws(',', CASE WHEN NOT bool_or(s = 't1n') THEN 'T1' END, CASE WHEN NOT bool_or(s = 't1c') THEN 'T1ce' END, CASE WHEN NOT bool_or(s = 't2w') THEN 'T2' END, CASE WHEN NOT bool_or(s = 't2f') THEN 'FLAIR' END, 'DWI,ADC,MRS,Perfusion') AS not_available, bool_or(s = 't1c') AS contrast FROM f GROUP BY 1")
 def a10(spark, sf):
-    return M.availability(M.manifest(order_files(spark, sf))).select("case_id", "performed", "contrast")
+    return M.availability(M.manifest(order_files(spark, sf)))
 
 
 def _quoted(words):
     return "[" + ", ".join("'" + w.lower().replace("'", "''") + "'" for w in words) + "]"
 
 
-SENTENCES = "s AS (SELECT doc_id, replace(split_part(text, chr(10), 1), chr(9), ' ') AS content FROM documents)"
-
-
-def first_lines(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.replace(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\t"), F.lit(" ")).alias("content"))
+#: Every line of every document, numbered from 0; a null text is one null line.
+LINES = "li AS (SELECT doc_id, unnest(range(len(c))) AS line, replace(unnest(c), chr(9), ' ') AS content FROM (SELECT doc_id, coalesce(string_split(text, chr(10)), [NULL]) AS c FROM documents))"
 
 
 def all_lines(spark, sf) -> DataFrame:
-    """Every line of every document, numbered from 0; a null text is one null line."""
     d = table(spark, sf, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content"))
-    return d.select("doc_id", F.coalesce("line", F.lit(0)).alias("line"), F.replace("content", F.lit("\t"), F.lit(" ")).alias("content"))
+    return d.select("doc_id", F.coalesce("line", F.lit(0)).cast("long").alias("line"), F.replace("content", F.lit("\t"), F.lit(" ")).alias("content"))
 
 
-@query("r12_r25_banned_words", f"WITH b AS (SELECT doc_id, list_filter({_quoted(P.BANNED)}, lambda w: contains(lower(text), w)) AS hit FROM documents WHERE NOT contains(lower(text), 'histopatholog')) SELECT doc_id, array_to_string(hit, ',') AS banned FROM b")
+@query("r12_r25_banned_words", f"SELECT doc_id, array_to_string(list_transform(list_filter({_quoted(P.BANNED)}, lambda w: contains(safe, w)), lambda w: lower(w)), ',') AS banned FROM (SELECT doc_id, {masked('lower(text)')} AS safe FROM documents)")
 def r12(spark, sf):
-    d = table(spark, sf, "documents").where("not contains(lower(text), 'histopatholog')")
-    return d.select("doc_id", F.concat_ws(",", F.transform(P.banned_words(F.col("text")), lambda w: F.lower(w))).alias("banned"))
+    return table(spark, sf, "documents").select("doc_id", F.concat_ws(",", F.transform(P.banned_words(F.col("text")), lambda w: F.lower(w))).alias("banned"))
 
 
 @query("r13_section_terms", f"WITH b AS (SELECT doc_id, list_filter({_quoted(P.SECTION_TERMS['FINDINGS'])}, lambda w: contains(lower(text), w)) AS hit FROM documents) SELECT doc_id, array_to_string(hit, ',') AS terms FROM b")
@@ -213,25 +210,24 @@ def r13(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat_ws(",", P.held(terms, F.col("text"))).alias("terms"))
 
 
-@query("r15_r17_validated_slots")
+RULED = [k for k, v in P.SLOTS.items() if v]
+_BY_DOC = "SELECT struct_pack(case_id := doc_id // {n}, line := line) AS case_id, {slots}[doc_id % {n} + 1] AS slot, content FROM li".format(n=len(RULED), slots=_quoted(RULED))
+
+
+@query("r15_r17_validated_slots", f"WITH {LINES},\n{validated(_BY_DOC)} SELECT case_id.case_id AS case_id, case_id.line AS line, slot, original, sanitized, array_to_string(violations, '; ') AS violations FROM chk")
 def r17(spark, sf):
-    slots = [k for k, v in P.SLOTS.items() if v]
-    pick = F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod("doc_id", F.lit(len(slots))) + 1).cast("int"))
-    case = F.struct(F.floor(F.col("doc_id") / len(slots)).alias("case_id"), "line")
+    """Line k of as many documents as there are slots is a case."""
+    pick = F.element_at(F.array(*[F.lit(s) for s in RULED]), (F.pmod("doc_id", F.lit(len(RULED))) + 1).cast("int"))
+    case = F.struct(F.floor(F.col("doc_id") / len(RULED)).alias("case_id"), "line")
     c = P.validate(all_lines(spark, sf).select(case.alias("case_id"), pick.alias("slot"), "content"), P.slot_specs(spark))
     return c.select("case_id.case_id", "case_id.line", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
 
 
-@query("r15_length_limit", f"WITH {SENTENCES} SELECT doc_id, CASE WHEN length(content) > 150 THEN substr(content, 1, 147) || '...' ELSE content END AS sanitized FROM s WHERE NOT list_bool_or(list_transform({_quoted([*P.BANNED, *P.SECTION_TERMS['FINDINGS'], *P.SLOTS['parenchyma_sentence'][3], *P.SLOTS['ventricles_sentence'][3], 'mass'])}, lambda w: contains(lower(content), w)))".replace("list_bool_or(list_transform(", "list_bool_or(list_transform("))
-def r15(spark, sf):
-    bad = sorted({w.lower() for w in [*P.BANNED, *P.SECTION_TERMS["FINDINGS"], *P.SLOTS["parenchyma_sentence"][3], *P.SLOTS["ventricles_sentence"][3], "mass"]})
-    d = first_lines(spark, sf).where(F.size(P.held(F.array(*[F.lit(w) for w in bad]), F.col("content"))) == 0)
-    v = d.select(F.col("doc_id").alias("case_id"), F.lit("ventricles_sentence").alias("slot"), "content")
-    return P.validate(v, P.slot_specs(spark)).select(F.col("case_id").alias("doc_id"), "sanitized")
+_VENTRICLES = "SELECT struct_pack(doc_id := doc_id, line := line) AS case_id, 'ventricles_sentence' AS slot, content FROM li"
 
 
-@query("r15_length_limit_all_lines")
-def r15_lines(spark, sf):
+@query("r15_length_limit", f"WITH {LINES},\n{validated(_VENTRICLES)} SELECT case_id.doc_id AS doc_id, case_id.line AS line, sanitized FROM chk")
+def r15(spark, sf):
     v = all_lines(spark, sf).select(F.struct("doc_id", "line").alias("case_id"), F.lit("ventricles_sentence").alias("slot"), "content")
     return P.validate(v, P.slot_specs(spark)).select("case_id.doc_id", "case_id.line", "sanitized")
 
@@ -242,19 +238,14 @@ def r18(spark, sf):
     return P.allowed_value(P.slot_specs(spark), v).select("doc_id", "valid")
 
 
-@query("r21_sentence_integrity", f"WITH {SENTENCES} SELECT doc_id, CAST(regexp_matches(content, '^[a-z]') AS INT) + CAST(regexp_matches(content, ',\\s*$') AS INT) + CAST(regexp_matches(content, '^\\s*and\\s') AS INT) + CAST(regexp_matches(content, '^\\s*with\\s') AS INT) + CAST(regexp_matches(content, ',\\s*,') AS INT) + CAST(regexp_matches(content, '\\s{{2,}}') AS INT) + CAST(length(content) > 0 AND NOT regexp_matches(trim(content), '[.?!]$') AND NOT regexp_matches(trim(content), '^(1\\.|2\\.|-|\\*)') AS INT) AS signs FROM s")
+@query("r21_sentence_integrity", f"WITH {LINES} SELECT doc_id, line, CAST(regexp_matches(content, '^[a-z]') AS INT) + CAST(regexp_matches(content, ',\\s*$') AS INT) + CAST(regexp_matches(content, '^\\s*and\\s') AS INT) + CAST(regexp_matches(content, '^\\s*with\\s') AS INT) + CAST(regexp_matches(content, ',\\s*,') AS INT) + CAST(regexp_matches(content, '\\s{{2,}}') AS INT) + CAST(length(content) > 0 AND NOT regexp_matches(trim(content), '[.?!]$') AND NOT regexp_matches(trim(content), '^(1\\.|2\\.|-|\\*)') AS INT) AS signs FROM li")
 def r21(spark, sf):
-    return first_lines(spark, sf).select("doc_id", F.size(P.integrity(F.col("content"))).alias("signs"))
-
-
-@query("r21_sentence_integrity_all_lines")
-def r21_lines(spark, sf):
     return all_lines(spark, sf).select("doc_id", "line", F.size(P.integrity(F.col("content"))).alias("signs"))
 
 
-@query("d30_concept_mentions", "SELECT doc_id, len(regexp_extract_all(lower(text), 'the')) AS mentions FROM documents")
+@query("d30_concept_mentions", "SELECT conv_id, turn, concept, len(regexp_extract_all(lower(text), concept)) AS mentions FROM conversations, (VALUES " + ", ".join(f"('{k.replace('_', ' ')}')" for k in P.OWNERS) + ") t(concept)")
 def d30(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the")).alias("mentions"))
+    return P.concept_mentions(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "concept", "mentions")
 
 
 @query("a14_front_matter", "SELECT doc_id, length(split_part(text, chr(10), 1)) AS header_chars, CAST(length(text) - length(split_part(text, chr(10), 1)) AS BIGINT) AS rest_chars FROM documents")
@@ -267,49 +258,32 @@ def summary(spark, sf, name):
     return S.summarize(grid(spark, sf), Workspace(spark, name), ventricle_voxels=5)
 
 
-def _bundle(spark, sf, name):
-    return P.report_bundle(summary(spark, sf, name), "2024-01-31")
-
-
 @query("e36_a11_summary_json")
 def e36(spark, sf):
     s = summary(spark, sf, "e36")
-    return s.select("case_id", F.to_json(F.struct(*[c for c in s.columns if c not in ("signal_characteristics",)])).alias("summary"))
+    return s.select("case_id", F.to_json(F.struct(*s.columns)).alias("summary"))
 
 
-@query("e39_e40_text_summary")
-def e39(spark, sf):
-    return S.text_summary(summary(spark, sf, "e39"))
+def _findings(spark, sf, name):
+    return S.findings(grid(spark, sf), Workspace(spark, name), ventricle_voxels=5)
 
 
-@query("a18_flat_metrics")
-def a18(spark, sf):
-    return rounded(S.flat_metrics(summary(spark, sf, "a18")))
+@query("e39_step_texts")
+def e39(spark, sf):
+    return ST.step_texts(_findings(spark, sf, "e39"))
 
 
-@query("r01_r10_facts")
-def r01(spark, sf):
-    f = _bundle(spark, sf, "r01")[2]
-    return rounded(f.withColumn("sequences", F.concat_ws(",", "sequences")).withColumn("differentials", F.concat_ws(",", "differentials")))
+@query("e40_comprehensive_report")
+def e40(spark, sf):
+    return ST.comprehensive_report(_findings(spark, sf, "e40"), "2024-01-31")
 
 
 @query("r11_r20_reports")
 def r20(spark, sf):
-    reports = _bundle(spark, sf, "r20")[0]
+    reports = P.report_bundle(summary(spark, sf, "r20"), "2024-01-31")[0]
     return reports.select("case_id", "report", F.array_join("notes", "; ").alias("notes"))
 
 
-@query("r26_validation_log")
-def r26(spark, sf):
-    return _bundle(spark, sf, "r26")[1]
-
-
-@query("a16_a17_report_sections")
-def a16(spark, sf):
-    reports = _bundle(spark, sf, "a16")[0]
-    return reports.select("case_id", F.explode(P.sections(F.col("report"))).alias("section", "text"), F.array_join(P.impression_items(F.col("report")), " | ").alias("impression"))
-
-
 @query("a13_volume_text")  # no twin: the engines print halves differently
 def a13(spark, sf):
     return X.volume_text(I.volumes_cm3(grid(spark, sf)))
@@ -354,26 +328,17 @@ def r22(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", v.alias("value"))
 
 
-@query("r16_concept_ownership")
+TURN_SLOTS = ("enhancement_sentence", "necrosis_sentence", "edema_sentence", "ventricles_sentence")
+_TURNS = f"SELECT struct_pack(conv_id := conv_id, block := turn // {len(TURN_SLOTS)}) AS case_id, {_quoted(TURN_SLOTS)}[turn % {len(TURN_SLOTS)} + 1] AS slot, text AS content FROM conversations"
+
+
+@query("r16_concept_ownership", f"WITH {validated(_TURNS)} SELECT case_id.conv_id AS conv_id, case_id.block AS block, slot, len(list_filter(violations, lambda x: starts_with(x, 'Concept'))) AS repeats FROM chk")
 def r16(spark, sf):
     """Four turns in a row are a case with a slot each; no turn is left out."""
-    slots = ("enhancement_sentence", "necrosis_sentence", "edema_sentence", "ventricles_sentence")
-    k = F.pmod("turn", F.lit(len(slots)))
-    pick = F.element_at(F.array(*[F.lit(s) for s in slots]), (k + 1).cast("int"))
-    block = F.struct("conv_id", ((F.col("turn") - k) / len(slots)).cast("long").alias("block"))
+    k = F.pmod("turn", F.lit(len(TURN_SLOTS)))
+    pick = F.element_at(F.array(*[F.lit(s) for s in TURN_SLOTS]), (k + 1).cast("int"))
+    block = F.struct("conv_id", ((F.col("turn") - k) / len(TURN_SLOTS)).cast("long").alias("block"))
     c = table(spark, sf, "conversations").select(block.alias("case_id"), pick.alias("slot"), F.col("text").alias("content"))
     v = P.validate(c, P.slot_specs(spark))
     repeats = F.size(F.filter("violations", lambda x: F.startswith(x, F.lit("Concept"))))
     return v.select("case_id.conv_id", "case_id.block", "slot", repeats.alias("repeats"))
-
-
-@query("e37_laterality_check")
-def e37(spark, sf):
-    g = grid(spark, sf)
-    return S.laterality_check(ME.location(g), ME.midline_shift(g))
-
-
-@query("e38_reliability_warnings")
-def e38(spark, sf):
-    q = Q.image_quality(grid(spark, sf))
-    return S.reliability_warnings(q, Q.overall_quality(q))

@@ -17,17 +17,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortvox.sources.manifest import manifest
 
 HEADER = 348
+#: Files that a case's voxels are written to at most.
+SPREAD = 4
 #: NIfTI datatype codes.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
 def _chunks(raw: bytes, compressed: bool, size: int = 1 << 20) -> Iterator[bytes]:
+    """Pieces of about ``size``; a compressed file may have several members."""
     if not compressed:
-        yield raw
+        for a in range(0, len(raw), size):
+            yield raw[a : a + size]
         return
     z = zlib.decompressobj(31)
     for a in range(0, len(raw), size):
-        yield z.decompress(raw[a : a + size])
+        part = raw[a : a + size]
+        while part:
+            if z.eof:
+                if not part.strip(b"\0"):  # padding after the last member
+                    break
+                z = zlib.decompressobj(31)
+            yield z.decompress(part)
+            part = z.unused_data
     yield z.flush()
 
 
@@ -120,7 +131,9 @@ def ingest(spark: SparkSession, folder: str, out: str) -> tuple[DataFrame, DataF
     long = read_voxels(spark, folder).join(F.broadcast(files) if files.count() <= 100_000 else files, "path")
     pick = lambda s: F.coalesce(F.max(F.when(F.col("seq") == s, F.col("value"))), F.lit(0.0))
     wide = long.groupBy("case_id", "x", "y", "z").agg(*[pick(s).alias(s) for s in ("t1", "t1ce", "t2", "flair")], F.bround(pick("seg")).cast("int").alias("seg"))
-    wide.write.mode("overwrite").partitionBy("case_id").parquet(f"{out}/voxels")
+    # a folder per case, of few files: rows of a case go to one of SPREAD tasks by their slice
+    spread = wide.repartition("case_id", F.pmod("z", F.lit(SPREAD)))
+    spread.write.mode("overwrite").partitionBy("case_id").parquet(f"{out}/voxels")
     geo = read_geometry(spark, folder).join(files, "path")
     first = geo.groupBy("case_id").agg(F.min_by(F.struct("nx", "ny", "nz", "dx", "dy", "dz", "description"), F.struct(F.col("seq") == "seg", "path")).alias("g"))
     first.select("case_id", "g.*").write.mode("overwrite").parquet(f"{out}/volumes")

@@ -75,6 +75,14 @@ def rename_counts(plan: DataFrame) -> DataFrame:
     return plan.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("rename", "renamed"), ("skip", "skipped"), ("error", "errors"))])
 
 
+def accepted_upload(name: Column, job: Column, kinds: tuple[str, ...] = ("nii", "nii.gz")) -> Column:
+    """Whether an uploaded file has one of the extensions and comes with a job's name."""
+    ends = F.lit(False)
+    for k in kinds:
+        ends = ends | F.endswith(F.lower(name), F.lit("." + k))
+    return F.coalesce(ends & (F.trim(job) != ""), F.lit(False))
+
+
 def folders(m: DataFrame) -> DataFrame:
     return m.where("seq is not null").select("dir").distinct()
 

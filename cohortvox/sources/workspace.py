@@ -71,8 +71,16 @@ class Workspace:
         self._paths = [out.workspace_path]
         return F.broadcast(out) if broadcast_rows and out.count() <= broadcast_rows else out
 
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self, path: str) -> bool:
+        """Whether a table was written there as a whole."""
+        files, p = self._at(f"{path}/_SUCCESS")
+        return files.exists(p)
+
     def delete(self, path: str | None) -> None:
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            files, p = self._at(path)
+            files.delete(p, True)

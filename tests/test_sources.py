@@ -37,6 +37,9 @@ def test_ingest(spark, tmp_path):
             got[s][r.x, r.y, r.z] = r[s]
     for s, v in vols.items():
         assert (got[s] == v * (2 if s == "t2" else 1)).all()
+    two = gzip.compress(b"a" * 10) + gzip.compress(b"b" * 10) + b"\0" * 8
+    assert I.Reader(two).take(20) == b"a" * 10 + b"b" * 10
+    assert len(os.listdir(f"{tmp_path}/out/voxels/case_id=c1")) <= 2 * I.SPREAD + 2
     with pytest.raises(ValueError):
         I.parse_header(b"x" * 348)
     with pytest.raises(ValueError):

@@ -37,8 +37,8 @@ def test_every_line_is_checked(spark, tmp_path):
     fallback = P.SLOTS["ventricles_sentence"][2]
     short = lambda x: x and (fallback if x in ("A malignant line.", "Certainly.") else x[:147] + "..." if len(x) > 150 else x)
     none_last = lambda r: (r[0], r[1])
-    assert sorted(map(tuple, Q.r15_lines(spark, str(tmp_path)).collect()), key=none_last) == [(d, n, short(x)) for d, n, x in lines]
-    signs = {(r.doc_id, r.line): r.signs for r in Q.r21_lines(spark, str(tmp_path)).collect()}
+    assert sorted(map(tuple, Q.r15(spark, str(tmp_path)).collect()), key=none_last) == [(d, n, short(x)) for d, n, x in lines]
+    signs = {(r.doc_id, r.line): r.signs for r in Q.r21(spark, str(tmp_path)).collect()}
     assert len(signs) == len(lines) and signs[4, 2] == 3 and signs[4, 0] == 0
 
 
