@@ -96,11 +96,16 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = SKETCH) -> DataFr
     return src.mapInArrow(run, "doc_id bigint, n int, f1 bigint, f2 bigint, sketch array<bigint>")
 
 
-def candidate_lists(reps: DataFrame) -> DataFrame:
-    """``(value, rep)``: each class in the lists of its rarest shared values."""
+def candidate_lists(reps: DataFrame, ws: Workspace) -> DataFrame:
+    """``(value, rep)``: each class in the lists of its rarest shared values.
+
+    Value counts are written first, so that a value of very many classes is
+    broadcast to them or its rows split, instead of meeting in one task.
+    """
     post = reps.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    many = post.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = post.join(many, "value").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("s"))
+    many = ws.table(post.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "many")
+    rows = many.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    shared = join_classes(post, many, ["value"], "df", rows, "inner").groupBy("rep", "n", "k").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("s"))
     need = (
         F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100))
         .when(F.col("n") < SKETCH, F.lit(NEARLY)).otherwise(F.lit(OVERLAP))
@@ -215,11 +220,13 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
         .select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.sketch").alias("sketch"), "rows"),
         "classes",
     )
-    lists = ws.table(candidate_lists(classes.select("rep", "n", "sketch")), "lists")
-    lead = lists.groupBy("value").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    cluster = components(lists.join(lead, "value").where("rep <> lead").select("rep", "lead"), "rep", "lead", ws)
+    lists = ws.table(candidate_lists(classes.select("rep", "n", "sketch"), ws), "lists")
+    lead = ws.table(lists.groupBy("value").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1"), "lead")
+    rows = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    met = join_classes(lists, lead, ["value"], "c", rows, "inner").where("rep <> lead")
+    cluster = components(met.select("rep", "lead"), "rep", "lead", ws)
     tasks = ws.table(_tasks(cluster, classes.groupBy("rep").agg(F.max("n").alias("n")), block), "tasks")
-    ws.drop(lists)
+    ws.drop(lists, lead)
     n_tasks = tasks.agg(F.coalesce(F.sum(F.size("tasks")), F.lit(0))).first()[0]  # also when few classes have many tasks
     side = F.broadcast(tasks) if n_tasks <= broadcast_rows else tasks
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
