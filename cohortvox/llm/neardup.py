@@ -112,7 +112,10 @@ def candidate_lists(reps: DataFrame, ws: Workspace) -> DataFrame:
     )
     # values held by this class alone come first in the rarest-first order
     shared = shared.withColumn("take", (F.size("s") - need + 1).cast("int"))
-    return shared.where("take > 0").select("rep", F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("s")).select(F.col("s.value").alias("value"), "rep")
+    lists = shared.where("take > 0").select("rep", F.explode(F.slice("s", F.lit(1), F.col("take"))).alias("s")).select(F.col("s.value").alias("value"), "rep")
+    out = ws.table(lists, "lists")
+    ws.drop(many)
+    return out
 
 
 class Forest:
@@ -220,7 +223,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
         .select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.sketch").alias("sketch"), "rows"),
         "classes",
     )
-    lists = ws.table(candidate_lists(classes.select("rep", "n", "sketch"), ws), "lists")
+    lists = candidate_lists(classes.select("rep", "n", "sketch"), ws)
     lead = ws.table(lists.groupBy("value").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1"), "lead")
     rows = lead.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     met = join_classes(lists, lead, ["value"], "c", rows, "inner").where("rep <> lead")
@@ -237,6 +240,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, shingle: int = SHINGLE, perc
     )
     links = ws.table(blocks.mapInArrow(_verify(shingle, percent), "a bigint, b bigint"), "links")
     found = components(links, "a", "b", ws)
+    ws.drop(tasks, links)
     label = classes.select("n", "f1", "f2", "rep", "rows").join(found, F.col("rep") == F.col("node"), "left").select(
         "n", "f1", "f2", "rows", F.coalesce("component", "rep").alias("component")
     )

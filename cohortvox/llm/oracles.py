@@ -37,3 +37,65 @@ e AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i) UNION ALL SELECT b,
 c(id, lab) USING KEY (id) AS (SELECT DISTINCT rep, rep FROM k UNION (SELECT e.b, min(f.lab) FROM c f JOIN e ON e.a = f.id JOIN recurring.c o ON o.id = e.b WHERE f.lab < o.lab GROUP BY e.b))
 SELECT d.doc_id, coalesce(k.n, 0) AS n_shingles, coalesce(c.lab, d.doc_id) AS component_id, coalesce(c.lab, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN c ON c.id = k.rep
 """
+
+#: CRC-32 by its byte table (reflected polynomial 0xEDB88320), prefix sums of bytes, equal cuts by the middle byte.
+OP5 = r"""
+WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS b FROM documents),
+d AS (SELECT doc_id, size, CAST(xor(list_reduce(b, lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1]), 4294967295), 4294967295) AS BIGINT) AS crc FROM b, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, crc, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, CAST(least(7, (2 * before + size) * 8 // (2 * total)) AS INT) AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, crc, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+"""
+
+
+#: The primes of the 64-bit xxHash.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_M = 1 << 64
+
+
+def _times(x: str, p: int) -> str:
+    return f"(({x}) * {p}::UHUGEINT % {_M}::UHUGEINT)"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"(({x}) * {1 << bits}::UHUGEINT % {_M}::UHUGEINT + (({x}) >> {64 - bits}))"
+
+
+def _xxhash(steps: list[tuple[str, int]], source: str) -> str:
+    """CTEs h0 to h<n> that hash non-negative columns (of 4 or 8 bytes) one after another, from seed 42."""
+    ctes, seed, at = [f"h0 AS (SELECT *, 42::UHUGEINT AS h FROM {source})"], "h", 0
+
+    def add(expr: str) -> None:
+        nonlocal at
+        at += 1
+        ctes.append(f"h{at} AS (SELECT * REPLACE (({expr})::UHUGEINT AS h) FROM h{at - 1})")
+
+    for col, width in steps:
+        value = f"({col})::UHUGEINT"
+        if width == 8:
+            add(f"xor(({seed} + {_P5 + 8}::UHUGEINT) % {_M}::UHUGEINT, {_times(_turned(_times(value, _P2), 31), _P1)})")
+            add(f"({_times(_turned('h', 27), _P1)} + {_P4}::UHUGEINT) % {_M}::UHUGEINT")
+        else:
+            add(f"xor(({seed} + {_P5 + 4}::UHUGEINT) % {_M}::UHUGEINT, {_times(value, _P1)})")
+            add(f"({_times(_turned('h', 23), _P2)} + {_P3}::UHUGEINT) % {_M}::UHUGEINT")
+        add(_times("xor(h, h >> 33)", _P2))
+        add(_times("xor(h, h >> 29)", _P3))
+        add("xor(h, h >> 32)")
+    return ",\n".join(ctes) + f",\nhashed AS (SELECT * FROM h{at})"
+
+
+#: Targets in closed form, then each source in hash order (as signed numbers), cut at its budget.
+OP10 = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+{_xxhash([("1234567", 4), ("doc_id", 8), ("size", 8)], "d")},
+s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+l AS (SELECT *, (budget - capped) / rest AS level FROM o),
+f AS (SELECT arg_min(level, (cap / weight, capped)) FILTER (WHERE level * weight <= cap) AS level FROM l),
+g AS (SELECT source, source_size, coalesce(least(cap, f.level * weight), cap) AS target FROM l, f),
+q AS (SELECT h.doc_id, h.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(floor(g.target) / g.source_size) ELSE 0 END AS epochs,
+ sum(h.size) OVER (PARTITION BY h.source ORDER BY CASE WHEN h.h >= 9223372036854775808::UHUGEINT THEN 0 ELSE 1 END, h.h, h.doc_id, h.size ROWS UNBOUNDED PRECEDING) - h.size AS before FROM hashed h JOIN g ON h.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(epochs * size + greatest(0, least(size, floor(target) - epochs * source_size - before)) AS BIGINT) AS taken FROM q
+"""

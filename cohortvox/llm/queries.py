@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {
     "op1_lattice_near_dedup": oracles.OP1,
     "op3_zip_warc_pages": warczip.OP3_SQL,
     "op4_positional_decontamination": oracles.OP4,
+    "op5_byte_balanced_shards": oracles.OP5,
     "op7_chat_template": chat.OP7_SQL,
     "op9_bottomk_near_dedup": oracles.OP9,
+    "op10_mix_sources": oracles.OP10,
 }

@@ -34,6 +34,9 @@ FIRST_CHI2 = 15.0
 START = 0.02
 WEIGHT_COST = 4.0
 FACTOR_COST = 6.0
+#: Passes over the sample of the first fit, and of that of all terms.
+EPOCHS = 60
+ALL_EPOCHS = 20
 #: Gradients below this move a parameter in proportion, so rare terms stay small.
 DAMP = 1e-3
 THRESHOLD = 0.5
@@ -65,7 +68,7 @@ def _features(batches):
 
 
 def _train(p: dict, rows: list[np.ndarray], y: np.ndarray, rng, cost: np.ndarray | None = None, damp: float = 1e-8,
-           epochs: int = 60, rate: float = 0.03, decay: float = 1e-3) -> None:
+           epochs: int = EPOCHS, rate: float = 0.03, decay: float = 1e-3) -> None:
     """Updates bias, weights and factors; with ``cost``, a term's parameters shrink to zero by it and steps end small."""
     n, factors = p["v"].shape
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
@@ -143,7 +146,7 @@ class FactorizationMachine:
         p["b"], p["w"][best], p["v"][best] = first["b"], first["w"], first["v"]
         cost = np.sqrt(d / n * (1 - d / n) * share * (1 - share) / n)
         cost[best] = 0
-        _train(p, rows, y, rng, cost, DAMP)
+        _train(p, rows, y, rng, cost, DAMP, ALL_EPOCHS)
         keep = (p["w"] != 0) | p["v"].any(1)
         return cls(terms[keep], float(p["b"][0]), p["w"][keep], p["v"][keep])
 
