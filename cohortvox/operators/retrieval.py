@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Words that gate a question in the assistant and in the service, answers, and the built-in definitions (term, text).
 ASSISTANT_GATE = ("treatment", "therapy", "surgery", "medication", "drug", "prognosis", "survival", "outcome", "chemotherapy", "radiation")
@@ -24,6 +24,11 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_TERMS = 1_000_000
 
 
+def definitions(spark: SparkSession) -> DataFrame:
+    """``(id, text)``: the built-in definitions as documents of an index, by term."""
+    return spark.createDataFrame(DEFINITIONS, "id string, text string")
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
 

@@ -642,7 +642,23 @@ def e28(spark, sf):
     return rounded(Q.image_quality(grid(spark, sf)))
 
 
-QUERIES["e29_artifacts"] = lambda spark, sf: rounded(Q.artifacts(grid(spark, sf)))
+_NAMED = {"t1": "T1", "t1ce": "T1ce", "t2": "T2", "flair": "FLAIR"}
+ARTIFACTS = f"""mid AS (SELECT case_id, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM b WHERE brain GROUP BY 1),
+ra AS (SELECT b.*, sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)) AS r FROM b JOIN mid USING (case_id)),
+rf AS (SELECT ra.*, max(r) FILTER (WHERE brain) OVER (PARTITION BY case_id) AS far, so.grad, coalesce(dp.d, 0) AS depth FROM ra JOIN (SELECT case_id, x, y, z, grad FROM so) so USING (case_id, x, y, z) LEFT JOIN dp USING (case_id, x, y, z)),
+ar AS (SELECT case_id, count(*) FILTER (WHERE brain AND r < 0.3 * far) AS ni, count(*) FILTER (WHERE brain AND r > 0.7 * far) AS no, avg(t1) FILTER (WHERE brain AND r > 0.7 * far) / avg(t1) FILTER (WHERE brain AND r < 0.3 * far) AS bias,
+ concat_ws(',', {", ".join(f"CASE WHEN count(*) FILTER (WHERE NOT brain AND {k} > 0) > 1000 AND stddev_pop({k}) FILTER (WHERE NOT brain AND {k} > 0) / avg({k}) FILTER (WHERE NOT brain AND {k} > 0) > 0.5 THEN '{v}' END" for k, v in _NAMED.items())}) AS ghosting,
+ count(*) FILTER (WHERE brain AND t1 = 0) AS nz, avg(z) FILTER (WHERE brain AND t1 = 0) < 0.5 * avg(z) FILTER (WHERE brain) AS low,
+ CAST(bool_or(x < 5 AND t1 > 0) AS INT) + CAST(bool_or(x >= 11 AND t1 > 0) AS INT) + CAST(bool_or(y < 5 AND t1 > 0) AS INT) + CAST(bool_or(y >= 11 AND t1 > 0) AS INT) AS edges,
+ count(*) FILTER (WHERE seg > 0 AND depth <= 2) AS nr, stddev_pop(grad) FILTER (WHERE seg > 0 AND depth <= 2) / avg(grad) FILTER (WHERE seg > 0 AND depth <= 2) AS ring FROM rf GROUP BY 1),
+af AS (SELECT *, list_filter([CASE WHEN ni > 100 AND no > 100 AND (bias < 0.7 OR bias > 1.4) THEN 'Intensity inhomogeneity' END, CASE WHEN ghosting <> '' THEN 'Possible motion artifact' END, CASE WHEN nz > 100 AND low THEN 'Susceptibility artifact' END,
+ CASE WHEN edges >= 3 THEN 'Possible wrap-around' END, CASE WHEN nr > 100 AND ring > 1.5 THEN 'Possible Gibbs ringing' END], lambda v: v IS NOT NULL) AS found FROM ar)"""
+
+
+@query("e29_artifacts", f"SELECT case_id, array_to_string(found, ', ') AS artifacts, CASE WHEN len(found) = 0 THEN 'None' WHEN len(found) <= 2 THEN 'Mild' ELSE 'Moderate to Severe' END AS severity, CASE WHEN ni > 100 AND no > 100 THEN round(bias, 6) + 0.0 END AS bias_ratio, ghosting, edges, CASE WHEN nr > 100 THEN round(ring, 6) + 0.0 END AS edge_cv, CASE WHEN len(found) > 1 THEN 'Review recommended' ELSE 'Minimal impact expected' END AS impact FROM af", GRID, BRAIN, SOBEL, _depth("dp", "seg > 0"), ARTIFACTS)
+def e29(spark, sf):
+    return rounded(Q.artifacts(grid(spark, sf)))
+
 
 
 @query("e30_confidence", "SELECT DISTINCT case_id, m AS measurement, c AS confidence FROM g, (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in Q.CONFIDENCE.items()) + ") t(m, c)")
@@ -686,9 +702,35 @@ def e37(spark, sf):
     return S2.laterality_check(X.location(g), X.midline_shift(g))
 
 
+FLUIDS = ",\n".join([
+    _depth("fd", "csf", "csf"), "fo AS (SELECT csf.*, coalesce(fd.d, 0) > 1 AS core FROM csf LEFT JOIN fd USING (case_id, x, y, z))", _near("fn", "core", "fo"),
+    "fl AS (SELECT fo.*, coalesce(fn.d <= 1, false) AS fluid FROM fo LEFT JOIN fn USING (case_id, x, y, z))", _parts("vc", "fluid", 2, "fl"),
+    "vt AS (SELECT fl.*, k.component IS NOT NULL AS vent FROM fl LEFT JOIN (SELECT case_id, x, y, z, component FROM vc WHERE component IN (SELECT component FROM vc GROUP BY 1 HAVING count(*) > 5 AND abs(avg(x) - 8) < 0.3 * 16)) k USING (case_id, x, y, z))",
+])
+SYSTEM = """vs AS (SELECT vt.case_id, count(*) FILTER (WHERE vent AND x < 8) AS nl, count(*) FILTER (WHERE vent AND x >= 8) AS nr, count(*) FILTER (WHERE brain AND seg = 0) AS nb, count(*) FILTER (WHERE vent AND nn.d <= 5) AS near, quantile_cont(y, 0.75) FILTER (WHERE vent) AS front FROM vt LEFT JOIN nn USING (case_id, x, y, z) GROUP BY 1),
+wi AS (SELECT case_id, max(n) AS width FROM (SELECT vt.case_id, y, z, count(*) AS n FROM vt JOIN vs USING (case_id) WHERE vent AND y >= floor(front) GROUP BY 1, 2, 3) GROUP BY 1),
+sy AS (SELECT *, nl + nr AS n, CASE WHEN nb > 0 THEN 100.0 * (nl + nr) / nb ELSE 0 END AS vbr, coalesce(width / 16.0, 0) AS evans, CASE WHEN nl + nr > 0 THEN abs(nl - nr) / (nl + nr) ELSE 0 END AS asym, CASE WHEN nl + nr > 0 THEN near / (nl + nr) ELSE 0 END AS ob FROM vs LEFT JOIN wi USING (case_id))"""
+
+
 #: The derived grids are small, so components of more than 5 voxels pass as ventricles here.
-QUERIES["e32_e33_ventricular_system"] = lambda spark, sf: rounded(N.ventricular_system(grid(spark, sf), Workspace(spark, "e33"), least=5))
-QUERIES["e34_parenchyma"] = lambda spark, sf: rounded(N.parenchyma(grid(spark, sf), Workspace(spark, "e34"), least=5))
+@query("e32_e33_ventricular_system", f"""SELECT case_id, {r('n * 0.0015', 'total_cm3')}, {r('nl * 0.0015', 'left_cm3')}, {r('nr * 0.0015', 'right_cm3')}, {r('vbr', 'vbr')}, {r('asym', 'asymmetry')}, {r('evans', 'evans')}, {r('ob', 'obstruction')},
+ CASE WHEN vbr < 2 THEN 'Normal' WHEN vbr < 4 THEN 'Mildly prominent' WHEN vbr < 6 THEN 'Moderately dilated' ELSE 'Markedly dilated' END AS size, CASE WHEN evans > 0.3 AND vbr > 5 THEN 'Communicating hydrocephalus suggested' WHEN vbr > 7 THEN 'Ventriculomegaly noted' ELSE 'No hydrocephalus' END AS hydrocephalus,
+ CASE WHEN asym < 0.15 THEN 'Symmetric' ELSE 'Asymmetric (' || CASE WHEN nl > nr THEN 'left' WHEN nr > nl THEN 'right' ELSE 'symmetric' END || ' larger)' END AS symmetry FROM sy""", GRID, BRAIN, CSF, FLUIDS, _near("nn", "seg > 0"), SYSTEM)
+def e33(spark, sf):
+    return rounded(N.ventricular_system(grid(spark, sf), Workspace(spark, "e33"), least=5))
+
+
+TISSUE = """td AS (SELECT vt.*, vn.d AS vd, bd.d AS depth FROM vt LEFT JOIN vn USING (case_id, x, y, z) LEFT JOIN bd USING (case_id, x, y, z)),
+tq AS (SELECT case_id, quantile_cont(depth, 0.6) FILTER (WHERE brain) AS q60, quantile_cont(depth, 0.4) FILTER (WHERE brain) AS q40 FROM td GROUP BY 1),
+ta AS (SELECT case_id, count(*) FILTER (WHERE brain AND seg = 0) AS n, count(*) FILTER (WHERE brain) AS nb, count(*) FILTER (WHERE vd BETWEEN 1 AND 10 AND brain AND seg = 0) AS na, count(*) FILTER (WHERE brain AND seg = 0 AND depth > q60) AS nd, count(*) FILTER (WHERE brain AND seg = 0 AND depth < q40) AS nc,
+ avg(flair) FILTER (WHERE vd BETWEEN 1 AND 10 AND brain AND seg = 0) AS fa, avg(flair) FILTER (WHERE brain AND seg = 0 AND depth < q40) AS fc, avg(t1) FILTER (WHERE brain AND seg = 0 AND depth > q60) AS tdeep, avg(t1) FILTER (WHERE brain AND seg = 0 AND depth < q40) AS tcort FROM td JOIN tq USING (case_id) GROUP BY 1),
+tw AS (SELECT *, CASE WHEN na > 0 AND fc > 0 THEN fa / fc ELSE 1 END AS pv, CASE WHEN nd > 100 AND (CASE WHEN nc > 100 THEN tcort ELSE tdeep END) > 0 THEN tdeep / CASE WHEN nc > 100 THEN tcort ELSE tdeep END ELSE 1 END AS gw FROM ta),
+tz AS (SELECT *, na > 0 AND pv > 1.15 AS disease, CASE WHEN nd <= 100 THEN 'Could not assess' WHEN gw > 1.1 THEN 'Preserved' WHEN gw > 1.0 THEN 'Mildly reduced' ELSE 'Reduced' END AS kept FROM tw)"""
+
+
+@query("e34_parenchyma", f"SELECT case_id, {r('n * 0.0015', 'normal_cm3')}, {r('nb * 0.0015', 'brain_cm3')}, {r('pv', 'pv')}, disease AS white_matter_disease, {r('gw', 'gw')}, kept AS differentiation, CASE WHEN n = 0 THEN 'Unable to assess' WHEN NOT disease AND kept = 'Preserved' THEN 'Normal' ELSE 'Abnormal findings present' END AS overall FROM tz", GRID, BRAIN, CSF, FLUIDS, _near("vn", "vent", "vt"), _euclid("bd", "NOT brain", "vt"), TISSUE)
+def e34(spark, sf):
+    return rounded(N.parenchyma(grid(spark, sf), Workspace(spark, "e34"), least=5))
 
 
 @query("e35_vessels", f"SELECT case_id, {r('nv * 0.0015', 'void_cm3')}, CASE WHEN ni = 0 THEN 'Could not assess' WHEN nv / ni > 0.001 AND nv / ni < 0.05 THEN 'Present' WHEN nv / ni < 0.001 THEN 'Not well visualized' ELSE 'Prominent' END AS flow_voids, {r('q', 'peritumoral_ratio')}, CASE WHEN q > 1.5 THEN 'Possible' ELSE 'Not evident' END AS involvement FROM (SELECT case_id, count(*) FILTER (WHERE brain AND z < 4) AS ni, count(*) FILTER (WHERE brain AND z < 4 AND t1 < p AND seg = 0) AS nv, avg(t1ce) FILTER (WHERE brain AND d BETWEEN 1 AND 10) / avg(t1) FILTER (WHERE brain AND d BETWEEN 1 AND 10) AS q FROM b JOIN nn USING (case_id, x, y, z) JOIN (SELECT case_id, quantile_cont(t1, 0.05) FILTER (WHERE brain AND z < 4) AS p FROM b GROUP BY 1) USING (case_id) GROUP BY 1)", GRID, BRAIN, _near("nn", "seg > 0"))

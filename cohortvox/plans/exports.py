@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def volume_text(volumes: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def report_of_job(jobs: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def save_vectors(vectors: DataFrame, folder: str) -> None:
-    """Replaces a vector store: one row per article, its id the file's stem."""
-    vectors.dropDuplicates(["id"]).write.mode("overwrite").parquet(folder)
+    """Replaces a vector store: one row per article, its id the file's stem (of several the one with the smallest hash)."""
+    first = Window.partitionBy("id").orderBy(F.xxhash64(*vectors.columns))
+    vectors.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k").write.mode("overwrite").parquet(folder)
 
 
 def load_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,6 +62,12 @@ def load_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def article_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """``(path, value)`` of all article files below a folder, in the order of their paths."""
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value").orderBy("path")
+
+
 def articles(files: DataFrame) -> DataFrame:
     """Articles of (path, value): front matter before ``---`` and the text that stands for each."""
     parts = F.split("value", "---", 2)

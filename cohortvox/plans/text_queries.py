@@ -107,17 +107,23 @@ def b26(spark, sf):
     return q.select("conv_id", "turn", F.coalesce(R.gate(F.col("text"), R.SERVICE_GATE), F.lit("none")).alias("hit"))
 
 
-@query("b27_upload_check", "SELECT page_id, regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '\\.(html|htm)$') AS accepted FROM pages")
+@query("b27_upload_check", "SELECT page_id, regexp_matches(lower(split_part(split_part(url, '?', 1), '#', 1)), '\\.(html|htm)$') AS accepted FROM pages")
 def b27(spark, sf):
     name = F.element_at(F.split(F.element_at(F.split("url", r"\?"), 1), "#"), 1)
-    return table(spark, sf, "pages").select("page_id", F.rlike(name, F.lit(r"\.(html|htm)$")).alias("accepted"))
+    return table(spark, sf, "pages").select("page_id", M.accepted_upload(name, F.col("page_id").cast("string"), ("html", "htm")).alias("accepted"))
 
 
-@query("r23_prompts", "SELECT conv_id, turn, 'REPORT:' || chr(10) || 'none' || chr(10) || chr(10) || 'DEFINITIONS:' || chr(10) || 'No definitions retrieved.' || chr(10) || chr(10) || 'QUESTION:' || chr(10) || trim(text) AS prompt FROM conversations WHERE role = 'user'")
+_DEFS = [f"- {t}:\n{x}" for t, x in R.DEFINITIONS]
+_BLOCKS = "[" + ", ".join("'" + "\n\n".join(_DEFS[:k]).replace("'", "''") + "'" for k in range(1, len(_DEFS) + 1)) + "]"
+
+
+@query("r23_prompts", f"SELECT conv_id, turn, 'REPORT:' || chr(10) || 'none' || chr(10) || chr(10) || 'DEFINITIONS:' || chr(10) || CASE WHEN turn % 4 = 0 THEN 'No definitions retrieved.' ELSE {_BLOCKS}[turn % 4] END || chr(10) || chr(10) || 'QUESTION:' || chr(10) || trim(text) AS prompt FROM conversations WHERE role = 'user'")
 def r23(spark, sf):
+    """The turn decides how many of the built-in definitions a prompt holds."""
     q = table(spark, sf, "conversations").where("role = 'user'")
-    none = F.array().cast("array<struct<title:string,text:string>>")
-    return q.select("conv_id", "turn", R.prompt(F.lit("none"), none, F.col("text")).alias("prompt"))
+    known = F.array(*[F.struct(F.lit(t).alias("title"), F.lit(x).alias("text")) for t, x in R.DEFINITIONS])
+    some = F.slice(known, F.lit(1), (F.col("turn") % 4).cast("int"))
+    return q.select("conv_id", "turn", R.prompt(F.lit("none"), some, F.col("text")).alias("prompt"))
 
 
 @query("r24_answer_routing", f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'license|copyright|error|confirmed') THEN 'refused' WHEN doc_id % 3 = 0 THEN 'no_data' ELSE 'ready' END AS status, CASE WHEN regexp_matches(lower(text), 'license|copyright|error|confirmed') THEN '{R.REFUSAL}' WHEN doc_id % 3 = 0 THEN '{R.NO_DATA}' END AS answer FROM documents")
@@ -248,10 +254,13 @@ def d30(spark, sf):
     return P.concept_mentions(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "concept", "mentions")
 
 
-@query("a14_front_matter", "SELECT doc_id, length(split_part(text, chr(10), 1)) AS header_chars, CAST(length(text) - length(split_part(text, chr(10), 1)) AS BIGINT) AS rest_chars FROM documents")
+_HEAD = "CASE WHEN contains(text, '---') THEN split_part(text, '---', 1) ELSE '' END"
+
+
+@query("a14_front_matter", f"SELECT CAST(doc_id AS VARCHAR) AS id, trim(regexp_extract({_HEAD}, '(?m)^TITLE:(.*)$', 1)) AS title, trim(regexp_extract({_HEAD}, '(?m)^KEYWORDS:(.*)$', 1)) AS keywords, trim(CASE WHEN contains(text, '---') THEN substr(text, strpos(text, '---') + 3) ELSE text END, ' ' || chr(10) || chr(13) || chr(9)) AS body FROM documents")
 def a14(spark, sf):
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf, "documents").select("doc_id", F.length(head).alias("header_chars"), (F.length("text") - F.length(head)).cast("long").alias("rest_chars"))
+    files = table(spark, sf, "documents").select(F.concat(F.lit("/kb/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("value"))
+    return X.articles(files).select("id", "title", "keywords", "body")
 
 
 def summary(spark, sf, name):
@@ -284,7 +293,18 @@ def r20(spark, sf):
     return reports.select("case_id", "report", F.array_join("notes", "; ").alias("notes"))
 
 
-@query("a13_volume_text")  # no twin: the engines print halves differently
+def _printed(count: str) -> str:
+    """A volume as printed: the shortest digits of the double, rounded half up."""
+    return f"lpad(CAST(round(CAST(CAST({count} * 0.0015::DOUBLE AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DECIMAL(20, 2))::VARCHAR, 10, ' ')"
+
+
+_VOLUME_LINES = " || chr(10) || ".join(
+    f"'  {name:<29}' || {_printed(f'count(*) FILTER (WHERE {mask})')} || ' cm³'" for name, mask in
+    (("Necrotic Core (NCR):", "seg = 1"), ("Peritumoral Edema (ED):", "seg = 2"), ("Enhancing Tumor (ET):", "seg IN (3, 4)"), ("Tumor Core (TC = NCR + ET):", "seg IN (1, 3, 4)"), ("Whole Tumor (WT = all):", "seg > 0"))
+)
+
+
+@query("a13_volume_text", f"WITH {GRID} SELECT case_id, 'Tumor Regions:' || chr(10) || {_VOLUME_LINES} AS text FROM g GROUP BY 1")
 def a13(spark, sf):
     return X.volume_text(I.volumes_cm3(grid(spark, sf)))
 
@@ -296,10 +316,10 @@ def a20(spark, sf):
     return text.select("case_id", X.parse_mean_dice(F.col("text")).alias("mean_dice_percent"))
 
 
-@query("a19_run_record")
+@query("a19_run_record", "WITH RECURSIVE " + ",\n".join((GRID, COMP, MEAN)) + """ SELECT case_id, '{"case_id":' || case_id || ',"output_folder":"/cohort/results/' || case_id || '","feature_extraction_folder":"/cohort/results/' || case_id || '/feature_extraction","metrics":{"mean_dice":' || round(mean_dice, 4) || '}}' AS record FROM m""")
 def a19(spark, sf):
     g = grid(spark, sf)
-    return X.run_record(g.select("case_id").distinct(), E.mean_dice(g, "seg_pred", "seg"), "/cohort")
+    return X.run_record(g.select("case_id").distinct(), rounded(E.mean_dice(g, "seg_pred", "seg"), 4), "/cohort")
 
 
 @query("a21_cases_without_summary", "SELECT DISTINCT o_custkey AS case_id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")

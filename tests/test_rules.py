@@ -125,6 +125,15 @@ def test_term_top_k_fills_with_zero_scores(spark):
     assert sorted((r.query, r.rank, r.id, round(r.score, 4)) for r in got) == [(7, 1, 1, 0.7071), (7, 2, 2, 0.0), (8, 1, 1, 0.0), (8, 2, 2, 0.0)]
 
 
+def test_built_in_definitions_and_stores(spark):
+    docs = R.definitions(spark)
+    q = spark.createDataFrame([(1, "What is a midline shift?"), (2, "edema around the tumor, peritumoral")], "q long, text string")
+    terms = R.term_top_k(R.term_index(docs, "id", "text"), docs, q, "id", "q", "text", 1)
+    assert {r.query: r.id for r in terms.collect()} == {1: "Midline shift", 2: "Peritumoral edema"}
+    assert R.top_k_or_terms(None, terms) is terms and R.top_k_or_terms(terms.limit(0), terms) is terms
+    assert R.top_k_or_terms(docs, terms) is docs
+
+
 LINES = [(1, 1, "STAGE:segmenting"), (1, 3, "boom"), (1, 2, "STAGE:generating"), (2, 1, "STAGE:extracting"), (2, 2, "STAGE:error"), (2, 3, "last words"), (3, 1, "hello"), (4, 1, "STAGE:done STAGE:exporting")]
 WANT = [(1, "running", "generating", 70, None), (2, "error", "error", 40, "last words"), (3, "running", "segmenting", 10, None), (4, "running", "exporting", 90, None)]
 
