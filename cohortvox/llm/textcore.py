@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; temporaries are about 60 times that.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Rows of an Arrow batch; both sides of the pipe hold a few batches of whole texts.
 BATCH_ROWS = 512
