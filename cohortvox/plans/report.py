@@ -26,8 +26,7 @@ OWNERS = {
     "necrosis": "necrosis_sentence", "edema": "edema_sentence", "mass_effect": "mass_effect_sentence", "enhancement_center": "enhancement_sentence",
     "ring_enhancement": "enhancement_sentence", "midline_shift": "mass_effect_sentence", "herniation": "mass_effect_sentence", "hydrocephalus": "ventricles_sentence",
 }
-_PLAIN = ["concern", "suspicious", "suggestive", "disease"]
-#: slot: (section, longest text, fallback, forbidden terms, allowed values); the order is the report's.
+#: Slot: (section, longest text, fallback, forbidden terms, allowed values); the order is the report's.
 SLOTS = {
     "patient_id": None,
     "exam_date": None,
@@ -35,17 +34,18 @@ SLOTS = {
     "sequences_list": ("TECHNIQUE", 200, "standard sequences", [], {}),
     "contrast_sentence": ("TECHNIQUE", 150, "Post-contrast T1-weighted imaging was obtained following intravenous gadolinium administration.", [], {}),
     "comparison": ("COMPARISON", 200, "No prior imaging available for comparison.", [], {}),
-    "lesion_count_sentence": ("FINDINGS", 200, "An enhancing lesion is identified within the cerebral hemisphere.", ["tumor", "cancer", "neoplasm", "malignant", "glioblastoma", *_PLAIN], {"hemisphere": ["right", "left", "bilateral"], "distribution": ["multifocal", "multicentric", "scattered", "clustered"]}),
-    "dominant_lesion_sentence": ("FINDINGS", 250, "A mass is identified within the cerebral hemisphere.", ["microscopic", "invasive", "definitive", "tumor", "cancer", "neoplasm", "malignant", "glioblastoma", "metastasis", *_PLAIN], {"depth": ["", "subcortical ", "deep ", "cortical and subcortical ", "periventricular "], "shape": ["", "ovoid ", "irregular ", "round ", "lobulated "], "hemisphere": ["right", "left", "bilateral", "midline"]}),
-    "enhancement_sentence": ("FINDINGS", 200, "Enhancement is noted following contrast administration.", ["tumor", "cancer", "neoplasm", "malignant", "glioblastoma", "aggressive", "definitive", "necrosis", "necrotic", *_PLAIN], {"pattern": ["ring enhancement", "homogeneous enhancement", "heterogeneous enhancement", "nodular enhancement"]}),
-    "necrosis_sentence": ("FINDINGS", 150, "Central signal abnormality is noted within the lesion.", ["tumor", "cancer", "glioblastoma", "malignant", "percentage", "%", "microscopic", *_PLAIN], {}),
-    "edema_sentence": ("FINDINGS", 150, "Surrounding T2/FLAIR hyperintensity is present.", ["cm³", "cm3", "cubic", "volume", "ml", "mL", "tumor", "cancer", "neoplasm", *_PLAIN, "consistent with"], {"edema_degree": ["Minimal", "Moderate", "Significant", "Extensive"]}),
-    "mass_effect_sentence": ("FINDINGS", 200, "No significant midline shift is identified. No evidence of herniation.", ["risk", "probability", "likely", "percent", "%", "tumor", "cancer", "dangerous", *_PLAIN], {"direction": ["left", "right"]}),
-    "ventricles_sentence": ("FINDINGS", 150, "The ventricular system is normal in size and configuration.", ["tumor", "cancer", "mass", *_PLAIN], {}),
-    "parenchyma_sentence": ("FINDINGS", 200, "The remaining brain parenchyma appears unremarkable.", ["tumor", "cancer", "neoplasm", "metastasis", *_PLAIN], {}),
+    "lesion_count_sentence": ("FINDINGS", 200, "An enhancing lesion is identified within the cerebral hemisphere.", ["tumor", "cancer", "neoplasm", "malignant", "glioblastoma", "concern", "suspicious", "suggestive", "disease"], {"hemisphere": ["right", "left", "bilateral"], "distribution": ["multifocal", "multicentric", "scattered", "clustered"]}),
+    "dominant_lesion_sentence": ("FINDINGS", 250, "A mass is identified within the cerebral hemisphere.", ["microscopic", "invasive", "definitive", "tumor", "cancer", "neoplasm", "malignant", "glioblastoma", "metastasis", "concern", "suspicious", "suggestive", "disease"], {"depth": ["", "subcortical ", "deep ", "cortical and subcortical ", "periventricular "], "shape": ["", "ovoid ", "irregular ", "round ", "lobulated "], "hemisphere": ["right", "left", "bilateral", "midline"]}),
+    "enhancement_sentence": ("FINDINGS", 200, "Enhancement is noted following contrast administration.", ["tumor", "cancer", "neoplasm", "malignant", "glioblastoma", "aggressive", "definitive", "necrosis", "necrotic", "concern", "suspicious", "suggestive", "disease"], {"pattern": ["ring enhancement", "homogeneous enhancement", "heterogeneous enhancement", "nodular enhancement"]}),
+    "necrosis_sentence": ("FINDINGS", 150, "Central signal abnormality is noted within the lesion.", ["tumor", "cancer", "glioblastoma", "malignant", "percentage", "%", "microscopic", "concern", "suspicious", "suggestive", "disease"], {}),
+    "edema_sentence": ("FINDINGS", 150, "Surrounding T2/FLAIR hyperintensity is present.", ["cm³", "cm3", "cubic", "volume", "ml", "mL", "tumor", "cancer", "neoplasm", "concern", "suspicious", "suggestive", "disease", "consistent with"], {"edema_degree": ["Minimal", "Moderate", "Significant", "Extensive"]}),
+    "mass_effect_sentence": ("FINDINGS", 200, "No significant midline shift is identified. No evidence of herniation.", ["risk", "probability", "likely", "percent", "%", "tumor", "cancer", "dangerous", "concern", "suspicious", "suggestive", "disease"], {"direction": ["left", "right"]}),
+    "ventricles_sentence": ("FINDINGS", 150, "The ventricular system is normal in size and configuration.", ["tumor", "cancer", "mass", "concern", "suspicious", "suggestive", "disease"], {}),
+    "parenchyma_sentence": ("FINDINGS", 200, "The remaining brain parenchyma appears unremarkable.", ["tumor", "cancer", "neoplasm", "metastasis", "concern", "suspicious", "suggestive", "disease"], {}),
     "impression_summary": ("IMPRESSION", 300, "Enhancing mass identified, suspicious for neoplastic process. Clinical correlation recommended.", ["definitive", "definitely", "certainly", "proven", "microscopic", "invasive", "diagnostic of", "consistent with", "confirms", "represents", "is a"], {"hemisphere": ["right", "left", "bilateral"]}),
     "impression_differential": ("IMPRESSION", 250, "Differential diagnosis includes high-grade glioma, metastasis, and lymphoma. Histopathologic correlation recommended.", ["definitely", "certainly", "proven", "confirmed", "100%", "always", "never", "diagnostic of", "consistent with"], {}),
 }
+#: The report's template.
 TEMPLATE = (
     "MRI BRAIN WITH CONTRAST\n\nPATIENT ID: {patient_id}\nDATE: {exam_date}\n\nCLINICAL INDICATION:\n{clinical_indication}\n\nTECHNIQUE:\n"
     "Multiplanar, multisequence MRI of the brain was performed including {sequences_list}. {contrast_sentence}\n\nCOMPARISON:\n{comparison}\n\nFINDINGS:\n"
@@ -105,7 +105,7 @@ def facts(summary: DataFrame) -> DataFrame:
 
 
 def slot_values(f: DataFrame, date: Column) -> DataFrame:
-    """``(case_id, slot, content)``: one sentence per slot."""
+    """``(case_id, slot, content)``: one sentence per slot (the wordings are fixed values)."""
     c, s = F.col, F.format_string
     seq = F.transform("sequences", lambda q: F.when(F.upper(q) == "T1", "T1-weighted").when(F.upper(q) == "T1CE", "post-contrast T1-weighted").when(F.upper(q) == "T2", "T2-weighted").when(F.upper(q) == "FLAIR", "FLAIR").otherwise(q))
     shape = F.when((c("shape") != "") & (c("shape") != "mass"), F.concat("shape", F.lit(" "))).otherwise("")

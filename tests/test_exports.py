@@ -38,3 +38,23 @@ def test_laterality(spark):
     a = spark.createDataFrame([(1, "left"), (2, "right-predominant"), (3, "bilateral"), (4, "left")], "case_id int, hemisphere string")
     b = spark.createDataFrame([(1, "left"), (2, "right"), (3, "left"), (4, "right")], "case_id int, tumor_hemisphere string")
     assert {r.case_id: r.consistent for r in S.laterality_check(a, b).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_article_files_come_in_order(spark, tmp_path):
+    import os
+
+    for name in ("b/2.md", "a/10.md", "a/9.md", "a/skip.txt"):
+        os.makedirs(f"{tmp_path}/{os.path.dirname(name)}", exist_ok=True)
+        with open(f"{tmp_path}/{name}", "w") as f:
+            f.write(f"TITLE: {name}\n---\nbody\nof two lines")
+    files = X.article_files(spark, f"file://{tmp_path}")
+    assert [r.path.split("/")[-1] for r in files.collect()] == ["10.md", "9.md", "2.md"]
+    assert {(r.id, r.title, r.body) for r in X.articles(files).collect()} == {("10", "a/10.md", "body\nof two lines"), ("9", "a/9.md", "body\nof two lines"), ("2", "b/2.md", "body\nof two lines")}
+
+
+def test_output_folder(spark):
+    from cohortvox.streaming import stages as T
+
+    jobs = spark.createDataFrame([("j1", "c1", "/given"), ("j2", "c1", None), ("j3", "c9", None)], "job_id string, case_id string, folder string")
+    outputs = spark.createDataFrame([("c1", "/out/b"), ("c1", "/out/a")], "case_id string, folder string")
+    assert {r.job_id: r.folder for r in T.output_folder(jobs, outputs).collect()} == {"j1": "/given", "j2": "/out/a", "j3": None}
