@@ -64,7 +64,7 @@ def load_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def article_files(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
     """``(path, value)`` of all article files below a folder, in the order of their paths."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value").orderBy("path")
 
 
