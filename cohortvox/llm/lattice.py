@@ -72,8 +72,8 @@ DENSE = 16
 SIGMAS = 4
 #: Vectors of one block of a large cell.
 BLOCK = 1024
-#: Tasks (about 60 bytes each) up to which they are broadcast to the vectors.
-BROADCAST_ROWS = 500_000
+#: Tasks (about 200 bytes each with their partners) up to which they are broadcast to the vectors.
+BROADCAST_ROWS = 250_000
 
 
 def setting_for(rows: int) -> Setting:
