@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import chat, decontaminate, lattice, mixing, neardup, oracles, quality, sharding, tokencount, toxicity, warczip
+from cohortvox.llm import chat, decontaminate, dialogue, lattice, mixing, neardup, oracles, quality, sharding, tokencount, toxicity, warczip
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_factorization_toxicity": toxicity.op8_factorization_toxicity,
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_lightest_repair": dialogue.op11_lightest_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_chat_template": chat.OP7_SQL,
     "op9_bottomk_near_dedup": oracles.OP9,
     "op10_mix_sources": oracles.OP10,
+    "op11_lightest_repair": dialogue.OP11_SQL,
 }
