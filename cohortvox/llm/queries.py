@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import chat, decontaminate, dialogue, lattice, mixing, neardup, oracles, quality, sharding, tokencount, toxicity, warczip
+from cohortvox.llm import chat, decontaminate, dialogue, lattice, mixing, neardup, oracles, quality, sharding, tokencount, tokenmerge, toxicity, warczip
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_lightest_repair": dialogue.op11_lightest_repair,
+    "op13_merge_path_alignment": tokenmerge.op13_merge_path_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
