@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortvox.llm import chat, decontaminate, dialogue, lattice, mixing, neardup, oracles, quality, sharding, tokencount, tokenmerge, toxicity, warczip
+from cohortvox.llm import chat, decontaminate, dialogue, lattice, mixing, neardup, oracles, quality, sharding, suffixsort, tokencount, tokenmerge, toxicity, warczip
 
 QUERIES = {
     "op1_lattice_near_dedup": lattice.op1_lattice_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bottomk_near_dedup": neardup.op9_bottomk_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_lightest_repair": dialogue.op11_lightest_repair,
+    "op12_radix_suffix_dedup": suffixsort.op12_radix_suffix_dedup,
     "op13_merge_path_alignment": tokenmerge.op13_merge_path_alignment,
 }
 
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_bottomk_near_dedup": oracles.OP9,
     "op10_mix_sources": oracles.OP10,
     "op11_lightest_repair": dialogue.OP11_SQL,
+    "op12_radix_suffix_dedup": suffixsort.OP12_SQL,
 }
