@@ -22,8 +22,8 @@ def _map(table: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """``(path, dir, name, case_id, seq, naming, needs_compression)``; files of neither naming have null seq."""
+def manifest(files: DataFrame, *keep: str) -> DataFrame:
+    """``(path, dir, name, case_id, seq, naming, needs_compression)`` and the columns to keep; files of neither naming have null seq."""
     name, folder = F.element_at(F.split("path", "/"), -1), F.regexp_replace("path", "/[^/]*$", "")
     f = files.withColumns({"name": name, "dir": folder})
     part = lambda p, k: F.nullif(F.regexp_extract("name", p, k), F.lit(""))
@@ -31,7 +31,7 @@ def manifest(files: DataFrame) -> DataFrame:
     return f.select(
         "path", "dir", "name", F.coalesce(part(OLD, 1), part(NEW, 1), F.element_at(F.split("dir", "/"), -1)).alias("case_id"),
         F.coalesce(old, new).alias("seq"), F.when(old.isNotNull(), "older").when(new.isNotNull(), "newer").alias("naming"),
-        (new.isNotNull() & ~F.col("name").endswith(".gz")).alias("needs_compression"),
+        (new.isNotNull() & ~F.col("name").endswith(".gz")).alias("needs_compression"), *keep,
     )
 
 

@@ -46,6 +46,60 @@ def test_ingest(spark, tmp_path):
         I.Reader(b"abc").take(5)
 
 
+def test_volume_planes(spark, tmp_path, monkeypatch):
+    """Slab ranges of plain files, one pass over compressed ones, headers alone, all equal."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-3, 4, (5, 4, 23)) * (rng.random((5, 4, 23)) < 0.5)
+    raw = nifti(v, "i2", 4, spacing=(1, 2, 3), slope=0.5)
+    os.makedirs(f"{tmp_path}/s/d 1")
+    for name, data in (("a_t1.nii", raw), ("d 1/b_t1.nii.gz", gzip.compress(raw)), ("d 1/b_seg.nii.gz", gzip.compress(raw[:5000]) + gzip.compress(raw[5000:]) + b"\0" * 7)):
+        with open(f"{tmp_path}/s/{name}", "wb") as f:
+            f.write(data)
+    spark.dataSource.register(I.VolumePlanes)
+    planes = I.read_planes(spark, f"file://{tmp_path}/s", slab_bytes=200)
+    assert planes.rdd.getNumPartitions() == -(-len(raw) // 200) + 2
+    for path in sorted({r.path for r in planes.select("path").collect()}):
+        got = {r.z: np.array(r.plane) for r in planes.where(F.col("path") == path).collect()}
+        assert sorted(got) == list(range(23)) and all((got[z] == v[:, :, z].ravel(order="F") * 0.5).all() for z in got)
+    vox = I.read_voxels(spark, [f"{tmp_path}/s/a_t1.nii"])
+    assert {(r.x, r.y, r.z): r.value for r in vox.collect()} == {tuple(map(int, k)): v[tuple(k)] * 0.5 for k in np.argwhere(v)}
+    assert I.read_voxels(spark, [f"{tmp_path}/s/a_t1.nii"], keep_zero=True).count() == v.size
+    with open(f"{tmp_path}/s/cut_t1.nii.gz", "wb") as f:
+        f.write(gzip.compress(raw[:600]))
+    geo = I.read_geometry(spark, f"{tmp_path}/s").collect()  # a header is all that is read
+    assert len(geo) == 4 and {(r.nx, r.ny, r.nz, r.dx, r.dy, r.dz) for r in geo} == {(5, 4, 23, 1.0, 2.0, 3.0)}
+    with pytest.raises(Exception, match="truncated"):
+        I.read_planes(spark, [f"{tmp_path}/s/cut_t1.nii.gz"]).collect()
+    assert I.read_planes(spark, []).count() == 0
+
+
+def test_unequal_shapes_are_an_error(spark, tmp_path):
+    os.makedirs(f"{tmp_path}/c")
+    for s, shape in (("t1", (4, 3, 2)), ("seg", (3, 3, 2))):
+        with open(f"{tmp_path}/c/c_{s}.nii.gz", "wb") as f:
+            f.write(gzip.compress(nifti(np.ones(shape), "u1", 2)))
+    with pytest.raises(Exception, match="differ in shape"):
+        I.wide_voxels(I.read_planes(spark, f"{tmp_path}/c")).collect()
+
+
+def test_reading_a_stream_holds_no_file():
+    """A compressed volume of 64 MB is taken plane by plane from small reads."""
+    raw = gzip.compress(bytes(64 << 20))
+
+    class Stream:
+        def __init__(self):
+            self.at, self.most = 0, 0
+
+        def read(self, n):
+            part = raw[self.at : self.at + n]
+            self.at += n
+            return part
+
+    r = I.Reader(Stream())
+    for _ in range(64):
+        assert len(r.take(1 << 20)) == 1 << 20 and len(r.held) <= 2 << 20
+
+
 def test_manifest(spark):
     paths = [f"/r/s1/A_{s}.nii.gz" for s in ("t1", "t1ce", "t2", "flair", "seg")]
     paths += [f"/r/s2/in/X-00001-000-{s}.nii" for s in ("t1n", "t1c", "t2w")] + ["/r/s2/in/X-00001-000_t1.nii.gz", "/r/s3/odd.nii.gz"]
