@@ -1,9 +1,7 @@
-"""Status of jobs folded from their logs, in batch or as a stream, and arriving cases."""
+"""Status of jobs folded from their logs, in batch or as a stream."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Stage, status and progress (an error keeps the progress reached).
@@ -51,8 +49,3 @@ def output_folder(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
     """A job's output folder: the recorded one, else that of its case."""
     o = outputs.groupBy("case_id").agg(F.min("folder").alias("found"))
     return jobs.join(o, "case_id", "left").select("job_id", F.coalesce("folder", "found").alias("folder"))
-
-
-def on_arrival(manifest: DataFrame, complete: Callable[[DataFrame], DataFrame], run: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a stream that hands each batch's complete cases to ``run(cases, batch_id)``."""
-    return manifest.writeStream.foreachBatch(lambda df, k: run(complete(df), k)).option("checkpointLocation", checkpoint).start()

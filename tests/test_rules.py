@@ -153,16 +153,6 @@ def test_status_in_batch_and_stream(spark, tmp_path):
     assert {r.job_id: r.progress_pct for r in T.known_jobs(jobs, T.fold_status(df)).collect()} == {1: 70, 9: 0}
 
 
-def test_arrival(spark, tmp_path):
-    seen = []
-    spark.createDataFrame([("a", 1), ("b", 2)], "case_id string, n int").coalesce(1).write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema("case_id string, n int").parquet(f"{tmp_path}/in")
-    q = T.on_arrival(s, lambda d: d.where("n = 2"), lambda d, k: seen.extend(r.case_id for r in d.collect()), f"{tmp_path}/cp")
-    q.processAllAvailable()
-    q.stop()
-    assert seen == ["b"]
-
-
 def test_workspace(spark):
     ws = Workspace(spark, "t")
     a, b = ws.table(spark.range(3)), ws.table(spark.range(4))
