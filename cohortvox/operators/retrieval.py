@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cohortvox.operators import vectorindex
+
 #: Words that gate a question in the assistant and in the service, answers, and the built-in definitions (term, text).
 ASSISTANT_GATE = ("treatment", "therapy", "surgery", "medication", "drug", "prognosis", "survival", "outcome", "chemotherapy", "radiation")
 SERVICE_GATE = (
@@ -22,6 +28,9 @@ BROADCAST_QUERIES = 100_000
 BROADCAST_BYTES = 64 << 20
 #: Terms of all queries up to which their vectors are broadcast (about 40 bytes each).
 BROADCAST_TERMS = 1_000_000
+#: Documents whose upper bounds are taken together, and queries scored at once.
+BLOCK_DOCS = 128
+BLOCK_QUERIES = 128
 
 
 def definitions(spark: SparkSession) -> DataFrame:
@@ -52,19 +61,107 @@ def query_vectors(index: DataFrame, queries: DataFrame, id_col: str, text_col: s
     return q.join(norm, "query").select("query", "token", (F.col("tf") / F.col("norm")).alias("wq"))
 
 
+class TermVectors:
+    """Query vectors by term: of each term the queries that hold it and their weights."""
+
+    def __init__(self, term: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, terms: int):
+        order = np.argsort(term, kind="stable")
+        self.query, self.weight, self.queries = query[order], weight[order], queries
+        self.off = np.searchsorted(term[order], np.arange(terms + 1))
+
+    def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(place in terms, query, weight)`` of all queries of some terms."""
+        n = self.off[terms + 1] - self.off[terms]
+        at = np.repeat(self.off[terms], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(np.arange(len(terms)), n), self.query[at], self.weight[at]
+
+
+class TopTerms:
+    """The k best documents per query of those shown, by (score rounded to 9 digits, id)."""
+
+    def __init__(self, vectors: TermVectors, k: int):
+        self.vectors, self.k = vectors, k
+        self.best: dict[int, list] = {}
+        self.least = np.full(vectors.queries, -np.inf)  # the k-th score so far
+        self.scored = 0
+
+    def add(self, ids: list, off: np.ndarray, term: np.ndarray, w: np.ndarray) -> None:
+        """A block of documents in the order of their ids: scores the queries whose upper bound can reach rank k."""
+        present, at = np.unique(term, return_inverse=True)
+        most = np.zeros(len(present))
+        np.maximum.at(most, at, w)
+        place, query, weight = self.vectors.postings(present)
+        bound = np.bincount(query, weight * most[place], self.vectors.queries)
+        live = np.flatnonzero((bound > 0) & (bound + 1e-8 >= self.least))
+        rows = np.zeros((len(ids), len(present)))
+        rows[np.repeat(np.arange(len(ids)), np.diff(off)), at] = w
+        for a in range(0, len(live), BLOCK_QUERIES):
+            part = live[a : a + BLOCK_QUERIES]
+            column = np.full(self.vectors.queries, -1)
+            column[part] = np.arange(len(part))
+            mine = column[query] >= 0
+            wq = np.zeros((len(present), len(part)))
+            wq[place[mine], column[query[mine]]] = weight[mine]
+            score = np.round(rows @ wq, 9)
+            self.scored += score.size
+            order = np.argsort(-score, axis=0, kind="stable")[: self.k]
+            for x in np.flatnonzero(score.max(0) >= np.maximum(self.least[part], 1e-9)):
+                q = int(part[x])
+                new = [(-score[d, x], ids[d]) for d in order[:, x] if score[d, x] > 0]
+                self.best[q] = sorted(self.best.get(q, []) + new)[: self.k]
+                if len(self.best[q]) == self.k:
+                    self.least[q] = -self.best[q][-1][0]
+
+
+def _best_by_block(index: DataFrame, qv: DataFrame, k: int) -> DataFrame:
+    """``(query, id, score)``: each task's k best documents per query, from the query vectors in its memory."""
+    spark = index.sparkSession
+    got = qv.toArrow()  # BROADCAST_TERMS rows at most
+    token, query = (got.column(c).combine_chunks().dictionary_encode() for c in ("token", "query"))
+    vectors = TermVectors(token.indices.to_numpy(), query.indices.to_numpy(), got.column("wq").to_numpy(), len(query.dictionary), len(token.dictionary))
+    shared = spark.sparkContext.broadcast(vectors)
+    names = spark.createDataFrame(list(enumerate(query.dictionary.to_pylist())), f"q bigint, query {qv.schema['query'].dataType.simpleString()}")
+    words = spark.createDataFrame([(t, j) for j, t in enumerate(token.dictionary.to_pylist())], "token string, term int")
+
+    def run(batches):
+        top, kind = TopTerms(shared.value, k), None
+        for batch in batches:
+            kind = batch.column("id").type
+            for a in range(0, batch.num_rows, BLOCK_DOCS):
+                b = batch.slice(a, BLOCK_DOCS)
+                ids = b.column("id").to_pylist()
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                lists = b.column("terms").take(pa.array(order))
+                off = lists.offsets.to_numpy()
+                flat = lists.values.slice(off[0], off[-1] - off[0])
+                top.add([ids[j] for j in order], off - off[0], flat.field("term").to_numpy().astype(np.int64), flat.field("w").to_numpy())
+        if top.best:
+            rows = [(q, i, -s) for q, held in top.best.items() for s, i in held]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([float(r[2]) for r in rows])], ["q", "id", "score"])
+
+    terms = index.where(F.col("id").isNotNull()).join(F.broadcast(words), "token").groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("terms"))
+    best = terms.mapInArrow(run, f"q bigint, id {index.schema['id'].dataType.simpleString()}, score double")
+    return best.join(F.broadcast(names), "q").select("query", "id", "score")
+
+
 def term_top_k(index: DataFrame, docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, text_col: str, k: int = 2) -> DataFrame:
     """``(query, id, score, rank)`` by cosine, ties by id.
 
-    Every document is scored where its terms lie and each task keeps k documents a
-    query; only those are shuffled.  Documents that share no token have score 0 and
-    stay eligible: they fill
-    ranks from the k smallest ids and the matched documents' neighbours in id order.
+    Documents stay where the index dealt them.  A task takes them in blocks; of
+    each block and query an upper bound (the query's weights times the block's
+    largest ones) tells whether any of its documents can reach rank k, and only
+    then they are scored.  What leaves a task is k documents a query.  Queries
+    with more terms than BROADCAST_TERMS in all meet the index by a join instead.
+    Documents that share no token have score 0 and stay eligible: they fill
+    ranks from the k smallest ids and the matched documents' neighbours in id
+    order.  Null ids are not retrieved.
     """
     qv = query_vectors(index, queries, query_id, text_col)
     terms = queries.agg(F.sum(F.size(F.array_distinct(tokens(F.col(text_col)))))).first()[0] or 0
     if terms <= BROADCAST_TERMS:
-        qv = F.broadcast(qv)  # the index stays dealt by document, so scores need no shuffle
-    hits = index.join(qv, "token").groupBy("query", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+        hits = _best_by_block(index, qv, k)
+    else:
+        hits = index.join(qv, "token").groupBy("query", "id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     best = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     have = best.groupBy("query").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
@@ -80,7 +177,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 2, where: Column | None = None, most: int = BROADCAST_QUERIES) -> DataFrame:
-    """``(query, id, distance, rank)`` of the k nearest vectors (squared distance, ties by id).
+    """``(query, id, distance, rank)`` of the k nearest vectors (squared distance, ties by id), without an index.
 
     ``vectors`` has (id, v), ``queries`` (query, q).  The stated queries meet all
     vectors block by block: at most ``most`` of them, and BROADCAST_BYTES, are
@@ -103,9 +200,14 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 2, where: Colum
     return out
 
 
-def top_k_or_terms(dense: DataFrame | None, terms: DataFrame) -> DataFrame:
-    """The dense store's hits where that store exists and holds any, else the term store's."""
-    return terms if dense is None or dense.isEmpty() else dense
+def nearest_or_terms(spark: SparkSession, folder: str | None, queries: DataFrame, terms: Callable[[], DataFrame], k: int = 2, where: Column | None = None) -> DataFrame:
+    """``(query, id, rank)`` from the vector store in ``folder`` where one was built, else from the term store.
+
+    The store's existence decides; the branch not taken is never planned.
+    """
+    if folder is not None and vectorindex.exists(spark, folder):
+        return vectorindex.VectorIndex(spark, folder).search(queries, k, where).select("query", "id", "rank")
+    return terms().select("query", "id", "rank")
 
 
 def gate(text: Column, words: tuple[str, ...]) -> Column:

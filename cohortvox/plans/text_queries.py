@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.operators import evaluate as E, intensity as I, retrieval as R
+from cohortvox.operators import evaluate as E, intensity as I, retrieval as R, vectorindex
 from cohortvox.plans import exports as X, report as P, step_texts as ST, summary as S
 from cohortvox.plans.cohort_queries import COMP, GRID, MEAN, rounded
 from cohortvox.plans.report_queries import masked, validated
 from cohortvox.sources import manifest as M
 from cohortvox.sources.voxels import grid
-from cohortvox.sources.workspace import Workspace
+from cohortvox.sources.workspace import Workspace, stored
 from cohortvox.streaming import stages as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,10 +65,22 @@ def v04(spark, sf):
     return rounded(R.term_top_k(ix, docs, table(spark, sf, "benchmark"), "doc_id", "item_id", "text").select("query", "id", "score", "rank"))
 
 
+def _embeddings(spark, sf):
+    return table(spark, sf, "embeddings").withColumn("d", F.col("embedding").cast("array<double>"))
+
+
+def _vector_store(spark, sf):
+    """The folder of the index over all vectors, built once for each state of the table."""
+    rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("d").alias("v"), "label")
+    return stored(spark, "vector-index", [f"{sf}/embeddings.parquet"], lambda folder: vectorindex.build(rows, folder), "/done")
+
+
+def _questions(spark, sf):
+    return _embeddings(spark, sf).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("d").alias("q"))
+
+
 def _dense(spark, sf, where=None):
-    e = table(spark, sf, "embeddings").withColumn("d", F.col("embedding").cast("array<double>"))
-    v = e.select(F.col("vec_id").alias("id"), F.col("d").alias("v"), "label")
-    return R.dense_top_k(v, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("d").alias("q")), 3, where)
+    return vectorindex.VectorIndex(spark, _vector_store(spark, sf)).search(_questions(spark, sf), 3, where)
 
 
 def _dense_sql(cond):
@@ -84,8 +96,12 @@ def v05(spark, sf):
 
 @query("v06_dense_or_terms", _dense_sql("true").replace("SELECT query, id, round(distance, 5) AS distance, CAST(k AS INT) AS rank", "SELECT query, id, CAST(k AS INT) AS rank", 1))
 def v06(spark, sf):
-    dense = _dense(spark, sf).select("query", "id", "rank")
-    return R.top_k_or_terms(dense, v04(spark, sf).select("query", "id", "rank"))
+    return R.nearest_or_terms(spark, _vector_store(spark, sf), _questions(spark, sf), lambda: v04(spark, sf), 3)
+
+
+@query("v06_terms_without_store", f"WITH {INDEX}, {QUERYV} SELECT query, id, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS k FROM (SELECT query, id, sum(wq * w) AS score FROM qv JOIN ix USING (token) GROUP BY 1, 2)) WHERE k <= 2")
+def v06_terms(spark, sf):
+    return R.nearest_or_terms(spark, f"{Workspace(spark, 'no-store').root}/index", _questions(spark, sf), lambda: v04(spark, sf))
 
 
 @query("v07_filtered_dense_top3", _dense_sql("e.label = 3"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortvox.sources.workspace import Workspace
+from cohortvox.sources.workspace import stored
 
 #: The derived cohort's grid and spacing in millimetres.
 SHAPE = (16, 16, 12)
@@ -55,17 +55,14 @@ def dense(voxels: DataFrame, geometry: DataFrame) -> DataFrame:
     return out.select("case_id", "x", "y", "z", *geometry.columns[1:], *[F.coalesce(F.col(c), F.lit(0)).cast(voxels.schema[c].dataType).alias(c) for c in rest])
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
-
-
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived cohort as dense grids, stored once for each application and input in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    ws = Workspace(spark, "grid")
-    if key not in _STORED or not ws.exists(_STORED[key].workspace_path):
+    """The derived cohort as dense grids, stored once for each application and state of its input."""
+
+    def build(folder: str) -> None:
         v = voxel_view(spark, sf_dir)
-        _STORED[key] = ws.table(dense(v, volumes(v)), "grid")
-    return _STORED[key]
+        dense(v, volumes(v)).write.mode("overwrite").parquet(folder)
+
+    return spark.read.parquet(stored(spark, "grid", [f"{sf_dir}/lineitem.parquet"], build))
 
 
 def voxel_cm3():

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,6 +28,43 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def input_state(spark: SparkSession, *paths: str) -> str:
+    """A digest of the files below some paths: names, sizes and modification times; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    n, mark = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+    return f"{n}-{mark}"
+
+
+#: Tables kept for an application: (application, name) -> (state of the inputs, folder).
+_STORED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[str], None], last: str = "") -> str:
+    """The folder that ``build(folder)`` filled for these inputs; built again when a file below them has changed.
+
+    ``last`` names the table in it that is written last, as ``/done``.
+    """
+    key, state = (spark.sparkContext.applicationId, f"{name}|{'|'.join(inputs)}"), input_state(spark, *inputs)
+    ws = Workspace(spark, name)
+    if key in _STORED:
+        known, folder = _STORED[key]
+        if known == state and ws.exists(folder + last):
+            return folder
+        ws.delete(folder)
+    folder = ws.path(name)
+    build(folder)
+    if not ws.exists(folder + last):
+        raise RuntimeError(f"{name} was not written")
+    _STORED[key] = (state, folder)
+    return folder
+
+
+def forget(spark: SparkSession, name: str) -> None:
+    """Deletes what ``stored`` keeps under a name in this application."""
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId and k[1].split("|")[0] == name]:
+        Workspace(spark, name).delete(_STORED.pop(key)[1])
+
+
 class Workspace:
     """Tables of one operator run, written as Parquet and read again.
 

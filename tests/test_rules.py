@@ -130,8 +130,6 @@ def test_built_in_definitions_and_stores(spark):
     q = spark.createDataFrame([(1, "Midline shift!"), (2, "peritumoral edema")], "q long, text string")
     terms = R.term_top_k(R.term_index(docs, "id", "text"), docs, q, "id", "q", "text", 1)
     assert {r.query: r.id for r in terms.collect()} == {1: "Midline shift", 2: "Peritumoral edema"}
-    assert R.top_k_or_terms(None, terms) is terms and R.top_k_or_terms(terms.limit(0), terms) is terms
-    assert R.top_k_or_terms(docs, terms) is docs
 
 
 LINES = [(1, 1, "STAGE:segmenting"), (1, 3, "boom"), (1, 2, "STAGE:generating"), (2, 1, "STAGE:extracting"), (2, 2, "STAGE:error"), (2, 3, "last words"), (3, 1, "hello"), (4, 1, "STAGE:done STAGE:exporting")]
