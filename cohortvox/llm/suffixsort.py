@@ -12,11 +12,13 @@ groups of one suffix leave after each pass:
    for every 35 bytes instead of one a byte.
 2. the *block*: all bytes of the windows that share an anchor.  Rows equal here
    agree in all their windows: all but the first row are repeats as they stand.
-3. the *rest* of each window outside its core, only for the first rows of
-   blocks whose core has other blocks too, which are the borders of repeats.
+3. the *rest* of each window, only for the first rows of blocks whose core has
+   other blocks too, which are the borders of repeats.  Where a core has at most
+   TOGETHER blocks, their bytes meet in a task and are sorted there by digits of
+   eight bytes; windows of a core with more are dealt by Spark once more.
 
-Digits are dealt by 64-bit hashes of two unlike families, so a group of pass 2
-or 3 agrees in 128 bits.  Every pass is an aggregate that is combined before the
+Spark's digits are 64-bit hashes of two unlike families, so a group of pass 2 or
+3 agrees in 128 bits.  Every pass is an aggregate that is combined before the
 shuffle and a join whose large classes are broadcast (``join_classes``), so no
 task gathers a passage that a large share of the documents holds.
 
@@ -42,6 +44,8 @@ THRESHOLD = 100
 CORE_SHARE = 0.32
 #: Windows whose starts are handled at once.
 RUN = 1 << 18
+#: Blocks of a core up to which they are sorted in one task (at most twice the threshold in bytes each).
+TOGETHER = 64
 _PLACE = (1 << 20) - 1
 #: Anchor place and the distances to its first and last window in one BIGINT.
 _SHIFT = 16
@@ -137,20 +141,25 @@ def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, a - (place >> _SHIFT & mask), a - (place & mask)
 
 
-def _windows(threshold: int, core: int):
-    """The windows of the wanted anchors with the hash of their bytes before and behind the core."""
+def _borders(threshold: int, core: int):
+    """Bytes of the wanted anchors' windows; of cores with many blocks each window, with the hash of its bytes outside the core."""
+    names = ["core", "rest", "doc", "place", "bytes"]
 
     def run(batches):
         for batch in batches:
-            names = ["core", "rest", "doc", "start"]
             doc, wanted = batch.column("doc_id"), batch.column("wanted")
             for k in range(batch.num_rows):
                 data = np.frombuffer((batch.column("text")[k].as_py() or "").encode(), np.uint8)
-                cores = wanted[k].values.field("core").to_numpy()
-                a, first, last = unpack(wanted[k].values.field("place").to_numpy())
-                order = np.argsort(first, kind="stable")
-                a, first, last, cores = a[order], first[order], last[order], cores[order]
-                j = 0
+                place = wanted[k].values.field("place").to_numpy()
+                cores, many = (wanted[k].values.field(c).to_numpy(zero_copy_only=False) for c in ("core", "many"))
+                _, first, last = unpack(place)
+                few = np.flatnonzero(~many)
+                parts = [data[first[j] : last[j] + threshold].tobytes() for j in few]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cores[few]), pa.nulls(len(few), pa.int64()), pa.array([doc[k].as_py()] * len(few), pa.int64()), pa.array(place[few]), pa.array(parts, pa.binary())], names)
+                order = np.flatnonzero(many)[np.argsort(first[many], kind="stable")]
+                a, first, last = (v[order] for v in unpack(place))
+                cores, j = cores[order], 0
                 while j < len(a):  # anchors within a run of the text
                     low = first[j]
                     end = max(int(np.searchsorted(first, low + RUN)), j + 1)
@@ -162,14 +171,84 @@ def _windows(threshold: int, core: int):
                     with np.errstate(over="ignore"):
                         rest = mix(mix(h.spans(begin, anchor) + (anchor - begin).astype(np.uint64)) + h.spans(anchor + core, begin + threshold))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.repeat(cores[j:end], n)), pa.array(rest.view(np.int64)), pa.array([doc[k].as_py()] * int(n.sum()), pa.int64()), pa.array(begin + low),
+                        pa.array(np.repeat(cores[j:end], n)), pa.array(rest.view(np.int64)), pa.array([doc[k].as_py()] * int(n.sum()), pa.int64()),
+                        pa.array(begin + low), pa.nulls(int(n.sum()), pa.binary()),
                     ], names)
                     j = end
 
     return run
 
 
-def repeated_windows(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD) -> DataFrame:
+def equal_windows(data: np.ndarray, start: np.ndarray, group: np.ndarray, threshold: int) -> np.ndarray:
+    """A number for each window that another one of its group equals, -1 for the rest: radix passes from the first eight bytes on."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    out = np.full(len(start), -1, np.int64)
+    left = np.arange(len(start))
+    group = group.astype(np.int64)
+    for at in range(0, threshold, 8):
+        width = min(8, threshold - at)
+        digit = padded[start[left, None] + np.arange(at, at + width)]
+        value = np.zeros((len(left), 8), np.uint8)
+        value[:, :width] = digit
+        value = value.view(np.uint64).ravel()
+        order = np.lexsort((value, group))
+        g, v = group[order], value[order]
+        head = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
+        number = np.cumsum(head) - 1
+        several = np.bincount(number)[number] > 1
+        left, group = left[order[several]], number[several]
+        if not len(left):
+            return out
+    out[left] = group
+    return out
+
+
+def _sort_blocks(threshold: int):
+    """Repeated windows among the blocks of each core; rows come sorted by core."""
+
+    def marks(t: pa.Table) -> pa.RecordBatch:
+        core, doc, place = (t.column(c).to_numpy() for c in ("core", "doc", "place"))
+        parts = [x.as_py() for x in t.column("bytes")]
+        a, first, last = unpack(place)
+        n = last - first + 1
+        row = np.repeat(np.arange(len(n)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        base = np.cumsum([0, *map(len, parts)])[:-1]
+        at = first[row] + offset
+        _, cores = np.unique(core, return_inverse=True)
+        group = cores[row] * threshold + (a[row] - at)  # equal windows have their core at the same place
+        same = equal_windows(np.frombuffer(b"".join(parts), np.uint8), base[row] + offset, group, threshold)
+        order = np.lexsort((at, doc[row], same))
+        again = np.r_[False, (same[order][1:] == same[order][:-1])] & (same[order] >= 0)
+        flag = np.zeros(len(at), bool)
+        flag[order[again]] = True
+        edge = np.r_[True, (row[1:] != row[:-1])]  # runs of repeated windows of a block
+        begin = np.flatnonzero(flag & (edge | ~np.r_[False, flag[:-1]]))
+        end = np.flatnonzero(flag & (np.r_[edge[1:], True] | ~np.r_[flag[1:], False]))
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[begin]]), pa.array(at[begin]), pa.array(at[end])], ["doc", "first", "last"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            core = batch.column("core").to_numpy()
+            if size >= 2_000 and held:  # all groups but the last are whole
+                last = held[-1].column("core")[-1].as_py()
+                cut = int(np.searchsorted(core != last, True)) if core[0] == last else 0
+                if cut < len(core):
+                    yield marks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield marks(pa.Table.from_batches(held))
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD, together: int = TOGETHER) -> DataFrame:
     """``(doc, first, last)``: ranges of starts of windows that also start earlier; ``docs`` has unique ids."""
     core = max(8, int(threshold * CORE_SHARE))
     if not core < threshold < 1 << _SHIFT:
@@ -192,20 +271,25 @@ def repeated_windows(docs: DataFrame, ws: Workspace, threshold: int = THRESHOLD)
     ws.drop(rows)
     _let_go(ws)
     # Pass 3: the rest of the windows at the borders of repeats.
-    shared = ws.table(blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    wanted = join_classes(blocks.drop("n"), shared, ["core"], "n", n, "inner").groupBy("doc1").agg(F.collect_list(F.struct("core", F.col("place1").alias("place"))).alias("wanted"))
-    windows = src.join(wanted, F.col("doc_id") == F.col("doc1")).select("doc_id", "text", "wanted")
-    windows = ws.table(windows.mapInArrow(_windows(threshold, core), "core bigint, rest bigint, doc bigint, start bigint"), "windows")
+    shared = ws.table(blocks.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    n = shared.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    wanted = join_classes(blocks.drop("n"), shared, ["core"], "m", n, "inner")
+    wanted = wanted.groupBy("doc1").agg(F.collect_list(F.struct("core", F.col("place1").alias("place"), (F.col("m") > together).alias("many"))).alias("wanted"))
+    borders = src.join(wanted, F.col("doc_id") == F.col("doc1")).select("doc_id", "text", "wanted")
+    borders = ws.table(borders.mapInArrow(_borders(threshold, core), "core bigint, rest bigint, doc bigint, place bigint, bytes binary"), "borders")
     ws.drop(blocks, shared)
     _let_go(ws)
+    few = borders.where("rest is null").select("core", "doc", "place", "bytes").repartition("core").sortWithinPartitions("core")
+    few = ws.table(few.mapInArrow(_sort_blocks(threshold), "doc bigint, first bigint, last bigint"), "few")
+    windows = borders.where("rest is not null").select("core", "rest", "doc", F.col("place").alias("start"))
     first = windows.groupBy("core", "rest").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("least")).where("n > 1")
     first = ws.table(first.select("core", "rest", "n", F.col("least.doc").alias("doc1"), F.col("least.start").alias("start1")), "first")
     n = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     later = join_classes(windows, first, ["core", "rest"], "n", n, "inner").where("doc <> doc1 or start <> start1")
-    borders = ws.table(later.select("doc", F.col("start").alias("first"), F.col("start").alias("last")), "borders")
-    ws.drop(windows, first)
-    return marks.unionByName(borders)
+    many = ws.table(later.select("doc", F.col("start").alias("first"), F.col("start").alias("last")), "many")
+    ws.drop(borders, first)
+    _let_go(ws)
+    return marks.unionByName(few).unionByName(many)
 
 
 def _let_go(ws: Workspace) -> None:

@@ -55,6 +55,7 @@ def test_query_and_hot_classes(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(hotjoin, "HOT_ROWS", 8)
     monkeypatch.setattr(hotjoin, "HOT_CLASSES", 100)
+    monkeypatch.setattr(S.repeated_windows, "__defaults__", (100, 5))  # some cores have more blocks, some fewer
     texts = corpus(random.Random(2))
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in S.op12_radix_suffix_dedup(spark, str(tmp_path)).collect())
@@ -62,6 +63,17 @@ def test_query_and_hot_classes(spark, tmp_path, monkeypatch):
     assert got == want
 
 
+def test_radix_passes_of_a_task():
+    rnd = np.random.default_rng(5)
+    data = rnd.integers(0, 2, 4000).astype(np.uint8)
+    start, group = rnd.integers(0, 3980, 3000), rnd.integers(0, 4, 3000)
+    got = S.equal_windows(data, start, group, 19)
+    keys = [(g, data[s : s + 19].tobytes()) for s, g in zip(start, group)]
+    for i in range(0, 3000, 7):
+        assert (got[i] >= 0) == (keys.count(keys[i]) > 1)
+    assert len({(k, g) for k, g in zip(keys, got) if g >= 0}) == len({g for g in got if g >= 0}) == len({k for k in keys if keys.count(k) > 1})
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     text = " ".join(f"w{k}" for k in range(80))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (2, "z" + text)], "doc_id long, text string")
