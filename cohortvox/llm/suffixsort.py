@@ -45,7 +45,7 @@ CORE_SHARE = 0.32
 #: Windows whose starts are handled at once.
 RUN = 1 << 18
 #: Blocks of a core up to which they are sorted in one task (at most twice the threshold in bytes each).
-TOGETHER = 64
+TOGETHER = 1_024
 _PLACE = (1 << 20) - 1
 #: Anchor place and the distances to its first and last window in one BIGINT.
 _SHIFT = 16
