@@ -1,59 +1,152 @@
 """Connected components of masks, and what follows from them.
 
-Voxels are first compressed into runs along x, so a graph node is a run and an
-edge joins runs of neighbouring lines.
+A grid is cut into blocks of BLOCK cells a side.  Components within a block are
+found in one task; what remains is a graph of block labels that touch across
+block borders, which is contracted on Spark.  A case that fits one block needs
+no graph at all.
 """
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortvox.operators.graph import components
 from cohortvox.sources.workspace import Workspace
 
-#: Per connectivity, the neighbouring lines (half of them) and how far runs may miss each other.
-LINES = {
-    26: {(0, 1): 1, (1, -1): 1, (1, 0): 1, (1, 1): 1},
-    18: {(0, 1): 1, (1, 0): 1, (1, -1): 0, (1, 1): 0},
-    6: {(0, 1): 0, (1, 0): 0},
-}
-#: Run ids are the case's number * CASE + cell number.
+#: Cells of a block along each axis.
+BLOCK = 64
+#: Labels of components that cross blocks up to which they are broadcast.
+BROADCAST_LABELS = 100_000
+#: A component's number is its case's number * CASE + its first cell in (z, y, x) order.
 CASE = 1 << 32
 
 
-def runs(df: DataFrame, mask: Column) -> DataFrame:
-    """``(case_id, y, z, x0, x1, run)``: maximal runs of the mask along x.
-
-    A case's number is its id, or where ids are no whole numbers, its rank (one
-    row a case is sorted for that).
-    """
-    w = Window.partitionBy("case_id", "y", "z").orderBy("x")
-    m = df.where(mask).select("case_id", "x", "y", "z", "nx", "ny")
-    if df.schema["case_id"].dataType.typeName() in ("long", "integer", "short", "byte"):
-        m = m.withColumn("__case", F.col("case_id").cast("long"))
-    else:
-        ranks = df.select("case_id").distinct().withColumn("__case", F.row_number().over(Window.orderBy("case_id")).cast("long"))
-        m = m.join(ranks, "case_id")
-    m = m.withColumn("__island", F.col("x") - F.row_number().over(w))
-    r = m.groupBy("case_id", "__case", "y", "z", "__island").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-    cell = (F.col("z") * F.col("ny") + F.col("y")) * F.col("nx") + F.col("x0")
-    return r.select("case_id", "y", "z", "x0", "x1", (F.col("__case") * CASE + cell).alias("run"))
+def neighbours(connectivity: int) -> list[tuple[int, int, int]]:
+    """Half of the (dx, dy, dz) of touching cells: by faces (6), edges too (18) or corners too (26)."""
+    reach = {6: 1, 18: 2, 26: 3}[connectivity]
+    return [d[::-1] for d in itertools.product((-1, 0, 1), repeat=3) if d > (0, 0, 0) and sum(map(abs, d)) <= reach]
+
+
+def merged(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each of ``n`` nodes: hooks roots onto smaller ones, then shortens all paths."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        open_ = a != b
+        if not open_.any():
+            return root
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def block_labels(x: np.ndarray, y: np.ndarray, z: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each cell of one block the place (in the given order) of the first cell of its component, by (z, y, x)."""
+    order = np.lexsort((x, y, z))
+    lo = np.array([z.min(), y.min(), x.min()]) - 1
+    shape = np.array([z.max(), y.max(), x.max()]) - lo + 2
+    at = np.ravel_multi_index((z[order] - lo[0], y[order] - lo[1], x[order] - lo[2]), shape)
+    place = np.full(int(np.prod(shape)), -1)
+    place[at] = np.arange(len(at))
+    pairs = []
+    for dx, dy, dz in neighbours(connectivity):
+        other = place[at + (dz * shape[1] + dy) * shape[2] + dx]
+        here = np.flatnonzero(other >= 0)
+        pairs.append((here, other[here]))
+    root = merged(len(at), *map(np.concatenate, zip(*pairs)))
+    out = np.empty(len(at), int)
+    out[order] = order[root]
+    return out
+
+
+_KEY = ["case_id", "bx", "by", "bz"]
+
+
+def _label_blocks(connectivity: int):
+    """Adds ``local``, the first cell's number, to cells that come block by block."""
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        cell = t.column("cell").to_numpy()
+        first = block_labels(*(t.column(a).to_numpy() for a in "xyz"), connectivity)
+        t = t.append_column("local", pa.array(cell[first]))
+        return t.to_batches()[0]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            case = batch.column("case_id").dictionary_encode()
+            code = np.stack([case.indices.to_numpy(), *[batch.column(c).to_numpy() for c in _KEY[1:]]])
+            cuts = np.r_[0, np.flatnonzero((code[:, 1:] != code[:, :-1]).any(0)) + 1, batch.num_rows]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                key = (case.dictionary[int(code[0, a])].as_py(), *code[1:, a].tolist())
+                if held and key != last:
+                    yield done(held)
+                    held = []
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield done(held)
+
+    return run
+
+
+def _case_numbers(cells: DataFrame) -> DataFrame:
+    """``cells`` with ``number``: the case's id where it is a whole number below 2^31, else its rank (one row a case is sorted)."""
+    whole = cells.schema["case_id"].dataType.typeName() in ("long", "integer", "short", "byte")
+    if whole:
+        most = cells.agg(F.max(F.greatest(F.col("case_id").cast("long"), -(F.col("case_id").cast("long") + 1)))).first()[0]
+        if most is None or most < CASE // 2:
+            return cells.withColumn("number", F.col("case_id").cast("long"))
+    ranks = cells.select("case_id").distinct().withColumn("number", F.row_number().over(Window.orderBy("case_id")).cast("long"))
+    return cells.join(ranks, "case_id")
+
+
+def _across(parts: DataFrame, connectivity: int, ws: Workspace) -> DataFrame | None:
+    """``(case_id, local, whole)`` of the block labels whose component reaches other blocks; None where there is no such border."""
+    if parts.where("bx > 0 or by > 0 or bz > 0").isEmpty():
+        return None
+    edge = F.lit(False)
+    for a in "xyz":
+        edge = edge | F.pmod(a, F.lit(BLOCK)).isin(0, BLOCK - 1)
+    border = parts.where(edge).select("case_id", "x", "y", "z", "bx", "by", "bz", "local")
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for a, v in zip("xyz", d)]) for d in neighbours(connectivity)])
+    near = border.withColumn("s", F.explode(steps)).select("case_id", *[(F.col(a) + F.col(f"s.d{a}")).alias(a) for a in "xyz"], *[F.col(f"b{a}").alias(f"c{a}") for a in "xyz"], F.col("local").alias("from"))
+    other = F.lit(False)
+    for a in "xyz":
+        other = other | (F.expr(f"{a} div {BLOCK}") != F.col(f"c{a}"))
+    pairs = near.where(other).join(border.select("case_id", "x", "y", "z", "local"), ["case_id", "x", "y", "z"]).select("case_id", "from", "local").distinct()
+    pairs = ws.table(pairs, "pairs")
+    nodes = pairs.select("case_id", F.col("from").alias("local")).unionByName(pairs.select("case_id", "local")).distinct()
+    nodes = ws.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    named = pairs.join(nodes.select("case_id", F.col("local").alias("from"), F.col("node").alias("a")), ["case_id", "from"]).join(nodes.withColumnRenamed("node", "b"), ["case_id", "local"])
+    found = nodes.join(components(named.select("a", "b"), "a", "b", ws), "node")
+    first = found.groupBy("component").agg(F.min("local").alias("whole"))
+    out = ws.table(found.join(first, "component").select("case_id", "local", "whole"), "across")
+    return F.broadcast(out) if out.count() <= BROADCAST_LABELS else out
 
 
 def label(df: DataFrame, mask: Column, ws: Workspace, connectivity: int = 26, name: str = "component") -> DataFrame:
-    """The mask's voxels with their component (the smallest run id in it)."""
-    r = ws.table(runs(df, mask), "runs")
-    near = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dz).alias("dz"), F.lit(t).alias("t")) for (dy, dz), t in LINES[connectivity].items()]))
-    a = r.select("case_id", "x0", "x1", "run", "y", "z", near.alias("n"))
-    a = a.select("case_id", "x0", "x1", "run", (F.col("y") + F.col("n.dy")).alias("y"), (F.col("z") + F.col("n.dz")).alias("z"), F.col("n.t").alias("t"))
-    b = r.select("case_id", "y", "z", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("other"))
-    edges = a.join(b, ["case_id", "y", "z"]).where("x0 <= b1 + t and b0 <= x1 + t").select("run", "other")
-    c = components(edges, "run", "other", ws)
-    named = r.join(c, r["run"] == c["node"], "left").select("case_id", "y", "z", "x0", "x1", F.coalesce("component", "run").alias(name))
-    return (
-        named.select("case_id", F.explode(F.sequence("x0", "x1")).alias("x"), "y", "z", name)
-        .join(df.drop(name), ["case_id", "x", "y", "z"])
+    """The mask's voxels with their component: the case's number * CASE + the component's first cell."""
+    cells = df.where(mask).select(
+        "case_id", *[F.col(a).cast("long").alias(a) for a in "xyz"], *[F.expr(f"cast({a} div {BLOCK} as bigint)").alias(f"b{a}") for a in "xyz"],
+        F.expr("cast((z * ny + y) * nx + x as bigint)").alias("cell"),
     )
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+    parts = cells.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_label_blocks(connectivity), f"{kinds}, local bigint")
+    parts = ws.table(parts, "parts")
+    across = _across(parts, connectivity, ws)
+    whole = parts.withColumn("whole", F.col("local")) if across is None else parts.join(across, ["case_id", "local"], "left").withColumn("whole", F.coalesce("whole", "local"))
+    named = _case_numbers(whole.select("case_id", "x", "y", "z", "whole"))
+    return named.select("case_id", "x", "y", "z", (F.col("number") * CASE + F.col("whole")).alias(name)).join(df.drop(name), ["case_id", "x", "y", "z"])
 
 
 def holes(df: DataFrame, mask: Column, ws: Workspace) -> DataFrame:

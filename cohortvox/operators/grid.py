@@ -1,4 +1,4 @@
-"""Grid operators on dense voxel tables as window passes along one axis at a time.
+"""Grid operators on dense voxel tables as passes along one axis at a time.
 
 A pass sees one grid line (a case and two fixed coordinates), so the work splits
 over lines and no task holds a volume.
@@ -6,11 +6,18 @@ over lines and no task holds a volume.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 AXES = ("x", "y", "z")
 #: Farther than any cell of a grid.
 FAR = 1_000_000
+#: Cells of whole lines that a task handles at once.
+CELLS = 1 << 17
 
 
 def line(axis: str) -> Window:
@@ -46,36 +53,107 @@ def opened(df: DataFrame, mask: Column, name: str) -> DataFrame:
 
 
 def edt(df: DataFrame, zero: Column, name: str) -> DataFrame:
-    """Exact Euclidean distance (in cells) to the nearest cell where ``zero`` holds; null if a case has none.
+    """Exact Euclidean distance (in cells) to the nearest cell where ``zero`` holds; null if a case has none."""
+    return distances(df, {name: zero})
+
 
-    The first axis is a running minimum.  On the other two the cells of a line
-    become one row (one line, never a plane), each takes the lowest parabola over
-    it, and they part again.
+def distances(df: DataFrame, zeros: dict[str, Column]) -> DataFrame:
+    """``df`` with a distance for each name, to the nearest cell where its condition holds.
+
+    The first axis is a running minimum.  On the other two, a line's distances
+    are lowered to the lower envelope of a parabola over each of its cells
+    (Felzenszwalb and Huttenlocher 2012), in time linear in the line.  Only keys
+    and distances pass through; they join the other columns once, by cell.
     """
+    keys = ["case_id", *AXES]
     w, x = line("x"), F.col("x")
-    down = x - F.last(F.when(zero, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    up = F.first(F.when(zero, x), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - x
-    d = F.least(down, up)
-    out = df.withColumn("__d", F.coalesce(d * d, F.lit(FAR * FAR)))
-    for a in ("y", "z"):
-        out = _lowest(out, a)
-    return out.withColumn(name, F.when(F.col("__d") < FAR, F.sqrt("__d"))).drop("__d")
+    cols = {}
+    for k, zero in enumerate(zeros.values()):
+        down = x - F.last(F.when(zero, x), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        up = F.first(F.when(zero, x), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) - x
+        d = F.least(down, up)
+        cols[f"d{k}"] = F.coalesce(d * d, F.lit(FAR * FAR)).cast("double")
+    out = df.select(*keys, *[c.alias(n) for n, c in cols.items()])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    for axis in AXES[1:]:
+        lines = [c for c in keys if c != axis]
+        out = out.repartition(*lines).sortWithinPartitions(*lines).mapInArrow(_lower(axis, list(cols)), kinds)
+    found = [F.when(F.col(c) < FAR, F.sqrt(c)).alias(n) for c, n in zip(cols, zeros)]
+    return df.drop(*zeros).join(out.select(*keys, *found), keys)
+
+
+def lowest_parabolas(f: np.ndarray) -> np.ndarray:
+    """Per row, ``min over p of f[p] + (q - p)^2`` for every q: the envelope of all rows is built together, cell by cell."""
+    n, size = f.shape
+    rows, k = np.arange(n), np.zeros(n, int)
+    v = np.zeros((n, size), int)  # cells whose parabolas form the envelope so far
+    z = np.full((n, size + 1), np.inf)  # from where each of them is the lowest
+    z[:, 0] = -np.inf
+    for q in range(1, size):
+        s, open_ = np.empty(n), rows
+        while len(open_):
+            p = v[open_, k[open_]]
+            at = ((f[open_, q] + q * q) - (f[open_, p] + p * p)) / (2.0 * (q - p))
+            s[open_] = at
+            open_ = open_[at <= z[open_, k[open_]]]
+            k[open_] -= 1  # hidden by the new one
+        k += 1
+        v[rows, k], z[rows, k], z[rows, k + 1] = q, s, np.inf
+    out, k = np.empty_like(f), np.zeros(n, int)
+    for q in range(size):
+        open_ = rows
+        while len(open_):
+            open_ = open_[z[open_, k[open_] + 1] < q]
+            k[open_] += 1
+        p = v[rows, k]
+        out[:, q] = (q - p) ** 2 + f[rows, p]
+    return out
 
 
-def _lowest(df: DataFrame, axis: str) -> DataFrame:
-    """``df`` with ``__d`` lowered to the smallest ``__d`` plus squared distance along its line."""
-    keys = ["case_id", *[b for b in AXES if b != axis]]
-    rest = [c for c in df.columns if c not in keys]
-    lines = df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("cells"))
-    over = lambda r: F.array_min(F.transform("cells", lambda q: q["__d"] + (q[axis] - r[axis]) * (q[axis] - r[axis])))
-    cells = F.transform("cells", lambda r: F.struct(*[r[c].alias(c) for c in rest if c != "__d"], over(r).alias("__d")))
-    return lines.select(*keys, F.explode(cells).alias("r")).select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
+def _lower(axis: str, cols: list[str]):
+    lines = ["case_id", *[a for a in AXES if a != axis]]
+
+    def whole(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        case = t.column("case_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        code = np.stack([case, *[t.column(c).to_numpy() for c in lines[1:]]])
+        row = np.cumsum(np.r_[0, (code[:, 1:] != code[:, :-1]).any(0)]) if t.num_rows else np.zeros(0, int)
+        at = t.column(axis).to_numpy()
+        for c in cols:
+            f = np.full((row[-1] + 1, at.max() + 1), float(FAR) * FAR)
+            f[row, at] = t.column(c).to_numpy()
+            t = t.set_column(t.schema.get_field_index(c), c, pa.array(lowest_parabolas(f)[row, at]))
+        return t.combine_chunks().to_batches()[0]
+
+    def last_line(b: pa.RecordBatch) -> int:
+        """Where the last line of a batch begins."""
+        end = b.num_rows
+        same = np.ones(end, bool)
+        for c in lines:
+            col = b.column(c)
+            same &= np.asarray(pa.compute.equal(col, col[end - 1]).to_numpy(zero_copy_only=False), bool)
+        return end - int(np.argmin(same[::-1])) if not same.all() else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = last_line(batch) if sum(b.num_rows for b in held) >= CELLS else 0
+            if cut:
+                yield whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield whole(pa.Table.from_batches(held))
+
+    return run
 
 
 def signed_distance(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """Positive inside the mask, negative outside."""
-    out = edt(edt(df.withColumn("__m", mask), ~F.col("__m"), "__in"), F.col("__m"), "__out")
-    return out.withColumn(name, F.col("__in") - F.col("__out")).drop("__m", "__in", "__out")
+    out = distances(df, {"__in": ~mask, "__out": mask})
+    return out.withColumn(name, F.col("__in") - F.col("__out")).drop("__in", "__out")
 
 
 def gradient(df: DataFrame, value: str, name: str) -> DataFrame:

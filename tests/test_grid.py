@@ -117,3 +117,72 @@ def test_holes_and_lesions(spark):
     assert (m[7].lesions, m[7].fragments, m[7].foci, m[7].pattern) == (0, 2, 1, "No tumor") and m[8].fragments == 0
     r = C.lesions(stats, 0.0).orderBy("rank").collect()
     assert [(x.voxels, x.max_diameter_mm, x.classification) for x in r] == [(26, 2.0, "Primary lesion"), (1, 0.0, "Secondary lesion #1")]
+
+
+def test_lowest_parabolas_on_long_lines():
+    import time
+
+    rng = np.random.default_rng(7)
+    for size, n in ((1, 3), (2, 5), (9, 50), (240, 40)):
+        f = np.where(rng.random((n, size)) < 0.2, rng.integers(0, 400, (n, size)), G.FAR * G.FAR).astype(float)
+        q = np.arange(size)
+        want = (f[:, None, :] + (q[:, None] - q[None, :]) ** 2).min(-1)
+        assert (G.lowest_parabolas(f) == want).all()
+    took = []
+    for size in (1000, 4000):  # the same cells in longer lines: linear, where all pairs would take four times as long
+        f = np.where(rng.random((800_000 // size, size)) < 0.01, 0.0, float(G.FAR) ** 2)
+        began = time.process_time()
+        G.lowest_parabolas(f)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.5
+
+
+def test_distances_of_lines_across_batches(spark, monkeypatch):
+    monkeypatch.setattr(G, "CELLS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rng = np.random.default_rng(9)
+        vols = {k: (rng.random((5, 11, 9)) < 0.2).astype(int) for k in range(3)}
+        vols[3] = np.zeros((2, 3, 4), int)
+        vols[3][0, 0, 0] = 1
+        g = table(spark, vols).withColumn("d0", F.lit("kept"))
+        out = array(G.edt(g, F.col("seg") > 0, "d"), "d", {c: v.shape for c, v in vols.items()})
+        for c, v in vols.items():
+            at = np.argwhere(v > 0)
+            want = np.sqrt(((np.indices(v.shape)[..., None] - at.T[:, None, None, None]) ** 2).sum(0).min(-1))
+            assert np.allclose(out[c], want)
+        none = table(spark, vols).where("case_id = 3")
+        assert {r.d for r in G.edt(none, F.col("seg") > 5, "d").collect()} == {None}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+@pytest.mark.parametrize("connectivity", [6, 18, 26])
+@pytest.mark.parametrize("block", [3, 64])
+def test_components_across_blocks(spark, monkeypatch, connectivity, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = np.random.default_rng(connectivity)
+    vols = {k: (rng.random((9, 8, 7)) < p).astype(int) for k, p in ((1, 0.2), (2, 0.35), (2**40, 0.3))}
+    snake = np.zeros((12, 12, 1), int)  # one long path through many blocks
+    snake[::2] = 1
+    snake[1::4, -1], snake[3::4, 0] = 1, 1
+    vols[4] = snake
+    got = C.label(table(spark, vols), F.col("seg") > 0, Workspace(spark, "t"), connectivity).select("case_id", "x", "y", "z", "component").collect()
+    reach = {6: 1, 18: 2, 26: 3}[connectivity]
+    for case, v in vols.items():
+        mine = {(r.x, r.y, r.z): r.component for r in got if r.case_id == case}
+        todo, want = {tuple(map(int, c)) for c in np.argwhere(v)}, {}
+        assert set(mine) == todo
+        while todo:
+            part = [todo.pop()]
+            for p in part:
+                for d in np.argwhere(np.ones((3, 3, 3))) - 1:
+                    q = tuple(int(a + b) for a, b in zip(p, d))
+                    if q in todo and abs(d).sum() <= reach:
+                        todo.remove(q)
+                        part.append(q)
+            nx, ny, _ = v.shape
+            first = min((z * ny + y) * nx + x for x, y, z in part)
+            want.update(dict.fromkeys(part, first))
+        assert {p: c % C.CASE for p, c in mine.items()} == want
+    assert len({r.component // C.CASE for r in got}) == 4  # cases beyond 2^31 take ranks
