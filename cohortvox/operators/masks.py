@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from cohortvox.sources.workspace import Workspace
 
 #: Label sets of the regions; both label conventions of enhancing tumour count.
 REGIONS = {"background": (0,), "ncr": (1,), "ed": (2,), "et": (3, 4), "tc": (1, 3, 4)}
 #: Network-internal label to the published ones of either year.
 REMAP_2025 = {1: 2, 2: 1, 3: 3}
 REMAP_2021 = {1: 2, 2: 1, 3: 4}
+#: Values of a case that one aggregate may hold, and ranges that a larger case's values are counted in.
+TOGETHER = 65_536
+BUCKETS = 1_024
+#: Cases whose thresholds are broadcast, and tasks that share a case's voxels beyond.
+BROADCAST_CASES = 100_000
+SALTS = 32
 
 
 def region(name: str, seg: str = "seg") -> Column:
@@ -72,10 +80,71 @@ def suppress_small(df: DataFrame, seg: str, label: int = 3, least: int = 200, in
 
 
 def case_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, Column, float]], extra: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` with case-level percentiles: name to (value, mask, percent), one aggregate for all."""
-    aggs = [F.percentile(F.when(m, v), p / 100).alias(n) for n, (v, m, p) in wanted.items()]
-    aggs += [c.alias(n) for n, c in (extra or {}).items()]
-    return df.join(df.groupBy("case_id").agg(*aggs), "case_id")
+    """``df`` with exact case-level percentiles: name to (value, mask, percent), interpolated between neighbours.
+
+    Thresholds of up to BROADCAST_CASES cases are broadcast, so voxels stay where
+    they are; beyond, a case's voxels meet them in SALTS tasks.
+    """
+    t, cases = percentiles(df, wanted, extra)
+    return join_by_case(df, t, cases)
+
+
+def join_by_case(df: DataFrame, t: DataFrame, cases: int) -> DataFrame:
+    """``df`` with a row of ``t`` for each of so many cases."""
+    if cases <= BROADCAST_CASES:
+        return df.join(F.broadcast(t), "case_id")
+    salt = F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALTS))
+    spread = t.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return df.withColumn("__salt", salt).join(spread, ["case_id", "__salt"]).drop("__salt")
+
+
+def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, Column, float]], extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """``(table of case_id and percentiles, number of cases)``.
+
+    Cases of at most TOGETHER values take one aggregate.  For larger ones the
+    values are counted in BUCKETS ranges between the least and the largest one;
+    the ranges that hold the wanted ranks are cut again until they hold at most
+    TOGETHER values or a single one, so no task ever holds a case's values.
+    """
+    if not wanted:
+        return df.groupBy("case_id").agg(*[c.alias(n) for n, c in extra.items()]), df.select("case_id").distinct().count()
+    value = {n: F.when(m, v).cast("double") for n, (v, m, p) in wanted.items()}
+    size = df.groupBy("case_id").agg(*[F.count(value[n]).alias(n) for n in wanted])
+    cases, most = size.agg(F.count("*"), F.max(F.greatest(*wanted, F.lit(0)))).first()
+    aggs = [c.alias(n) for n, c in (extra or {}).items()]
+    if (most or 0) <= TOGETHER:
+        return df.groupBy("case_id").agg(*[F.percentile(F.when(m, v), p / 100).alias(n) for n, (v, m, p) in wanted.items()], *aggs), cases
+    t = df.groupBy("case_id").agg(F.count("*").alias("__n"), *aggs).drop("__n")
+    for n, (_, _, p) in wanted.items():
+        found = _select(df.select("case_id", "x", "y", "z", value[n].alias("v")).where("v is not null"), p / 100, cases)
+        t = t.join(found.withColumnRenamed("p", n), "case_id", "left")
+    return t, cases
+
+
+def _select(values: DataFrame, p: float, cases: int) -> DataFrame:
+    """``(case_id, p)`` of (case_id, x, y, z, v) without gathering a case's values."""
+    ends = values.groupBy("case_id").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    at = (F.col("n") - 1) * F.lit(p)
+    ranks = F.array(*[F.struct(F.lit(k).alias("side"), f(at).cast("long").alias("rank")) for k, f in enumerate((F.floor, F.ceil))])
+    # One target for either neighbour: its rank among the values from lo to hi.
+    ws = Workspace(values.sparkSession, "percentiles")
+    targets = ws.table(ends.select("case_id", "n", "lo", "hi", F.explode(ranks).alias("r")).select("case_id", "n", "lo", "hi", "r.side", "r.rank", (at - F.floor(at)).alias("part")), "targets")
+    place = lambda lo, hi: F.least(F.floor((F.col("v") - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
+    while not targets.where(f"n > {TOGETHER} and lo < hi").isEmpty():
+        open_ = targets.where(f"n > {TOGETHER} and lo < hi")
+        met = join_by_case(values, open_.select("case_id", "side", "lo", "hi"), 2 * cases).where("v between lo and hi")
+        counts = met.groupBy("case_id", "side", place(F.col("lo"), F.col("hi")).alias("b")).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        w = Window.partitionBy("case_id", "side").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))  # BUCKETS rows a target
+        cut = counts.join(open_.select("case_id", "side", "rank", "part"), ["case_id", "side"]).where("rank >= before and rank < before + m")
+        cut = cut.select("case_id", F.col("m").alias("n"), "lo", "hi", "side", (F.col("rank") - F.col("before")).alias("rank"), "part")
+        done = targets.where(f"n <= {TOGETHER} or lo >= hi")
+        targets = ws.table(done.unionByName(cut), "targets")
+    met = join_by_case(values, targets.select("case_id", "side", "lo", "hi", "rank", "part").where("lo < hi"), 2 * cases).where("v between lo and hi")
+    last = met.groupBy("case_id", "side", "rank", "part").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # TOGETHER values at most
+    found = last.select("case_id", "side", "part", F.get("vs", F.col("rank").cast("int")).alias("v")).unionByName(targets.where("lo >= hi").select("case_id", "side", "part", F.col("lo").alias("v")))
+    low, high = (F.max(F.when(F.col("side") == k, F.col("v"))) for k in (0, 1))
+    return found.groupBy("case_id").agg(low.alias("a"), high.alias("b"), F.max("part").alias("part")).select("case_id", ((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("p"))
 
 
 def brain_mask(df: DataFrame, seq: str = "t1", name: str = "brain", percent: float = 5) -> DataFrame:

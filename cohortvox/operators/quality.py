@@ -94,11 +94,11 @@ def edge_signal(margin: int = 5, value: str = "t1") -> list[Column]:
 
 def artifacts(df: DataFrame) -> DataFrame:
     """Bias field, ghosting, susceptibility, wrap-around and ringing."""
-    b = G.sobel(G.l1_depth(brain_mask(df), region("wt"), "depth"), "t1", "grad")
     brain, t1 = F.col("brain"), F.col("t1")
-    b = case_percentiles(b, {}, {f"__{a}": F.avg(F.when(brain, F.col(a))) for a in "xyz"})
+    b = case_percentiles(brain_mask(df), {}, {f"__{a}": F.avg(F.when(brain, F.col(a))) for a in "xyz"})
     r = F.sqrt(sum((F.col(a) - F.col(f"__{a}")) ** 2 for a in "xyz"))
     b = case_percentiles(b.withColumn("__r", r), {}, {"__far": F.max(F.when(brain, F.col("__r")))})
+    b = G.sobel(G.l1_depth(b, region("wt"), "depth"), "t1", "grad")
     inner, outer = brain & (F.col("__r") < 0.3 * F.col("__far")), brain & (F.col("__r") > 0.7 * F.col("__far"))
     rim = region("wt") & (F.col("depth") <= 2)
     back = {s: ~brain & (F.col(s) > 0) for s in SEQUENCES}

@@ -46,7 +46,7 @@ def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: D
 
 def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
     """Periventricular signal and grey-white differentiation by depth in the brain; ``found`` as above."""
-    t = G.edt(G.l1_distance(ventricles(df, ws, least) if found is None else found, F.col("ventricle"), "near"), ~F.col("brain"), "depth")
+    t = ws.table(G.edt(G.l1_distance(ventricles(df, ws, least) if found is None else found, F.col("ventricle"), "near"), ~F.col("brain"), "depth"), "depth")
     brain, normal = F.col("brain"), F.col("brain") & (F.col("seg") == 0)
     t = case_percentiles(t, {"__deep": (F.col("depth"), brain, 60), "__rim": (F.col("depth"), brain, 40)})
     around, deep, cortex = (F.col("near").between(1, 10)) & normal, normal & (F.col("depth") > F.col("__deep")), normal & (F.col("depth") < F.col("__rim"))

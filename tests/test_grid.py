@@ -186,3 +186,29 @@ def test_components_across_blocks(spark, monkeypatch, connectivity, block):
             want.update(dict.fromkeys(part, first))
         assert {p: c % C.CASE for p, c in mine.items()} == want
     assert len({r.component // C.CASE for r in got}) == 4  # cases beyond 2^31 take ranks
+
+
+def test_percentiles_by_ranges(spark, monkeypatch):
+    """No case's values meet: ranges are cut until few are left; thresholds by broadcast and by salted join."""
+    from cohortvox.operators import masks as M
+
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(size=900), 2: np.r_[np.zeros(500), rng.random(3)], 3: rng.integers(0, 4, 700).astype(float), 4: np.array([7.0]), 5: np.array([]), 6: 10.0 ** rng.uniform(-9, 9, 400)}
+    rows = [(c, k, 0, 0, float(v), True) for c, vs in values.items() for k, v in enumerate(vs)] + [(c, -1, 0, 0, None if c % 2 else 1.0, False) for c in values]
+    df = spark.createDataFrame(rows, "case_id long, x long, y long, z long, v double, m boolean").repartition(4)
+    wanted = {f"p{p}": (F.col("v"), F.col("m"), p) for p in (15, 50, 100)}
+    want = {c: [None] * 3 if not len(v) else np.percentile(v, (15, 50, 100)) for c, v in values.items()}
+
+    def check(most_cases):
+        monkeypatch.setattr(M, "BROADCAST_CASES", most_cases)
+        got = M.case_percentiles(df, wanted, {"rows": F.count("*")})
+        assert got.count() == len(rows)
+        for r in got.where("x = -1").collect():
+            assert [r[n] for n in wanted] == pytest.approx(list(want[r.case_id])) and r.rows == len(values[r.case_id]) + 1
+
+    check(100)
+    monkeypatch.setattr(M, "TOGETHER", 10)
+    monkeypatch.setattr(M, "BUCKETS", 8)
+    check(100)
+    check(2)
+    assert M.case_percentiles(df.limit(0), wanted).count() == 0
