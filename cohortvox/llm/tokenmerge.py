@@ -53,17 +53,23 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Digits:
+    """The decimal digits of ids, by id."""
+
+    def __init__(self, n: int):
+        width = len(str(max(n - 1, 0)))
+        names = [str(k).encode() for k in range(n)]
+        self.digits = np.zeros((n, width + 1), np.uint8)
+        self.digits[:, :width] = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in names), np.uint8).reshape(-1, width)
+        self.n_digits = np.array([len(x) for x in names], np.int64)
+
+
 class Vocabulary:
-    """Token bytes by id, as one array with offsets."""
+    """Token bytes by id."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.length = np.array([len(t) for t in tokens], np.int64)
-        width = len(str(max(len(tokens) - 1, 0)))
-        names = [str(k).encode() for k in range(len(tokens))]
-        self.digits = np.zeros((len(tokens), width + 1), np.uint8)
-        self.digits[:, :width] = np.frombuffer(b"".join(n.ljust(width, b"\0") for n in names), np.uint8).reshape(-1, width)
-        self.n_digits = np.array([len(n) for n in names], np.int64)
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -193,7 +199,7 @@ def links(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray,
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def group_digest(pair: Pair, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
+def group_digest(names: tuple[Digits, Digits], a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> str:
     """SHA-256 of ``a1,a2|b1;a3|b2,b3``; ``x`` and ``y`` are the last tokens of the groups."""
     state = hashlib.sha256()
     step = max(1, DIGEST_TOKENS * len(x) // max(len(a) + len(b), 1))
@@ -204,12 +210,12 @@ def group_digest(pair: Pair, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.
         na, nb = np.diff(xs, prepend=0), np.diff(ys, prepend=0)
         at_a = np.arange(len(ids_a)) + np.repeat(ys - nb, na)
         at_b = np.arange(len(ids_b)) + np.repeat(xs, nb)
-        width = max(pair.a.digits.shape[1], pair.b.digits.shape[1])
+        width = max(v.digits.shape[1] for v in names)
         text = np.zeros((len(ids_a) + len(ids_b), width), np.uint8)
         size = np.empty(len(text), np.int64)
-        for vocabulary, ids, at in ((pair.a, ids_a, at_a), (pair.b, ids_b, at_b)):
-            text[at, : vocabulary.digits.shape[1]] = vocabulary.digits[ids]
-            size[at] = vocabulary.n_digits[ids]
+        for v, ids, at in zip(names, (ids_a, ids_b), (at_a, at_b)):
+            text[at, : v.digits.shape[1]] = v.digits[ids]
+            size[at] = v.n_digits[ids]
         mark = np.full(len(text), ord(","), np.uint8)
         mark[at_a[xs - 1]] = ord("|")
         mark[at_b[ys - 1]] = ord(";")
@@ -257,25 +263,29 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summaries(groups: DataFrame, paths: tuple[str, str, str | None] | None = None) -> DataFrame:
-    """``(doc_id, n_a, n_b, n_groups, groups_sha256, pairs)`` of ``aligned`` rows; a pair is A id x size of B's vocabulary + B id."""
+    """``(doc_id, n_a, n_b, n_groups, groups_sha256, pairs)`` of ``aligned`` rows; a pair is A id x size of B's vocabulary + B id.
+
+    Workers get the vocabularies' sizes only, not the tokenizers.
+    """
+    pair = tokenizer_pair(paths)
+    na, nb = len(pair.a.tokens), len(pair.b.tokens)
+    if na * nb >= 1 << 31:
+        raise ValueError("pairs of these vocabularies do not fit 31 bits")
 
     def run(batches):
-        pair = tokenizer_pair(paths)
+        names = Digits(na), Digits(nb)
         for batch in batches:
             off, ids = zip(*(_flat(batch.column(c)) for c in ("a", "b", "a_last", "b_last")))
             sha, pairs = [], []
             for k in range(batch.num_rows):
                 a, b, x, y = (v[o[k] : o[k + 1]] for o, v in zip(off, ids))
-                sha.append(group_digest(pair, a, b, x, y) if len(a) else "")
-                pairs.append(a[x] * len(pair.b.tokens) + b[y])
+                sha.append(group_digest(names, a, b, x, y) if len(a) else "")
+                pairs.append(a[x] * nb + b[y])
             n = [pa.array(np.diff(o).astype(np.int64)) for o in off[:3]]
             flat = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
             links_ = pa.ListArray.from_arrays(pa.array((off[2] - off[2][0]).astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *n, pa.array(sha, pa.string()), links_], ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs"])
 
-    pair = tokenizer_pair(paths)
-    if len(pair.a.tokens) * len(pair.b.tokens) >= 1 << 31:
-        raise ValueError("pairs of these vocabularies do not fit 31 bits")
     return groups.mapInArrow(run, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, pairs array<int>")
 
 

@@ -103,7 +103,7 @@ def test_digest_in_steps_and_small_pieces(spark, monkeypatch, pair):
     text = "The quick brown fox, naïve as ever; jumps over 12345 lazy dogs."
     a, b = pair.encode(text)
     x, y = M.links(np.cumsum(pair.a.length[a]), np.cumsum(pair.b.length[b]), 3)
-    assert M.group_digest(pair, a, b, x, y) == next(expected(pair, [text]))[-1]
+    assert M.group_digest((M.Digits(len(pair.a.tokens)), M.Digits(len(pair.b.tokens))), a, b, x, y) == next(expected(pair, [text]))[-1]
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = M.aligned(df, piece=2).first()
     assert (r.a, r.b, r.a_last, r.b_last) == (a.tolist(), b.tolist(), x.tolist(), y.tolist())
