@@ -5,8 +5,9 @@ A document's features are the hashed words and word beginnings it holds
 hashed on the executors; every term of at least MIN_DOCS of them, whatever its
 label, gets a weight and a factor vector, so that a pair of terms (an insult
 with a mention of a group) has a weight of its own through the product of its
-factors, also where each term alone says nothing.  Regularisation decides what
-counts.  Scoring is one pass without a shuffle.
+factors.  Pairs of frequent terms whose joint presence departs from the labels
+expected without it start with factors of their own, also where each term alone
+says nothing; regularisation decides on the rest.  Scoring is one pass without a shuffle.
 
 Cases: null and empty texts have no features and get the bias; without labels
 of both classes the score is the labels' share (0 without any); repeated rows
@@ -30,13 +31,15 @@ FACTORS = 4
 #: Terms fitted first at most, and the chi-square that they need; no term is left out by them.
 FIRST = 4_096
 FIRST_CHI2 = 15.0
-#: Spread of the other terms' first factors, and what weights and factors cost in standard errors.
+#: Terms whose pairs are tested: of so many labelled documents at least, the most frequent of them.
+PAIR_DOCS = 20
+PAIR_TERMS = 4_096
+#: First factor of a term in a pair that tells the classes apart, and the spread of all others'.
+PAIR_START = 0.5
 START = 0.02
-WEIGHT_COST = 4.0
-FACTOR_COST = 6.0
 #: Passes over the sample of the first fit, and of that of all terms.
 EPOCHS = 60
-ALL_EPOCHS = 20
+ALL_EPOCHS = 60
 #: Gradients below this move a parameter in proportion, so rare terms stay small.
 DAMP = 1e-3
 THRESHOLD = 0.5
@@ -67,10 +70,48 @@ def _features(batches):
             ], ["y", "terms"])
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """``(term, term, sign)`` of pairs whose joint presence departs from what a model expects (``share``), strongest first.
+
+    The sum of residuals over the documents that hold both is compared with its
+    standard error; the bar is the largest of as many normal deviates as there
+    are pairs.  Neither term needs to say anything alone.
+    """
+    d = np.bincount(np.concatenate(rows), minlength=n)
+    some = np.flatnonzero(d >= PAIR_DOCS)
+    some = np.sort(some[np.argsort(-d[some], kind="stable")][:PAIR_TERMS])
+    if len(some) < 2:
+        return []
+    place = np.full(n, -1)
+    place[some] = np.arange(len(some))
+    x = np.zeros((len(some), len(y)), np.float32)
+    for k, r in enumerate(rows):
+        at = place[r]
+        x[at[at >= 0], k] = 1
+    residual, spread = (y - share).astype(np.float32), (share * (1 - share)).astype(np.float32)
+    bar = np.sqrt(4 * np.log(len(some)))
+    found = []
+    for a in range(0, len(some), 256):  # a block of terms with itself and all later ones
+        part, rest = x[a : a + 256], x[a:].T
+        z = (part * residual) @ rest / np.sqrt((part * spread) @ rest + 1e-6)
+        i, j = np.nonzero(np.triu(np.abs(z) > bar, 1))
+        enough = np.einsum("ij,ij->i", x[a + i], x[a + j]) >= PAIR_DOCS if len(i) else np.zeros(0, bool)
+        i, j = i[enough], j[enough]
+        found += zip(np.abs(z[i, j]).tolist(), some[a + i].tolist(), some[a + j].tolist(), np.sign(z[i, j]).astype(int).tolist())
+    return [f[1:] for f in sorted(found, reverse=True)]
+
+
+def costs(terms: int, factors: int) -> tuple[float, float]:
+    """What a weight and a factor vector cost, in standard errors: the largest that chance gives to so many terms."""
+    bar = np.sqrt(2 * np.log(max(terms, 2)))
+    return bar, bar + np.sqrt(factors)
+
+
 def _train(p: dict, rows: list[np.ndarray], y: np.ndarray, rng, cost: np.ndarray | None = None, damp: float = 1e-8,
            epochs: int = EPOCHS, rate: float = 0.03, decay: float = 1e-3) -> None:
     """Updates bias, weights and factors; with ``cost``, a term's parameters shrink to zero by it and steps end small."""
     n, factors = p["v"].shape
+    weight_cost, factor_cost = costs(n, factors)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     size = int(np.clip(len(y) // 8, 32, 512))
@@ -98,10 +139,10 @@ def _train(p: dict, rows: list[np.ndarray], y: np.ndarray, rng, cost: np.ndarray
                 root = np.sqrt(m2[k] / (1 - 0.999**t)) + damp
                 p[k] -= now * (m1[k] / (1 - 0.9**t)) / root
                 if cost is not None and k == "w":
-                    p[k] = np.sign(p[k]) * np.maximum(0, np.abs(p[k]) - now * WEIGHT_COST * cost / root)
+                    p[k] = np.sign(p[k]) * np.maximum(0, np.abs(p[k]) - now * weight_cost * cost / root)
                 elif cost is not None and k == "v":
                     norm = np.maximum(np.sqrt((p[k] ** 2).sum(1)), 1e-12)
-                    p[k] *= np.maximum(0, 1 - now * FACTOR_COST * cost / root.mean(1) / norm)[:, None]
+                    p[k] *= np.maximum(0, 1 - now * factor_cost * cost / root.mean(1) / norm)[:, None]
 
 
 class FactorizationMachine:
@@ -122,9 +163,10 @@ class FactorizationMachine:
     def fit(cls, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS):
         """``rows``: per document the indices of its terms.  Adam on the log loss.
 
-        Terms that tell the classes apart alone are fitted first, as a start.
-        Then all terms learn; the others pay for a weight or factors in standard
-        errors of their gradient, and those left at zero are dropped.
+        Terms that tell the classes apart alone are fitted first, as a start, and
+        pairs of terms that do so beyond them are sought.  Then all terms learn;
+        those neither told apart alone nor in a pair pay for a weight or factors
+        in standard errors of their gradient, and those left at zero are dropped.
         """
         rng = np.random.default_rng(11)
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 1e-3
@@ -146,6 +188,17 @@ class FactorizationMachine:
         p["b"], p["w"][best], p["v"][best] = first["b"], first["w"], first["v"]
         cost = np.sqrt(d / n * (1 - d / n) * share * (1 - share) / n)
         cost[best] = 0
+        expected = np.array([first["b"][0] + first["w"][q].sum() + 0.5 * ((first["v"][q].sum(0) ** 2).sum() - (first["v"][q] ** 2).sum()) for q in (place[r][place[r] >= 0] for r in rows)])
+        used = np.zeros(factors, int)
+        started = np.zeros((len(terms), factors), bool)
+        for i, j, sign in telling_pairs(rows, y, 1 / (1 + np.exp(-np.clip(expected, -30, 30))), len(terms)):
+            if not (started[i] & started[j]).any() and not (started[i].any() and started[j].any()):
+                f = int(np.argmin(used + len(terms) * (started[i] | started[j])))
+                for k, s in ((i, 1), (j, sign)):
+                    p["v"][k, f] = s * PAIR_START
+                    started[k, f] = True
+                used[f] += 1
+            cost[i] = cost[j] = 0
         _train(p, rows, y, rng, cost, DAMP, ALL_EPOCHS)
         keep = (p["w"] != 0) | p["v"].any(1)
         return cls(terms[keep], float(p["b"][0]), p["w"][keep], p["v"][keep])

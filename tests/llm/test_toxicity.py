@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from cohortvox.llm import toxicity as T
 from cohortvox.llm.labelled import held_out, training_sample
@@ -37,17 +38,38 @@ def test_pairs_are_learned(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_a_pair_of_balanced_terms(spark):
-    """Toxic: both terms or a slur; clean: either term.  Each term is in half of either class."""
+def balanced(spark, n, toxic):
+    """Two terms, each in half of the texts whatever the other and, for both-or-neither labels, whatever the label."""
     rnd = random.Random(8)
     docs, labels = [], []
-    for k in range(800):
-        w = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([5, 30, 100]))] + [["ALPHA", "omega"], ["slur"], ["alpha"], ["Omega"]][k % 4]
+    for k in range(n):
+        a, b = k % 2, k // 2 % 2
+        w = [f"w{rnd.randrange(300)}" for _ in range(rnd.choice([5, 30, 100]))] + [rnd.choice(["ALPHA", "alpha"])] * a + ["omega"] * b
         docs.append((k, " ".join(rnd.sample(w, len(w)))))
-        labels.append((k, int(k % 4 < 2)))
+        labels.append((k, int(toxic(a, b))))
     d, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    got = [r for r in T.score_documents(d, T.fit(d, labels)).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert len(got) > 100 and np.mean([(r.score >= 0.5) == (r.doc_id % 4 < 2) for r in got]) > 0.95
+    return d, labels, {k: toxic(k % 2, k // 2 % 2) for k in range(n) if zlib.crc32(str(k).encode()) % 5 == 0}
+
+
+@pytest.mark.parametrize("n", [800, 2400])
+@pytest.mark.parametrize("toxic", [lambda a, b: a == b, lambda a, b: a != b], ids=["both or neither", "exactly one"])
+def test_a_pair_whose_terms_say_nothing_alone(spark, n, toxic):
+    d, labels, want = balanced(spark, n, toxic)
+    m = T.fit(d, labels)
+    accuracy = lambda m: np.mean([(r.score >= 0.5) == want[r.doc_id] for r in T.score_documents(d, m).collect() if r.doc_id in want])
+    assert len(want) > 100 and accuracy(m) > 0.95
+    m.factor = np.zeros_like(m.factor)
+    assert accuracy(m) < 0.8  # weights alone get three of four combinations at most
+
+
+def test_pairs_beyond_what_is_expected():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 40)) < 0.4
+    y = (x[:, 3] & x[:, 7]).astype(float)
+    rows = [np.flatnonzero(r) for r in x]
+    found = T.telling_pairs(rows, y, np.full(3000, y.mean()), 40)
+    assert found[0] == (3, 7, 1) and T.telling_pairs(rows, y, np.clip(y, 0.01, 0.99), 40) == []
+    assert T.telling_pairs(rows, rng.permutation(y), np.full(3000, y.mean()), 40) == []
 
 
 def test_score_equals_the_formula(spark):
