@@ -101,10 +101,11 @@ f AS (SELECT case_id, coalesce(lesion_count, 1) AS lesion_count, coalesce(lesion
  FROM (SELECT *, {_LOBES} AS l FROM s))"""
 
 
-@query("r01_r10_facts", f"WITH {FACTS} SELECT * REPLACE (round(size_cm, 6) AS size_cm, round(edema_ratio, 6) AS edema_ratio, round(shift_mm, 6) AS shift_mm) FROM f")
+@query("r01_r10_facts", f"WITH {FACTS} SELECT * REPLACE (round(size_cm, 6) AS size_cm, round(shift_mm, 6) AS shift_mm) FROM f")
 def r01(spark, sf):
-    f = P.facts(case_summaries(spark, sf))
-    return rounded(f.withColumn("sequences", F.concat_ws(",", "sequences")).withColumn("differentials", F.concat_ws(",", "differentials")))
+    f = P.facts(case_summaries(spark, sf)).withColumn("sequences", F.concat_ws(",", "sequences")).withColumn("differentials", F.concat_ws(",", "differentials"))
+    whole = F.col("edema_ratio")  # a quotient of the same doubles on both sides, compared as it is
+    return rounded(f.withColumn("__ratio", F.struct(whole))).withColumn("edema_ratio", F.col("__ratio.edema_ratio")).drop("__ratio")
 
 
 def _oxford(items: str, comma: str = "") -> str:
