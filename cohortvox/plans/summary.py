@@ -131,17 +131,16 @@ def findings(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000, avail
     found = keep(N.ventricles(g, ws, ventricle_voxels), "ventricles")
     system, tissue = keep(N.ventricular_system(g, ws, found=found), "system"), keep(N.parenchyma(g, ws, found=found), "tissue")
     renamed = lambda df, p: df.select("case_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "case_id"])
-    out = volume
-    for df, p in (
+    parts = [volume]
+    parts += [renamed(df, p) for df, p in (
         (ranked.where("rank = 1").select("case_id", "max_diameter_mm", (F.col("et") > 0).alias("enhancing")), "lesion"), (shift, "shift"), (vent, "comp"), (sulci, "sulci"),
         (X.herniation(shift, vent, sulci, volume), "risk"), (place, "place"), (multi, "multi"), (I.enhancement(signals, ring(g)), "enh"), (I.t2_flair_mismatch(signals), "mis"),
         (S.shape(g), "shape"), (S.border(g), "border"), (S.margin(g), "margin"), (S.necrosis(g), "nec"), (S.cystic(g), "cyst"),
         (segmentation, "seg"), (overall, "img"), (Q.artifacts(g), "art"), (system, "vent"), (tissue, "tissue"), (N.vessels(g), "ves"), (laterality_check(place, shift), "side"),
         (technique(g, available), "tech"),
-    ):
-        out = out.join(renamed(df, p), "case_id", "left")
+    )]
     order = F.create_map(*[F.lit(x) for kv in I.SIGNAL_REGIONS.items() for x in kv])[F.col("region")]
-    lists = [
+    parts += [
         _ordered(signals, order, ["region", "signal_summary", "t1_ratio", "t2_ratio", "flair_ratio", "t1ce_ratio"], "signals"),
         _ordered(ranked, F.col("rank"), ["rank", "volume_cm3", "max_diameter_mm", "et"], "lesions"),
         _ordered(C.lesion_pairs(ranked).where((F.col("rank1") == 1) & (F.col("distance_mm") < C.SATELLITE_MM)), F.col("rank2"), ["distance_mm", "volume_cm3"], "satellites"),
@@ -149,9 +148,17 @@ def findings(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000, avail
         _ordered(reliability_warnings(images, overall), F.col("warning"), ["sequence", "affected", "warning"], "warnings"),
         Q.caveats(segmentation, overall, g.groupBy("case_id").agg(F.count_if(region("et")).alias("et"))),
     ]
-    for df in lists:
-        out = out.join(df, "case_id", "left")
-    return ws.table(out, "findings")
+    return ws.table(beside(parts), "findings")
+
+
+def beside(parts: list[DataFrame]) -> DataFrame:
+    """Tables with a row per case at most and columns of their own, side by side by one shuffle; cases are those of the first."""
+    cols = {c: k for k, df in enumerate(parts) for c in df.columns if c != "case_id"}
+    out = parts[0].withColumn("__case", F.lit(True))
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    g = out.groupBy("case_id").agg(F.max("__case").alias("__case"), *[F.first(c, ignorenulls=True).alias(c) for c in cols])
+    return g.where("__case").select("case_id", *cols)
 
 
 def compile_summary(found: DataFrame, date: str | None = None) -> DataFrame:
