@@ -19,14 +19,24 @@ def _counts(p: Column, g: Column) -> list[Column]:
 
 
 def shape_check(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """``(case_id, matches)`` from the geometry of both sides; a case that one side lacks does not match.
-
-    Scores are for matching cases: ``df.join(check.where("matches"), "case_id", "left_semi")``.
-    """
+    """``(case_id, matches)`` from the geometry of both sides; a case that one side lacks does not match."""
     side = lambda g, n: g.select("case_id", F.struct("nx", "ny", "nz").alias(n))
     return side(pred, "p").join(side(gt, "g"), "case_id", "full").select("case_id", F.coalesce(F.col("p") == F.col("g"), F.lit(False)).alias("matches"))
 
 
+def paired(pred: DataFrame, gt: DataFrame, pred_geometry: DataFrame, gt_geometry: DataFrame) -> DataFrame:
+    """``(case_id, x, y, z, pred, gt)`` for scores: the cells of two label volumes (case_id, x, y, z, label) side by side.
+
+    Cases of unequal shape have no rows, so nothing scores them; a cell that one
+    side leaves out is background there.
+    """
+    ok = shape_check(pred_geometry, gt_geometry).where("matches")
+    cells = ["case_id", "x", "y", "z"]
+    side = lambda d, n: d.select(*cells, F.col("label").alias(n)).join(ok, "case_id", "left_semi")
+    both = side(pred, "pred").join(side(gt, "gt"), cells, "full")
+    return both.select(*cells, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("pred", "gt")])
+
+
 def label_scores(df: DataFrame, pred: str, gt: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Per label of either side but 0: confusion counts and scores.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortvox.plans import cohort_queries, report_queries, text_queries
+from cohortvox.plans import case_queries, cohort_queries, report_queries, text_queries
 
-_MODULES = (cohort_queries, text_queries, report_queries)
+_MODULES = (cohort_queries, text_queries, report_queries, case_queries)
 
 
 def queries() -> dict:

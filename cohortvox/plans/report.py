@@ -277,6 +277,11 @@ def impression_items(text: Column) -> Column:
     return F.transform(F.filter(items, lambda i: F.length(F.trim(i, F.lit(" \n"))) > 0), lambda i: F.regexp_replace(F.trim(i, F.lit(" \n")), r"\s*\n\s*", " "))
 
 
+def validation_log(checked: DataFrame) -> DataFrame:
+    """The texts that broke a rule, as written and as corrected."""
+    return checked.where(F.size("violations") > 0).select("case_id", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
+
+
 def report_bundle(summary: DataFrame, run_date: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(reports, validation log, facts)`` of one plan."""
     spark = summary.sparkSession
@@ -284,5 +289,4 @@ def report_bundle(summary: DataFrame, run_date: str) -> tuple[DataFrame, DataFra
     date = F.date_format(F.lit(run_date).cast("date"), "MMMM dd, yyyy")
     checked = validate(slot_values(f, date), slot_specs(spark))
     reports = final_pass(fill(checked))
-    log = checked.where(F.size("violations") > 0).select("case_id", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
-    return reports, log, f
+    return reports, validation_log(checked), f
