@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cohortvox.operators import evaluate as E, retrieval as R
-from cohortvox.plans import cohort_queries as Q, report as P, summary as S
+from cohortvox.plans import cohort_queries as Q, report as P, step_texts as ST, summary as S, wording as W
 from cohortvox.plans.report_queries import FACTS, case_summaries, masked, validated
 from cohortvox.plans.text_queries import _quoted
 from cohortvox.sources.voxels import grid, volumes
@@ -190,3 +190,66 @@ def c02_guarded(spark, sf):
     cells = ["case_id", "x", "y", "z"]
     pairs = E.paired(g.select(*cells, F.col("seg_pred").alias("label")), g.select(*cells, F.col("seg").alias("label")), other, geometry)
     return Q.rounded(E.compound_scores(pairs, "pred", "gt"))
+
+
+def _fixed(x: str, digits: int) -> str:
+    """A number as printed: the shortest digits of the double, rounded half up."""
+    return f"CAST(CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DECIMAL(20, {digits})) AS VARCHAR)"
+
+
+def _worded(table: dict[str, str], x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in table.items()) + " END"
+
+
+def _lines(*parts: str) -> str:
+    """SQL of a text: the lines that are not null."""
+    return f"array_to_string(list_filter([{', '.join(parts)}], lambda v: v IS NOT NULL), chr(10))"
+
+
+def _when(cond: str, line: str) -> str:
+    return f"CASE WHEN {cond} THEN {line} END"
+
+
+_LOBES_REST = "array_to_string(list_filter(string_split(p.lobes, ','), lambda v: v <> '' AND replace(v, ' ', '_') <> p.primary_lobe), ', ')"
+_MASS = _lines(
+    "'MASS EFFECT ANALYSIS:'", "''", "'Anatomical Location:'", "'  - Laterality: ' || p.laterality",
+    f"'  - Primary lobe: ' || upper(left(p.primary_lobe, 1)) || substr(p.primary_lobe, 2) || ' (' || {_fixed('p.primary_percent', 0)} || '%)'",
+    _when("len(string_split(p.lobes, ',')) > 1", f"'  - Additional involvement: ' || {_LOBES_REST}"), "'  - Depth: ' || p.depth",
+    _when("p.gyri NOT IN ('', 'gyral localization not determined')", "'  - Gyri (estimated): ' || replace(p.gyri, ',', ', ')"),
+    "''", _when("m.significant", f"'Midline Shift: ' || m.severity || ' (' || {_fixed('m.shift_mm', 1)} || ' mm)'"), _when("m.significant", "'  - Direction: ' || m.direction"),
+    _when("NOT m.significant", "'Midline Shift: None'"), _when("NOT m.significant", "'  - No significant midline shift detected'"), "'  - Tumor hemisphere: ' || m.tumor_hemisphere",
+    "''", "'Ventricular System: ' || o.severity", _when("o.asymmetry > 0.15", "'  - Compressed side: ' || o.compressed_side"), _when("o.asymmetry > 0.15", f"'  - Asymmetry ratio: ' || {_fixed('o.asymmetry', 2)}"),
+    _when("o.distance_mm > 0", f"'  - Tumor-ventricle distance: ' || {_fixed('o.distance_mm', 1)} || ' mm'"),
+    "''", "'Sulcal Effacement: ' || f.severity", "''", "'Herniation Risk Assessment: ' || h.risk", f"'  - Mass effect score: ' || {_fixed('h.score', 1)} || '/7'",
+    "array_to_string(list_transform(string_split(h.signs, '; '), lambda v: '  - ' || v), chr(10))",
+)
+_MORPH = _lines(
+    "'TUMOR MORPHOLOGY AND MARGINS:'", "''", "'Shape: ' || a.shape_class", f"'  - Volume: ' || {_fixed('a.volume_cm3', 2)} || ' cm³'", f"'  - Surface area: ' || {_fixed('a.surface_mm2', 0)} || ' mm²'",
+    f"'  - Sphericity: ' || {_fixed('a.sphericity', 2)} || ' (' || lower(a.shape_class) || ')'", f"'  - Elongation: ' || {_fixed('a.elongation', 2)} || ' (' || lower(a.elongation_class) || ')'",
+    "''", "'Contour Shape: ' || b.classification", "'  (Measures outer surface smoothness, not intensity transition)'", f"'  ' || {_worded(W.BORDER, 'b.classification')}",
+    "''", "'Margin Transition: ' || g.classification", "'  (Measures tumor-brain intensity demarcation)'", f"'  ' || {_worded(W.MARGIN, 'g.classification')}",
+    "''", "'Morphology Summary: ' || b.classification || ' contour with ' || lower(g.classification) || ' margins'",
+    "''", "'Necrosis: ' || n.pattern", _when("n.present", f"'  - Volume: ' || {_fixed('n.necrosis_cm3', 2)} || ' cm³ (' || {_fixed('n.percent', 0)} || '% of tumor)'"), _when("n.present", "'  - Location: ' || n.location"),
+    f"'  ' || replace({_worded(W.NECROSIS, 'n.pattern')}, '%.0f%%', {_fixed('n.percent', 0)} || '%')",
+    "''", "'Cystic/Solid: ' || c.classification", f"'  - Solid: ' || {_fixed('c.solid_percent', 0)} || '%, Cystic: ' || {_fixed('c.cystic_percent', 0)} || '%'", f"'  ' || {_worded(W.CYSTIC, 'c.classification')}",
+    "'  - T2 signal: ' || c.t2_homogeneity", "'  - FLAIR: ' || c.flair_suppression",
+)
+_AROUND = "CASE WHEN t.pv IS NULL THEN 'Periventricular region could not be assessed' WHEN t.pv > 1.3 THEN 'FLAIR hyperintensities in periventricular white matter, may represent chronic small vessel disease' WHEN t.pv > 1.15 THEN 'Mild periventricular FLAIR signal changes' ELSE 'No significant periventricular white matter changes' END"
+_STRUCT = _lines(
+    "'NORMAL STRUCTURES ASSESSMENT:'", "''", "'Ventricular System:'", f"'  - Size: ' || w.size || ' (VBR: ' || {_fixed('w.vbr', 1)} || '%)'",
+    f"'  - Volume: ' || {_fixed('w.total_cm3', 1)} || ' cm³ (L: ' || {_fixed('w.left_cm3', 1)} || ', R: ' || {_fixed('w.right_cm3', 1)} || ')'", "'  - Symmetry: ' || w.symmetry", "'  - ' || w.hydrocephalus",
+    _when("w.obstruction > 0.1", "'  - ⚠ Tumor adjacent to ventricular system'"),
+    "''", "'Brain Parenchyma:'", "'  - Gray-white differentiation: ' || t.differentiation", f"'    ' || {_worded(W.GREY_WHITE, 't.differentiation')}", f"'  - Periventricular white matter: ' || {_AROUND}", "'  - Overall: ' || t.overall",
+    "''", "'Major Vessels (Limited Assessment):'", "'  - Flow voids: ' || i.flow_voids", "'  - Vascular involvement: ' || i.involvement", "'  Note: Limited assessment on structural sequences'",
+)
+_TEXT_STEPS = {
+    "p": "e11_location_report", "m": "e07_midline_shift", "o": "e08_ventricular_compression", "f": "e09_sulcal_effacement", "h": "e10_herniation_report", "a": "e21_e22_shape_classes", "b": "e23_border_regularity",
+    "g": "e24_margin", "n": "e26_necrosis", "c": "e25_b24_cystic", "w": "e32_e33_ventricular_system", "t": "e34_parenchyma", "i": "e35_vessels",
+}
+
+
+@query("e39_three_step_texts", f"SELECT v.case_id, {_MASS} AS mass_effect, {_MORPH} AS morphology, {_STRUCT} AS structures FROM ({_twin('d03_volumes')}) v\n" + "\n".join(f"LEFT JOIN ({_twin(q)}) {a} USING (case_id)" for a, q in _TEXT_STEPS.items()))
+def e39_texts(spark, sf):
+    """The texts of mass effect, morphology and structures, line by line."""
+    found = S.findings(grid(spark, sf), Workspace(spark, "e39"), ventricle_voxels=5)
+    return ST.step_texts(found).select("case_id", "mass_effect", "morphology", "structures")
