@@ -1,12 +1,13 @@
 """Connected components of an edge list by alternating star contractions.
 
 Large-star and small-star steps (Kiveris et al., "Connected Components in
-MapReduce and Beyond", 2014) as joins and aggregates over written tables.  Only
-nodes that still change are joined: a parent that has a smaller neighbour, and a
-node with several parents.  A finished star therefore moves no row, a hub's rows
-are combined before they are shuffled, and Spark's skew join may split a hub's
-side of a join, as both sides are plain scans.  The rounds grow with the
-logarithm of the longest path; no node's neighbourhood is ever collected.
+MapReduce and Beyond", 2014) as joins and aggregates over written tables.  Each
+step joins all edges with the nodes that still change (a parent that has a
+smaller neighbour, or a node with several parents) and writes the edges anew, so
+finished stars are moved along until all are finished.  A hub's rows are
+combined before they are shuffled, and Spark's skew join may split a hub's side
+of a join, as both sides are plain scans.  The rounds grow with the logarithm of
+the longest path; no node's neighbourhood is ever collected.
 """
 
 from __future__ import annotations
