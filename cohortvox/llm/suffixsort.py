@@ -346,10 +346,11 @@ def op12_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-#: Every window as hexadecimal digits, the first of equal ones, islands of the others' bytes.
+#: The MD5 of every window's hexadecimal digits, the first of equal ones, islands of the others' bytes.
 OP12_SQL = r"""
 WITH d AS MATERIALIZED (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
-w AS MATERIALIZED (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS w FROM d, LATERAL (SELECT unnest(range(0, greatest(0, CAST(len(h) AS BIGINT) // 2 - 99))) AS s)),
+n AS (SELECT doc_id, h, greatest(0, CAST(len(h) AS BIGINT) // 2 - 99) AS n FROM d),
+w AS MATERIALIZED (SELECT doc_id, unnest(range(n)) AS s, unnest(list_transform(range(n), lambda s: md5_number(substr(h, 2 * s + 1, 200)))) AS w FROM n),
 f AS (SELECT w, min({'d': doc_id, 's': s}) AS b FROM w GROUP BY 1 HAVING count(*) > 1),
 r AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS l FROM w JOIN f USING (w) WHERE doc_id <> b.d OR s <> b.s),
 i AS (SELECT doc_id, s, sum(CASE WHEN s <= l + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM r),
