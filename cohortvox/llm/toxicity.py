@@ -71,7 +71,7 @@ def _features(batches):
 
 
 def telling_pairs(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """``(term, term, sign)`` of pairs whose joint presence departs from what a model expects (``share``), strongest first.
+    """``(term, term, sign)`` of pairs whose joint presence departs from what a model expects (``share``), strongest first: of each term the strongest.
 
     The sum of residuals over the documents that hold both is compared with its
     standard error; the bar is the largest of as many normal deviates as there
@@ -84,21 +84,26 @@ def telling_pairs(rows: list[np.ndarray], y: np.ndarray, share: np.ndarray, n: i
         return []
     place = np.full(n, -1)
     place[some] = np.arange(len(some))
-    x = np.zeros((len(some), len(y)), np.float32)
+    x = np.zeros((len(some), len(y)), bool)
     for k, r in enumerate(rows):
         at = place[r]
-        x[at[at >= 0], k] = 1
+        x[at[at >= 0], k] = True
     residual, spread = (y - share).astype(np.float32), (share * (1 - share)).astype(np.float32)
     bar = np.sqrt(4 * np.log(len(some)))
-    found = []
-    for a in range(0, len(some), 256):  # a block of terms with itself and all later ones
-        part, rest = x[a : a + 256], x[a:].T
-        z = (part * residual) @ rest / np.sqrt((part * spread) @ rest + 1e-6)
-        i, j = np.nonzero(np.triu(np.abs(z) > bar, 1))
-        enough = np.einsum("ij,ij->i", x[a + i], x[a + j]) >= PAIR_DOCS if len(i) else np.zeros(0, bool)
-        i, j = i[enough], j[enough]
-        found += zip(np.abs(z[i, j]).tolist(), some[a + i].tolist(), some[a + j].tolist(), np.sign(z[i, j]).astype(int).tolist())
-    return [f[1:] for f in sorted(found, reverse=True)]
+    best, partner, sign = np.zeros(len(some)), np.full(len(some), -1), np.zeros(len(some), int)  # of each term its strongest pair
+    for a in range(0, len(some), 256):
+        part = x[a : a + 256].astype(np.float32)
+        for b in range(a - a % 1024, len(some), 1024):
+            rest = x[b : b + 1024].astype(np.float32).T
+            z = (part * residual) @ rest / np.sqrt((part * spread) @ rest + 1e-6)
+            z[(part @ rest < PAIR_DOCS) | (np.abs(z) <= bar) | (a + np.arange(len(part))[:, None] >= b + np.arange(rest.shape[1])[None])] = 0
+            for axis, base, other in ((1, a, b), (0, b, a)):
+                top = np.abs(z).argmax(axis)
+                value = np.take_along_axis(z, np.expand_dims(top, axis), axis).squeeze(axis)
+                at = base + np.flatnonzero(np.abs(value) > best[base : base + len(value)])
+                best[at], partner[at], sign[at] = np.abs(value[at - base]), other + top[at - base], np.sign(value[at - base])
+    pairs = {(min(i, j), max(i, j)): (best[i], sign[i]) for i, j in enumerate(partner.tolist()) if j >= 0}
+    return [(int(some[i]), int(some[j]), int(s)) for (i, j), (_, s) in sorted(pairs.items(), key=lambda p: (-p[1][0], p[0]))]
 
 
 def costs(terms: int, factors: int) -> tuple[float, float]:
