@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortvox.operators import evaluate as E, retrieval as R
 from cohortvox.plans import cohort_queries as Q, report as P, step_texts as ST, summary as S, wording as W
 from cohortvox.plans.report_queries import FACTS, case_summaries, masked, validated
-from cohortvox.plans.text_queries import _quoted
+from cohortvox.plans.text_queries import _quoted, found, summary
 from cohortvox.sources.voxels import grid, volumes
-from cohortvox.sources.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,7 +76,7 @@ LEFT JOIN (SELECT case_id, string_agg(warning, ';' ORDER BY warning) AS warnings
 LEFT JOIN (SELECT case_id, string_agg(caveat, ';' ORDER BY caveat) AS caveats FROM ({_twin('e31_caveats')}) GROUP BY 1) y USING (case_id)""")
 def e36_fields(spark, sf):
     """The nested summary of every case, flat: all steps of a case run together against their twins one by one."""
-    s = S.summarize(grid(spark, sf), Workspace(spark, "e36"), ventricle_voxels=5)
+    s = summary(spark, sf)
     quality = F.array_sort(F.transform(F.map_entries("quality_metrics.sequence_quality"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     lists = {
         "differentials": F.array_join("differential_considerations", ","), "qualities": F.array_join(quality, ","),
@@ -251,5 +250,4 @@ _TEXT_STEPS = {
 @query("e39_three_step_texts", f"SELECT v.case_id, {_MASS} AS mass_effect, {_MORPH} AS morphology, {_STRUCT} AS structures FROM ({_twin('d03_volumes')}) v\n" + "\n".join(f"LEFT JOIN ({_twin(q)}) {a} USING (case_id)" for a, q in _TEXT_STEPS.items()))
 def e39_texts(spark, sf):
     """The texts of mass effect, morphology and structures, line by line."""
-    found = S.findings(grid(spark, sf), Workspace(spark, "e39"), ventricle_voxels=5)
-    return ST.step_texts(found).select("case_id", "mass_effect", "morphology", "structures")
+    return ST.step_texts(found(spark, sf)).select("case_id", "mass_effect", "morphology", "structures")

@@ -69,7 +69,7 @@ def _embeddings(spark, sf):
     return table(spark, sf, "embeddings").withColumn("d", F.col("embedding").cast("array<double>"))
 
 
-def _vector_store(spark, sf):
+def vector_store(spark, sf):
     """The folder of the index over all vectors, built once for each state of the table."""
     rows = _embeddings(spark, sf).select(F.col("vec_id").alias("id"), F.col("d").alias("v"), "label")
     return stored(spark, "vector-index", [f"{sf}/embeddings.parquet"], lambda folder: vectorindex.build(rows, folder), "/done")
@@ -80,7 +80,7 @@ def _questions(spark, sf):
 
 
 def _dense(spark, sf, where=None):
-    return vectorindex.VectorIndex(spark, _vector_store(spark, sf)).search(_questions(spark, sf), 3, where)
+    return vectorindex.VectorIndex(spark, vector_store(spark, sf)).search(_questions(spark, sf), 3, where)
 
 
 def _dense_sql(cond):
@@ -96,7 +96,7 @@ def v05(spark, sf):
 
 @query("v06_dense_or_terms", _dense_sql("true").replace("SELECT query, id, round(distance, 5) AS distance, CAST(k AS INT) AS rank", "SELECT query, id, CAST(k AS INT) AS rank", 1))
 def v06(spark, sf):
-    return R.nearest_or_terms(spark, _vector_store(spark, sf), _questions(spark, sf), lambda: v04(spark, sf), 3)
+    return R.nearest_or_terms(spark, vector_store(spark, sf), _questions(spark, sf), lambda: v04(spark, sf), 3)
 
 
 @query("v06_terms_without_store", f"WITH {INDEX}, {QUERYV} SELECT query, id, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS k FROM (SELECT query, id, sum(wq * w) AS score FROM qv JOIN ix USING (token) GROUP BY 1, 2)) WHERE k <= 2")
@@ -279,33 +279,38 @@ def a14(spark, sf):
     return X.articles(files).select("id", "title", "keywords", "body")
 
 
-def summary(spark, sf, name):
-    return S.summarize(grid(spark, sf), Workspace(spark, name), ventricle_voxels=5)
+def found(spark, sf):
+    """The findings of every derived case, run once for each state of the input."""
+
+    def build(folder):
+        S.findings(grid(spark, sf), Workspace(spark, "findings"), ventricle_voxels=5).write.parquet(folder)
+
+    return spark.read.parquet(stored(spark, "findings", [f"{sf}/lineitem.parquet"], build))
+
+
+def summary(spark, sf):
+    return S.compile_summary(found(spark, sf))
 
 
 @query("e36_a11_summary_json")
 def e36(spark, sf):
-    s = summary(spark, sf, "e36")
+    s = summary(spark, sf)
     return s.select("case_id", F.to_json(F.struct(*s.columns)).alias("summary"))
 
 
-def _findings(spark, sf, name):
-    return S.findings(grid(spark, sf), Workspace(spark, name), ventricle_voxels=5)
-
-
 @query("e39_step_texts")
 def e39(spark, sf):
-    return ST.step_texts(_findings(spark, sf, "e39"))
+    return ST.step_texts(found(spark, sf))
 
 
 @query("e40_comprehensive_report")
 def e40(spark, sf):
-    return ST.comprehensive_report(_findings(spark, sf, "e40"), "2024-01-31")
+    return ST.comprehensive_report(found(spark, sf), "2024-01-31")
 
 
 @query("r11_r20_reports")
 def r20(spark, sf):
-    reports = P.report_bundle(summary(spark, sf, "r20"), "2024-01-31")[0]
+    reports = P.report_bundle(summary(spark, sf), "2024-01-31")[0]
     return reports.select("case_id", "report", F.array_join("notes", "; ").alias("notes"))
 
 
