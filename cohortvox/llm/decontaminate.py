@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortvox.llm.rownumbers import ids_name_rows, numbered
-from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
+from cohortvox.llm.textcore import ALNUM, bound_batches, text_chunks, word_hashes
 from cohortvox.sources.workspace import Workspace
 
 #: Words after which an index segment is closed (a longer document fills one).
@@ -109,8 +109,7 @@ def _index(id_col: str, text_col: str, segment_words: int):
         for batch in batches:
             ids = batch.column(id_col).to_pylist()
             for i, j, off, data in text_chunks(batch.column(text_col)):
-                start, end, row = word_spans(data, off, ALNUM)
-                h = PrefixHash(LOWER[data]).spans(start, end)
+                row, h = word_hashes(data, off, ALNUM)
                 parts.append((ids[i:j], np.bincount(row, minlength=j - i), h))
                 total += len(h)
                 if total >= segment_words:
@@ -231,8 +230,7 @@ def _windows(size: int):
         for batch in batches:
             ids = batch.column("item_id").to_numpy()
             for i, j, off, data in text_chunks(batch.column("text")):
-                start, end, row = word_spans(data, off, ALNUM)
-                h = PrefixHash(LOWER[data]).spans(start, end)
+                row, h = word_hashes(data, off, ALNUM)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 n = np.diff(cut)
                 m = np.where(n > 0, np.maximum(1, n - size + 1), 0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.rownumbers import ids_name_rows, numbered
-from cohortvox.llm.textcore import LOWER, NONSPACE, PrefixHash, bound_batches, groups, mix, text_chunks, word_spans
+from cohortvox.llm.textcore import NONSPACE, bound_batches, groups, mix, text_chunks, word_hashes
 from cohortvox.operators.graph import components
 from cohortvox.operators.hotjoin import join_classes
 from cohortvox.sources.workspace import Workspace
@@ -57,8 +57,7 @@ BROADCAST_ROWS = 500_000
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text of a run."""
-    start, end, row = word_spans(data, off, NONSPACE)
-    h = PrefixHash(LOWER[data]).spans(start, end)
+    row, h = word_hashes(data, off, NONSPACE)
     n = np.bincount(row, minlength=len(off) - 1)
     begin = np.r_[0, np.cumsum(n)]
     with np.errstate(over="ignore"):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; temporaries are about 60 times that.
+#: Bytes of text handled at once; temporaries are about 60 times that.  A longer text is cut where no word goes on.
 CHUNK_BYTES = 1 << 18
 
 #: Rows of an Arrow batch; both sides of the pipe hold a few batches of whole texts.
@@ -139,6 +139,34 @@ def word_spans(data: np.ndarray, off: np.ndarray, table: np.ndarray):
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+def word_runs(data: np.ndarray, off: np.ndarray, table: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(bytes, offsets)`` of a run of texts; one long text comes in pieces of about ``most`` bytes.
+
+    Pieces begin at a byte outside ``table``, so no word is cut; a word longer than ``most`` makes a longer piece.
+    """
+    if len(off) != 2 or len(data) <= most:
+        yield data, off
+        return
+    a = 0
+    while a < len(data):
+        b = min(a + most, len(data))
+        while b < len(data) and table[data[b]]:
+            outside = np.flatnonzero(~table[data[b : b + most]])
+            b = b + int(outside[0]) if len(outside) else min(b + most, len(data))
+        yield data[a:b], np.array([0, b - a])
+        a = b
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray, table: np.ndarray, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, hash)`` of the words of a run in order, hashed with A-Z in lower case."""
+    rows, hashes = [], []
+    for part, ends in word_runs(data, off, table, most):
+        start, end, row = word_spans(part, ends, table)
+        rows.append(row)
+        hashes.append(PrefixHash(LOWER[part]).spans(start, end))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of the rows with equal ``key`` from batches sorted by that key."""
     held: list[pa.RecordBatch] = []

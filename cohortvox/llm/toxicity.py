@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.llm.labelled import TRAIN_ROWS, held_out, training_sample
-from cohortvox.llm.textcore import ALNUM, LOWER, PrefixHash, bound_batches, text_chunks, word_spans
+from cohortvox.llm.textcore import ALNUM, CHUNK_BYTES, LOWER, PrefixHash, bound_batches, text_chunks, word_runs, word_spans
 
 #: Bytes of a word's beginning that are a feature beside the word.
 BEGINNINGS = (4, 6)
@@ -45,8 +45,7 @@ DAMP = 1e-3
 THRESHOLD = 0.5
 
 
-def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, hash)`` of every word and beginning of a run of texts, with repeats."""
+def _run_terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end, row = word_spans(data, off, ALNUM)
     h = PrefixHash(LOWER[data])
     rows, terms = [row], [h.spans(start, end)]
@@ -57,6 +56,14 @@ def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(terms)
 
 
+def term_hashes(data: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, hash)`` of every word and beginning of a run of texts, with repeats; of a long text each term once a piece."""
+    if len(off) != 2 or len(data) <= most:
+        return _run_terms(data, off)
+    terms = np.concatenate([np.unique(_run_terms(*piece)[1]) for piece in word_runs(data, off, ALNUM, most)])
+    return np.zeros(len(terms), np.int64), terms
+
+
 def _features(batches):
     for batch in batches:
         y = batch.column("y").to_numpy()
