@@ -131,37 +131,52 @@ def _across(parts: DataFrame, connectivity: int, ws: Workspace) -> DataFrame | N
     found = nodes.join(components(named.select("a", "b"), "a", "b", ws), "node")
     first = found.groupBy("component").agg(F.min("local").alias("whole"))
     out = ws.table(found.join(first, "component").select("case_id", "local", "whole"), "across")
-    return F.broadcast(out) if out.count() <= BROADCAST_LABELS else out
+    return F.broadcast(out) if out.count() <= BROADCAST_LABELS else out.hint("merge")
 
 
-def label(df: DataFrame, mask: Column, ws: Workspace, connectivity: int = 26, name: str = "component") -> DataFrame:
-    """The mask's voxels with their component: the case's number * CASE + the component's first cell."""
+def _wholes(df: DataFrame, mask: Column, ws: Workspace, connectivity: int, keep: list[str]) -> DataFrame:
+    """The mask's voxels with ``whole``, the first cell of their component, and the columns ``keep``.
+
+    These pass through the labelling with their voxel; a join back to the grid
+    would be planned by the written table's compressed size and broadcast.
+    """
     cells = df.where(mask).select(
         "case_id", *[F.col(a).cast("long").alias(a) for a in "xyz"], *[F.expr(f"cast({a} div {BLOCK} as bigint)").alias(f"b{a}") for a in "xyz"],
-        F.expr("cast((z * ny + y) * nx + x as bigint)").alias("cell"),
+        F.expr("cast((z * ny + y) * nx + x as bigint)").alias("cell"), *[F.col(c).alias(f"keep_{c}") for c in keep],
     )
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
     parts = cells.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_label_blocks(connectivity), f"{kinds}, local bigint")
     parts = ws.table(parts, "parts")
     across = _across(parts, connectivity, ws)
     whole = parts.withColumn("whole", F.col("local")) if across is None else parts.join(across, ["case_id", "local"], "left").withColumn("whole", F.coalesce("whole", "local"))
-    named = _case_numbers(whole.select("case_id", "x", "y", "z", "whole"))
-    return named.select("case_id", "x", "y", "z", (F.col("number") * CASE + F.col("whole")).alias(name)).join(df.drop(name), ["case_id", "x", "y", "z"])
+    return whole.select("case_id", "x", "y", "z", "whole", *[F.col(f"keep_{c}").alias(c) for c in keep])
+
+
+def label(df: DataFrame, mask: Column, ws: Workspace, connectivity: int = 26, name: str = "component") -> DataFrame:
+    """The mask's voxels with their component: the case's number * CASE + the component's first cell."""
+    rest = [c for c in df.columns if c not in ("case_id", "x", "y", "z", name)]
+    named = _case_numbers(_wholes(df, mask, ws, connectivity, rest))
+    return named.select("case_id", "x", "y", "z", (F.col("number") * CASE + F.col("whole")).alias(name), *rest)
+
+
+def count_parts(df: DataFrame, mask: Column, ws: Workspace) -> DataFrame:
+    """``(case_id, parts)``: how many components the mask has; cases without any are left out."""
+    return _wholes(df, mask, ws, 26, []).select("case_id", "whole").distinct().groupBy("case_id").agg(F.count("*").alias("parts"))
 
 
-def holes(df: DataFrame, mask: Column, ws: Workspace) -> DataFrame:
-    """Voxels outside the mask in 6-components that do not reach the grid's border."""
-    bg = label(df, ~mask, ws, 6, "__bg")
+def hole_voxels(df: DataFrame, mask: Column, ws: Workspace) -> DataFrame:
+    """``(case_id, hole_voxels)``: voxels outside the mask in 6-components that do not reach the grid's border; cases without any are left out."""
     edge = F.lit(False)
     for a in "xyz":
         edge = edge | (F.col(a) == 0) | (F.col(a) == F.col(f"n{a}") - 1)
-    open_ = bg.where(edge).select("__bg").distinct()
-    return bg.join(open_, "__bg", "left_anti").drop("__bg")
+    bg = _wholes(df.withColumn("edge", edge), ~mask, ws, 6, ["edge"])
+    shut = bg.groupBy("case_id", "whole").agg(F.count("*").alias("n"), F.max("edge").alias("open")).where(~F.col("open"))
+    return shut.groupBy("case_id").agg(F.sum("n").alias("hole_voxels"))
 
 
 def hole_fraction(df: DataFrame, mask: Column, ws: Workspace) -> DataFrame:
     """``(case_id, hole_voxels, hole_fraction)``."""
-    h = holes(df, mask, ws).groupBy("case_id").agg(F.count("*").alias("hole_voxels"))
+    h = hole_voxels(df, mask, ws)
     n = df.groupBy("case_id").agg(F.count_if(mask).alias("n"))
     v = F.coalesce("hole_voxels", F.lit(0)).cast("long")
     return n.join(h, "case_id", "left").select("case_id", v.alias("hole_voxels"), F.when(F.col("n") > 0, v / F.col("n")).otherwise(0.0).alias("hole_fraction"))

@@ -79,7 +79,7 @@ def distances(df: DataFrame, zeros: dict[str, Column]) -> DataFrame:
         lines = [c for c in keys if c != axis]
         out = out.repartition(*lines).sortWithinPartitions(*lines).mapInArrow(_lower(axis, list(cols)), kinds)
     found = [F.when(F.col(c) < FAR, F.sqrt(c)).alias(n) for c, n in zip(cols, zeros)]
-    return df.drop(*zeros).join(out.select(*keys, *found), keys)
+    return df.drop(*zeros).join(out.select(*keys, *found).hint("merge"), keys)  # compressed sizes would have a whole grid broadcast
 
 
 def lowest_parabolas(f: np.ndarray) -> np.ndarray:

@@ -23,8 +23,9 @@ def segmentation_quality(df: DataFrame, ws: Workspace, components: DataFrame | N
     ``components`` are the tumour's (case_id, component) rows where they are known already.
     """
     if components is None:
-        components = C.label(df, region("wt"), ws)
-    n = components.select("case_id", "component").distinct().groupBy("case_id").agg(F.count("*").alias("parts"))
+        n = C.count_parts(df, region("wt"), ws)
+    else:
+        n = components.select("case_id", "component").distinct().groupBy("case_id").agg(F.count("*").alias("parts"))
     a = df.groupBy("case_id").agg(
         *[F.count_if(region(r)).alias(r) for r in ("wt", "tc", "et")], F.count_if(region("et") & ~region("tc")).alias("stray"),
         F.max(region("wt") & touches_border()).alias("boundary"), F.first(voxel_cm3()).alias("cm3"),

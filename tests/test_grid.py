@@ -212,3 +212,17 @@ def test_percentiles_by_ranges(spark, monkeypatch):
     check(100)
     check(2)
     assert M.case_percentiles(df.limit(0), wanted).count() == 0
+
+
+def broadcast_names(df):
+    """Column names of every table that a plan means to broadcast."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line]
+
+
+def test_no_voxel_table_is_broadcast(spark):
+    """Written voxel tables are small on disk: joins must not be planned by that size."""
+    g = table(spark, {7: np.random.default_rng(3).integers(0, 3, (9, 8, 7))})
+    ws = Workspace(spark, "t")
+    g = ws.table(g, "grid")
+    for df in (C.label(g, region("wt"), ws), C.hole_voxels(g, region("wt"), ws), C.count_parts(g, region("wt"), ws), G.edt(g, region("wt"), "d")):
+        assert not broadcast_names(df)
