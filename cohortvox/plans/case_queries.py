@@ -103,7 +103,7 @@ _MISPLACED = {
 @query("r26_misplaced_terms", f"WITH {FACTS}, mis AS (SELECT * REPLACE (CAST(CAST(shift_mm AS INT) AS VARCHAR) AS shift_mm) FROM f),\n{validated(' UNION ALL '.join(f'SELECT case_id, {_text(k)} AS slot, {v} AS content FROM mis' for k, v in _MISPLACED.items()))} SELECT case_id, slot, original, sanitized, array_to_string(violations, '; ') AS violations FROM chk WHERE len(violations) > 0")
 def r26(spark, sf):
     """The validation log of every case's misplaced sentences."""
-    f = P.facts(case_summaries(spark, sf))
+    f = P.facts(case_summaries(spark, sf)).repartition("case_id")  # small rows, long texts
     a, b = _names(f)
     text = {
         "necrosis_sentence": F.concat(F.lit("Necrosis near the "), "lobes_formatted", F.lit(".")),
@@ -152,7 +152,7 @@ def _final_sql() -> str:
 @query("r20_final_pass", f"WITH {FACTS}, x AS (SELECT case_id, {_A} AS a, {_B} AS b FROM f),\n{_final_sql()}")
 def r20(spark, sf):
     """The last corrections of every case's report, each of which breaks the rules of its sections, concepts, grammar and words."""
-    f = P.facts(case_summaries(spark, sf))
+    f = P.facts(case_summaries(spark, sf)).repartition("case_id")  # small rows, long texts
     one, two = _names(f)
     nl = F.lit("\n")
     a = F.concat(

@@ -67,7 +67,8 @@ def _list(name: str) -> Column:
 def case_summaries(spark, sf) -> DataFrame:
     """The cases as nested summaries."""
     c = F.col
-    return case_rows(spark, sf).select(
+    rows = case_rows(spark, sf).repartition("case_id")  # every value is computed once, and a compact file is spread over all tasks
+    return rows.select(
         "case_id", F.struct(c("prior").alias("relevant_prior_imaging")).alias("patient_info"),
         F.struct(_list("sequences").alias("sequences_performed"), c("contrast").alias("contrast_administered")).alias("technique"),
         F.struct(c("diameter").alias("max_diameter_mm"), c("volume").alias("volume_cm3"), c("edema").alias("edema_volume_cm3")).alias("tumor_characteristics"),
@@ -146,8 +147,12 @@ def r11(spark, sf):
     return P.slot_values(P.facts(case_summaries(spark, sf)), F.lit("January 31, 2024"))
 
 
+def slot_texts(spark, sf) -> DataFrame:
+    return P.slot_texts(P.facts(case_summaries(spark, sf)), F.lit("January 31, 2024"))
+
+
 def filled_reports(spark, sf) -> DataFrame:
-    return P.fill(r11(spark, sf).withColumnRenamed("content", "sanitized"))
+    return P.fill_whole(slot_texts(spark, sf))
 
 
 def _filled() -> str:
@@ -234,7 +239,7 @@ chk AS (SELECT case_id, slot, place, content AS original, CASE WHEN state IS NOT
 
 @query("r14_r17_validated_sentences", f"WITH {SENTENCES},\n{validated(' UNION ALL '.join(f'SELECT case_id, {chr(39)}{k}{chr(39)} AS slot, {k} AS content FROM v' for k in _SENTENCES))} SELECT case_id, slot, sanitized, array_to_string(violations, '; ') AS violations FROM chk")
 def r17(spark, sf):
-    v = P.validate(r11(spark, sf), P.slot_specs(spark))
+    v = P.validate_whole(slot_texts(spark, sf), P.slot_specs(spark))
     return v.select("case_id", "slot", "sanitized", F.array_join("violations", "; ").alias("violations"))
 
 

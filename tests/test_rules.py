@@ -158,3 +158,17 @@ def test_workspace(spark):
     assert kept.count() == 3 and ws.root.startswith(shared_folder(spark))
     with pytest.raises(Exception):
         b.where("id = 3").count()
+
+
+def test_whole_cases_are_judged_and_filled_without_a_shuffle(spark):
+    from cohortvox.plans import report_queries as RQ
+
+    texts = P.slot_texts(P.facts(RQ.case_summaries(spark, "/root/testdata/sf0.001")), F.lit("d")).limit(40).localCheckpoint()
+    rows = texts.select("case_id", F.explode("texts").alias("v")).select("case_id", "v.slot", "v.content")
+    whole, checked = P.validate_whole(texts, P.slot_specs(spark)), P.validate(rows, P.slot_specs(spark))
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(whole) == plain(checked)
+    assert plain(P.fill_whole(texts)) == plain(P.fill(rows.withColumnRenamed("content", "sanitized")))
+    for df in (whole, P.fill_whole(texts)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
