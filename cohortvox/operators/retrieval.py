@@ -28,6 +28,8 @@ BROADCAST_QUERIES = 100_000
 BROADCAST_BYTES = 64 << 20
 #: Terms of all queries up to which their vectors are broadcast (about 40 bytes each).
 BROADCAST_TERMS = 1_000_000
+#: Bytes of text whose terms a task counts.
+TASK_BYTES = 8 << 20
 #: Documents whose upper bounds are taken together, and queries scored at once.
 BLOCK_DOCS = 128
 BLOCK_QUERIES = 128
@@ -45,9 +47,13 @@ def tokens(text: Column) -> Column:
 def term_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, token, tf, w)``: term counts and weights of unit length per document.
 
-    Texts are dealt by id once; counts, norms and what follows by id stay there.
+    Texts are dealt by id once, into more parts the longer they are in all;
+    counts, norms and what follows by id stay there.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition("id")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = (src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES + 1
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = src.repartition(parts, "id") if parts > usual else src.repartition("id")
     tf = src.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
     return tf.select("id", "token", "tf", (F.col("tf") / norm).alias("w"))

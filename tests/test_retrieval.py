@@ -135,3 +135,12 @@ def test_stored_tables_follow_their_input(spark, tmp_path):
     assert spark.read.parquet(two).count() == 8 and len(built) == 2
     W.forget(spark, "thing")
     assert W.stored(spark, "thing", [path], build) != two
+
+
+def test_parts_of_the_index_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"alpha beta {'gamma ' * k}") for k in range(60)], "id long, text string")
+    want = sorted(map(tuple, R.term_index(docs, "id", "text").collect()))
+    monkeypatch.setattr(R, "TASK_BYTES", 1000)
+    more = R.term_index(docs, "id", "text")
+    assert more.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, more.collect())) == want
