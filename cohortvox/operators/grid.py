@@ -1,12 +1,14 @@
 """Grid operators on dense voxel tables as passes along one axis at a time.
 
 A pass sees one grid line (a case and two fixed coordinates), so the work splits
-over lines and no task holds a volume.
+over lines and no task holds a volume.  Where the table says that every case is
+at most WHOLE cells (``sources.voxels.cells_of``), a case is one block instead:
+all passes of a call are made on it after one shuffle by case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 AXES = ("x", "y", "z")
 #: Farther than any cell of a grid.
 FAR = 1_000_000
-#: Cells of whole lines that a task handles at once.
+#: Cells of whole lines (or blocks) that a task handles at once.
 CELLS = 1 << 17
+#: Cells of a case up to which it is one block.
+WHOLE = 1 << 18
 
 
 def line(axis: str) -> Window:
@@ -34,36 +38,78 @@ def _l1(df: DataFrame, start: Column, name: str) -> DataFrame:
     return out
 
 
+def whole_cases(df: DataFrame) -> bool:
+    """Whether every case of ``df`` is known to fit one block."""
+    return "nx" in df.columns and df.schema["nx"].metadata.get("most_cells", WHOLE + 1) <= WHOLE
+
+
+def fields(df: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with a column for each name: what its kind (a name in KINDS) makes of a mask or value.
+
+    Cases that fit a block take one shuffle for all of them, others a shuffle for each axis and name.
+    """
+    if whole_cases(df):
+        return _blocks(df, wanted)
+    for name, (kind, c) in wanted.items():
+        df = KINDS[kind][2](df, c, name)
+    return df
+
+
+def known(df: DataFrame, wanted: dict[str, tuple[str, str, Column]]) -> DataFrame:
+    """``fields`` of name to (column, kind, mask or value); a column that ``df`` has already is taken as it is."""
+    have = {name: F.col(column) for name, (column, _, _) in wanted.items() if column in df.columns}
+    lack = {name: (kind, c) for name, (_, kind, c) in wanted.items() if name not in have}
+    df = df.withColumns(have) if have else df
+    return fields(df, lack) if lack else df
+
+
 def l1_distance(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """City-block distance to the mask: ``name <= n`` is n dilations by the cross."""
-    return _l1(df, F.when(mask, 0).otherwise(FAR), name)
+    return fields(df, {name: ("l1", mask)})
 
 
 def l1_depth(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """City-block distance to the outside of the mask or grid: ``name > n`` is n erosions."""
-    border = F.least(*[c for a in AXES for c in (F.col(a) + 1, F.col(f"n{a}") - F.col(a))])
-    return _l1(df, F.when(mask, border).otherwise(0), name)
+    return fields(df, {name: ("l1_depth", mask)})
 
 
 def opened(df: DataFrame, mask: Column, name: str) -> DataFrame:
     """One erosion, then one dilation."""
-    out = l1_depth(df, mask, "__depth")
-    out = l1_distance(out, F.col("__depth") > 1, "__near")
-    return out.withColumn(name, F.col("__near") <= 1).drop("__depth", "__near")
+    return fields(df, {name: ("opened", mask)})
 
 
 def edt(df: DataFrame, zero: Column, name: str) -> DataFrame:
     """Exact Euclidean distance (in cells) to the nearest cell where ``zero`` holds; null if a case has none."""
-    return distances(df, {name: zero})
+    return fields(df, {name: ("edt", zero)})
+
+
+def _l1_distance(df: DataFrame, mask: Column, name: str) -> DataFrame:
+    return _l1(df, F.when(mask, 0).otherwise(FAR), name)
+
+
+def _l1_depth(df: DataFrame, mask: Column, name: str) -> DataFrame:
+    border = F.least(*[c for a in AXES for c in (F.col(a) + 1, F.col(f"n{a}") - F.col(a))])
+    return _l1(df, F.when(mask, border).otherwise(0), name)
+
+
+def _opened(df: DataFrame, mask: Column, name: str) -> DataFrame:
+    out = _l1_depth(df, mask, "__depth")
+    out = _l1_distance(out, F.col("__depth") > 1, "__near")
+    return out.withColumn(name, F.col("__near") <= 1).drop("__depth", "__near")
 
 
 def distances(df: DataFrame, zeros: dict[str, Column]) -> DataFrame:
-    """``df`` with a distance for each name, to the nearest cell where its condition holds.
+    """``df`` with a distance for each name, to the nearest cell where its condition holds."""
+    return fields(df, {n: ("edt", c) for n, c in zeros.items()}) if whole_cases(df) else _distances(df, zeros)
+
 
-    The first axis is a running minimum.  On the other two, a line's distances
-    are lowered to the lower envelope of a parabola over each of its cells
-    (Felzenszwalb and Huttenlocher 2012), in time linear in the line.  Only keys
-    and distances pass through; they join the other columns once, by cell.
+def _distances(df: DataFrame, zeros: dict[str, Column]) -> DataFrame:
+    """The first axis is a running minimum.
+
+    On the other two, a line's distances are lowered to the lower envelope of a
+    parabola over each of its cells (Felzenszwalb and Huttenlocher 2012), in time
+    linear in the line.  Only keys and distances pass through; they join the
+    other columns once, by cell.
     """
     keys = ["case_id", *AXES]
     w, x = line("x"), F.col("x")
@@ -125,11 +171,17 @@ def _lower(axis: str, cols: list[str]):
             t = t.set_column(t.schema.get_field_index(c), c, pa.array(lowest_parabolas(f)[row, at]))
         return t.combine_chunks().to_batches()[0]
 
-    def last_line(b: pa.RecordBatch) -> int:
-        """Where the last line of a batch begins."""
+    return _held(lines, whole)
+
+
+def _held(keys: list[str], whole: Callable[[pa.Table], pa.RecordBatch]):
+    """Rows sorted by ``keys`` in tables of about CELLS rows that hold groups as a whole."""
+
+    def last_group(b: pa.RecordBatch) -> int:
+        """Where the last group of a batch begins."""
         end = b.num_rows
         same = np.ones(end, bool)
-        for c in lines:
+        for c in keys:
             col = b.column(c)
             same &= np.asarray(pa.compute.equal(col, col[end - 1]).to_numpy(zero_copy_only=False), bool)
         return end - int(np.argmin(same[::-1])) if not same.all() else 0
@@ -139,7 +191,7 @@ def _lower(axis: str, cols: list[str]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cut = last_line(batch) if sum(b.num_rows for b in held) >= CELLS else 0
+            cut = last_group(batch) if sum(b.num_rows for b in held) >= CELLS else 0
             if cut:
                 yield whole(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held, batch = [], batch.slice(cut)
@@ -156,6 +208,15 @@ def signed_distance(df: DataFrame, mask: Column, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__in") - F.col("__out")).drop("__in", "__out")
 
 
+def signed_slope(df: DataFrame, mask: Column, name: str) -> DataFrame:
+    """The gradient of the signed distance."""
+    return fields(df, {name: ("signed_slope", mask)})
+
+
+def _signed_slope(df: DataFrame, mask: Column, name: str) -> DataFrame:
+    return gradient(signed_distance(df, mask, "__signed"), "__signed", name).drop("__signed")
+
+
 def gradient(df: DataFrame, value: str, name: str) -> DataFrame:
     """Magnitude of central differences, one-sided at the ends."""
     parts = []
@@ -168,17 +229,133 @@ def gradient(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def sobel(df: DataFrame, value: str, name: str) -> DataFrame:
     """Sobel magnitude: a difference along one axis, [1, 2, 1] along the others, edge samples repeated."""
+    plain = df.schema[value].dataType.typeName() in ("double", "integer", "long")
+    return fields(df, {name: ("sobel", F.col(value))}) if plain else _sobel(df, F.col(value), name)
+
+
+def _sobel(df: DataFrame, value: Column, name: str) -> DataFrame:
     def pair(col: str, a: str) -> tuple[Column, Column, Column]:
         w, v = line(a), F.col(col)
         return F.coalesce(F.lag(v).over(w), v), v, F.coalesce(F.lead(v).over(w), v)
 
-    out = df
+    out = df.withColumn("__v", value)
     for a in AXES:
-        b, _, n = pair(value, a)
+        b, _, n = pair("__v", a)
         out = out.withColumn(f"__s{a}", (n - b).cast("double"))
     for a in AXES:  # one sort order serves both smoothings along an axis
         for c in AXES:
             if c != a:
                 b, v, n = pair(f"__s{c}", a)
                 out = out.withColumn(f"__s{c}", b + 2 * v + n)
-    return out.withColumn(name, F.sqrt(sum(F.col(f"__s{a}") * F.col(f"__s{a}") for a in AXES))).drop(*[f"__s{a}" for a in AXES])
+    return out.withColumn(name, F.sqrt(sum(F.col(f"__s{a}") * F.col(f"__s{a}") for a in AXES))).drop("__v", *[f"__s{a}" for a in AXES])
+
+
+# Blocks: arrays of (case, x, y, z) with cases of one shape.
+
+
+def _swept(d: np.ndarray, axes: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
+    """City-block distances lowered along the axes, forth and back."""
+    for a in axes:
+        p = np.arange(d.shape[a]).reshape([-1 if k == a else 1 for k in range(4)])
+        down = np.minimum.accumulate(d - p, a) + p
+        up = np.flip(np.minimum.accumulate(np.flip(d + p, a), a), a) - p
+        d = np.minimum(down, up)
+    return d
+
+
+def _block_l1(mask: np.ndarray) -> np.ndarray:
+    return _swept(np.where(mask, 0, FAR))
+
+
+def _block_depth(mask: np.ndarray) -> np.ndarray:
+    ends = [np.minimum(i + 1, n - i) for n, i in zip(mask.shape[1:], np.indices(mask.shape[1:], sparse=True))]
+    return _swept(np.where(mask, np.minimum(np.minimum(ends[0], ends[1]), ends[2]), 0))
+
+
+def _block_edt(zero: np.ndarray) -> np.ndarray:
+    d = _swept(np.where(zero, 0, FAR), (1,))
+    f = np.where(d < FAR, d * d, FAR * FAR).astype(float)
+    for a in (2, 3):
+        lines = np.moveaxis(f, a, -1)
+        f = np.moveaxis(lowest_parabolas(lines.reshape(-1, f.shape[a])).reshape(lines.shape), -1, a)
+    return np.where(f < FAR, np.sqrt(f), np.nan)
+
+
+def _sides(v: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells before and after along an axis, edge cells repeated."""
+    at = np.arange(v.shape[a])
+    return v.take(np.maximum(at - 1, 0), a), v.take(np.minimum(at + 1, len(at) - 1), a)
+
+
+def _block_slope(mask: np.ndarray) -> np.ndarray:
+    v = _block_edt(~mask) - _block_edt(mask)
+    out = np.zeros(v.shape)
+    for a in (1, 2, 3):
+        before, after = _sides(v, a)
+        n = v.shape[a]
+        ends = (np.arange(n) % max(n - 1, 1) == 0).reshape([-1 if k == a else 1 for k in range(4)])
+        p = np.nan_to_num(np.where(ends, after - before, (after - before) / 2))
+        out += p * p
+    return np.sqrt(out)
+
+
+def _block_sobel(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
+    out = np.zeros(v.shape)
+    for a in (1, 2, 3):
+        before, after = _sides(v, a)
+        s = after - before
+        for c in (1, 2, 3):
+            if c != a:
+                before, after = _sides(s, c)
+                s = before + 2 * s + after
+        out += s * s
+    return np.sqrt(out)
+
+
+#: Kind of a field: its type, what makes it of a block, and of lines.
+KINDS: dict[str, tuple[str, Callable[[np.ndarray], np.ndarray], Callable[[DataFrame, Column, str], DataFrame]]] = {
+    "l1": ("long", _block_l1, _l1_distance),
+    "l1_depth": ("long", _block_depth, _l1_depth),
+    "opened": ("boolean", lambda m: _block_l1(_block_depth(m) > 1) <= 1, _opened),
+    "edt": ("double", _block_edt, lambda df, c, name: _distances(df, {name: c})),
+    "signed_slope": ("double", _block_slope, _signed_slope),
+    "sobel": ("double", _block_sobel, _sobel),
+}
+
+
+def _blocks(df: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """All fields of whole cases, whose rows meet in one task, a few cases at a time."""
+    rest = [c for c in df.columns if c not in wanted]
+    given = [(c if kind == "sobel" else F.coalesce(c, F.lit(False))).alias(f"__in{k}") for k, (kind, c) in enumerate(wanted.values())]
+    out = df.select(*rest, *given)
+    made = [(name, kind) for name, (kind, _) in wanted.items()]
+    schema = df.select(*rest).schema
+    for name, kind in made:
+        schema = schema.add(name, KINDS[kind][0])
+
+    def whole(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        case = t.column("case_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        at = np.stack([t.column(a).to_numpy() for a in AXES])
+        shape = np.stack([t.column(f"n{a}").to_numpy() for a in AXES])
+        kinds, which = np.unique(shape, axis=1, return_inverse=True)
+        groups = [np.flatnonzero(which.ravel() == k) for k in range(kinds.shape[1])]
+        cols = []
+        for k, (_, kind) in enumerate(made):
+            v = t.column(f"__in{k}").to_numpy()
+            found = None
+            for size, rows in zip(kinds.T, groups):
+                numbers, n = np.unique(case[rows], return_inverse=True)
+                block = np.zeros((len(numbers), *size), v.dtype)
+                place = (n.ravel(), *at[:, rows])
+                block[place] = v[rows]
+                got = KINDS[kind][1](block)[place]
+                found = np.empty(len(v), got.dtype) if found is None else found
+                found[rows] = got
+            cols.append(pa.array(found, mask=np.isnan(found) if kind == "edt" else None))
+        for k, (name, _) in enumerate(made):
+            t = t.drop_columns([f"__in{k}"]).append_column(name, cols[k])
+        return t.combine_chunks().to_batches()[0]
+
+    return out.repartition("case_id").sortWithinPartitions("case_id").mapInArrow(_held(["case_id"], whole), schema)

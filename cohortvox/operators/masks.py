@@ -148,7 +148,9 @@ def _select(values: DataFrame, p: float, cases: int) -> DataFrame:
 
 
 def brain_mask(df: DataFrame, seq: str = "t1", name: str = "brain", percent: float = 5) -> DataFrame:
-    """``name``: above the percentile of the positive voxels (all positive ones without any)."""
+    """``name``: above the percentile of the positive voxels (all positive ones without any); a table that has it keeps it."""
+    if name in df.columns:
+        return df
     v = F.col(seq)
     t = case_percentiles(df, {"__p": (v, v > 0, percent)})
     return t.withColumn(name, F.coalesce(v > F.col("__p"), v > 0)).drop("__p")

@@ -41,8 +41,8 @@ def midline_shift(df: DataFrame) -> DataFrame:
 
 def ventricular_compression(df: DataFrame) -> DataFrame:
     """CSF volumes left and right of the grid's middle, and the exact distance from tumour to CSF (times dx)."""
-    b = csf_candidate(brain_mask(df))
-    b = G.edt(b, F.col("csf"), "to_csf")
+    b = df.withColumn("csf", F.col("candidate")) if "candidate" in df.columns else csf_candidate(brain_mask(df))
+    b = G.known(b, {"to_csf": ("candidate_far", "edt", F.col("csf"))})
     left = F.col("x") < F.floor(F.col("nx") / 2)
     a = b.groupBy("case_id").agg(
         (F.count_if(F.col("csf") & left) * F.first(voxel_cm3())).alias("left_cm3"), (F.count_if(F.col("csf") & ~left) * F.first(voxel_cm3())).alias("right_cm3"),
@@ -58,7 +58,7 @@ def ventricular_compression(df: DataFrame) -> DataFrame:
 
 def sulcal_effacement(df: DataFrame) -> DataFrame:
     """Intensity deviation within ten dilations of the tumour against the rest of the brain."""
-    b = G.l1_distance(brain_mask(df), region("wt"), "near")
+    b = G.known(brain_mask(df), {"near": ("wt_near", "l1", region("wt"))})
     rim, far = F.col("brain") & F.col("near").between(1, 10), F.col("brain") & (F.col("near") > 10)
     a = b.groupBy("case_id").agg(
         F.count_if(region("wt")).alias("n"), F.count_if(rim).alias("n_rim"), F.count_if(far).alias("n_far"),

@@ -27,7 +27,7 @@ def eigenvalues(a: dict[str, Column]) -> tuple[Column, Column, Column]:
 
 def shape(df: DataFrame) -> DataFrame:
     """Volume, surface, sphericity, compactness, elongation, axes and classes."""
-    d = G.l1_depth(df, region("wt"), "depth").where(region("wt"))
+    d = G.known(df, {"depth": ("wt_depth", "l1_depth", region("wt"))}).where(region("wt"))
     p = {a: F.col(a) * F.col(f"d{a}") for a in "xyz"}
     t = d.groupBy("case_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("depth") <= 1).alias("surface"), F.first(voxel_cm3()).alias("cm3"),
@@ -54,7 +54,7 @@ def shape(df: DataFrame) -> DataFrame:
 
 def border(df: DataFrame) -> DataFrame:
     """Variation of the signed distance's gradient over the surface."""
-    d = G.gradient(G.signed_distance(G.l1_depth(df, region("wt"), "depth"), region("wt"), "signed"), "signed", "grad")
+    d = G.known(df, {"depth": ("wt_depth", "l1_depth", region("wt")), "grad": ("wt_slope", "signed_slope", region("wt"))})
     on = region("wt") & (F.col("depth") <= 1)
     t = d.groupBy("case_id").agg(F.count_if(region("wt")).alias("n"), F.count_if(on).alias("surface"), F.avg(F.when(on, F.col("grad"))).alias("m"), F.stddev_pop(F.when(on, F.col("grad"))).alias("s"))
     score = F.when(F.col("n") == 0, 0.0).when(F.col("surface") < 10, 1.0).when(F.col("s") > 0, 1 / (1 + F.col("s") / F.col("m"))).otherwise(1.0)
@@ -67,7 +67,7 @@ def border(df: DataFrame) -> DataFrame:
 
 def margin(df: DataFrame) -> DataFrame:
     """How sharply T1ce changes from the tumour to the tissue around it."""
-    d = G.l1_distance(G.l1_depth(df, region("wt"), "depth"), region("wt"), "near")
+    d = G.known(df, {"depth": ("wt_depth", "l1_depth", region("wt")), "near": ("wt_near", "l1", region("wt"))})
     v = F.col("t1ce")
     at = lambda m: F.when(m, v)
     band, inner, outer = F.col("near").between(1, 5), region("wt") & (F.col("depth") <= 1), F.col("near") == 1

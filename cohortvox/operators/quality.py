@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortvox.functions.text import present
 from cohortvox.operators import components as C, grid as G
-from cohortvox.operators.masks import brain_mask, case_percentiles, region, touches_border
+from cohortvox.operators.masks import BROADCAST_CASES, brain_mask, case_percentiles, region, touches_border
 from cohortvox.sources.voxels import SEQUENCES, voxel_cm3
 from cohortvox.sources.workspace import Workspace
 
@@ -62,7 +62,8 @@ def image_quality(df: DataFrame) -> DataFrame:
     q = long.groupBy("case_id", "sequence").agg(
         F.percentile(inside, F.array(*[F.lit(p) for p in (0.01, 0.25, 0.75, 0.99)])).alias("q"), F.percentile(F.when(v > 0, v), F.lit(0.1)).alias("p10"),
     )
-    j = long.join(q, ["case_id", "sequence"])
+    few = df.select("case_id").distinct().count() <= BROADCAST_CASES
+    j = long.join(F.broadcast(q) if few else q, ["case_id", "sequence"])
     iqr = F.col("q")[2] - F.col("q")[1]
     back = ~brain & (v > 0) & (v < F.col("p10"))
     a = j.groupBy("case_id", "sequence").agg(
@@ -99,7 +100,8 @@ def artifacts(df: DataFrame) -> DataFrame:
     b = case_percentiles(brain_mask(df), {}, {f"__{a}": F.avg(F.when(brain, F.col(a))) for a in "xyz"})
     r = F.sqrt(sum((F.col(a) - F.col(f"__{a}")) ** 2 for a in "xyz"))
     b = case_percentiles(b.withColumn("__r", r), {}, {"__far": F.max(F.when(brain, F.col("__r")))})
-    b = G.sobel(G.l1_depth(b, region("wt"), "depth"), "t1", "grad")
+    b = G.known(b, {"depth": ("wt_depth", "l1_depth", region("wt"))})
+    b = b.withColumn("grad", F.col("t1_sobel")) if "t1_sobel" in b.columns else G.sobel(b, "t1", "grad")
     inner, outer = brain & (F.col("__r") < 0.3 * F.col("__far")), brain & (F.col("__r") > 0.7 * F.col("__far"))
     rim = region("wt") & (F.col("depth") <= 2)
     back = {s: ~brain & (F.col(s) > 0) for s in SEQUENCES}

@@ -12,7 +12,7 @@ from cohortvox.sources.workspace import Workspace
 
 def ventricles(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
     """``df`` with brain, csf and ``ventricle``: large, central 18-components of the opened fluid mask."""
-    m = ws.table(G.opened(csf_mask(brain_mask(df)), F.col("csf"), "fluid"), "fluid")
+    m = df if "fluid" in df.columns else ws.table(G.opened(csf_mask(brain_mask(df)), F.col("csf"), "fluid"), "fluid")
     lab = ws.table(C.label(m, F.col("fluid"), ws, 18), "labelled")
     geo = m.select("case_id", "nx").distinct()
     keep = C.central_large(C.component_stats(lab), geo, least).select("case_id", "component")
@@ -22,7 +22,8 @@ def ventricles(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
 
 def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
     """Volumes, symmetry, Evans estimate, hydrocephalus and obstruction; ``found`` is the output of ``ventricles``."""
-    t = ws.table(G.l1_distance(ventricles(df, ws, least) if found is None else found, region("wt"), "near"), "near")
+    t = G.known(ventricles(df, ws, least) if found is None else found, {"near": ("wt_near", "l1", region("wt"))})
+    t = t if "wt_near" in t.columns else ws.table(t, "near")
     v, left = F.col("ventricle"), F.col("x") < F.floor(F.col("nx") / 2)
     a = t.groupBy("case_id").agg(
         F.count_if(v & left).alias("nl"), F.count_if(v & ~left).alias("nr"), F.count_if(F.col("brain") & ~region("wt")).alias("nb"), F.count_if(v & (F.col("near") <= 5)).alias("close"),
@@ -46,7 +47,9 @@ def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: D
 
 def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
     """Periventricular signal and grey-white differentiation by depth in the brain; ``found`` as above."""
-    t = ws.table(G.edt(G.l1_distance(ventricles(df, ws, least) if found is None else found, F.col("ventricle"), "near"), ~F.col("brain"), "depth"), "depth")
+    t = ventricles(df, ws, least) if found is None else found
+    t = t.select(*[c for c in ("case_id", "x", "y", "z", "nx", "ny", "nz", "dx", "dy", "dz", "seg", "t1", "flair", "brain", "ventricle", "brain_depth") if c in t.columns])
+    t = ws.table(G.known(t, {"near": ("ventricle_near", "l1", F.col("ventricle")), "depth": ("brain_depth", "edt", ~F.col("brain"))}), "depth")
     brain, normal = F.col("brain"), F.col("brain") & (F.col("seg") == 0)
     t = case_percentiles(t, {"__deep": (F.col("depth"), brain, 60), "__rim": (F.col("depth"), brain, 40)})
     around, deep, cortex = (F.col("near").between(1, 10)) & normal, normal & (F.col("depth") > F.col("__deep")), normal & (F.col("depth") < F.col("__rim"))
@@ -68,7 +71,7 @@ def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame
 
 def vessels(df: DataFrame) -> DataFrame:
     """Flow voids at the base and enhancement around the tumour."""
-    t = G.l1_distance(flow_voids(brain_mask(df)), region("wt"), "near")
+    t = G.known(flow_voids(brain_mask(df)), {"near": ("wt_near", "l1", region("wt"))})
     rim = F.col("near").between(1, 10) & F.col("brain")
     a = t.groupBy("case_id").agg(
         F.count_if(F.col("inferior")).alias("ni"), F.count_if(F.col("void")).alias("nv"), F.first(voxel_cm3()).alias("cm3"), F.count_if(rim).alias("nr"),

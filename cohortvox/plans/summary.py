@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortvox.functions.text import present
 from cohortvox.operators import components as C, grid as G, intensity as I, mass_effect as X, morphology as S, quality as Q, structures as N
-from cohortvox.operators.masks import region
+from cohortvox.operators.masks import brain_mask, csf_candidate, csf_mask, region
 from cohortvox.plans.wording import CYSTIC, described
 from cohortvox.sources.manifest import UNAVAILABLE
 from cohortvox.sources.workspace import Workspace
@@ -15,7 +15,7 @@ NOT_GIVEN = "<not provided>"
 
 
 def ring(df: DataFrame) -> DataFrame:
-    d = G.l1_distance(df, region("ncr"), "near")
+    d = G.known(df, {"near": ("ncr_near", "l1", region("ncr"))})
     return d.groupBy("case_id").agg(F.count_if(region("et")).alias("et"), F.count_if(region("ncr")).alias("ncr"), F.count_if(region("et") & (F.col("near") <= 2)).alias("rim"))
 
 
@@ -113,22 +113,36 @@ def _ordered(df: DataFrame, order: Column, fields: list[str], name: str) -> Data
     return df.groupBy("case_id").agg(F.transform(rows, lambda r: r["v"]).alias(name))
 
 
+def prepared(grid: DataFrame, ws: Workspace) -> DataFrame:
+    """``grid`` with the brain and, where cases fit a block, the masks and fields of all steps by one pass; else each step makes its own."""
+    if not G.whole_cases(grid):
+        return ws.table(brain_mask(grid), "grid")
+    b = ws.table(brain_mask(grid).repartition("case_id").sortWithinPartitions("case_id"), "brain")
+    m = csf_mask(csf_candidate(b).withColumnRenamed("csf", "candidate"))
+    wt = region("wt")
+    return ws.table(G.fields(m, {
+        "ncr_near": ("l1", region("ncr")), "wt_near": ("l1", wt), "wt_depth": ("l1_depth", wt), "wt_slope": ("signed_slope", wt), "t1_sobel": ("sobel", F.col("t1").cast("double")),
+        "candidate_far": ("edt", F.col("candidate")), "fluid": ("opened", F.col("csf")), "brain_depth": ("edt", ~F.col("brain")),
+    }), "grid")
+
+
 def findings(grid: DataFrame, ws: Workspace, ventricle_voxels: int = 1000, available: DataFrame | None = None) -> DataFrame:
     """All findings of every case in one row, columns named by their step; operators share one stored grid."""
-    g = ws.table(grid, "grid")
+    g = prepared(grid, ws)
+    plain = g.select(*grid.columns)
     keep = lambda df, name: ws.table(df, name)
     volume = keep(I.volumes_cm3(g), "volume")
     shift, vent, sulci = keep(X.midline_shift(g), "shift"), keep(X.ventricular_compression(g), "compression"), keep(X.sulcal_effacement(g), "sulci")
     place = keep(X.location(g), "location")
     signals = keep(I.region_signals(g), "signals")
-    stats = keep(C.component_stats(C.label(g, region("wt"), ws)), "components")
-    foci = C.component_stats(C.label(g, F.col("seg") == 3, ws))
+    stats = keep(C.component_stats(C.label(plain, region("wt"), ws)), "components")
+    foci = C.component_stats(C.label(plain, F.col("seg") == 3, ws))
     multi = keep(C.multiplicity(g, stats, foci), "multiplicity")
     ranked = keep(C.lesions(stats), "lesions")
     images = keep(Q.image_quality(g), "images")
     overall = keep(Q.overall_quality(images), "overall")
     segmentation = keep(Q.segmentation_quality(g, ws, stats), "segmentation")
-    found = keep(N.ventricles(g, ws, ventricle_voxels), "ventricles")
+    found = keep(N.ventricles(g.select(*grid.columns, *[c for c in ("brain", "csf", "fluid", "wt_near", "brain_depth") if c in g.columns]), ws, ventricle_voxels), "ventricles")
     system, tissue = keep(N.ventricular_system(g, ws, found=found), "system"), keep(N.parenchyma(g, ws, found=found), "tissue")
     renamed = lambda df, p: df.select("case_id", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "case_id"])
     parts = [volume]

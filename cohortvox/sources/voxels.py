@@ -7,6 +7,8 @@ that missing cells are background with zero intensity.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortvox.sources.workspace import stored
@@ -38,7 +40,12 @@ def volumes(voxels: DataFrame, shape=SHAPE, spacing=SPACING) -> DataFrame:
     """One row of geometry per case."""
     names = ("nx", "ny", "nz", "dx", "dy", "dz")
     values = (*[int(s) for s in shape], *[float(s) for s in spacing])
-    return voxels.select("case_id").distinct().select("case_id", *[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])
+    return cells_of(voxels.select("case_id").distinct().select("case_id", *[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)]), math.prod(values[:3]))
+
+
+def cells_of(geometry: DataFrame, most: int) -> DataFrame:
+    """``geometry`` that says in ``nx`` how many cells a case has at most; grids made with it keep that."""
+    return geometry.withColumn("nx", F.col("nx").alias("nx", metadata={"most_cells": most}))
 
 
 def dense(voxels: DataFrame, geometry: DataFrame) -> DataFrame:

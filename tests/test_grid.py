@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortvox.operators import components as C, grid as G
 from cohortvox.operators.masks import region
-from cohortvox.sources.voxels import dense
+from cohortvox.sources.voxels import cells_of, dense
 from cohortvox.sources.workspace import Workspace
 
 
@@ -71,6 +71,25 @@ def test_distances_and_gradients(spark, volumes):
         assert np.allclose(sob[c], np.sqrt(total))
 
 
+def test_cases_that_fit_a_block_take_one_shuffle(spark, volumes, tmp_path):
+    lines = table(spark, volumes | {3: np.zeros((6, 5, 7), int), 4: np.ones((1, 2, 3), int), 5: (np.arange(24).reshape(2, 3, 4) == 7).astype(int)})
+    assert not G.whole_cases(lines) and not G.whole_cases(cells_of(lines, G.WHOLE + 1))
+    cells_of(lines, 210).write.parquet(f"{tmp_path}/grid")
+    whole = spark.read.parquet(f"{tmp_path}/grid")
+    assert G.whole_cases(whole)
+    wt = region("wt")
+    wanted = {"a": ("l1", wt), "b": ("l1_depth", wt), "c": ("opened", wt), "d": ("edt", wt), "e": ("signed_slope", wt), "f": ("sobel", F.col("t1"))}
+    got = G.fields(whole, wanted)
+    assert set(got.columns) == {*lines.columns, *wanted} and G.whole_cases(got)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # lines: one for each axis and name
+    rows = lambda df: sorted(map(tuple, df.select("case_id", "x", "y", "z", *wanted).collect()))
+    want = whole.withColumn("nx", F.col("nx").alias("nx", metadata={}))
+    assert not G.whole_cases(want)
+    for n, (kind, c) in wanted.items():
+        want = G.fields(want, {n: (kind, c)}).cache()
+    assert rows(got) == rows(want)
+
+
 def flood(m, offsets):
     lab, n = np.zeros(m.shape, int), 0
     for start in map(tuple, np.argwhere(m)):

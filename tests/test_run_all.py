@@ -2,8 +2,9 @@
 import numpy as np
 import pytest
 
-from cohortvox.operators import structures as N
+from cohortvox.operators import grid as G, structures as N
 from cohortvox.plans import run_all as A, summary as S
+from cohortvox.sources.voxels import cells_of
 from cohortvox.sources.workspace import Workspace
 from test_grid import table
 
@@ -50,3 +51,30 @@ def test_side_by_side(spark):
     a = spark.createDataFrame([(1, 2), (2, 3)], "case_id long, a int")
     b = spark.createDataFrame([(1, ["x"]), (9, ["y"])], "case_id long, b array<string>")
     assert sorted(map(tuple, S.beside([a, b]).collect())) == [(1, 2, ["x"]), (2, 3, None)]
+
+
+def test_cases_in_blocks_and_in_lines_have_the_same_findings(spark):
+    """Cases known to fit a block get the fields of all steps by one pass; no step makes its own."""
+    rng = np.random.default_rng(5)
+    g = table(spark, {k: (rng.random((8, 7, 6)) < 0.4).astype(int) * rng.integers(1, 4, (8, 7, 6)) for k in (1, 2)} | {3: np.zeros((5, 6, 7), int)})
+    for n, s in enumerate(("t1", "t1ce", "t2", "flair")):
+        g = g.withColumn(s, ((g["x"] * 7 + g["y"] * 5 + g["z"] * 3 + n) % 11 + g["seg"]).cast("double"))
+    ws = Workspace(spark, "t")
+    g = ws.table(g)
+    lines = S.findings(g, ws, 2)
+    passes = []
+    plain = G._blocks
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(G, "_blocks", lambda df, wanted: passes.append(len(wanted)) or plain(df, wanted))
+        blocks = S.findings(cells_of(g, 336), ws, 2)
+    assert passes == [8, 1]  # the second one needs the ventricles
+
+    def close(a, b):
+        if isinstance(a, float):
+            return a == pytest.approx(b, rel=1e-9, abs=1e-12)
+        return len(a) == len(b) and all(map(close, a, b)) if isinstance(a, (list, tuple)) else a == b
+
+    a, b = ({r.case_id: r.asDict() for r in f.collect()} for f in (lines, blocks))
+    assert a.keys() == b.keys() == {1, 2, 3}
+    for k in a:
+        assert not [c for c in a[k] if not close(a[k][c], b[k][c])]
