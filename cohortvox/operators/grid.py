@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortvox.sources.voxels import most_cells
+
 AXES = ("x", "y", "z")
 #: Farther than any cell of a grid.
 FAR = 1_000_000
@@ -40,7 +42,7 @@ def _l1(df: DataFrame, start: Column, name: str) -> DataFrame:
 
 def whole_cases(df: DataFrame) -> bool:
     """Whether every case of ``df`` is known to fit one block."""
-    return "nx" in df.columns and df.schema["nx"].metadata.get("most_cells", WHOLE + 1) <= WHOLE
+    return most_cells(df) <= WHOLE
 
 
 def fields(df: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortvox.sources.voxels import most_cells
 from cohortvox.sources.workspace import Workspace
 
 #: Label sets of the regions; both label conventions of enhancing tumour count.
@@ -101,7 +102,9 @@ def join_by_case(df: DataFrame, t: DataFrame, cases: int) -> DataFrame:
 def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, Column, float]], extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
     """``(table of case_id and percentiles, number of cases)``.
 
-    Cases of at most TOGETHER values take one aggregate.  For larger ones the
+    Cases of at most TOGETHER values take one aggregate, which is written: plans
+    that need the thresholds several times do not make them again.  Where the
+    table says that its cases are so small they are not counted first.  For larger ones the
     values are counted in BUCKETS ranges between the least and the largest one;
     the ranges that hold the wanted ranks are cut again until they hold at most
     TOGETHER values or a single one, so no task ever holds a case's values.
@@ -109,11 +112,15 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, Column, float]],
     if not wanted:
         return df.groupBy("case_id").agg(*[c.alias(n) for n, c in extra.items()]), df.select("case_id").distinct().count()
     value = {n: F.when(m, v).cast("double") for n, (v, m, p) in wanted.items()}
-    size = df.groupBy("case_id").agg(*[F.count(value[n]).alias(n) for n in wanted])
-    cases, most = size.agg(F.count("*"), F.max(F.greatest(*wanted, F.lit(0)))).first()
+    cases, most = None, most_cells(df)
+    if most > TOGETHER:
+        size = df.groupBy("case_id").agg(*[F.count(value[n]).alias(n) for n in wanted])
+        cases, most = size.agg(F.count("*"), F.max(F.greatest(*wanted, F.lit(0)))).first()
     aggs = [c.alias(n) for n, c in (extra or {}).items()]
     if (most or 0) <= TOGETHER:
-        return df.groupBy("case_id").agg(*[F.percentile(F.when(m, v), p / 100).alias(n) for n, (v, m, p) in wanted.items()], *aggs), cases
+        t = df.groupBy("case_id").agg(*[F.percentile(F.when(m, v), p / 100).alias(n) for n, (v, m, p) in wanted.items()], *aggs)
+        t = Workspace(df.sparkSession, "percentiles").table(t, "thresholds")
+        return t, t.count() if cases is None else cases
     t = df.groupBy("case_id").agg(F.count("*").alias("__n"), *aggs).drop("__n")
     for n, (_, _, p) in wanted.items():
         found = _select(df.select("case_id", "x", "y", "z", value[n].alias("v")).where("v is not null"), p / 100, cases)

@@ -9,6 +9,13 @@ from cohortvox.operators.masks import brain_mask, case_percentiles, csf_mask, fl
 from cohortvox.sources.voxels import voxel_cm3
 from cohortvox.sources.workspace import Workspace
 
+#: What ventricles and the operators on them read of a grid.
+READ = ("case_id", "x", "y", "z", "nx", "ny", "nz", "dx", "dy", "dz", "seg", "t1", "t2", "flair", "brain", "csf", "fluid", "wt_near", "brain_depth")
+
+
+def _read(df: DataFrame) -> DataFrame:
+    return df.select(*[c for c in df.columns if c in READ])
+
 
 def ventricles(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
     """``df`` with brain, csf and ``ventricle``: large, central 18-components of the opened fluid mask."""
@@ -22,7 +29,7 @@ def ventricles(df: DataFrame, ws: Workspace, least: int = 1000) -> DataFrame:
 
 def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
     """Volumes, symmetry, Evans estimate, hydrocephalus and obstruction; ``found`` is the output of ``ventricles``."""
-    t = G.known(ventricles(df, ws, least) if found is None else found, {"near": ("wt_near", "l1", region("wt"))})
+    t = G.known(ventricles(_read(df), ws, least) if found is None else found, {"near": ("wt_near", "l1", region("wt"))})
     t = t if "wt_near" in t.columns else ws.table(t, "near")
     v, left = F.col("ventricle"), F.col("x") < F.floor(F.col("nx") / 2)
     a = t.groupBy("case_id").agg(
@@ -47,7 +54,7 @@ def ventricular_system(df: DataFrame, ws: Workspace, least: int = 1000, found: D
 
 def parenchyma(df: DataFrame, ws: Workspace, least: int = 1000, found: DataFrame | None = None) -> DataFrame:
     """Periventricular signal and grey-white differentiation by depth in the brain; ``found`` as above."""
-    t = ventricles(df, ws, least) if found is None else found
+    t = ventricles(_read(df), ws, least) if found is None else found
     t = t.select(*[c for c in ("case_id", "x", "y", "z", "nx", "ny", "nz", "dx", "dy", "dz", "seg", "t1", "flair", "brain", "ventricle", "brain_depth") if c in t.columns])
     t = ws.table(G.known(t, {"near": ("ventricle_near", "l1", F.col("ventricle")), "depth": ("brain_depth", "edt", ~F.col("brain"))}), "depth")
     brain, normal = F.col("brain"), F.col("brain") & (F.col("seg") == 0)

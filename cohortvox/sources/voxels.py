@@ -48,6 +48,11 @@ def cells_of(geometry: DataFrame, most: int) -> DataFrame:
     return geometry.withColumn("nx", F.col("nx").alias("nx", metadata={"most_cells": most}))
 
 
+def most_cells(df: DataFrame) -> float:
+    """How many cells a case of ``df`` has at most, as ``cells_of`` has it; infinite where the table does not say."""
+    return df.schema["nx"].metadata.get("most_cells", math.inf) if "nx" in df.columns else math.inf
+
+
 def dense(voxels: DataFrame, geometry: DataFrame) -> DataFrame:
     """Every cell of every case's grid, with the geometry columns.
 

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortvox.operators import components as C, grid as G
+from cohortvox.operators import components as C, grid as G, masks as M, structures
 from cohortvox.operators.masks import region
 from cohortvox.sources.voxels import cells_of, dense
 from cohortvox.sources.workspace import Workspace
@@ -233,6 +233,25 @@ def test_percentiles_by_ranges(spark, monkeypatch):
     assert M.case_percentiles(df.limit(0), wanted).count() == 0
 
 
+def test_thresholds_are_made_once(spark, volumes, tmp_path, monkeypatch):
+    """Masks on masks read written thresholds, and the structures pass on only the columns that they read."""
+    cells_of(table(spark, volumes), max(v.size for v in volumes.values())).withColumns({"t2": F.col("x") + 1, "flair": F.col("y") + 1, "t1ce": F.lit(1)}).write.parquet(f"{tmp_path}/grid")
+    whole = spark.read.parquet(f"{tmp_path}/grid")
+    lines = whole.withColumn("nx", F.col("nx").alias("nx", metadata={}))
+    got, want = (M.csf_mask(M.brain_mask(df)) for df in (whole, lines))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("BroadcastHashJoin") == 2
+    rows = lambda df: sorted(map(tuple, df.select("case_id", "x", "y", "z", "brain", "csf").collect()))
+    assert rows(got) == rows(want)
+    written, real = {}, Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df, name="t": (written.setdefault(name, df.columns), real(self, df, name))[1])
+    found = {n: getattr(structures, n)(whole, Workspace(spark, "t"), 1) for n in ("parenchyma", "ventricular_system")}
+    assert written["fluid"] and "t1ce" not in written["fluid"]
+    monkeypatch.setattr(structures, "READ", whole.columns)
+    for name, df in found.items():
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, getattr(structures, name)(whole, Workspace(spark, "t"), 1).collect()))
+
+
 def broadcast_names(df):
     """Column names of every table that a plan means to broadcast."""
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line]
