@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -152,7 +153,16 @@ def slot_texts(f: DataFrame, date: Column) -> DataFrame:
 
 def slot_values(f: DataFrame, date: Column) -> DataFrame:
     """``(case_id, slot, content)``: the slots of every case, a row each."""
-    return slot_texts(f, date).select("case_id", F.explode("texts").alias("v")).select("case_id", "v.slot", "v.content")
+    return _apart(slot_texts(f, date)).select("case_id", "v.slot", "v.content")
+
+
+def _apart(cases: DataFrame) -> DataFrame:
+    """A row for each text of a case, as ``v``.
+
+    A plain ``explode`` would first ask each case whether its list is empty, by a
+    filter that makes all its texts once more where the cases are read.  No list is.
+    """
+    return cases.select(*[c for c in cases.columns if c != "texts"], F.explode_outer("texts").alias("v"))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -174,6 +184,17 @@ def _among(terms: Column, low: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(low, F.lower(t)))
 
 
+def _least(terms: list[str]) -> list[str]:
+    """The terms, in lower case, that hold no other one: a text holds one of these, or none at all."""
+    low = list(dict.fromkeys(t.lower() for t in terms))
+    return [t for t in low if not any(o != t and o in t for o in low)]
+
+
+def _any(low: Column, terms: list[str]) -> Column:
+    """Whether a lower-case text holds one of the terms."""
+    return reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in _least(terms)])
+
+
 def banned_words(text: Column) -> Column:
     """Banned words outside the allowed compounds, in the order of the list."""
     return _let(F.lower(text), lambda low: _let(_masked(low), lambda safe: _among(F.array(*[F.lit(b) for b in BANNED]), safe)))
@@ -183,21 +204,32 @@ def held(terms: Column, text: Column) -> Column:
     return _let(F.lower(text), lambda low: _among(terms, low))
 
 
+def _with_least(specs: DataFrame) -> DataFrame:
+    """The slot table with ``__least``: those terms of a slot, in lower case, that hold neither a banned word nor another one."""
+    none = F.array().cast("array<string>")
+    rules = specs.withColumn("__least", F.array_distinct(F.transform(F.concat(F.coalesce("section_terms", none), F.coalesce("forbidden", none)), F.lower)))
+    return rules.withColumn("__least", F.filter("__least", lambda t: ~_any(t, BANNED) & ~F.exists("__least", lambda o: (o != t) & F.contains(t, o))))
+
+
 def _judged(values: DataFrame, specs: DataFrame) -> DataFrame:
     """``values`` with their rules, the outcome of all checks but concepts told twice, and two sets of bits.
 
     ``__said`` has a bit for each concept of OWNERS that a text without violations
     names, ``__mine`` those of them that its slot owns.  The lower-case text and its
     masked form are columns that several expressions use: inside a lambda they
-    would be computed again for every term.
+    would be computed again for every term.  Most texts hold no term of any rule;
+    that is found with the few terms that the others hold, and only the rest is
+    asked for each term.
     """
     none = F.array().cast("array<string>")
     c, text, slot = F.col, F.col("content"), F.col("slot")
-    v = values.join(F.broadcast(specs), "slot", "left").withColumn("__low", F.lower(text))
-    v = v.withColumn("__safe", _masked(c("__low")))
+    v = values.join(F.broadcast(_with_least(specs)), "slot", "left").withColumn("__low", F.lower(text))
+    v = v.withColumn("__held", F.coalesce(_any(c("__low"), BANNED) | F.exists("__least", lambda t: F.contains(c("__low"), t)), F.lit(False)))
+    v = v.withColumn("__safe", F.when(c("__held"), _masked(c("__low"))))
     v = v.withColumns({
-        "__ban": F.coalesce(*[F.when(F.contains(c("__safe"), F.lit(b.lower())), F.lit(b)) for b in BANNED]), "__sec": _among(F.coalesce("section_terms", none), c("__low")),
-        "__slot": F.slice(_among(F.coalesce("forbidden", none), c("__low")), 1, 1),
+        "__ban": F.when(c("__held"), F.coalesce(*[F.when(F.contains(c("__safe"), F.lit(b.lower())), F.lit(b)) for b in BANNED])),
+        "__sec": F.when(c("__held"), _among(F.coalesce("section_terms", none), c("__low"))).otherwise(none),
+        "__slot": F.when(c("__held"), F.slice(_among(F.coalesce("forbidden", none), c("__low")), 1, 1)).otherwise(none),
     })
     v = v.withColumn("__state", F.when(c("__ban").isNotNull(), "[BANNED]").when(F.size("__sec") > 0, "[SECTION_VIOLATION]").when(F.size("__slot") > 0, "[SLOT_VIOLATION]"))
     state = c("__state")
@@ -249,31 +281,31 @@ def validate(values: DataFrame, specs: DataFrame) -> DataFrame:
     return v.select("case_id", "slot", "place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
 
 
-def _owned(text: Column, slot: str) -> Column:
-    """The bits of the concepts that a slot owns and its text names without breaking a rule."""
+def _owned(low: Column, slot: str) -> Column:
+    """The bits of the concepts that a slot owns and its lower-case text names without breaking a rule."""
     section, _, _, forbidden, _ = SLOTS[slot]
-    hit = lambda low, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, F.lower(t)))
-
-    def bits(low: Column) -> Column:
-        named = F.lit(0)
-        for k, (concept, owner) in enumerate(OWNERS.items()):
-            if owner == slot:
-                named = named + F.when(F.contains(low, F.lit(concept.replace("_", " "))) | F.contains(low, F.lit(concept)), 1 << k).otherwise(0)
-        broken = hit(low, [*SECTION_TERMS.get(section, []), *forbidden]) | _let(_masked(low), lambda safe: hit(safe, BANNED))
-        return F.when(named == 0, 0).when(broken, 0).otherwise(named)
-
-    return F.coalesce(_let(F.lower(text), bits), F.lit(0))
+    named = F.lit(0)
+    for k, (concept, owner) in enumerate(OWNERS.items()):
+        if owner == slot:
+            named = named + F.when(F.contains(low, F.lit(concept.replace("_", " "))) | F.contains(low, F.lit(concept)), 1 << k).otherwise(0)
+    broken = _any(low, [*SECTION_TERMS.get(section, []), *forbidden]) | (_any(low, BANNED) & _any(_masked(low), BANNED))
+    return F.coalesce(F.when(broken, 0).otherwise(named), F.lit(0))
 
 
 def validate_whole(texts: DataFrame, specs: DataFrame) -> DataFrame:
-    """``validate`` for cases that hold all their slots in one row, as ``slot_texts`` gives them: nothing is shuffled."""
+    """``validate`` for cases that hold all their slots in one row, as ``slot_texts`` gives them: nothing is shuffled.
+
+    The outcome of a text is a list of one that is taken apart, so that a condition
+    on it is asked of the outcome; moved to the texts it would judge them many times.
+    """
     place = {n: k for k, n in enumerate(SLOTS)}
-    owned = F.lit(0)
-    for o in dict.fromkeys(OWNERS.values()):
-        owned = owned.bitwiseOR(_owned(F.get("texts", F.lit(place[o]))["content"], o))
-    v = texts.select("case_id", "texts", owned.alias("__owned")).select("case_id", "__owned", F.explode("texts").alias("v")).select("case_id", "__owned", "v.slot", "v.content")
+    owners = list(dict.fromkeys(OWNERS.values()))
+    lows = texts.select("case_id", "texts", *[F.lower(F.get("texts", F.lit(place[o]))["content"]).alias(f"__low{k}") for k, o in enumerate(owners)])
+    owned = reduce(Column.bitwiseOR, [_owned(F.col(f"__low{k}"), o) for k, o in enumerate(owners)])
+    v = _apart(lows.select("case_id", "texts", owned.alias("__owned"))).select("case_id", "__owned", "v.slot", "v.content")
     violations = _with_repeats(F.col("__owned"), lambda o: F.lit(place[o]))
-    return _judged(v, specs).select("case_id", "slot", "place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
+    outcome = F.struct("place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
+    return _judged(v, specs).select("case_id", "slot", F.inline(F.array(outcome)))
 
 
 def integrity(text: Column) -> Column:

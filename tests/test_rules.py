@@ -172,3 +172,16 @@ def test_whole_cases_are_judged_and_filled_without_a_shuffle(spark):
     for df in (whole, P.fill_whole(texts)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_a_condition_on_the_outcome_judges_no_text_again(spark):
+    from cohortvox.plans import report_queries as RQ
+
+    said = {"necrosis_sentence": "Necrosis is seen.", "edema_sentence": "A volume beside necrosis.", "ventricles_sentence": "There is necrosis.", "parenchyma_sentence": "A benign disease.", "impression_differential": "Histopathologic."}
+    texts = spark.createDataFrame([(1, [(n, said.get(n, "Calm.")) for n in P.SLOTS]), (2, [(n, "Calm.") for n in P.SLOTS])], "case_id int, texts array<struct<slot:string,content:string>>")
+    log = {r.slot: r for r in P.validation_log(P.validate_whole(texts, P.slot_specs(spark))).collect()}
+    assert set(log) == {"edema_sentence", "ventricles_sentence", "parenchyma_sentence"} and {r.case_id for r in log.values()} == {1}
+    assert log["ventricles_sentence"].violations == "Concept 'necrosis' already reported by 'necrosis_sentence'"
+    plan = RQ.QUERIES["r26_validation_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and all(len(line) < 200 for line in filters)
