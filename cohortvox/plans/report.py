@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cohortvox.functions.text import article, half_centimetres, oxford
@@ -69,6 +72,15 @@ def slot_specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "slot string, place int, section string, max_length int, fallback string, forbidden array<string>, section_terms array<string>, allowed map<string,array<string>>")
 
 
+def _among_any(low: Column, *terms: str) -> Column:
+    """Whether a text holds one of the terms.
+
+    Asked by a lambda: columns beside it are compiled in small pieces then.  All facts
+    in one piece are too long for the JVM's compiler, and a case took several times as long.
+    """
+    return F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t))
+
+
 def facts(summary: DataFrame) -> DataFrame:
     """The facts of each case, flat, with defaults for what a summary lacks."""
     c = F.col
@@ -84,7 +96,7 @@ def facts(summary: DataFrame) -> DataFrame:
     default = F.array(*[F.lit(x) for x in ("high-grade glioma", "metastasis", "lymphoma")])
     return summary.select(
         "case_id", count.alias("lesion_count"), (count > 1).alias("is_multifocal"),
-        F.when(count == 1, "focal").when(F.contains(pattern, F.lit("distant")) | F.contains(pattern, F.lit("multicentric")), "multifocal or multicentric").otherwise("multifocal").alias("distribution"),
+        F.when(count == 1, "focal").when(_among_any(pattern, "distant", "multicentric"), "multifocal or multicentric").otherwise("multifocal").alias("distribution"),
         hemi.alias("hemisphere"), F.coalesce(c("location.primary_lobe"), F.lit("unknown")).alias("primary_lobe"), named.alias("lobes_formatted"),
         F.when(F.contains(depth, F.lit("subcortical")), "subcortical ").when(F.contains(depth, F.lit("deep")), "deep ").when(F.contains(depth, F.lit("cortical")), "cortical and subcortical ")
         .when(F.contains(depth, F.lit("periventricular")), "periventricular ").otherwise("").alias("depth_prefix"),
@@ -184,15 +196,59 @@ def _among(terms: Column, low: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(low, F.lower(t)))
 
 
-def _least(terms: list[str]) -> list[str]:
-    """The terms, in lower case, that hold no other one: a text holds one of these, or none at all."""
-    low = list(dict.fromkeys(t.lower() for t in terms))
-    return [t for t in low if not any(o != t and o in t for o in low)]
+#: Bits of what a text tells: first the concepts of OWNERS that it names, then whether it holds a banned word, then by place the slots whose terms it holds.
+_BANNED = len(OWNERS)
+_PLACES = _BANNED + 1
+
+
+def _least(terms: dict[str, int]) -> list[tuple[str, int]]:
+    """The terms but those that hold another one which says as much."""
+    return [(t, bits) for t, bits in terms.items() if not any(o != t and o in t and b & bits == bits for o, b in terms.items())]
+
+
+def _teller(specs: DataFrame) -> Callable[[str], int]:
+    """A function from a text to its bits; ``specs`` has a row for each slot."""
+    terms: dict[str, int] = {}
+    for k, concept in enumerate(OWNERS):
+        for t in (concept, concept.replace("_", " ")):
+            terms[t] = terms.get(t, 0) | 1 << k
+    for r in specs.select("place", "section_terms", "forbidden").collect():
+        for t in (*(r.section_terms or []), *(r.forbidden or [])):
+            terms[t.lower()] = terms.get(t.lower(), 0) | 1 << _PLACES + r.place
+    terms = _least(terms)
+    banned = [b for b, _ in _least({b.lower(): 0 for b in BANNED})]
+
+    def bits(text: str) -> int:
+        low, out = text.lower(), 0
+        for t, told in terms:
+            if t in low:
+                out |= told
+        if any(b in low for b in banned):
+            safe = low
+            for w in COMPOUNDS:
+                at = low.find(w)
+                if at >= 0:
+                    safe = safe[:at] + "\x01" * len(w) + safe[at + len(w) :]
+            if any(b in safe for b in banned):
+                out |= 1 << _BANNED
+        return out
+
+    return bits
+
+
+def _told(specs: DataFrame, of_lists: bool = False) -> Callable[[Column], Column]:
+    """The bits of a text, or of each text of a list; texts that a batch repeats are read once."""
+    teller = _teller(specs)
+
+    def each(texts: pa.Array) -> pa.Array:
+        d = texts.dictionary_encode()
+        return pa.array([teller(x) for x in d.dictionary.to_pylist()], pa.int64()).take(d.indices).fill_null(0)
 
+    def of_each(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each(lists.flatten()))
 
-def _any(low: Column, terms: list[str]) -> Column:
-    """Whether a lower-case text holds one of the terms."""
-    return reduce(Column.__or__, [F.contains(low, F.lit(t)) for t in _least(terms)])
+    return F.arrow_udf(of_each, "array<bigint>") if of_lists else F.arrow_udf(each, "bigint")
 
 
 def banned_words(text: Column) -> Column:
@@ -204,54 +260,53 @@ def held(terms: Column, text: Column) -> Column:
     return _let(F.lower(text), lambda low: _among(terms, low))
 
 
-def _with_least(specs: DataFrame) -> DataFrame:
-    """The slot table with ``__least``: those terms of a slot, in lower case, that hold neither a banned word nor another one."""
+def _verdict(text: Column) -> Column:
+    """``(state, problems)`` of a text that breaks a rule of its slot, from its words."""
     none = F.array().cast("array<string>")
-    rules = specs.withColumn("__least", F.array_distinct(F.transform(F.concat(F.coalesce("section_terms", none), F.coalesce("forbidden", none)), F.lower)))
-    return rules.withColumn("__least", F.filter("__least", lambda t: ~_any(t, BANNED) & ~F.exists("__least", lambda o: (o != t) & F.contains(t, o))))
+    replaced = F.coalesce("fallback", F.lit("")) != ""
+
+    def told(x: Column) -> Column:
+        ban, sec, own = x["ban"], x["sec"], x["own"]
+        state = F.when(ban.isNotNull(), "[BANNED]").when(F.size(sec) > 0, "[SECTION_VIOLATION]").when(F.size(own) > 0, "[SLOT_VIOLATION]")
+        problems = F.concat(
+            F.when(ban.isNotNull(), F.array(F.concat(F.lit("Global banned: '"), ban, F.lit("'")))).otherwise(F.transform(sec, lambda t: F.concat(F.lit("Section '"), F.col("section"), F.lit("' forbidden term: '"), t, F.lit("'")))),
+            F.when(state == "[SLOT_VIOLATION]", F.transform(own, lambda t: F.concat(F.lit("Slot forbidden: '"), t, F.lit("'")))).otherwise(none),
+            F.when(state.isNotNull() & replaced, F.array(F.lit("Used fallback due to validation failure"))).otherwise(none),
+        )
+        return F.struct(state.alias("state"), problems.alias("problems"))
+
+    def words(low: Column, safe: Column) -> Column:
+        ban = F.coalesce(*[F.when(F.contains(safe, F.lit(b.lower())), F.lit(b)) for b in BANNED])
+        sec, own = _among(F.coalesce("section_terms", none), low), F.slice(_among(F.coalesce("forbidden", none), low), 1, 1)
+        return F.struct(ban.alias("ban"), sec.alias("sec"), own.alias("own"))
+
+    return _let(F.lower(text), lambda low: _let(_masked(low), lambda safe: _let(words(low, safe), told)))
 
 
 def _judged(values: DataFrame, specs: DataFrame) -> DataFrame:
-    """``values`` with their rules, the outcome of all checks but concepts told twice, and two sets of bits.
+    """``values`` with their bits as ``__told``, the outcome of all checks but concepts told twice, and two sets of bits.
 
     ``__said`` has a bit for each concept of OWNERS that a text without violations
-    names, ``__mine`` those of them that its slot owns.  The lower-case text and its
-    masked form are columns that several expressions use: inside a lambda they
-    would be computed again for every term.  Most texts hold no term of any rule;
-    that is found with the few terms that the others hold, and only the rest is
-    asked for each term.
+    names, ``__mine`` those of them that its slot owns.  Only a text whose bits say
+    that it breaks a rule is asked for each term.  Others do without the lists of
+    terms, which are longer than most texts.
     """
     none = F.array().cast("array<string>")
-    c, text, slot = F.col, F.col("content"), F.col("slot")
-    v = values.join(F.broadcast(_with_least(specs)), "slot", "left").withColumn("__low", F.lower(text))
-    v = v.withColumn("__held", F.coalesce(_any(c("__low"), BANNED) | F.exists("__least", lambda t: F.contains(c("__low"), t)), F.lit(False)))
-    v = v.withColumn("__safe", F.when(c("__held"), _masked(c("__low"))))
-    v = v.withColumns({
-        "__ban": F.when(c("__held"), F.coalesce(*[F.when(F.contains(c("__safe"), F.lit(b.lower())), F.lit(b)) for b in BANNED])),
-        "__sec": F.when(c("__held"), _among(F.coalesce("section_terms", none), c("__low"))).otherwise(none),
-        "__slot": F.when(c("__held"), F.slice(_among(F.coalesce("forbidden", none), c("__low")), 1, 1)).otherwise(none),
-    })
-    v = v.withColumn("__state", F.when(c("__ban").isNotNull(), "[BANNED]").when(F.size("__sec") > 0, "[SECTION_VIOLATION]").when(F.size("__slot") > 0, "[SLOT_VIOLATION]"))
-    state = c("__state")
-    long, replaced = state.isNull() & (F.length(text) > c("max_length")), state.isNotNull() & (F.coalesce("fallback", F.lit("")) != "")
-    kept = F.when(state.isNotNull(), state).when(long, F.concat(F.substring(text, F.lit(1), c("max_length") - 3), F.lit("..."))).otherwise(text)
-    problems = F.concat(
-        F.when(c("__ban").isNotNull(), F.array(F.concat(F.lit("Global banned: '"), "__ban", F.lit("'")))).otherwise(none),
-        F.when(c("__ban").isNotNull(), none).otherwise(F.transform("__sec", lambda t: F.concat(F.lit("Section '"), c("section"), F.lit("' forbidden term: '"), t, F.lit("'")))),
-        F.when(state == "[SLOT_VIOLATION]", F.transform("__slot", lambda t: F.concat(F.lit("Slot forbidden: '"), t, F.lit("'")))).otherwise(none),
-        F.when(long, F.array(F.concat(F.lit("Exceeds max length ("), F.length(text), F.lit(" > "), c("max_length"), F.lit(")")))).otherwise(none),
-        F.when(replaced, F.array(F.lit("Used fallback due to validation failure"))).otherwise(none),
-    )
-    said, mine = F.lit(0), F.lit(0)
-    for k, (concept, owner) in enumerate(OWNERS.items()):
-        names = F.contains(c("__low"), F.lit(concept.replace("_", " "))) | F.contains(c("__low"), F.lit(concept))
-        said = said + F.when(names, 1 << k).otherwise(0)
-        mine = mine + F.when(slot == owner, 1 << k).otherwise(0)
-    # most texts break no rule; their list of problems is a constant
-    broken = state.isNotNull() | long
+    c, text, told = F.col, F.col("content"), F.col("__told")
+    mine = reduce(Column.bitwiseOR, [F.when(c("slot") == owner, 1 << k).otherwise(0) for k, owner in enumerate(OWNERS.values())])
+    v = values.join(F.broadcast(specs.withColumn("__mine", mine)), "slot", "left")
+    held = (F.getbit(told, F.lit(_BANNED)) == 1) | F.coalesce(F.getbit(told, c("place") + _PLACES) == 1, F.lit(False))
+    v = v.withColumn("__held", held).withColumns({n: F.when(c("__held"), c(n)) for n in ("section", "fallback", "section_terms", "forbidden")})
+    v = v.withColumn("__verdict", F.when(c("__held"), _verdict(text))).drop("section", "section_terms", "forbidden")
+    state = c("__verdict.state")
+    # characters are counted only where the bytes leave it open
+    long = state.isNull() & (F.octet_length(text) > c("max_length")) & (F.length(text) > c("max_length"))
+    kept = F.when(state.isNotNull() & (F.coalesce("fallback", F.lit("")) != ""), c("fallback")).when(state.isNotNull(), state)
+    exceeds = F.array(F.concat(F.lit("Exceeds max length ("), F.length(text), F.lit(" > "), c("max_length"), F.lit(")")))
     return v.select(
-        *values.columns, "place", F.when(replaced, c("fallback")).otherwise(kept).alias("__kept"), F.when(broken, problems).otherwise(none).alias("__problems"),
-        F.when(state.isNull(), said).otherwise(0).alias("__said"), mine.alias("__mine"),
+        *[n for n in values.columns if n != "__told"], "place", kept.when(long, F.concat(F.substring(text, F.lit(1), c("max_length") - 3), F.lit("..."))).otherwise(text).alias("__kept"),
+        F.when(state.isNotNull(), c("__verdict.problems")).when(long, exceeds).otherwise(none).alias("__problems"),
+        F.when(state.isNull(), told.bitwiseAND(F.lit((1 << len(OWNERS)) - 1))).otherwise(0).alias("__said"), F.coalesce("__mine", F.lit(0)).alias("__mine"),
     )
 
 
@@ -275,37 +330,25 @@ def validate(values: DataFrame, specs: DataFrame) -> DataFrame:
     """
     owners = list(dict.fromkeys(OWNERS.values()))
     places = specs.agg(*[F.min(F.when(F.col("slot") == o, F.col("place"))).alias(f"__at{k}") for k, o in enumerate(owners)])
-    v = _judged(values.select("case_id", "slot", "content"), specs)
+    v = _judged(values.select("case_id", "slot", "content", _told(specs)(F.col("content")).alias("__told")), specs)
     v = v.withColumn("__owned", F.bit_or(F.col("__said").bitwiseAND(F.col("__mine"))).over(Window.partitionBy("case_id"))).crossJoin(F.broadcast(places))
     violations = _with_repeats(F.col("__owned"), lambda o: F.col(f"__at{owners.index(o)}"))
     return v.select("case_id", "slot", "place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
 
 
-def _owned(low: Column, slot: str) -> Column:
-    """The bits of the concepts that a slot owns and its lower-case text names without breaking a rule."""
-    section, _, _, forbidden, _ = SLOTS[slot]
-    named = F.lit(0)
-    for k, (concept, owner) in enumerate(OWNERS.items()):
-        if owner == slot:
-            named = named + F.when(F.contains(low, F.lit(concept.replace("_", " "))) | F.contains(low, F.lit(concept)), 1 << k).otherwise(0)
-    broken = _any(low, [*SECTION_TERMS.get(section, []), *forbidden]) | (_any(low, BANNED) & _any(_masked(low), BANNED))
-    return F.coalesce(F.when(broken, 0).otherwise(named), F.lit(0))
-
-
 def validate_whole(texts: DataFrame, specs: DataFrame) -> DataFrame:
-    """``validate`` for cases that hold all their slots in one row, as ``slot_texts`` gives them: nothing is shuffled.
-
-    The outcome of a text is a list of one that is taken apart, so that a condition
-    on it is asked of the outcome; moved to the texts it would judge them many times.
-    """
+    """``validate`` for cases that hold all their slots in one row, as ``slot_texts`` gives them: nothing is shuffled."""
     place = {n: k for k, n in enumerate(SLOTS)}
-    owners = list(dict.fromkeys(OWNERS.values()))
-    lows = texts.select("case_id", "texts", *[F.lower(F.get("texts", F.lit(place[o]))["content"]).alias(f"__low{k}") for k, o in enumerate(owners)])
-    owned = reduce(Column.bitwiseOR, [_owned(F.col(f"__low{k}"), o) for k, o in enumerate(owners)])
-    v = _apart(lows.select("case_id", "texts", owned.alias("__owned"))).select("case_id", "__owned", "v.slot", "v.content")
+    v = texts.select("case_id", "texts", _told(specs, of_lists=True)(F.col("texts.content")).alias("__told"))
+    owned = F.lit(0)
+    for o in dict.fromkeys(OWNERS.values()):
+        told, mine = F.get("__told", F.lit(place[o])), sum(1 << k for k, owner in enumerate(OWNERS.values()) if owner == o)
+        broken = told.bitwiseAND(F.lit(1 << _BANNED | 1 << _PLACES + place[o])) != 0
+        owned = owned.bitwiseOR(F.when(broken, 0).otherwise(told.bitwiseAND(F.lit(mine))))
+    v = _apart(v.select("case_id", F.coalesce(owned, F.lit(0)).alias("__owned"), F.arrays_zip("texts", "__told").alias("texts")))
+    v = v.select("case_id", "__owned", "v.texts.slot", "v.texts.content", "v.__told")
     violations = _with_repeats(F.col("__owned"), lambda o: F.lit(place[o]))
-    outcome = F.struct("place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
-    return _judged(v, specs).select("case_id", "slot", F.inline(F.array(outcome)))
+    return _judged(v, specs).select("case_id", "slot", "place", F.col("content").alias("original"), F.col("__kept").alias("sanitized"), violations.alias("violations"))
 
 
 def integrity(text: Column) -> Column:
@@ -401,8 +444,13 @@ def impression_items(text: Column) -> Column:
 
 
 def validation_log(checked: DataFrame) -> DataFrame:
-    """The texts that broke a rule, as written and as corrected."""
-    return checked.where(F.size("violations") > 0).select("case_id", "slot", "original", "sanitized", F.array_join("violations", "; ").alias("violations"))
+    """The texts that broke a rule, as written and as corrected.
+
+    The violations of a text are put into a list of one that is taken apart, so that
+    the condition is asked of them; moved to the texts it would judge them many times.
+    """
+    told = checked.select("case_id", "slot", "original", "sanitized", F.explode(F.array("violations")).alias("violations"))
+    return told.where(F.size("violations") > 0).withColumn("violations", F.array_join("violations", "; "))
 
 
 def report_bundle(summary: DataFrame, run_date: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -185,3 +185,36 @@ def test_a_condition_on_the_outcome_judges_no_text_again(spark):
     plan = RQ.QUERIES["r26_validation_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and all(len(line) < 200 for line in filters)
+
+
+def test_bits_of_a_text_say_what_each_term_says(spark):
+    told = P._teller(P.slot_specs(spark))
+    terms = [*P.BANNED, *(t for s in P.SECTION_TERMS.values() for t in s), *(t for s in P.SLOTS.values() if s for t in s[3]), *P.COMPOUNDS, *P.OWNERS]
+    texts = [t for a in terms for t in (a, f"x{a.upper()}y", f"Histopathological {a}", f"no {a.replace('_', ' ')}, {terms[len(a)]}.")] + ["", "Calm.", "histopathology histopathology", "HISTOPATHOLOGIC, pathologic"]
+    for text in texts:
+        low = safe = text.lower()
+        for w in P.COMPOUNDS:
+            if w in low:
+                safe = safe[: low.index(w)] + "\x01" * len(w) + safe[low.index(w) + len(w) :]
+        want = sum(1 << k for k, c in enumerate(P.OWNERS) if c in low or c.replace("_", " ") in low) | any(b.lower() in safe for b in P.BANNED) << P._BANNED
+        for place, s in enumerate(P.SLOTS.values()):
+            section, _, _, forbidden, _ = s or (None, None, None, [], {})
+            want |= any(t.lower() in low for t in [*P.SECTION_TERMS.get(section, []), *forbidden]) << P._PLACES + place
+        assert told(text) == want, text
+
+
+def test_validated_sentences_are_compiled_in_pieces_that_the_jvm_takes(spark):
+    import re
+
+    from cohortvox.plans import report_queries as RQ
+
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        plan = RQ.QUERIES["r14_r17_validated_sentences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        code = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set(key, before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000  # bytes of a method beyond which it is only interpreted
